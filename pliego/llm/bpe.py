@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 
 CHUNK = 32_000
 OVERLAP = 2_000
-MEMO = 300_000
+MEMO = 100_000
+SLICE = 500
 MEMO_CHARS = 64
 
 #: The pattern that cuts texts into pre-tokens for the public 50k vocabularies.
@@ -56,19 +57,16 @@ class Memo(dict):
 
 
 class Codec:
-    """Ids of a text as little-endian uint32 bytes, and back."""
+    """Ids of a text as little-endian uint32 bytes."""
 
-    def __init__(self, encode, tokens: dict[int, bytes]):
-        self.encode_part, self.tokens = encode, tokens
+    def __init__(self, encode):
+        self.encode_part = encode
         self.after_space = Memo(lambda part: array("I", encode(" " + part)).tobytes())
 
     def encode(self, text: str) -> bytes:
         first, *rest = cut(text)
         return b"".join([array("I", self.encode_part(first)).tobytes(), *map(self.after_space.__getitem__, rest)])
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
-
 
 @lru_cache(maxsize=4)
 def rank_codec(path: str, pattern: str = PATTERN) -> Codec:
@@ -76,7 +74,7 @@ def rank_codec(path: str, pattern: str = PATTERN) -> Codec:
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return Codec(library.encode_ordinary, {rank: token for token, rank in ranks.items()})
+    return Codec(library.encode_ordinary)
 
 
 def list_array(flat: np.ndarray, lengths: list[int]) -> pa.ListArray:
@@ -99,10 +97,12 @@ def encode_rows(path: str, pattern: str, keep: list[str], text: str = "text"):
 
     def run(batches):
         codec = rank_codec(path, pattern)
-        for b in batches:
-            raw = [codec.encode(t or "") for t in b.column(text).to_pylist()]
-            ids = list_array(np.frombuffer(b"".join(raw), np.uint32), [len(r) // 4 for r in raw])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), ids], [*keep, "ids"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                raw = [codec.encode(t or "") for t in b.column(text).to_pylist()]
+                ids = list_array(np.frombuffer(b"".join(raw), np.uint32), [len(r) // 4 for r in raw])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), ids], [*keep, "ids"])
 
     return run
 
@@ -163,14 +163,35 @@ def encode(docs: DataFrame, path: str, pattern: str = PATTERN, id_col: str = "do
     return short.unionByName(joined).withColumnRenamed("id", id_col)
 
 
-def decode(encoded: DataFrame, path: str, pattern: str = PATTERN, ids_col: str = "ids") -> DataFrame:
+@lru_cache(maxsize=4)
+def token_bytes(path: str) -> pa.Array:
+    """Every token's bytes by id; ids that the file lacks are null."""
+    with open(path, "rb") as f:
+        tokens = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, f)}
+    return pa.array([tokens.get(i) for i in range(max(tokens, default=-1) + 1)], pa.large_binary())
+
+
+def joined_bytes(ids: pa.ListArray, tokens: pa.Array) -> pa.Array:
+    """The bytes of each list's tokens, one after the other: taking them in order lays them out so already."""
+    taken = tokens.take(ids.flatten())
+    if taken.null_count:
+        raise ValueError("ids without a token")
+    ends = np.zeros(len(ids) + 1, np.int64)
+    np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), out=ends[1:])
+    starts = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+    valid = pa.array(ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)).cast(pa.bool_()).buffers()[1] if ids.null_count else None
+    return pa.Array.from_buffers(pa.large_binary(), len(ids), [valid, pa.py_buffer(starts[ends].tobytes()), taken.buffers()[2]]).cast(pa.binary())
+
+
+def decode(encoded: DataFrame, path: str, ids_col: str = "ids", slice_rows: int = SLICE) -> DataFrame:
     """encoded with bytes, the concatenated raw bytes of the ids; null ids give null, no ids give no bytes."""
     schema = T.StructType([*encoded.schema.fields, T.StructField("bytes", T.BinaryType())])
 
     def run(batches):
-        codec = rank_codec(path, pattern)
-        for b in batches:
-            raw = [None if ids is None else codec.decode(ids) for ids in b.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(raw, pa.binary())], [*b.schema.names, "bytes"])
+        tokens = token_bytes(path)
+        for whole in batches:
+            for at in range(0, whole.num_rows, slice_rows):
+                b = whole.slice(at, slice_rows)
+                yield pa.RecordBatch.from_arrays([*b.columns, joined_bytes(b.column(ids_col), tokens)], [*b.schema.names, "bytes"])
 
     return encoded.mapInArrow(run, schema)
