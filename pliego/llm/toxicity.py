@@ -26,7 +26,7 @@ from pliego.llm.langid import letters
 SAMPLE = 12_000
 BUCKETS = 1 << 18
 FACTORS = 6
-EPOCHS = 6
+EPOCHS = 15
 BEGINNINGS = (4, 5, 6, 7, 8)
 TIMES = (2, 3, 5)
 SEEN = 3
