@@ -48,7 +48,8 @@ def problems(value: object, schema: Mapping, at: str = "$") -> list[str]:
     if "enum" in schema and value not in schema["enum"]:
         found.append(f"{at}: not one of {schema['enum']}")
     if isinstance(value, int | float) and not isinstance(value, bool):
-        found += [f"{at}: {value} is below {schema['minimum']}"] * (value < schema.get("minimum", value)) + [f"{at}: {value} is above {schema['maximum']}"] * (value > schema.get("maximum", value))
+        least, most = schema.get("minimum", value), schema.get("maximum", value)
+        found += [f"{at}: {value} is below {least}"] * (value < least) + [f"{at}: {value} is above {most}"] * (value > most)
     if isinstance(value, dict):
         found += [f"{at}: lacks {k}" for k in schema.get("required", []) if k not in value]
         found += [p for k, s in schema.get("properties", {}).items() if k in value for p in problems(value[k], s, f"{at}.{k}")]
