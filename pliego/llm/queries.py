@@ -81,7 +81,7 @@ def _license_sql() -> str:
     last = len(licenses.RULES)
     join = lambda x: f"coalesce(list_aggregate({x}, 'string_agg', ' '), '')"
     return f"""
-WITH cut AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)) AS lines FROM documents),
+WITH cut AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), {_sql_text(licenses.WRAP)}, '\\1 \\2', 'g'), '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)) AS lines FROM documents),
 norm AS (SELECT doc_id, list_transform(lines, lambda x: trim(regexp_replace(regexp_replace(replace(lower(x), 'licence', 'license'), '[^a-z0-9.,: ]+', ' ', 'g'), ' +', ' ', 'g'))) AS lines FROM cut),
 found AS (SELECT doc_id, list_filter(list_transform(lines, lambda s: CASE {case} END), lambda i: i IS NOT NULL) AS ids FROM norm),
 {", ".join(steps)}
