@@ -30,17 +30,17 @@ LABELS = {
 FIRED = "array<struct<flag_id:string,nombre:string,peso:int,evidence:string>>"
 
 
-def as_json(*columns: str) -> Column:
+def as_json(*columns: str | Column) -> Column:
     """One JSON object of the columns, nulls kept."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
 def fired_list(p: Params) -> Column:
-    """Aggregate: JSON array of (flag_id, nombre, peso, evidence) over rows with flag_id, fired and evidence_json, by flag."""
+    """Aggregate: JSON array of (flag_id, nombre, peso, evidence) over rows with flag_id and evidence_json, one row a flag at most."""
     names = F.create_map(*[F.lit(x) for k, (name, _, _) in p.weights.items() for x in (k, name)])
     weights = F.create_map(*[F.lit(x) for k, (_, _, w) in p.weights.items() for x in (k, int(w))])
     item = F.struct("flag_id", names[F.col("flag_id")].alias("nombre"), weights[F.col("flag_id")].alias("peso"), F.col("evidence_json").alias("evidence"))
-    return F.to_json(F.array_sort(F.collect_list(F.when(F.col("fired"), item))))  # one row a flag: as many items as there are flags at most
+    return F.to_json(F.array_sort(F.collect_list(item)))
 
 
 def parsed(text: Column) -> Column:

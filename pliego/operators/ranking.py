@@ -13,7 +13,7 @@ from pliego.session import cut
 def running_total(df: DataFrame, value: Column, order: Sequence[Column], name: str = "total") -> DataFrame:
     """df with the sum of value over all rows up to and including each, by order, which has to tell all rows apart.
 
-    The table is sorted across the cluster and checkpointed; each range's own running sum then starts from the sum of the ranges
+    The table is sorted across the cluster and written; each range's own running sum then starts from the sum of the ranges
     before it. Only one sum per range meets in one task.
     """
     ranged = cut(df.withColumn("_value", value).orderBy(*order).withColumn("_row", F.monotonically_increasing_id()))

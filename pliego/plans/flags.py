@@ -5,7 +5,8 @@ A row that can't be tested is absent, as it must not count in a score's denomina
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,66 +18,179 @@ from pliego.functions.numbers import is_multiple, ratio
 from pliego.functions.text import object_key
 from pliego.operators.dedup import keep_first, keep_latest
 from pliego.operators.joins import in_range, threshold
-from pliego.operators.windows import around, buckets, switches
+from pliego.operators.windows import around, buckets, switches_between_days, switches_within_days
 from pliego.params import Params
 from pliego.plans.marts import Mart
 
 
+@dataclass(frozen=True)
+class Rule:
+    """A flag that one row, with what is joined to it, decides: where it applies, where it fires, and its evidence."""
+
+    applies: Column
+    fires: Column
+    evidence: dict[str, Column]
+
+
+def _yes(condition: Column) -> Column:
+    return F.coalesce(condition, F.lit(False))
+
+
+def applied(rows: DataFrame, rule: Rule) -> DataFrame:
+    return rows.where(rule.applies).select(contract_key(), rule.fires.alias("fired"), *[c.alias(name) for name, c in rule.evidence.items()])
+
+
 def contract_key() -> Column:
     return F.col("id_contrato").alias("key")
 
 
+# What is joined to contracts
+
+
 def latest_processes(mart: Mart) -> DataFrame:
     """Each process once, its latest snapshot: joining all of them would count contracts several times."""
     return keep_latest(mart["fct_proceso"], ["referencia"], "fecha_publicacion", "row_id")
 
 
-def with_process(mart: Mart, contracts: DataFrame, *columns: str, how: str = "inner") -> DataFrame:
-    """Contracts with columns of their process, prefixed p_."""
+def with_process(mart: Mart, contracts: DataFrame, *columns: str) -> DataFrame:
+    """Contracts with columns of their process, prefixed p_, null where there is none. A rule that needs one makes the join an inner one."""
     right = latest_processes(mart).select(F.col("referencia").alias("p_key"), *[F.col(c).alias(f"p_{c}") for c in columns])
-    return contracts.join(right, F.col("proceso_de_compra") == F.col("p_key"), how).drop("p_key")
+    return contracts.join(right, F.col("proceso_de_compra") == F.col("p_key"), "left").drop("p_key")
 
 
-def f01(mart: Mart, p: Params) -> DataFrame:
+def with_registration(mart: Mart, contracts: DataFrame) -> DataFrame:
+    """Contracts with their supplier's fecha_matricula; null where there is no register."""
+    dim = mart["dim_proveedor"]
+    if "fecha_matricula" not in dim.columns:
+        return contracts.withColumn("fecha_matricula", F.lit(None).cast("date"))
+    return contracts.join(dim.where(F.col("fecha_matricula").isNotNull()).select("doc_proveedor_norm", "fecha_matricula"), "doc_proveedor_norm", "left")
+
+
+def with_additions(mart: Mart, contracts: DataFrame) -> DataFrame:
+    """Contracts of the older platform with the sum of their additions; the others, which have none, are not joined at all."""
+    none = F.lit(None).cast("double")
+    if "stg_secop1" not in mart:
+        return contracts.withColumn("added", none)
+    sums = keep_latest(mart["stg_secop1"], [":id"], "valor_total_de_adiciones").select(F.col("`:id`").alias("s_id"), lenient_double(F.col("valor_total_de_adiciones")).alias("added"))
+    old = F.coalesce(F.col("source") == "SECOP1", F.lit(False))
+    joined = contracts.where(old).join(sums, F.col("row_id") == F.col("s_id"), "left").drop("s_id")
+    return contracts.where(~old).withColumn("added", none).unionByName(joined)
+
+
+def with_window(mart: Mart, contracts: DataFrame) -> DataFrame:
+    """Contracts with the election window of their signature, if any."""
+    windows = mart["ref_ventanas"].select("window_id", F.col("tipo").alias("tipo_ventana"), "inicio", "fin")
+    return in_range(contracts, "fecha_firma", windows, "inicio", "fin").drop("inicio", "fin")
+
+
+# Flags that a row decides
+
+
+def rule01(p: Params) -> Rule:
     """Single bidder: competitive contracts whose process counts its bidders."""
-    rows = with_process(mart, mart["fct_contrato"].where("es_competitiva"), "num_oferentes_unicos", "num_respuestas")
-    rows = rows.where(F.col("p_num_oferentes_unicos").isNotNull())
-    return rows.select(contract_key(), (F.col("p_num_oferentes_unicos") == p.bidders).alias("fired"), F.col("p_num_oferentes_unicos").alias("num_oferentes_unicos"), F.col("p_num_respuestas").alias("num_respuestas"))
+    n = F.col("p_num_oferentes_unicos")
+    return Rule(F.col("es_competitiva") & n.isNotNull(), n == p.bidders, {"num_oferentes_unicos": n, "num_respuestas": F.col("p_num_respuestas")})
 
 
-def f02(mart: Mart, p: Params) -> DataFrame:
+def rule02(p: Params) -> Rule:
     """Express company: registered at most some days before the process was published. No register, no rows."""
-    dim = mart["dim_proveedor"]
-    if "fecha_matricula" not in dim.columns:
-        return mart["fct_contrato"].limit(0).select(contract_key(), F.lit(False).alias("fired"), F.lit(0).alias("dias_desde_matricula"))
-    registered = dim.where(F.col("fecha_matricula").isNotNull()).select("doc_proveedor_norm", "fecha_matricula")
-    rows = with_process(mart, mart["fct_contrato"], "fecha_publicacion").where(F.col("p_fecha_publicacion").isNotNull()).join(registered, "doc_proveedor_norm")
     days = F.datediff("p_fecha_publicacion", "fecha_matricula")
-    return rows.select(contract_key(), days.between(0, p.express_days).alias("fired"), days.alias("dias_desde_matricula"), "fecha_matricula", F.col("p_fecha_publicacion").alias("fecha_publicacion"))
+    return Rule(days.isNotNull(), days.between(0, p.express_days), {"dias_desde_matricula": days, "fecha_matricula": F.col("fecha_matricula"), "fecha_publicacion": F.col("p_fecha_publicacion")})
 
 
-def f03(mart: Mart, p: Params) -> DataFrame:
+def rule03(p: Params) -> Rule:
     """Excessive additions, in days or in money; each platform tells the added money in its own way."""
-    fct, none = mart["fct_contrato"], F.lit(None).cast("double")
-    new = with_process(mart, fct.where("source = 'SECOP2'"), "valor_adjudicacion", how="left").withColumn("added", none)
-    old = fct.where("source = 'SECOP1'").withColumn("p_valor_adjudicacion", none)
-    if "stg_secop1" in mart:
-        sums = keep_latest(mart["stg_secop1"], [":id"], "valor_total_de_adiciones").select(F.col("`:id`").alias("s_id"), lenient_double(F.col("valor_total_de_adiciones")).alias("added"))
-        old = old.join(sums, F.col("row_id") == F.col("s_id"), "left").drop("s_id")
-    else:
-        old = old.withColumn("added", none)
-    rows = new.unionByName(old)
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    by_time = yes(F.col("duracion_dias_inicial") > 0)
-    by_award = yes((F.col("source") == "SECOP2") & (F.col("p_valor_adjudicacion") > 0))
-    by_sum = yes((F.col("source") == "SECOP1") & F.col("added").isNotNull() & (F.col("valor_contrato") > 0))
+    by_time = _yes(F.col("duracion_dias_inicial") > 0)
+    by_award = _yes((F.col("source") == "SECOP2") & (F.col("p_valor_adjudicacion") > 0))
+    by_sum = _yes((F.col("source") == "SECOP1") & F.col("added").isNotNull() & (F.col("valor_contrato") > 0))
     money = F.when(by_award, ratio(F.col("valor_contrato"), F.col("p_valor_adjudicacion")) - 1).when(by_sum, ratio(F.col("added"), F.col("valor_contrato")))
-    in_time = by_time & yes(F.col("dias_adicionados") >= p.added_days_ratio * F.col("duracion_dias_inicial"))
-    in_money = yes(money >= p.added_money_ratio)
-    return rows.where(by_time | by_award | by_sum).select(
-        contract_key(), (in_time | in_money).alias("fired"), "source", "dias_adicionados", "duracion_dias_inicial", in_time.alias("f03_tiempo"), money.alias("ratio_adicion_dinero"), in_money.alias("f03_dinero"),
-        F.when(by_award, F.lit("secop2_join")).when(by_sum, F.lit("secop1_directo")).alias("fuente_dinero"),
-    )
+    in_time = by_time & _yes(F.col("dias_adicionados") >= p.added_days_ratio * F.col("duracion_dias_inicial"))
+    in_money = _yes(money >= p.added_money_ratio)
+    evidence = {"source": F.col("source"), "dias_adicionados": F.col("dias_adicionados"), "duracion_dias_inicial": F.col("duracion_dias_inicial"), "f03_tiempo": in_time, "ratio_adicion_dinero": money, "f03_dinero": in_money}
+    return Rule(by_time | by_award | by_sum, in_time | in_money, evidence | {"fuente_dinero": F.when(by_award, F.lit("secop2_join")).when(by_sum, F.lit("secop1_directo"))})
+
+
+def rule07(p: Params) -> Rule:
+    """Short bidding window, in calendar days; dates in the wrong order are not tested."""
+    floors = reduce(lambda rest, m: F.when(F.col("modalidad_norm") == m[0], F.lit(m[1])).otherwise(rest), p.floor_days.items(), F.lit(None).cast("int"))
+    days = F.datediff("p_fecha_recepcion_respuestas", "p_fecha_publicacion")
+    return Rule(F.col("es_competitiva") & floors.isNotNull() & (days >= 0), days < floors, {"modalidad_norm": F.col("modalidad_norm"), "dias_ventana": days, "piso_dias": floors})
+
+
+def rule08(p: Params) -> Rule:
+    """Copied price: the contract's value is that of the official estimate."""
+    off = F.abs(ratio(F.col("valor_contrato"), F.col("p_precio_base")) - 1)
+    return Rule(F.col("es_competitiva") & F.col("valor_contrato").isNotNull() & (F.col("p_precio_base") > 0), off <= p.price_tolerance, {"valor_contrato": F.col("valor_contrato"), "precio_base": F.col("p_precio_base"), "desviacion_pct": off})
+
+
+def rule09(p: Params) -> Rule:
+    """December rush."""
+    signed = F.col("fecha_firma")
+    return Rule(signed.isNotNull(), (F.month(signed) == p.rush_month) & (F.dayofmonth(signed) >= p.rush_day), {"fecha_firma": signed})
+
+
+def rule10(p: Params) -> Rule:
+    """Direct contracts signed in a window before an election."""
+    signed = F.col("fecha_firma")
+    return Rule((F.col("modalidad_norm") == p.direct) & signed.isNotNull(), F.col("window_id").isNotNull(), {"fecha_firma": signed, "window_id": F.col("window_id"), "tipo_ventana": F.col("tipo_ventana")})
+
+
+def rule14(p: Params) -> Rule:
+    """Round value."""
+    value = F.col("valor_contrato")
+    return Rule(value.isNotNull(), (value >= p.round_min) & is_multiple(value, p.round_unit), {"valor_contrato": value})
+
+
+ROW_RULES: dict[str, Callable[[Params], Rule]] = {"F01": rule01, "F02": rule02, "F03": rule03, "F07": rule07, "F08": rule08, "F09": rule09, "F10": rule10, "F14": rule14}
+PROCESS = ("num_oferentes_unicos", "num_respuestas", "fecha_publicacion", "fecha_recepcion_respuestas", "precio_base", "valor_adjudicacion")
+
+
+def f01(mart: Mart, p: Params) -> DataFrame:
+    return applied(with_process(mart, mart["fct_contrato"], "num_oferentes_unicos", "num_respuestas"), rule01(p))
+
+
+def f02(mart: Mart, p: Params) -> DataFrame:
+    return applied(with_registration(mart, with_process(mart, mart["fct_contrato"], "fecha_publicacion")), rule02(p))
+
+
+def f03(mart: Mart, p: Params) -> DataFrame:
+    return applied(with_additions(mart, with_process(mart, mart["fct_contrato"], "valor_adjudicacion")), rule03(p))
+
+
+def f07(mart: Mart, p: Params) -> DataFrame:
+    return applied(with_process(mart, mart["fct_contrato"], "fecha_publicacion", "fecha_recepcion_respuestas"), rule07(p))
+
+
+def f08(mart: Mart, p: Params) -> DataFrame:
+    return applied(with_process(mart, mart["fct_contrato"], "precio_base"), rule08(p))
+
+
+def f09(mart: Mart, p: Params) -> DataFrame:
+    return applied(mart["fct_contrato"], rule09(p))
+
+
+def f10(mart: Mart, p: Params) -> DataFrame:
+    return applied(with_window(mart, mart["fct_contrato"].where(F.col("modalidad_norm") == p.direct)), rule10(p))
+
+
+def f14(mart: Mart, p: Params) -> DataFrame:
+    return applied(mart["fct_contrato"], rule14(p))
+
+
+def row_flags(mart: Mart, p: Params, wanted: Sequence[str] = tuple(ROW_RULES), fired_only: bool = False) -> DataFrame:
+    """All flags that a row decides, in the long shape: contracts are read and joined with their process once for all of them."""
+    rows = with_window(mart, with_registration(mart, with_process(mart, with_additions(mart, mart["fct_contrato"]), *PROCESS)))
+    rules = {flag_id: ROW_RULES[flag_id](p) for flag_id in wanted}
+    tested = rows.withColumns({f"_on_{k}": r.applies for k, r in rules.items()} | {f"_fired_{k}": r.fires for k, r in rules.items()})
+    found = []
+    for k, rule in rules.items():
+        evidence = as_json(*[c.alias(name) for name, c in rule.evidence.items()])
+        own = F.struct(F.lit(k).alias("flag_id"), F.col(f"_fired_{k}").alias("fired"), (F.when(F.col(f"_fired_{k}"), evidence) if fired_only else evidence).alias("evidence_json"))
+        found.append(F.when(F.col(f"_on_{k}"), own))
+    return tested.select(contract_key(), F.explode(F.array(*found)).alias("x")).where(F.col("x").isNotNull()).select("key", "x.*")
+
+
+# Flags that need a contract's neighbours
 
 
 def f04(mart: Mart, p: Params) -> DataFrame:
@@ -109,44 +223,18 @@ def f06(mart: Mart, p: Params) -> DataFrame:
     c = F.col
     group = ["nit_entidad_norm", "unspsc_segmento"]
     rows = mart["fct_contrato"].where(c("es_competitiva") & keyed(c("nit_entidad_norm")) & keyed(c("doc_proveedor_norm")) & c("unspsc_segmento").isNotNull() & c("fecha_firma").isNotNull())
-    rows = buckets(rows.select("id_contrato", *group, "doc_proveedor_norm", "fecha_firma"), group, "fecha_firma", p.rotation_days)
+    rows = rows.select("id_contrato", *group, "doc_proveedor_norm", "fecha_firma")
+    first = rows.groupBy(*group).agg(F.min("fecha_firma").alias("first"))
+    bucketed = lambda df: buckets(df, group, "fecha_firma", p.rotation_days, first=first)
     keys = [*group, "bucket"]
-    wins = rows.groupBy(*keys, "doc_proveedor_norm").agg(F.count("*").alias("_wins"))
+    daily_wins = rows.groupBy(*group, "fecha_firma", "doc_proveedor_norm").agg(F.count("*").alias("_wins"))
+    wins = bucketed(daily_wins).groupBy(*keys, "doc_proveedor_norm").agg(F.sum("_wins").alias("_wins"))
     winners = wins.groupBy(*keys).agg(F.count("*").alias("n_ganadores_distintos"), F.min("_wins").alias("_least"))
-    moves = switches(rows, keys, "doc_proveedor_norm", "fecha_firma", "id_contrato")
+    moves = switches_between_days(bucketed(switches_within_days(rows, group, "doc_proveedor_norm", "fecha_firma", "id_contrato")), keys, "fecha_firma")
     stats = winners.join(moves, keys).withColumns({"participacion_minima_ganador": c("_least") / c("n"), "indice_alternancia": F.coalesce(F.try_divide("n_switches", c("n") - 1), F.lit(0.0))})
     fired = (c("n") >= p.rotation_min_contracts) & c("n_ganadores_distintos").between(*p.rotation_winners) & (c("participacion_minima_ganador") >= p.rotation_min_share) & (c("indice_alternancia") >= p.rotation_min_alternation)
     stats = stats.select(*keys, fired.alias("fired"), c("n").alias("n_procesos_grupo"), "n_ganadores_distintos", "participacion_minima_ganador", "indice_alternancia")
-    return rows.join(stats, keys).select(contract_key(), "fired", *group, c("bucket").alias("bucket_24m"), "doc_proveedor_norm", "n_procesos_grupo", "n_ganadores_distintos", "participacion_minima_ganador", "indice_alternancia")
-
-
-def f07(mart: Mart, p: Params) -> DataFrame:
-    """Short bidding window, in calendar days; dates in the wrong order are not tested."""
-    floors = reduce(lambda rest, m: F.when(F.col("modalidad_norm") == m[0], F.lit(m[1])).otherwise(rest), p.floor_days.items(), F.lit(None).cast("int"))
-    rows = mart["fct_contrato"].where(F.col("es_competitiva") & F.col("modalidad_norm").isin(*p.floor_days))
-    rows = with_process(mart, rows, "fecha_publicacion", "fecha_recepcion_respuestas")
-    rows = rows.withColumns({"dias_ventana": F.datediff("p_fecha_recepcion_respuestas", "p_fecha_publicacion"), "piso_dias": floors}).where(F.col("dias_ventana") >= 0)
-    return rows.select(contract_key(), (F.col("dias_ventana") < F.col("piso_dias")).alias("fired"), "modalidad_norm", "dias_ventana", "piso_dias")
-
-
-def f08(mart: Mart, p: Params) -> DataFrame:
-    """Copied price: the contract's value is that of the official estimate."""
-    rows = with_process(mart, mart["fct_contrato"].where("es_competitiva AND valor_contrato IS NOT NULL"), "precio_base").where(F.col("p_precio_base") > 0)
-    off = F.abs(ratio(F.col("valor_contrato"), F.col("p_precio_base")) - 1)
-    return rows.select(contract_key(), (off <= p.price_tolerance).alias("fired"), "valor_contrato", F.col("p_precio_base").alias("precio_base"), off.alias("desviacion_pct"))
-
-
-def f09(mart: Mart, p: Params) -> DataFrame:
-    """December rush."""
-    rows = mart["fct_contrato"].where(F.col("fecha_firma").isNotNull())
-    return rows.select(contract_key(), ((F.month("fecha_firma") == p.rush_month) & (F.dayofmonth("fecha_firma") >= p.rush_day)).alias("fired"), "fecha_firma")
-
-
-def f10(mart: Mart, p: Params) -> DataFrame:
-    """Direct contracts signed in a window before an election."""
-    rows = mart["fct_contrato"].where((F.col("modalidad_norm") == p.direct) & F.col("fecha_firma").isNotNull())
-    windows = mart["ref_ventanas"].select("window_id", "tipo", "inicio", "fin")
-    return in_range(rows, "fecha_firma", windows, "inicio", "fin").select(contract_key(), F.col("window_id").isNotNull().alias("fired"), "fecha_firma", "window_id", F.col("tipo").alias("tipo_ventana"))
+    return bucketed(rows).join(stats, keys).select(contract_key(), "fired", *group, c("bucket").alias("bucket_24m"), "doc_proveedor_norm", "n_procesos_grupo", "n_ganadores_distintos", "participacion_minima_ganador", "indice_alternancia")
 
 
 def f11(mart: Mart, p: Params) -> DataFrame:
@@ -190,35 +278,34 @@ def f12(mart: Mart, p: Params) -> DataFrame:
 
 def f13(mart: Mart, p: Params) -> DataFrame:
     """Vague object: very short, or as frequent as the most repeated tenth of contracts' objects."""
-    rows = mart["fct_contrato"].where(F.col("objeto_del_contrato").isNotNull()).select("id_contrato", F.length(F.trim("objeto_del_contrato")).alias("longitud_objeto"), F.sha2(object_key(F.col("objeto_del_contrato")).cast("binary"), 256).alias("_object"))
-    counts = rows.groupBy("_object").agg(F.count("*").alias("frecuencia_objeto"))
+    # two hashes of different seeds, 128 bits in all, stand for the text: what is shuffled does not grow with it
+    rows = mart["fct_contrato"].where(F.col("objeto_del_contrato").isNotNull()).select("id_contrato", F.length(F.trim("objeto_del_contrato")).alias("longitud_objeto"), object_key(F.col("objeto_del_contrato")).alias("_text"))
+    rows = rows.select("id_contrato", "longitud_objeto", F.xxhash64("_text").alias("_a"), F.xxhash64(F.lit(1), "_text").alias("_b"))
+    counts = rows.groupBy("_a", "_b").agg(F.count("*").alias("frecuencia_objeto"))
     # one row per distinct frequency, weighted by the rows that have it
     border = counts.groupBy("frecuencia_objeto").agg(F.sum("frecuencia_objeto").alias("_rows")).agg(F.percentile("frecuencia_objeto", p.vague_percentile, F.col("_rows")).alias("umbral_decil_superior"))
     short, often = F.col("longitud_objeto") < p.vague_length, F.col("frecuencia_objeto") >= F.col("umbral_decil_superior")
-    joined = threshold(rows.join(counts, "_object"), border)
+    joined = threshold(rows.join(counts, ["_a", "_b"]), border)
     return joined.select(contract_key(), (short | often).alias("fired"), "longitud_objeto", "frecuencia_objeto", "umbral_decil_superior", short.alias("objeto_muy_corto"), often.alias("objeto_repetitivo"))
 
 
-def f14(mart: Mart, p: Params) -> DataFrame:
-    """Round value."""
-    rows = mart["fct_contrato"].where(F.col("valor_contrato").isNotNull())
-    return rows.select(contract_key(), ((F.col("valor_contrato") >= p.round_min) & is_multiple(F.col("valor_contrato"), p.round_unit)).alias("fired"), "valor_contrato")
-
-
 FLAGS: dict[str, Callable[[Mart, Params], DataFrame]] = {f.__name__.upper(): f for f in (f01, f02, f03, f04, f05, f06, f07, f08, f09, f10, f11, f12, f13, f14)}
 
 
-def long_rows(flag_id: str, found: DataFrame) -> DataFrame:
-    """key, flag_id, fired, evidence_json."""
-    evidence = [c for c in found.columns if c not in ("key", "fired")]
-    return found.select("key", F.lit(flag_id).alias("flag_id"), "fired", as_json(*evidence).alias("evidence_json"))
+def long_rows(flag_id: str, found: DataFrame, fired_only: bool = False) -> DataFrame:
+    """key, flag_id, fired, evidence_json; fired_only: evidence of rows that fired, null for the others."""
+    evidence = as_json(*[c for c in found.columns if c not in ("key", "fired")])
+    return found.select("key", F.lit(flag_id).alias("flag_id"), "fired", (F.when(F.col("fired"), evidence) if fired_only else evidence).alias("evidence_json"))
 
 
-def run(mart: Mart, p: Params | None = None, level: str = "contract") -> DataFrame:
-    """All flags of a level in one long table."""
+def run(mart: Mart, p: Params | None = None, level: str = "contract", fired_only: bool = False) -> DataFrame:
+    """All flags of a level in one long table. fired_only: evidence only where a flag fired, which is all that scores need."""
     p = p or Params()
     own = [f for f, (_, of, _) in p.weights.items() if of == level and f in FLAGS]
-    return reduce(DataFrame.unionByName, [long_rows(f, FLAGS[f](mart, p)) for f in own])
+    by_row = [f for f in own if f in ROW_RULES]
+    parts = [row_flags(mart, p, by_row, fired_only)] if by_row else []
+    parts += [long_rows(f, FLAGS[f](mart, p), fired_only) for f in own if f not in ROW_RULES]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def summary(long: DataFrame, p: Params | None = None) -> DataFrame:

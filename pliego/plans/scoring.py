@@ -2,31 +2,39 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pliego.functions.casts import keyed
 from pliego.functions.evidence import fired_list
-from pliego.functions.numbers import combined, mean_of_parts, shrunk, tier, tier_order, weighted_mean, weighted_parts
+from pliego.functions.numbers import combined, mean_of_parts, ratio, shrunk, tier, tier_order, weighted_mean, weighted_parts
 from pliego.operators.dedup import keep_latest
 from pliego.params import Params
 from pliego.plans import flags
 from pliego.plans.marts import Mart
+from pliego.session import cut
 
 CONTRACT = ["id_contrato", "nit_entidad_norm", "nombre_entidad", "doc_proveedor_norm", "nombre_proveedor", "cod_dpto", "cod_mpio", "valor_contrato", "fecha_firma", "anio", "urlproceso", "source"]
 
 
 def per_key(long: DataFrame, p: Params, level: str) -> DataFrame:
-    """key, n_flags_aplicables, n_flags_disparados, score, flags_disparados from flag rows.
+    """key, n_flags_aplicables, n_flags_disparados, score, flags_disparados from flag rows, which are read twice (a written table).
 
-    A key's rows of one flag count once, as fired if any has; the evidence is that of a fired row, the largest as text.
+    A key's rows of one flag count once, as fired if any has; the evidence is that of a fired row, the largest as text. Flags are
+    folded as bits of two numbers, so that rows are combined before they are shuffled; only rows that fired are read for evidence.
     """
-    weights = long.sparkSession.createDataFrame([(k, int(w)) for k, (_, of, w) in p.weights.items() if of == level], "flag_id string, _w int")
-    fired_evidence = F.max(F.when(F.col("fired"), F.col("evidence_json")))
-    once = long.groupBy("key", "flag_id").agg(F.bool_or("fired").alias("fired"), F.coalesce(fired_evidence, F.max("evidence_json")).alias("evidence_json"))
-    once = once.join(F.broadcast(weights), "flag_id")  # one row a flag
-    score = F.sum(F.when(F.col("fired"), F.col("_w")).otherwise(0)) * 100.0 / F.sum("_w")
-    return once.groupBy("key").agg(F.count("*").alias("n_flags_aplicables"), F.count_if("fired").alias("n_flags_disparados"), score.alias("score"), fired_list(p).alias("flags_disparados"))
+    weights = {k: int(w) for k, (_, of, w) in p.weights.items() if of == level}
+    used = long.where(F.col("flag_id").isin(*weights))
+    bit = {k: 1 << i for i, k in enumerate(weights)}
+    own = F.create_map(*[F.lit(x) for pair in bit.items() for x in pair])[F.col("flag_id")]
+    once = used.groupBy("key").agg(F.bit_or(own).alias("_on"), F.bit_or(F.when(F.col("fired"), own).otherwise(0)).alias("_fired"))
+    total = lambda c: reduce(Column.__add__, [F.when(F.col(c).bitwiseAND(F.lit(bit[k])) != 0, F.lit(w)).otherwise(0) for k, w in weights.items()])
+    found = used.where("fired").groupBy("key", "flag_id").agg(F.max("evidence_json").alias("evidence_json"))
+    listed = found.groupBy("key").agg(fired_list(p).alias("flags_disparados"))
+    scored = once.select("key", F.bit_count("_on").cast("long").alias("n_flags_aplicables"), F.bit_count("_fired").cast("long").alias("n_flags_disparados"), ratio(total("_fired") * 100.0, total("_on")).alias("score"))
+    return scored.join(listed, "key", "left")
 
 
 def _with_flags(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
@@ -108,11 +116,14 @@ def tier_counts(scores: DataFrame, p: Params | None = None) -> DataFrame:
     return scores.groupBy("tier").agg(F.count("*").alias("n")).withColumn("tier_order", tier_order(F.col("tier"), p)).orderBy(F.col("tier_order").asc_nulls_last())
 
 
-def run(mart: Mart, p: Params | None = None) -> Mart:
-    """The mart with flag and score tables."""
+def run(mart: Mart, p: Params | None = None, fired_only: bool = False) -> Mart:
+    """The mart with flag and score tables. Flags and contract scores, which other tables build on, are computed once and written.
+
+    fired_only: flag tables hold evidence only where a flag fired.
+    """
     p = p or Params()
-    flag_contrato, flag_entidad = flags.run(mart, p, "contract"), flags.run(mart, p, "entity")
-    contract = contract_scores(mart, flag_contrato, p)
+    flag_contrato, flag_entidad = (cut(flags.run(mart, p, level, fired_only)) for level in ("contract", "entity"))
+    contract = cut(contract_scores(mart, flag_contrato, p))
     return mart | {
         "flag_contrato": flag_contrato,
         "flag_entidad": flag_entidad,

@@ -11,12 +11,13 @@ from pliego.plans import backtest, enrichment, exports, flags, marts, quality, s
 from pliego.plans.marts import Mart
 from pliego.queries.oracle import rotation, splitting, sql, vague
 from pliego.queries.registry import query, rounded
+from pliego.session import cut
 
 P = testdata.PARAMS
 
 
 def scored(spark: SparkSession, sf_dir: str) -> Mart:
-    return scoring.run(testdata.mart(spark, sf_dir), P)
+    return scoring.run(testdata.mart(spark, sf_dir, written=True), P, fired_only=True)
 
 
 # Flags
@@ -100,7 +101,7 @@ def f14_round_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("SELECT f.flag_id, count(*) AS population, count(*) FILTER (WHERE fired) AS fired, round(count(*) FILTER (WHERE fired) * 100.0 / count(*), 6) AS rate_pct FROM (SELECT * FROM flag_contrato UNION ALL SELECT * FROM flag_entidad) f GROUP BY 1"))
 def flag_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = testdata.mart(spark, sf_dir)
+    m = testdata.mart(spark, sf_dir, written=True)
     long = flags.run(m, P, "contract").unionByName(flags.run(m, P, "entity"))
     return rounded(flags.summary(long, P).select("flag_id", "population", "fired", "rate_pct"), "rate_pct")
 
@@ -112,8 +113,8 @@ _SCORED = ["id_contrato", "valor_contrato", "fecha_firma", "anio", "n_flags_apli
 
 @query(sql(f"SELECT {', '.join(_SCORED)} FROM (SELECT * REPLACE (round(score, 6) AS score) FROM contrato_score)"))
 def score_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = testdata.mart(spark, sf_dir)
-    return rounded(scoring.contract_scores(m, flags.run(m, P), P).select(*_SCORED), "score")
+    m = testdata.mart(spark, sf_dir, written=True)
+    return rounded(scoring.contract_scores(m, cut(flags.run(m, P, fired_only=True)), P).select(*_SCORED), "score")
 
 
 @query(sql("SELECT id_contrato, flag_id, peso FROM (SELECT key AS id_contrato, flag_id, bool_or(fired) AS fired FROM flag_contrato GROUP BY ALL) JOIN (VALUES " + ", ".join(f"('{k}', {w})" for k, (_, _, w) in P.weights.items()) + ") AS w(flag_id, peso) USING (flag_id) WHERE fired"))

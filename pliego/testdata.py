@@ -9,6 +9,7 @@ from pliego.functions.text import name_key
 from pliego.params import Params
 from pliego.plans import marts
 from pliego.plans.marts import Mart
+from pliego.session import cut
 
 #: Thresholds at which the flags fire on part of these tables.
 PARAMS = Params(price_tolerance=0.05, split_wages=150.0, round_min=50_000.0, round_unit=100)
@@ -103,8 +104,9 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(place.alias("departamento"), F.get(segments, (F.col("event_id") % 4).cast("int")).alias("municipio"), (F.lit(1990) + F.col("event_id") % 12).cast("int").alias("anio"))
 
 
-def mart(spark: SparkSession, sf_dir: str) -> Mart:
-    fct = contracts(spark, sf_dir)
+def mart(spark: SparkSession, sf_dir: str, written: bool = False) -> Mart:
+    """The mart over sf_dir. written: contracts, a join of four tables, are built once and written, as many flags read them."""
+    fct = cut(contracts(spark, sf_dir)) if written else contracts(spark, sf_dir)
     places = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment").distinct().join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     windows = spark.createDataFrame(WINDOWS, "window_id string, tipo string, inicio string, fin string")
     suppliers = marts.suppliers(fct)
