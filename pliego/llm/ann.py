@@ -89,7 +89,8 @@ def scan_list(queries: pa.Table, rows: pa.Table, k: int, turn: np.ndarray, eps:
                 d = s.stop
                 stay = part * (dim / d) <= limit * (1 + eps / np.sqrt(d)) ** 2 if d < dim else part <= limit + 1e-12
                 alive, part = alive[stay], part[stay]
-            score = (x[alive] @ q[i]) / (norm[alive] * np.sqrt(q[i] @ q[i]))
+            # sums row by row, so that equal rows score equal to the last bit wherever they lie
+            score = (x[alive] * q[i]).sum(axis=1) / (norm[alive] * np.sqrt(np.square(q[i]).sum()))
             best = vectors.best_of(score, ids[alive], k)
             out[0].append(np.full(len(best), q_id))
             out[1].append(ids[alive][best])
