@@ -91,8 +91,8 @@ def test_links_of_chains_and_crowds(spark):
     crowd = [centre ^ (1 << a) ^ (1 << b) for a in range(0, 40) for b in range(a)]  # hundreds within four bits of each other
     values = sorted({*(v for _ in range(20) for v in chain(rng, 12)), *crowd, *(rng.getrandbits(64) for _ in range(400)), 0, (1 << 64) - 1})
     nodes = spark.createDataFrame([(signed(v),) for v in values], "fingerprint long").repartition(4)
-    found = simhash.components(simhash.links(nodes, tile=64))
-    got = {n: r for n, r in found.collect()}
+    got, fine = ({n: r for n, r in simhash.components(simhash.links(nodes, tile=64, pieces=p)).collect()} for p in (4, 8))
+    assert got == fine
     wanted = slow_components([(i, v) for i, v in enumerate(values)])
     groups = {}
     for (i, _, c), v in zip(wanted, values, strict=True):
@@ -108,5 +108,7 @@ def test_cells_skip_only_far_pairs():
         b = a
         for bit in rng.choice(64, 3, replace=False):
             b ^= 1 << int(bit)
-        counts = [[(v >> 16 * i & 0xFFFF).bit_count() for i in range(4)] for v in (a, b)]
-        assert sum(abs(x - y) for x, y in zip(*counts, strict=True)) <= simhash.RADIUS
+        for width in (16, 8):
+            counts = [[(v >> width * i & (1 << width) - 1).bit_count() for i in range(64 // width)] for v in (a, b)]
+            assert sum(abs(x - y) for x, y in zip(*counts, strict=True)) <= simhash.RADIUS
+    assert (len(simhash.shifts(3, 4)), len(simhash.shifts(3, 8))) == (65, 417)
