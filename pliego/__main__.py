@@ -1,4 +1,11 @@
-"""python -m pliego flags|score|backtest|export MART OUT: a step over a saved mart, its tables written below OUT."""
+"""python -m pliego STEP IN OUT
+
+marts    raw part files below IN (s1, s2, divipola, l1 to l4; secop1_slices/*/*, facts if there) to a mart below OUT
+enrich   the mart IN with registration dates from the registers below IN (e1_ibague, e1_santarosa) to a mart below OUT
+flags, score, backtest   tables over the mart IN below OUT
+export   published lists over the mart IN below OUT
+report   quality of the mart IN, as Markdown at OUT
+"""
 
 from __future__ import annotations
 
@@ -6,24 +13,49 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from pliego.plans import backtest, exports, marts, scoring
+from pliego.plans import backtest, enrichment, exports, marts, quality, scoring
+from pliego.plans.marts import Mart
 from pliego.schemas import SCHEMAS
+from pliego.sinks.artifacts import markdown, write_text
+from pliego.sources import files
+
+TABLES = [t for t in SCHEMAS if t not in ("flags", "quarantine", "stg_secop1")]
+WRITTEN = {"flags": ("flag_contrato", "flag_entidad"), "score": ("flag_contrato", "flag_entidad", "contrato_score", "entidad_score", "municipio_score", "proveedor_score")}
+
+
+def build(spark: SparkSession, raw: str) -> Mart:
+    found = {k: files.parts(spark, f"{raw}/{k}", with_file=k in ("s1", "s2")) for k in ("s1", "s2", "divipola", "l1", "l2", "l3", "l4")}
+    if files.exists(spark, f"{raw}/facts"):
+        found["facts"] = files.parts(spark, f"{raw}/facts")
+    return marts.build(spark, found, files.datasets(spark, f"{raw}/secop1_slices"))
+
+
+def opened(spark: SparkSession, path: str) -> Mart:
+    return marts.opened(spark, path, TABLES + ["stg_secop1"] * files.exists(spark, f"{path}/stg_secop1"))
 
 
-def main() -> None:
-    cli = argparse.ArgumentParser(prog="pliego", description=__doc__)
-    cli.add_argument("step", choices=["flags", "score", "backtest", "export"])
-    cli.add_argument("mart")
-    cli.add_argument("out")
-    a = cli.parse_args()
+def main(argv: list[str] | None = None) -> None:
+    cli = argparse.ArgumentParser(prog="pliego", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    cli.add_argument("step", choices=["marts", "enrich", "flags", "score", "backtest", "export", "report"])
+    cli.add_argument("source", metavar="IN")
+    cli.add_argument("out", metavar="OUT")
+    a = cli.parse_args(argv)
     spark = SparkSession.builder.appName(f"pliego {a.step}").getOrCreate()
-    names = [t for t in SCHEMAS if t not in ("flags", "quarantine", "stg_secop1")]
-    mart = scoring.run(marts.opened(spark, a.mart, names))
-    if a.step == "export":
-        exports.run(mart, a.out)
+    if a.step == "marts":
+        marts.saved(build(spark, a.source), a.out)
         return
-    found = backtest.run(mart) if a.step == "backtest" else {k: v for k, v in mart.items() if k.startswith("flag_" if a.step == "flags" else ("flag_", "contrato_score", "entidad_score", "municipio_score", "proveedor_score"))}
-    marts.saved(found, a.out)
+    mart = opened(spark, a.source)
+    if a.step == "enrich":
+        found = enrichment.resolved(*[files.parts(spark, f"{a.source}/{k}") for k in ("e1_ibague", "e1_santarosa")])
+        marts.saved(mart | {"dim_proveedor": enrichment.enriched(mart["dim_proveedor"], found)}, a.out)
+    elif a.step == "report":
+        write_text(spark, "\n".join(markdown(title, df) for title, df in quality.report(mart).items()), a.out)
+    else:
+        mart = scoring.run(mart)
+        if a.step == "export":
+            exports.run(mart, a.out)
+        else:
+            marts.saved(backtest.run(mart) if a.step == "backtest" else {k: mart[k] for k in WRITTEN[a.step]}, a.out)
 
 
 if __name__ == "__main__":

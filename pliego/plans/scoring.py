@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pliego.functions.casts import keyed
 from pliego.functions.evidence import fired_list
 from pliego.functions.numbers import combined, mean_of_parts, ratio, shrunk, tier, tier_order, weighted_mean, weighted_parts
 from pliego.operators.dedup import keep_latest
+from pliego.operators.ranking import percentiles
 from pliego.params import Params
 from pliego.plans import flags
 from pliego.plans.marts import Mart
@@ -116,6 +118,11 @@ def tier_counts(scores: DataFrame, p: Params | None = None) -> DataFrame:
     return scores.groupBy("tier").agg(F.count("*").alias("n")).withColumn("tier_order", tier_order(F.col("tier"), p)).orderBy(F.col("tier_order").asc_nulls_last())
 
 
+def distribution(scores: DataFrame, shares: Sequence[float] = (0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 1.0)) -> DataFrame:
+    """(share, value): exact percentiles of the scores."""
+    return percentiles(scores, "score", shares)
+
+
 def run(mart: Mart, p: Params | None = None, fired_only: bool = False) -> Mart:
     """The mart with flag and score tables. Flags and contract scores, which other tables build on, are computed once and written.
 

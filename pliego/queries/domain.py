@@ -149,6 +149,14 @@ def tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.tier_counts(scored(spark, sf_dir)["contrato_score"], P)
 
 
+_shares = (0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 1.0)
+
+
+@query(sql(" UNION ALL ".join(f"SELECT CAST({q} AS DOUBLE) AS share, round(percentile_cont({q}) WITHIN GROUP (ORDER BY score), 6) AS value FROM contrato_score" for q in _shares)))
+def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(scoring.distribution(scored(spark, sf_dir)["contrato_score"], _shares), "value")
+
+
 # Outcomes
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pliego.functions import casts, evidence, numbers, text
+from pliego.functions.sql import register
 from pliego.params import Params
 from pliego.queries.registry import query
 from pliego.sources.links import absolute
@@ -53,15 +54,28 @@ def company_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 _doc = "CASE c_custkey % 6 WHEN 0 THEN '900.' || lpad(CAST(c_custkey AS VARCHAR), 6, '1') || '-7' WHEN 1 THEN '80000' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') WHEN 2 THEN CAST(c_custkey AS VARCHAR) WHEN 3 THEN '10' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') WHEN 4 THEN '55' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') ELSE 'n/a' END"
 
 
-@query(f"SELECT c_custkey, nullif(n, '') AS doc_norm, nullif(CASE WHEN length(n) = 10 AND left(n, 1) IN ('8', '9') THEN left(n, 9) ELSE n END, '') AS nit_base, CASE WHEN n = '' THEN NULL WHEN length(n) <= 8 THEN true WHEN length(n) IN (9, 10) AND left(n, 1) IN ('8', '9') THEN false WHEN length(n) = 10 AND left(n, 1) = '1' THEN true END AS natural_person FROM (SELECT c_custkey, regexp_replace({_doc}, '[^0-9]', '', 'g') AS n FROM customer)")
-def documents_and_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+def document_texts() -> Column:
+    """Customers' keys as document numbers in several spellings."""
     key = F.col("c_custkey").cast("string")
     kind = F.col("c_custkey") % 6
-    raw = F.when(kind == 0, F.concat(F.lit("900."), F.lpad(key, 6, "1"), F.lit("-7"))).when(kind == 1, F.concat(F.lit("80000"), F.lpad(key, 4, "0"))).when(kind == 2, key).when(kind == 3, F.concat(F.lit("10"), F.lpad(key, 8, "0"))).when(kind == 4, F.concat(F.lit("55"), F.lpad(key, 9, "0"))).otherwise("n/a")
+    return F.when(kind == 0, F.concat(F.lit("900."), F.lpad(key, 6, "1"), F.lit("-7"))).when(kind == 1, F.concat(F.lit("80000"), F.lpad(key, 4, "0"))).when(kind == 2, key).when(kind == 3, F.concat(F.lit("10"), F.lpad(key, 8, "0"))).when(kind == 4, F.concat(F.lit("55"), F.lpad(key, 9, "0"))).otherwise("n/a")
+
+
+@query(f"SELECT c_custkey, nullif(n, '') AS doc_norm, nullif(CASE WHEN length(n) = 10 AND left(n, 1) IN ('8', '9') THEN left(n, 9) ELSE n END, '') AS nit_base, CASE WHEN n = '' THEN NULL WHEN length(n) <= 8 THEN true WHEN length(n) IN (9, 10) AND left(n, 1) IN ('8', '9') THEN false WHEN length(n) = 10 AND left(n, 1) = '1' THEN true END AS natural_person FROM (SELECT c_custkey, regexp_replace({_doc}, '[^0-9]', '', 'g') AS n FROM customer)")
+def documents_and_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = document_texts()
     rows = table(spark, sf_dir, "customer").select("c_custkey", text.document(raw).alias("doc"))
     return rows.select("c_custkey", "doc.doc_norm", "doc.nit_base", text.natural_person(F.coalesce("doc.doc_norm", F.lit(""))).alias("natural_person"))
 
 
+@query(f"SELECT c_custkey, nullif(CASE WHEN length(n) = 10 AND left(n, 1) IN ('8', '9') THEN left(n, 9) ELSE n END, '') AS base FROM (SELECT c_custkey, regexp_replace({_doc}, '[^0-9]', '', 'g') AS n FROM customer)")
+def sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base number through a function declared in SQL."""
+    register(spark)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", text.digits(document_texts()).alias("n"))
+    return rows.select("c_custkey", F.expr("nit_base(n)").alias("base"))
+
+
 @query("SELECT p_partkey, TRY_CAST(left(CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS VARCHAR) || '4321' WHEN p_partkey % 3 = 1 THEN CAST(p_size + 40 AS VARCHAR) || '99' ELSE 'x' END, 2) AS INTEGER) AS segment, CASE WHEN length(CAST(p_size AS VARCHAR)) < 2 THEN lpad(CAST(p_size AS VARCHAR), 2, '0') ELSE CAST(p_size AS VARCHAR) END AS padded, CAST(round_even(p_retailprice, 0) AS BIGINT) % 10 = 0 AS is_round, round(abs(p_retailprice / nullif(p_size - 7, 0) - 1), 6) AS deviation FROM part")
 def codes_and_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, key = F.col("p_size"), F.col("p_partkey") % 3

@@ -56,6 +56,11 @@ def datasets(spark: SparkSession, root: str, pattern: str = "*/*") -> list[DataF
     return frames
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where))
+
+
 def columns_like(columns: Sequence[str], wanted: str, prefix: int = 12) -> str | None:
     """The column of that name, else the first that shares its first `prefix` characters."""
     return wanted if wanted in columns else next((c for c in columns if c[:prefix] == wanted[:prefix]), None)
