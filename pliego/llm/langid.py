@@ -6,7 +6,7 @@ softmax are trained together by stochastic gradient descent in numpy, on a bound
 linear, one table of gram scores per language is all that prediction needs.
 
 Calibration: a temperature is chosen on labelled rows kept out of training, and the rejection threshold there so that at most one
-in a thousand of them is rejected.
+in a thousand of them is rejected, and none whose probability is UNSURE or more: a text half in each of two languages stays.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ BUCKETS = 1 << 16
 WIDTH = 16
 EPOCHS = 4
 REJECTED = 0.001
+UNSURE = 0.4
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -93,7 +94,7 @@ def train(texts: list[str], labels: list[str], width: int = WIDTH, epochs: int =
         loss = lambda t: -np.log(np.maximum(softmax(raw / t)[np.arange(len(truth)), truth], 1e-12)).mean()
         model.temperature = float(min(np.geomspace(0.05, 5, 40), key=loss))
         top = np.sort(softmax(raw / model.temperature).max(axis=1))
-        model.threshold = float(min(0.5, top[int(rejected * len(top))]))
+        model.threshold = float(min(UNSURE, top[int(rejected * len(top))]))
     return model
 
 

@@ -48,7 +48,7 @@ def test_rejection_is_calibrated():
     texts = [f"{w} {w}x{i} {w}y {i}" for i in range(300) for w in ("alpha", "bravo", "carlo")]
     model = langid.train(texts, ["a", "b", "c"] * 300)
     assert [langid.score(model, [t])[0][0] for t in ("alpha alphax3", "bravo bravoy", "carlo")] == ["a", "b", "c"]
-    assert 0 < model.threshold <= 0.5 and model.temperature > 0
+    assert 0 < model.threshold <= langid.UNSURE and model.temperature > 0
 
 
 def test_toxicity_of_held_out_documents(spark):
