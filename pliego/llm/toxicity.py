@@ -31,6 +31,7 @@ BEGINNINGS = (4, 5, 6, 7, 8)
 TIMES = (2, 3, 5)
 SEEN = 3
 SIGNIFICANT = 15.0
+KEPT = 0.9
 
 
 @dataclass
@@ -92,8 +93,11 @@ def logistic(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-3, toxic_weight: float = 3.0, seed: int = 1) -> Model:
-    """Rows with label 1 weigh toxic_weight times those with 0, as they are few."""
+def train(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-3, toxic_weight: float = 3.0, kept: float = KEPT, seed: int = 1) -> Model:
+    """Rows with label 1 weigh toxic_weight times those with 0, as they are few.
+
+    Every visit of a row sees only a share `kept` of its terms, drawn anew, so that each telling term learns to stand alone.
+    """
     rng = np.random.default_rng(seed)
     seen, statistic = association(rows, labels)
     used = (seen >= SEEN) & (statistic > SIGNIFICANT)
@@ -102,7 +106,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, ep
     w_sum, v_sum = np.full(BUCKETS, 1e-2), np.full((BUCKETS, factors), 1e-2)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            ids = rows[i]
+            ids = rows[i][rng.random(len(rows[i])) < kept]
             own = v[ids]
             total = own.sum(axis=0)
             g = logistic(base + w[ids].sum() + 0.5 * (total @ total - np.square(own).sum())) - labels[i]
