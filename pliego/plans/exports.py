@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pliego.functions.casts import keyed
 from pliego.functions.evidence import parsed
 from pliego.functions.numbers import weighted_mean
 from pliego.functions.text import padded

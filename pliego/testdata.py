@@ -105,8 +105,9 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mart(spark: SparkSession, sf_dir: str, written: bool = False) -> Mart:
-    """The mart over sf_dir. written: contracts, a join of four tables, are built once and written, as many flags read them."""
-    fct = cut(contracts(spark, sf_dir)) if written else contracts(spark, sf_dir)
+    """The mart over sf_dir. written: facts and dimensions, which many flags and scores read, are built once and written."""
+    keep = cut if written else lambda df: df
+    fct = keep(contracts(spark, sf_dir))
     places = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment").distinct().join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     windows = spark.createDataFrame(WINDOWS, "window_id string, tipo string, inicio string, fin string")
     suppliers = marts.suppliers(fct)
@@ -115,8 +116,8 @@ def mart(spark: SparkSession, sf_dir: str, written: bool = False) -> Mart:
         "fct_contrato": fct,
         "fct_proceso": processes(spark, sf_dir),
         "stg_secop1": fct.where("source = 'SECOP1'").select(F.col("row_id").alias(":id"), (F.col("dias_adicionados") * 1000).cast("string").alias("valor_total_de_adiciones")),
-        "dim_entidad": marts.entities(fct),
-        "dim_proveedor": suppliers.withColumn("fecha_matricula", registered),
+        "dim_entidad": keep(marts.entities(fct)),
+        "dim_proveedor": keep(suppliers.withColumn("fecha_matricula", registered)),
         "sanciones": sanctions(spark, sf_dir),
         "divipola": places.select(F.col("c_nationkey").cast("string").alias("cod_dpto"), F.col("n_name").alias("dpto"), F.col("c_mktsegment").alias("cod_mpio"), F.col("c_mktsegment").alias("municipio"), name_key(F.col("n_name")).alias("dpto_norm"), name_key(F.col("c_mktsegment")).alias("mpio_norm")),
         "ref_smmlv": spark.range(1990, 2006).select(F.col("id").cast("int").alias("year"), F.lit(1000).cast("long").alias("value_cop")),
