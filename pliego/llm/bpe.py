@@ -41,16 +41,16 @@ def cut(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """key -> make(key), remembered for MEMO short keys at most."""
+    """key -> make(key), remembered for `most` short keys at most."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key):
         value = self.make(key)
         if len(key) <= MEMO_CHARS:
-            if len(self) >= MEMO:
+            if len(self) >= self.most:
                 self.clear()
             self[key] = value
         return value
@@ -59,9 +59,9 @@ class Memo(dict):
 class Codec:
     """Ids of a text as little-endian uint32 bytes."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int = MEMO):
         self.encode_part = encode
-        self.after_space = Memo(lambda part: array("I", encode(" " + part)).tobytes())
+        self.after_space = Memo(lambda part: array("I", encode(" " + part)).tobytes(), most)
 
     def encode(self, text: str) -> bytes:
         first, *rest = cut(text)

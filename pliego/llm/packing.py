@@ -36,6 +36,7 @@ SIZE = 1024
 GROUPS = 48
 SMALL = (1 / 2, 1 / 3, 1 / 5)
 SALTS = 64
+MEMO = 300_000
 
 PLAIN = re.compile("[\\n\\t -~\u00a1-\u024f]*\\Z")
 
@@ -247,7 +248,7 @@ class Ids:
         chars = byte_characters()
         ranks = {bytes(chars[c] for c in token): i for token, i in vocabulary.items()}
         self.fast = tiktoken.Encoding("vocabulary", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.codec = bpe.Codec(self.part)
+        self.codec = bpe.Codec(self.part, MEMO)
 
     def part(self, text: str) -> list[int]:
         if PLAIN.match(text):
