@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKENIZERS = "/opt/tokenizers"
+from pliego.session import cut as written
+
+__all__ = ["fold", "sample", "table", "tokenizer_path", "written"]
 
 
 def tokenizer_path(name: str) -> str:
-    """Place of a public tokenizer's file; the package that ships the files knows it, else the documented folder."""
-    try:
-        import public_tokenizers
-    except ImportError:
-        return f"{TOKENIZERS}/{name}"
+    """Place of a public tokenizer's file."""
     return public_tokenizers.path(name)
 
 
@@ -24,28 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: it cuts lineage and outlives any executor.
-
-    The table goes when the session's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/pliego-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
