@@ -6,7 +6,12 @@ softmax are trained together by stochastic gradient descent in numpy, on a bound
 linear, one table of gram scores per language is all that prediction needs.
 
 Calibration: a temperature is chosen on labelled rows kept out of training, and the rejection threshold there so that at most one
-in a thousand of them is rejected, and none whose probability is UNSURE or more: a text half in each of two languages stays.
+in a thousand of them is rejected, and none whose probability is UNSURE or more: a text half in each of two languages stays. As held-out
+rows may all be right, the temperature fits their labels only up to the share of errors that so many rows can't exclude.
+
+A probability says nothing about languages that were never learned. For those the share of a text's grams that training has seen is
+taken: rejected is what lies below a point a quarter of the way from the lowest held-out row to the typical held-out row of a language
+left out, each language in turn, or below the lowest held-out row if that is less. No labelled held-out row is rejected for its share.
 """
 
 from __future__ import annotations
@@ -41,6 +46,8 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    seen: np.ndarray | None = None  # BUCKETS, whether in training
+    least_seen: float = 0.0
 
 
 def letters(text: str) -> bytes:
@@ -88,13 +95,27 @@ def train(texts: list[str], labels: list[str], width: int = WIDTH, epochs: int =
             bias -= 0.1 * step * wrong
             table[ids] -= step * 8 * share[:, None] * back
     model = Model(languages, (table @ weights).astype(np.float32), bias)
+    by_language = np.zeros((len(languages), BUCKETS), bool)
+    for i in used:
+        by_language[rows[i][2], rows[i][0]] = True
+    model.seen = by_language.any(axis=0)
     if len(held):
         raw = np.array([c / c.sum() @ model.scores[g] + bias for g, c, _ in (rows[i] for i in held)])
         truth = np.array([rows[i][2] for i in held])
-        loss = lambda t: -np.log(np.maximum(softmax(raw / t)[np.arange(len(truth)), truth], 1e-12)).mean()
+        # Platt's targets: one error more than was met, as wrong as all other languages together
+        doubt = 1 / (len(held) + 2)
+        target = np.full(raw.shape, doubt / max(1, len(languages) - 1))
+        target[np.arange(len(truth)), truth] = 1 - doubt
+        loss = lambda t: -(target * np.log(np.maximum(softmax(raw / t), 1e-300))).sum(axis=1).mean()
         model.temperature = float(min(np.geomspace(0.05, 5, 40), key=loss))
         top = np.sort(softmax(raw / model.temperature).max(axis=1))
         model.threshold = float(min(UNSURE, top[int(rejected * len(top))]))
+        share = lambda i, known: float(rows[i][1] @ known[rows[i][0]] / rows[i][1].sum())
+        own = min(share(i, model.seen) for i in held)
+        others = [np.delete(by_language, k, axis=0).any(axis=0) for k in range(len(languages))]
+        # with one language there is none to leave out, and chance stands for it
+        strange = float(np.median([share(i, others[rows[i][2]]) for i in held])) if len(languages) > 1 else float(model.seen.mean())
+        model.least_seen = min(own, (3 * own + strange) / 4)
     return model
 
 
@@ -110,8 +131,13 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
 
 def score(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Language and calibrated probability of each text; UNKNOWN and 0 where there is no letter."""
+    return _read(model, texts)[:2]
+
+
+def _read(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """As score, and the share of each text's grams that training has seen; 1 where there is no gram."""
     names = [*model.languages, UNKNOWN]
-    sure = np.zeros(len(texts))
+    sure, share = np.zeros(len(texts)), np.ones(len(texts))
     which = np.full(len(texts), len(model.languages))
     known = [i for i, t in enumerate(texts) if t and _LETTER.search(t) and model.languages]
     data = [letters(texts[i]) for i in known]
@@ -120,17 +146,18 @@ def score(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]
         if len(d) > 3:
             three, four = grams(d)
             z[k] += (model.scores[three].sum(axis=0) + model.scores[four].sum(axis=0)) / (len(three) + len(four))
+            share[known[k]] = (np.count_nonzero(model.seen[three]) + np.count_nonzero(model.seen[four])) / (len(three) + len(four))
     if known:
         p = softmax(z / model.temperature)
         which[known], sure[known] = p.argmax(axis=1), p.max(axis=1)
-    return [names[i] for i in which], sure
+    return [names[i] for i in which], sure, share
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, lang_pred, score and rejected of every whole text, one row for each row of docs.
 
     A null text or one without a letter is UNKNOWN with score 0, and rejected; so is a text whose score is below the model's
-    threshold, which keeps its most likely language. Null and repeated ids stay; other columns are left out.
+    threshold, or too few of whose grams were seen in training, which keeps its most likely language. Null and repeated ids stay; other columns are left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -145,8 +172,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def judged(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    lang, sure = score(model, texts)
-    return lang, sure, (np.array(lang, dtype=object) == UNKNOWN) | (sure < model.threshold)
+    lang, sure, share = _read(model, texts)
+    return lang, sure, (np.array(lang, dtype=object) == UNKNOWN) | (sure < model.threshold) | (share < model.least_seen)
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -51,6 +51,22 @@ def test_rejection_is_calibrated():
     assert 0 < model.threshold <= langid.UNSURE and model.temperature > 0
 
 
+def test_unlearned_languages_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("crc32(CAST(doc_id AS STRING)) % 4 != 2 AND lang IS NOT NULL")
+    model = langid.learn(docs)
+    strange = ["Litwo, ojczyzno moja, ty jesteś jak zdrowie, ile cię trzeba cenić", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan", "Съешь же ещё этих мягких французских булок", "すべての人間は生まれながらにして自由"]
+    assert langid.judged(model, strange)[2].all()
+    assert langid.judged(model, [r["text"] for r in docs.collect()])[2].mean() <= 0.002
+    for lang in model.languages:
+        left = langid.learn(docs.where(f"lang != '{lang}'"))
+        assert langid.judged(left, [r["text"] for r in docs.where(f"lang = '{lang}'").collect()])[2].mean() > 0.5, lang
+
+
+def test_temperature_is_inside_its_grid():
+    texts = [f"{w} {w}x{i} {w}y {i}" for i in range(300) for w in ("alpha", "bravo", "carlo")]
+    assert 0.051 < langid.train(texts, ["a", "b", "c"] * 300).temperature < 4.9
+
+
 def test_toxicity_of_held_out_documents(spark):
     toxic = labels_of(spark, "toxic")
     rows = queries.op8_toxicity(spark, SF).collect()
