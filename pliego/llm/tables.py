@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: reading, cutting lineage, held-out folds."""
+"""What the operators of this subpackage share: reading, cutting lineage, held-out folds, bounded samples."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pliego.operators.joins import small
 from pliego.session import cut as written
 
-__all__ = ["fold", "sample", "table", "tokenizer_path", "written"]
+__all__ = ["drawn", "fold", "sample", "small", "table", "tokenizer_path", "written"]
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,3 +29,15 @@ def fold(id_col: str, folds: int) -> Column:
 def sample(df: DataFrame, by: str, size: int) -> DataFrame:
     """size rows, the same ones whatever the partitioning: those whose id hashes lowest. A bounded top-k, never a whole sort."""
     return df.orderBy(F.xxhash64(F.col(by), F.lit(7)), by).limit(size)
+
+
+def drawn(df: DataFrame, keys: DataFrame, by: str, size: int) -> DataFrame:
+    """The rows of df whose `by` is among keys, one row for each: that whose other columns hash lowest. At most `size` rows.
+
+    keys: distinct values, `size` at most. However often an id is repeated, it gives one row.
+    """
+    rest = [c for c in df.columns if c != by]
+    found = df.join(F.broadcast(keys.select(by)), by)  # size rows at most
+    one = found.groupBy(by).agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_row"))
+    return one.select(by, "_row.*").limit(size)
+

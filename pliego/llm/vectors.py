@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 QUERY_BLOCK = 2048
 ROW_BLOCK = 8192
@@ -18,9 +19,18 @@ def is_valid(vec: Column) -> Column:
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, vec, dim) of the rows that take part; a null id takes none."""
-    vec = F.col(vec_col).cast("array<double>")
-    return df.select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec")).where(F.col("vec_id").isNotNull() & is_valid(F.col("vec"))).withColumn("dim", F.size("vec"))
+    """(vec_id, vec, dim) of the rows that take part; a null id takes none. Floats stay floats, half as wide to shuffle."""
+    kind = df.schema[vec_col].dataType
+    floats = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    vec = F.col(vec_col) if floats else F.col(vec_col).cast("array<double>")
+    kept = df.select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec"))
+    kept = kept.where(F.col("vec_id").isNotNull() & is_valid(F.col("vec")))
+    return kept.withColumn("dim", F.size("vec"))
+
+
+def of_type(df: DataFrame, *more: str) -> str:
+    """The schema of (vec_id, vec, dim), as `df` has it, and of more columns."""
+    return ", ".join(["vec_id long", f"vec {df.schema['vec'].dataType.simpleString()}", "dim int", *more])
 
 
 def blocks(rows: int, partitions: int, largest: int = ROW_BLOCK) -> int:

@@ -114,3 +114,58 @@ def test_queries_columns(spark, sf):
         df = queries.QUERIES[name](spark, sf)
         assert dict(df.dtypes) | {"score": "x"} == {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "x"}
         assert df.where(F.col("query_id") % 50 != 0).count() == 0
+
+
+def test_every_query_gets_all_that_it_may(spark):
+    """Two tight groups, and scattered rows as queries: their nearest lists hold next to nothing."""
+    rng = np.random.default_rng(3)
+    a, b = rng.standard_normal((2, 16))
+    vecs = [a + rng.standard_normal(16) * 0.01 for _ in range(490)] + [b + rng.standard_normal(16) * 0.01 for _ in range(490)]
+    ids = [i for i in range(1001) if i % 50][:980]
+    rows = [(i, v.tolist(), 1, "", 0.0) for i, v in zip(ids, vecs, strict=True)] + [(50 * i, (rng.standard_normal(16) * 3).tolist(), 1, "", 0.0) for i in range(20)]
+    df = table(spark, rows)
+    got = answers(ann.nearest(df.where("vec_id % 50 = 0"), df))
+    assert len(got) == 20 and all(len(own) == 5 for own in got.values())
+
+
+def test_every_length_is_searched(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(int(n)).tolist(), 1, "", 0.0) for i, n in enumerate(rng.choice([4, 8, 8, 12, 16, 3], 1200))]
+    rows += [(5000, [1.0], 1, "", 0.0), (5001, [2.0], 1, "", 0.0), (5050, [1.0, 2.0], 1, "", 0.0)]
+    df = table(spark, rows)
+    got, wanted = answers(ann.nearest(df.where("vec_id % 50 = 0"), df)), brute(rows, cosine)
+    assert got.keys() == wanted.keys() and all(len(got[q]) == len(wanted[q]) for q in got)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in own}) for q, own in wanted.items()) >= 0.95 * sum(map(len, wanted.values()))
+
+
+def test_repeated_ids_do_not_use_up_the_lists(spark):
+    """Most rows have one id: lists that look full hold one candidate."""
+    rng = np.random.default_rng(5)
+    near = rng.standard_normal(8)
+    rows = [(7, (near + rng.standard_normal(8) * 0.001).tolist(), 1, "", 0.0) for _ in range(600)] + [(50 * i, (near * (i == 0) + rng.standard_normal(8)).tolist(), 1, "", 0.0) for i in range(9)]
+    df = table(spark, rows)
+    got = answers(ann.nearest(df.where("vec_id % 50 = 0"), df, lists=16, probes=1))
+    assert len(got) == 9 and all(len(own) == 5 and len({i for i, _ in own}) == 5 for own in got.values())
+
+
+def test_levels_discard_clustered_candidates(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((40, 8)).repeat(8, axis=1)
+    rows = centres[rng.integers(0, 40, 4000)] + rng.standard_normal((4000, 64)) * 0.1
+    x = topk.quantised(rows)
+    q = x[:50]
+    exact = q @ x.T
+    shares = topk.survivors(q, x, np.sort(exact, axis=1)[:, -6])
+    assert shares[-1][1] < 0.1 and topk.paying(shares, 64)
+    table_rows = [(i, v.tolist(), 1, "", 0.0) for i, v in enumerate(rows[:1500])]
+    df = table(spark, table_rows)
+    rounded = [(r["vec_id"], list(r["embedding"])) for r in df.collect()]
+    assert answers(topk.top_k(df.where("vec_id % 50 = 0"), df)) == brute(rounded, inner)
+
+
+def test_levels_that_do_not_pay_are_left_out():
+    rng = np.random.default_rng(7)
+    x = topk.quantised(rng.standard_normal((2000, 64)))
+    q = x[:20]
+    assert topk.paying(topk.survivors(q, x, np.sort(q @ x.T, axis=1)[:, -6]), 64) == []
+    assert topk.paying([(1, 0.99), (4, 0.5), (16, 0.45), (32, 0.0)], 128) == [4, 32]
