@@ -62,12 +62,24 @@ def test_odd_documents(spark):
 
 
 def test_kept_documents(spark):
+    """One row of each group, that of its smallest id, null ids last; other columns stay."""
     docs = odd_documents(spark)
     kept = simhash.first_of_each(docs)
     assert kept.columns == docs.columns
-    ids = sorted((r["doc_id"] for r in kept.collect()), key=repr)
-    by_component = {c: i for i, _, c in sorted(slow_components([(r["doc_id"], slow_fingerprint(r["text"])) for r in docs.where("doc_id IS NOT NULL").collect()]), reverse=True)}
-    assert ids == sorted([*by_component.values(), None, None], key=repr)
+    prints = [slow_fingerprint(r["text"]) for r in docs.collect()]
+    groups = {}
+    for r, (_, _, root) in zip(docs.collect(), slow_components(list(enumerate(prints))), strict=True):
+        groups.setdefault(root, []).append(r["doc_id"])
+    wanted = [min((i for i in own if i is not None), default=None) for own in groups.values()]
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted(wanted, key=repr)
+    assert simhash.first_of_each(docs.limit(0)).count() == 0
+
+
+def test_kept_rows_of_one_id(spark):
+    """Rows of one id with different texts are rows of different groups; equal rows leave one."""
+    rows = [(1, "alpha beta gamma delta", 1), (1, "one two three four five", 2), (1, "one two three four five", 2), (None, "alpha beta gamma delta", 3), (None, "six seven eight nine", 4), (None, "six seven eight nine", 4), (5, "six seven eight nine", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int").repartition(3)
+    assert sorted(map(tuple, simhash.first_of_each(docs).collect()), key=repr) == [(1, "alpha beta gamma delta", 1), (1, "one two three four five", 2), (5, "six seven eight nine", 5)]
 
 
 def chain(rng, length):
@@ -91,8 +103,8 @@ def test_links_of_chains_and_crowds(spark):
     crowd = [centre ^ (1 << a) ^ (1 << b) for a in range(0, 40) for b in range(a)]  # hundreds within four bits of each other
     values = sorted({*(v for _ in range(20) for v in chain(rng, 12)), *crowd, *(rng.getrandbits(64) for _ in range(400)), 0, (1 << 64) - 1})
     nodes = spark.createDataFrame([(signed(v),) for v in values], "fingerprint long").repartition(4)
-    got, fine = ({n: r for n, r in simhash.components(simhash.links(nodes, tile=64, pieces=p)).collect()} for p in (4, 8))
-    assert got == fine
+    got, *others = ({n: r for n, r in simhash.components(simhash.links(nodes, tile=64, pieces=p)).collect()} for p in (1, 2, 4, 8))
+    assert all(got == other for other in others)
     wanted = slow_components([(i, v) for i, v in enumerate(values)])
     groups = {}
     for (i, _, c), v in zip(wanted, values, strict=True):
@@ -108,7 +120,24 @@ def test_cells_skip_only_far_pairs():
         b = a
         for bit in rng.choice(64, 3, replace=False):
             b ^= 1 << int(bit)
-        for width in (16, 8):
+        for width in (64, 32, 16, 8):
             counts = [[(v >> width * i & (1 << width) - 1).bit_count() for i in range(64 // width)] for v in (a, b)]
             assert sum(abs(x - y) for x, y in zip(*counts, strict=True)) <= simhash.RADIUS
     assert (len(simhash.shifts(3, 4)), len(simhash.shifts(3, 8))) == (65, 417)
+
+
+def test_unsettled_components_are_an_error(spark):
+    import pytest
+
+    edges = spark.createDataFrame([(i + 1, i) for i in range(40)], "u long, v long")
+    assert {r["root"] for r in simhash.components(edges).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        simhash.components(edges, rounds=1)
+
+
+def test_tiles_hold_hundreds():
+    rng = np.random.default_rng(8)
+    for nodes, pieces in ((10_000, 1), (200_000, 2)):
+        bits = np.unpackbits(rng.integers(0, 2**63, nodes, dtype=np.int64).view(np.uint8).reshape(-1, 8), axis=1).reshape(nodes, pieces, -1).sum(axis=2)
+        _, counts = np.unique(bits, axis=0, return_counts=True)
+        assert next(p for least, p in simhash.PIECES if nodes >= least) == pieces and (counts @ counts) / nodes > 300  # of a node's own cell
