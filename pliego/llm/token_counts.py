@@ -2,7 +2,8 @@
 
 Offline, every vocabulary string is encoded alone; those that come out as one token are proven whole tokens. No piece of such a
 model crosses from a non-space to a space, which is checked too, so a text's count is the sum over its pre-tokens: those that are
-whole tokens count 1 without any merging, and only the rest is merged, each distinct one once a batch at most.
+whole tokens count 1 without any merging, and only the rest is merged, each distinct one once a batch at most. The model takes
+its own space mark in a text for a space; such texts are not cut, but merged whole.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ class Counter:
         self.known = dict(self.whole)
 
     def counts(self, texts: list[str]) -> list[int]:
-        parts = [cut(t) for t in texts]
+        parts = [[t] if SPACE in t else cut(t) for t in texts]
         rest = list(set().union(*parts) - self.known.keys())
         self.known.update(zip(rest, map(len, self.model.encode(rest, num_threads=1)), strict=True))
         out = [sum(map(self.known.__getitem__, p)) if t else 0 for t, p in zip(texts, parts, strict=True)]
