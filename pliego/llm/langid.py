@@ -16,18 +16,19 @@ left out, each language in turn, or below the lowest held-out row if that is les
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pliego.llm import tables
 
 SAMPLE = 4000
+LANGUAGES = 64
 BUCKETS = 1 << 16
 WIDTH = 16
 EPOCHS = 4
@@ -35,7 +36,7 @@ REJECTED = 0.001
 UNSURE = 0.4
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _KEEP = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -120,10 +121,23 @@ def train(texts: list[str], labels: list[str], width: int = WIDTH, epochs: int =
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE) -> Model:
-    """A model from at most sample_rows rows with a text and a label, drawn by hash of the id."""
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    keys = tables.sample(rows.select("id"), "id", sample_rows).distinct()
-    found = rows.join(F.broadcast(keys), "id").toArrow()  # sample_rows ids at most
+    """A model from at most sample_rows rows with an id, a text and a label, one for each id.
+
+    Half of them are drawn by hash of the id from all rows, the rest in equal parts from each of the LANGUAGES most frequent
+    labels, so that a rare language is learned too. Rows of other labels, and of null ids, are not learned from. Of the rows of a
+    repeated id that is drawn, the one whose text and label hash lowest is taken. No labelled row gives a model without languages.
+    """
+    rows = labelled.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    often = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()]
+    if not often:
+        return train([], [])
+    rows = rows.where(F.col("lang").isin(often))
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(7)), "id")
+    ids = rows.select("id", "lang").distinct()
+    each = ids.withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= max(1, sample_rows // (2 * len(often)))).select("id")
+    keys = tables.sample(ids.select("id").distinct(), "id", sample_rows // 2).unionByName(each).distinct()
+    found = tables.drawn(rows, keys, "id", sample_rows).toArrow()
     order = np.argsort(np.array(found.column("id").to_pylist(), dtype=object).astype(str), kind="stable")
     found = found.take(pa.array(order))
     return train(found.column("text").to_pylist(), found.column("lang").to_pylist())
@@ -177,7 +191,11 @@ def judged(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that `predict` would not reject."""
+    """The rows of docs, with all their columns, that `predict` would not reject.
+
+    Rows with a null text, or one without a letter (an empty one is such), go. Null and repeated ids, repeated rows, and columns
+    of any other name stay as they are; very long texts are judged whole; an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -121,10 +121,16 @@ def train(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, ep
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE) -> Model:
-    """A model from at most sample_rows labelled documents, drawn by hash of the id; their terms, not texts, go to the driver."""
+    """A model from at most sample_rows labelled documents, one for each id, drawn by hash of the id.
+
+    An id that is labelled more than once is toxic if one of its labels says so; of the documents of a repeated id the one whose
+    text hashes lowest is taken, a null text as an empty one. Null ids and null labels are not learned from. Terms, not texts,
+    go to the driver. No labelled document gives a model that scores every text alike, as not toxic.
+    """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    drawn = tables.sample(marked, "id", sample_rows)
-    found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(drawn), "id")  # sample_rows rows at most
+    keys = tables.sample(marked, "id", sample_rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = tables.drawn(texts, keys, "id", sample_rows).join(F.broadcast(keys), "id")  # sample_rows rows at most
 
     def run(batches):
         for b in batches:
@@ -158,7 +164,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that score below a half."""
+    """The rows of docs, with all their columns, that score below a half.
+
+    A null text is an empty one and is judged like it. Null and repeated ids, repeated rows, and columns of any other name stay as
+    they are; very long texts are judged whole; an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
