@@ -35,7 +35,7 @@ from pliego.llm import bpe, tables
 SIZE = 1024
 GROUPS = 48
 SMALL = (1 / 2, 1 / 3, 1 / 5)
-SALTS = 64
+SHARE = 250_000
 MEMO = 300_000
 
 PLAIN = re.compile("[\\n\\t -~\u00a1-\u024f]*\\Z")
@@ -208,27 +208,32 @@ def pack(pieces: DataFrame, size: int = SIZE, length_col: str = "length", groups
 
     pieces has to be the same whenever it is read (a written table). Lengths are 1 to `size`; pieces of exactly `size` fill a
     sequence alone. `order` names columns that tell equal pieces apart as far as they can be told; repeated rows take one place
-    each. No columns may be called as the two new ones. An empty table gives an empty one.
+    each. Columns must not be called sequence_id or offset, or begin with _pack. An empty table gives an empty one.
+
+    Pieces of one length are numbered in shares of about SHARE rows, as many as their count asks for, so that no task orders more
+    however many pieces have that length.
     """
     spark = pieces.sparkSession
-    salt = F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int")
     full = pieces.where(F.col(length_col) == size)
     full = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    rest = pieces.where(F.col(length_col) < size).withColumn("_salt", salt)
-    counted = rest.groupBy(length_col, "_salt").count()
-    counts = tables.written(counted)  # size * SALTS rows at most
-    per_length = {r[0]: r[1] for r in counts.groupBy(length_col).agg(F.sum("count")).collect()}  # size rows at most
+    rest = pieces.where(F.col(length_col) < size)
+    per_length = {r[0]: r[1] for r in rest.groupBy(length_col).count().collect()}  # size rows at most
+    if not per_length:
+        return full
+    shares = F.array(*[F.lit(-(-per_length.get(n, 1) // SHARE)) for n in range(size)])
+    rest = rest.withColumn("_pack_share", F.pmod(F.xxhash64(*order), F.get(shares, F.col(length_col).cast("int"))).cast("int"))
+    counts = tables.written(rest.groupBy(length_col, "_pack_share").count())  # size rows, and one more for every SHARE pieces
+    by_length = Window.partitionBy(length_col).orderBy("_pack_share").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(length_col, "_pack_share", F.coalesce(F.sum("count").over(by_length), F.lit(0)).alias("_pack_before"))
+    own = Window.partitionBy(length_col, "_pack_share").orderBy(*order)
+    ranked = rest.withColumn("_pack_own", F.row_number().over(own) - 1).join(tables.small(before), [length_col, "_pack_share"])
+    ranked = ranked.withColumn("_pack_rank", F.col("_pack_own") + F.col("_pack_before"))
     table = places(plan(per_length, size, groups))
-    by_length = Window.partitionBy(length_col).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(length_col, "_salt", F.coalesce(F.sum("count").over(by_length), F.lit(0)).alias("_before"))
-    own = Window.partitionBy(length_col, "_salt").orderBy(*order)
-    ranked = rest.withColumn("_own", F.row_number().over(own) - 1).join(F.broadcast(before), [length_col, "_salt"])
-    ranked = ranked.withColumn("_rank", F.col("_own") + F.col("_before"))
-    spots = spark.createDataFrame(table, "_length long, _lo long, _hi long, _first long, _times int, _offsets array<long>")
-    at = (F.col(length_col) == F.col("_length")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))
-    j = F.col("_rank") - F.col("_lo")
+    spots = spark.createDataFrame(table, "_pack_length long, _pack_lo long, _pack_hi long, _pack_first long, _pack_times int, _pack_offsets array<long>")
+    at = (F.col(length_col) == F.col("_pack_length")) & (F.col("_pack_rank") >= F.col("_pack_lo")) & (F.col("_pack_rank") < F.col("_pack_hi"))
+    j = F.col("_pack_rank") - F.col("_pack_lo")
     placed = ranked.join(F.broadcast(spots), at)  # the plan's size hangs on the number of lengths only
-    placed = placed.withColumn("sequence_id", F.col("_first") + F.floor(j / F.col("_times")).cast("long")).withColumn("offset", F.get("_offsets", (j % F.col("_times")).cast("int")))
+    placed = placed.withColumn("sequence_id", F.col("_pack_first") + F.floor(j / F.col("_pack_times")).cast("long")).withColumn("offset", F.get("_pack_offsets", (j % F.col("_pack_times")).cast("int")))
     names = [*pieces.columns, "sequence_id", "offset"]
     return full.select(names).unionByName(placed.select(names))
 
