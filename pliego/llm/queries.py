@@ -54,7 +54,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+    records = warc.as_warc(warc.derive(warc.responses(table(spark, sf_dir, "pages"))))
+    return records.select("*", F.octet_length("warc").cast("long").alias("record_bytes"), F.crc32("warc").alias("record_crc32")).drop("warc")
 
 
 def op10_adaptive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

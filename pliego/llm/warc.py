@@ -1,53 +1,135 @@
 """Derivatives of web archive responses: metadata and plain-text conversion records, linked to their response.
 
-A response is a row: record_id, target_uri, warc_date, http_headers (text) and payload (HTML text). Each gives two records, of type
-metadata (title, links and the source's own headers) and conversion (the page's text). Both carry the response's id in refers_to,
-its URI and its date, digests of their own block, and the digest of the payload that they come from.
+A response is a row: record_id, target_uri, warc_date, http_headers (text, status line and all) and payload (bytes, or text). Each
+gives a record of type metadata (title, links and the source's own headers) and, if its payload is HTML or other text, one of type
+conversion (its text). Both carry the response's id, URI and date as what they refer to, the source's header lines in their order,
+the digest of the payload that they come from, and digests of their own block.
+
+`read_archives` makes such rows from archive files and `write_archives` makes archive files from records, a file a task.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import html as entities
 import json
 import re
+import uuid
+from collections.abc import Iterator, Sequence
+from io import BufferedReader
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-z][^>]*>|<[!?][^>]*>", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-_LINK = re.compile(r"<(?:a|area|link)\b[^>]*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_LINES = re.compile(r"[^\S\n]*\n\s*")
+HIDDEN = ("script", "style", "noscript", "template")
+BREAKS = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table td th title tr ul".split())
+LINKS = frozenset(("a", "area", "link"))
+
+_START = re.compile(r"<(?:(?P<comment>!--)|[!?]|(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9]*))")
+_END = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_CLOSE = {name: re.compile(rf"</{name}\b[^>]*+>", re.I) for name in HIDDEN}
+_HREF = re.compile(r"(?:^|[\s\"'/])href\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))", re.I)
+_HUGE = re.compile(r"&#[0-9]{9,}+;?")
 _BLANKS = re.compile(r"[^\S\n]+")
+_LINES = re.compile(r" ?\n[ \n]*+")
+_CHARSET = re.compile(r"charset\s*+=\s*+[\"']?([\w.:-]+)", re.I)
+
+RESPONSE = "record_id string, target_uri string, warc_date string, http_headers string, payload binary, payload_digest string"
+RECORD = (
+    "record_id string, record_type string, refers_to string, refers_to_target_uri string, refers_to_date string, target_uri string, warc_date string, "
+    "content_type string, content_length long, block_digest string, source_payload_digest string, source_headers string, block string"
+)
+
+
+# Pages
+
+
+def page(html: str) -> tuple[str | None, list[str], str]:
+    """(title, links, visible text) in one pass from front to back.
+
+    Scripts, styles and comments are out, block elements stand on lines of their own, entities are resolved. What is never closed
+    hides the rest (comments, scripts), or is text (a tag).
+    """
+    out: list[str] = []
+    links: list[str] = []
+    title, title_from, at = None, None, 0
+    while start := _START.search(html, at):
+        out.append(html[at : start.start()])
+        if start["comment"]:
+            end = html.find("-->", start.end())
+            out.append(" ")
+            at = end + 3 if end >= 0 else len(html)
+            continue
+        whole = _END.match(html, start.end())
+        end = whole.end() if whole else html.find(">", start.end()) + 1
+        if not end:
+            at = start.start()
+            break
+        name, opens, at = (start["name"] or "").lower(), not start["close"], end
+        if opens and name in _CLOSE:
+            close = _CLOSE[name].search(html, end)
+            out.append(" ")
+            at = close.end() if close else len(html)
+            continue
+        if opens and name in LINKS and (href := _HREF.search(html, start.end(), end - 1)):
+            links.append(unescaped(href[1] or href[2] or href[3] or ""))
+        if name == "title" and title is None:
+            if opens:
+                title_from = len(out)
+            elif title_from is not None:
+                title = _BLANKS.sub(" ", unescaped("".join(out[title_from:])).replace("\n", " ")).strip()
+        if name in BREAKS:
+            out.append("\n")
+    return title, links, lines(unescaped("".join([*out, html[at:]])))
+
+
+def unescaped(text: str) -> str:
+    return entities.unescape(_HUGE.sub("�", text)) if "&" in text else text
 
-RECORD = "record_id string, record_type string, refers_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, source_payload_digest string, block string"
 
+def lines(text: str) -> str:
+    """Single blanks, no blank lines."""
+    return _LINES.sub("\n", _BLANKS.sub(" ", text)).strip()
 
-def plain_text(html: str) -> str:
-    """The visible text: scripts, styles and comments out, block elements on lines of their own, entities resolved."""
-    text = entities.unescape(_TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", html))))
-    return _BLANKS.sub(" ", _LINES.sub("\n", text)).strip()
 
+def header_lines(headers: str) -> list[tuple[str, str]]:
+    """(name, value) of every line in order: the status line as `:status`, a folded line as part of the one before it, a line without
+    a colon as a value without a name."""
+    found: list[tuple[str, str]] = []
+    for line in headers.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+        if line[:1] in (" ", "\t") and found:
+            name, value = found[-1]
+            found[-1] = (name, f"{value} {line.strip()}".strip())
+        elif line.strip():
+            name, colon, value = line.partition(":")
+            found.append((":status", line.strip()) if not found and line.startswith("HTTP/") else (name.strip(), value.strip()) if colon else ("", line.strip()))
+    return found
 
-def metadata(html: str, headers: str) -> dict:
-    shown = _HIDDEN.sub(" ", html)
-    title = _TITLE.search(shown)
-    return {
-        "title": _BLANKS.sub(" ", entities.unescape(_TAG.sub("", title[1])).strip()) if title else None,
-        "links": [entities.unescape(a or b or c) for a, b, c in _LINK.findall(shown)],
-        "http": [h.split(": ", 1) for h in headers.split("\r\n") if ": " in h],
-    }
+
+def text_of(payload: bytes, content_type: str) -> str | None:
+    """The payload as text by its declared charset, or UTF-8; None for types that are not text."""
+    kind = content_type.partition(";")[0].strip().lower()
+    if kind and not kind.startswith("text/") and "html" not in kind and "xml" not in kind and "json" not in kind:
+        return None
+    named = _CHARSET.search(content_type)
+    try:
+        return payload.decode(named[1] if named else "utf-8", errors="replace")
+    except LookupError:
+        return payload.decode(errors="replace")
 
 
 def digest(data: bytes) -> str:
     return "sha256:" + hashlib.sha256(data).hexdigest()
 
 
+# Records
+
+
 def urn(*parts: Column) -> Column:
     """A record id that is the same for the same parts."""
     h = F.md5(F.concat_ws("\n", *parts).cast("binary"))
@@ -55,44 +137,155 @@ def urn(*parts: Column) -> Column:
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Crawled pages as response rows: id_col, record_id, target_uri, warc_date, http_headers, payload. Null pages are empty ones."""
+    """Crawled pages as response rows: id_col, record_id, target_uri, warc_date, http_headers, payload. Null pages are empty ones.
+
+    For tables of bare pages, which know neither status, headers nor date: these are made up, `date` is the caller's.
+    """
     url, body = F.coalesce(F.col(url_col), F.lit("")), F.coalesce(F.col(html_col), F.lit(""))
     headers = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     return pages.select(F.col(id_col).alias("page_id"), urn(F.lit("response"), key, url, F.lit(date)).alias("record_id"), url.alias("target_uri"), F.lit(date).alias("warc_date"), headers.alias("http_headers"), body.alias("payload"))
 
 
+def derivatives(record_id: str | None, uri: str | None, date: str | None, headers: str, payload: bytes, known_digest: str | None) -> Iterator[tuple]:
+    """The rows of RECORD that one response gives."""
+    own = header_lines(headers)
+    content = next((v for n, v in own if n.lower() == "content-type"), "")
+    source, shown = known_digest or digest(payload), json.dumps(own)
+    text = text_of(payload, content)
+    is_page = text is not None and ("html" in content or "xml" in content or not content)
+    title, links, visible = page(text) if is_page else (None, [], text)
+    meta = {"refers-to": record_id, "payload-digest": source, "title": title, "links": links, "http": own}
+    blocks = [("metadata", "application/json", json.dumps(meta, ensure_ascii=False, sort_keys=True))]
+    if visible is not None:
+        blocks.append(("conversion", "text/plain; charset=utf-8", visible))
+    for kind, of, block in blocks:
+        data = block.encode(errors="replace")
+        name = uuid.UUID(hashlib.md5(f"{kind}\n{record_id}".encode()).hexdigest())
+        yield f"<urn:uuid:{name}>", kind, record_id, uri, date, uri, date, of, len(data), digest(data), source, shown, data.decode()
+
+
 def derive(archive: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """Two records for every response: id_col and the columns of RECORD.
+    """A metadata record for every response, and a conversion for those of text: id_col and the columns of RECORD.
 
-    A null payload or header is an empty one: its metadata has no title, no links and no headers, its text is empty. Null and repeated
-    ids stay, two records each; other columns are left out. Nothing is shuffled.
+    A null payload or header is an empty one: its metadata has no title, no links and no headers, its text is empty. Payloads
+    without a declared type are read as HTML. A column payload_digest, if there is one, is kept as the source's digest; where it is
+    null or missing the digest is computed. Null and repeated ids stay, each with its own records; other columns, whatever their
+    names, are left out; very long pages take time in proportion; an empty table gives an empty one. Nothing is shuffled.
     """
-    base = archive.select(F.col(id_col).alias("id"), "record_id", "target_uri", "warc_date", F.coalesce("http_headers", F.lit("")).alias("headers"), F.coalesce("payload", F.lit("")).alias("payload"))
+    known = F.col("payload_digest") if "payload_digest" in archive.columns else F.lit(None)
+    blank = F.lit("").cast("binary")
+    base = archive.select(F.col(id_col).alias("id"), "record_id", "target_uri", "warc_date", F.coalesce("http_headers", F.lit("")).alias("headers"), F.coalesce(F.col("payload").cast("binary"), blank).alias("payload"), known.cast("string").alias("known"))
     record = T._parse_datatype_string(RECORD)
     schema = T.StructType([T.StructField("id", base.schema["id"].dataType), *record.fields])
+    kinds = [pa.int64() if f.dataType == T.LongType() else pa.string() for f in record.fields]
 
     def run(batches):
-        for b in batches:
-            out = []
-            for record_id, uri, date, headers, payload in zip(*(b.column(c).to_pylist() for c in ("record_id", "target_uri", "warc_date", "headers", "payload")), strict=True):
-                source = digest(payload.encode(errors="replace"))
-                meta = json.dumps({"refers-to": record_id, "payload-digest": source} | metadata(payload, headers), ensure_ascii=False, sort_keys=True)
-                for kind, content, block in (("metadata", "application/json", meta), ("conversion", "text/plain", plain_text(payload))):
-                    data = block.encode(errors="replace")
-                    h = hashlib.md5(f"{kind}\n{record_id}".encode()).hexdigest()
-                    own = f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
-                    out.append((own, kind, record_id, uri, date, content, len(data), digest(data), source, data.decode()))
-            cols = zip(*out, strict=True) if out else [[] for _ in record.fields]
-            ids = b.column("id").take(pa.array([i for i in range(b.num_rows) for _ in range(2)], pa.int64()))
-            kinds = [pa.int64() if f.dataType == T.LongType() else pa.string() for f in record.fields]
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], schema.fieldNames())
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                b = whole.slice(at, 200)
+                of, out = [], []
+                for i, row in enumerate(zip(*(b.column(c).to_pylist() for c in ("record_id", "target_uri", "warc_date", "headers", "payload", "known")), strict=True)):
+                    made = list(derivatives(*row))
+                    of += [i] * len(made)
+                    out += made
+                ids = b.column("id").take(pa.array(of, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], schema.fieldNames())
 
     return base.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def as_warc(records: DataFrame) -> DataFrame:
-    """records with warc, each record's own bytes as they stand in an archive file."""
-    lines = [("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length")]
-    head = F.concat_ws("\r\n", F.lit("WARC/1.1"), *[F.concat(F.lit(f"{name}: "), F.col(c).cast("string")) for name, c in lines])
+    """records with warc, each record's own bytes as they stand in an archive file. Control characters in a field are percent-encoded."""
+    fields = [
+        ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Refers-To-Target-URI", "refers_to_target_uri"), ("WARC-Refers-To-Date", "refers_to_date"),
+        ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("WARC-Payload-Digest", "block_digest"), ("X-Source-Payload-Digest", "source_payload_digest"),
+        ("X-Source-HTTP-Headers", "source_headers"), ("Content-Type", "content_type"), ("Content-Length", "content_length"),
+    ]
+    encoded = lambda c: F.regexp_replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), r"[\x00-\x1f\x7f]", "%20")
+    head = F.concat_ws("\r\n", F.lit("WARC/1.1"), *[F.concat(F.lit(f"{name}: "), encoded(c)) for name, c in fields])
     return records.withColumn("warc", F.concat(head, F.lit("\r\n\r\n"), F.col("block"), F.lit("\r\n\r\n")).cast("binary"))
+
+
+# Files
+
+
+def records_of(stream: BufferedReader, name: str) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields in small letters, block) of every record. A broken archive is an error that names the file."""
+    while line := stream.readline():
+        if not line.strip():
+            continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"{name}: no record where one should begin")
+        head = []
+        while (line := stream.readline()).strip():
+            head.append(line.decode(errors="replace").rstrip("\r\n"))
+        fields = {n.lower(): v for n, v in header_lines("\n".join(head))}
+        size = int(fields.get("content-length", -1))
+        block = stream.read(size) if size >= 0 else b""
+        if size < 0 or len(block) < size:
+            raise ValueError(f"{name}: a record without its whole block")
+        yield fields, block
+
+
+def response(fields: dict[str, str], block: bytes) -> tuple:
+    """A row of RESPONSE: the block parted at its first empty line into headers and payload."""
+    gap = re.search(rb"\r?\n\r?\n", block)
+    head, payload = (block[: gap.start()], block[gap.end() :]) if gap else (block, b"")
+    return (fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-date"), head.decode(errors="replace"), payload, fields.get("warc-payload-digest"))
+
+
+def read_archives(spark: SparkSession, paths: Sequence[str], batch_bytes: int = 16_000_000) -> DataFrame:
+    """The response records of archive files (.warc, .warc.gz), as rows of RESPONSE; other records are passed over.
+
+    A file is read by one task as a stream, in any store that pyarrow can open; at most batch_bytes and one record are in memory.
+    """
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)), "path")
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
+    names = ["record_id", "target_uri", "warc_date", "http_headers", "payload", "payload_digest"]
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    def run(batches):
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                with store.open_input_stream(inner, compression=None) as raw:
+                    stream = BufferedReader(raw)
+                    stream = gzip.GzipFile(fileobj=stream) if stream.peek(2)[:2] == b"\x1f\x8b" else stream
+                    rows, held = [], 0
+                    for fields, block in records_of(stream, path):
+                        if fields.get("warc-type", "").lower() == "response":
+                            rows.append(response(fields, block))
+                            held += len(block)
+                            if held >= batch_bytes:
+                                yield table(rows)
+                                rows, held = [], 0
+                    if rows:
+                        yield table(rows)
+
+    return listed.mapInArrow(run, RESPONSE)
+
+
+def write_archives(records: DataFrame, folder: str) -> DataFrame:
+    """records as .warc.gz files below folder, one for each partition and a member for each record; returns (path, n_records).
+
+    A file is written under another name and moved when it is whole, so a task that is run again replaces its own file.
+    """
+
+    def run(batches):
+        store, inner = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(inner, recursive=True)
+        task = TaskContext.get()
+        path = f"{inner}/part-{task.partitionId():05d}.warc.gz"
+        part, n = f"{inner}/_part-{task.partitionId():05d}-{task.taskAttemptId()}", 0
+        with store.open_output_stream(part, compression=None) as out:
+            for b in batches:
+                for data in b.column("warc").to_pylist():
+                    out.write(gzip.compress(data, mtime=0))
+                    n += 1
+        store.move(part, path)
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], ["path", "n_records"])
+
+    return as_warc(records).select("warc").mapInArrow(run, "path string, n_records long")
