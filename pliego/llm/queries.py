@@ -42,7 +42,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
-    joined = [F.array_join(c, " ").alias(c) for c in ("sentence_ids", "licenses", "unmatched")]
+    joined = [F.array_join(c, " ").alias(c) for c in ("sentence_ids", "licenses", "mentioned", "unmatched")]
     return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), *joined)
 
 
@@ -71,25 +71,32 @@ def _sql_text(value: str) -> str:
 
 
 def _license_sql() -> str:
-    case = " ".join(f"WHEN regexp_matches(s, {_sql_text(p)}) THEN {_sql_text(i)}" for i, p in licenses.SENTENCES)
-    names, rest = [], "'0'"
-    rest = "';' || list_aggregate(ids, 'string_agg', ';;') || ';'"
-    steps = [f"r0 AS (SELECT doc_id, ids, coalesce({rest}, ';;') AS rest0 FROM found)"]
-    for n, (name, sequence) in enumerate(licenses.RULES):
-        pattern = _sql_text("".join(f";{s};" for s in sequence))
-        steps.append(f"r{n + 1} AS (SELECT * EXCLUDE (rest{n}), CASE WHEN contains(rest{n}, {pattern}) THEN {_sql_text(name)} END AS m{n}, replace(rest{n}, {pattern}, '|') AS rest{n + 1} FROM r{n})")
-        names.append(f"m{n}")
-    last = len(licenses.RULES)
+    text, of = _sql_text, licenses
+    sub = lambda x, pattern, by: f"regexp_replace({x}, {text(pattern)}, {by}, 'g')"
+    fits = lambda s, known: "CASE " + " ".join(f"WHEN regexp_full_match({s}, {text(p)}) THEN {text(n)}" for n, p in known) + " END"
+    untagged = sub("text", f"(?i){of.SPDX}", "chr(10) || chr(10)")
+    plain = f"chr(10) || replace(replace({untagged}, chr(13) || chr(10), chr(10)), chr(13), chr(10)) || chr(10)"
+    plain = sub(sub(plain, of.LEAD, "chr(10)"), of.ITEM, "chr(10) || chr(10)")
+    plain = f"replace(lower(translate({plain}, '|/~', '   ')), 'licence', 'license')"
+    plain = sub(sub(sub(plain, r"[ \t]+", "' '"), r"\n\n+", "chr(10) || '|'"), of.STOP, "'~'")
+    plain = sub(sub(f"replace({plain}, chr(10), '/')", r"[^a-z0-9.+|/~]+", "' '"), r" ?/[ /]*", "'/'")
+    plain = sub(sub(f"'|' || {plain} || '|'", r"[ /]?~[ /~]*", "'~'"), r"[ /~]?\|[ /~|]*", "'|'")
+    known = [(of.SAME.get(i, i), p) for i, p in dict(of.KNOWN).items()]
+    names = [(n, of._spaced(p)) for n, p in of.NAMES.items()]
+    inner = "x[2:length(x) - 1]"
     join = lambda x: f"coalesce(list_aggregate({x}, 'string_agg', ' '), '')"
+    rules = "MAP {" + ", ".join(f"{text(s)}: {text(n)}" for s, n in of.BY_SEQUENCE.items()) + "}"
     return f"""
-WITH cut AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), {_sql_text(licenses.WRAP)}, '\\1 \\2', 'g'), '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)) AS lines FROM documents),
-norm AS (SELECT doc_id, list_transform(lines, lambda x: trim(regexp_replace(regexp_replace(replace(lower(x), 'licence', 'license'), '[^a-z0-9.,: ]+', ' ', 'g'), ' +', ' ', 'g'))) AS lines FROM cut),
-found AS (SELECT doc_id, list_filter(list_transform(lines, lambda s: CASE {case} END), lambda i: i IS NOT NULL) AS ids FROM norm),
-{", ".join(steps)}
-SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, {join("ids")} AS sentence_ids,
-  {join(f"list_sort(list_distinct(list_filter([{', '.join(names)}], lambda i: i IS NOT NULL)))")} AS licenses,
-  {join(f"list_filter(regexp_split_to_array(rest{last}, '[;|]+'), lambda i: i <> '')")} AS unmatched
-FROM r{last}"""
+WITH hinted AS (SELECT doc_id, CASE WHEN {" OR ".join(f"contains(lower(text), {text(h)})" for h in of.HINTS)} THEN text END AS text FROM documents),
+streams AS (SELECT doc_id, coalesce(replace(replace(replace({plain}, '|', '||'), '/', '//'), '~', '~~'), '') AS stream FROM hinted),
+found AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(stream, {text(of.ANY)}), lambda x: {fits(inner, known)}), lambda x: x IS NOT NULL) AS ids,
+  list_filter(list_transform(regexp_extract_all({sub("stream", of.ANY, "'||'")}, {text(of.NAMED)}), lambda x: {fits(inner, names)}), lambda x: x IS NOT NULL) AS names FROM streams),
+matched AS (SELECT *, ';' || coalesce(list_aggregate(ids, 'string_agg', ';;'), '') || ';' AS in_row FROM found),
+granted AS (SELECT *, list_sort(list_distinct(list_transform(regexp_extract_all(in_row, {text(of.RULE)}), lambda x: {rules}[x]))) AS licenses FROM matched)
+SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, {join("ids")} AS sentence_ids, {join("licenses")} AS licenses,
+  {join("list_sort(list_distinct(list_filter(names, lambda x: NOT list_contains(licenses, x))))")} AS mentioned,
+  {join(f"list_filter(regexp_split_to_array({sub("in_row", of.RULE, text('|'))}, '[;|]+'), lambda x: x <> '')")} AS unmatched
+FROM granted"""
 
 
 def _top_k_sql() -> str:
