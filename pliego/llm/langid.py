@@ -129,14 +129,19 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     """
     rows = labelled.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    often = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()]
+    ids = tables.written(rows.select("id", "lang").distinct())
+    often = ids.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.col("_n").desc(), "lang").limit(LANGUAGES).collect()
     if not often:
         return train([], [])
-    rows = rows.where(F.col("lang").isin(often))
+    each = max(1, sample_rows // (2 * len(often)))
+    counts = ids.sparkSession.createDataFrame([(r["lang"], r["_n"]) for r in often], "lang string, _n long")
+    ids = ids.join(F.broadcast(counts), "lang")  # LANGUAGES rows at most
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(7)), "id")
-    ids = rows.select("id", "lang").distinct()
-    each = ids.withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= max(1, sample_rows // (2 * len(often)))).select("id")
-    keys = tables.sample(ids.select("id").distinct(), "id", sample_rows // 2).unionByName(each).distinct()
+    # about four times as many as are wanted meet in a language's window, however many rows it has
+    few = ids.where(tables.share_below("id", F.lit(4.0 * each) / F.col("_n")) | (F.col("_n") <= 4 * each))
+    of_each = few.withColumn("_rank", F.row_number().over(by_hash)).where(F.col("_rank") <= each).select("id")
+    keys = tables.sample(ids.select("id").distinct(), "id", sample_rows // 2).unionByName(of_each).distinct()
+    rows = rows.where(F.col("lang").isin([r["lang"] for r in often]))
     found = tables.drawn(rows, keys, "id", sample_rows).toArrow()
     order = np.argsort(np.array(found.column("id").to_pylist(), dtype=object).astype(str), kind="stable")
     found = found.take(pa.array(order))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pliego.operators.joins import small
 from pliego.session import cut as written
 
-__all__ = ["drawn", "fold", "sample", "small", "table", "tokenizer_path", "written"]
+__all__ = ["drawn", "fold", "sample", "share_below", "small", "table", "tokenizer_path", "written"]
 
 
 def tokenizer_path(name: str) -> str:
@@ -26,9 +26,20 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
+def share_below(by: str, share: Column | float) -> Column:
+    """Whether the id's hash is among the lowest `share` (0 to 1) of all hashes."""
+    return F.shiftrightunsigned(F.xxhash64(F.col(by), F.lit(7)), 1) / F.lit(2.0**63) < share
+
+
 def sample(df: DataFrame, by: str, size: int) -> DataFrame:
-    """size rows, the same ones whatever the partitioning: those whose id hashes lowest. A bounded top-k, never a whole sort."""
-    return df.orderBy(F.xxhash64(F.col(by), F.lit(7)), by).limit(size)
+    """At most size rows, the same ones whatever the partitioning: those whose id hashes lowest.
+
+    df has an id once, or nearly so. Rows whose hash can't be among the lowest are left out before any are ordered, so that what
+    tasks send on does not grow with their number.
+    """
+    n = df.count()
+    few = df.where(share_below(by, 4 * size / n)) if n > 4 * size else df
+    return few.orderBy(F.xxhash64(F.col(by), F.lit(7)), by).limit(size)
 
 
 def drawn(df: DataFrame, keys: DataFrame, by: str, size: int) -> DataFrame:

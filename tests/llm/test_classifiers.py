@@ -109,3 +109,62 @@ def test_pair_formula():
     v = model.factors[ids].astype(float)
     pairs = sum(v[i] @ v[j] for i in range(len(ids)) for j in range(i))
     assert toxicity.raw(model, ids) == pytest.approx(0.3 + model.weights[ids].sum() + pairs, rel=1e-4)
+
+
+def test_letters_are_letters():
+    model = langid.train(["alpha bravo carlo delta"] * 20, ["a"] * 20)
+    names, sure = langid.score(model, ["²½", "①", "Ⅷ", "12 _", "ª", "日", "é"])
+    assert names == [langid.UNKNOWN] * 4 + ["a"] * 3 and (sure[:4] == 0).all()
+
+
+def test_language_is_the_mean_of_embeddings():
+    """Scores of a text, gram by gram."""
+    model = langid.train([f"{w} {w}x{i}" for i in range(100) for w in ("alpha", "bravo")], ["a", "b"] * 100)
+    for text in ("alpha bravo", "Bravo, bravo!", "xx"):
+        data = b" " + b" ".join(bytes(c if chr(c).isalpha() else 32 for c in text.lower().encode()).split()) + b" "
+        grams = []
+        for n, odd in ((3, 2654435769), (4, 2246822519)):
+            for i in range(len(data) - 3 if n == 4 else len(data) - 2):
+                key = int.from_bytes(data[i : i + n], "little")
+                grams.append((((key ^ key >> 15) * odd) % 2**32) >> 16)
+        z = np.mean([model.scores[g] for g in grams], axis=0, dtype=np.float64) + model.bias
+        p = np.exp(z / model.temperature) / np.exp(z / model.temperature).sum()
+        names, sure = langid.score(model, [text])
+        assert names[0] == model.languages[p.argmax()] and sure[0] == pytest.approx(p.max(), rel=1e-4)
+
+
+def test_toxicity_is_the_sum_over_pairs():
+    """Terms by plain Python, pairs one by one."""
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(-0.2, rng.normal(0, 0.3, toxicity.BUCKETS).astype(np.float32), rng.normal(0, 0.2, (toxicity.BUCKETS, 3)).astype(np.float32))
+    m, prime = 2**64, 1099511628211
+    mix = lambda key: ((key ^ key >> 29) * 0xBF58476D1CE4E5B9 % m) >> 46
+    for text in ("You fool you", "short a bb ccc dddd eeeee insulting insulting", "", "é è longestwordofall"):
+        found = []
+        for w in toxicity.letters(text).split():
+            whole = sum((c + 1) * pow(prime, i, m) for i, c in enumerate(w)) % m
+            found.append(mix(whole ^ 0x9E3779B97F4A7C15))
+            for n in toxicity.BEGINNINGS:
+                if len(w) > n:
+                    key = 0
+                    for c in w[:n]:
+                        key = (key * prime + c) % m
+                    found.append(mix((key + (n << 58)) % m))
+        ids = {*found, *(mix((i + (n << 32)) % m) for i in set(found) for n in toxicity.TIMES if found.count(i) >= n)}
+        assert set(toxicity.terms(text).tolist()) == ids
+        own = sorted(ids)
+        z = model.base + sum(float(model.weights[i]) for i in own) + sum(float(model.factors[a].astype(float) @ model.factors[b].astype(float)) for k, a in enumerate(own) for b in own[:k])
+        assert toxicity.scores(model, [text])[0] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-3)
+
+
+def test_samples_are_bounded_by_rows(spark, monkeypatch):
+    """One id on most rows gives one row of the sample."""
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda texts, labels: seen.append((texts, labels)))
+    docs = spark.range(6000).selectExpr("CASE WHEN id < 5000 THEN 1 ELSE id END AS doc_id", "concat('text number ', id) AS text", "CASE WHEN id = 5999 THEN 'rare' ELSE 'en' END AS lang")
+    langid.learn(docs, sample_rows=100)
+    texts, labels = seen.pop()
+    assert 50 <= len(texts) <= 100 and "rare" in labels and sum(t in {f"text number {i}" for i in range(5000)} for t in texts) <= 1
+    monkeypatch.setattr(toxicity, "train", lambda rows, y: seen.append(y))
+    toxicity.learn(docs, docs.selectExpr("doc_id", "1 AS toxic"), sample_rows=100)
+    assert len(seen.pop()) == 100

@@ -158,3 +158,50 @@ def test_plan_of_one_hot_length():
 def test_packing_pieces_of_one_length(spark):
     df = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(512).cast("long").alias("length"))
     assert check_packing(packing.pack(df, order=("doc_id", "piece")).collect()) == 500
+
+
+def test_counts_of_random_texts():
+    """Odd spaces, the model's own space mark, accents, special strings."""
+    import random
+
+    rng = random.Random(12)
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    alphabet = [" ", "  ", "▁", "▁", "\t", "\n", " ", "　", "a", "b", "the", "word", "é", "é", "日", "🎉", "<s>", "</s>", "<unk>", "1", ".", "​", "ﬁ", "①"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(1, 8))) for _ in range(10_000)] + ["▁ ", "a▁ ", "word ▁ ", "x▁  y"]
+    counts = token_counts.Counter(PIECES).counts(texts)
+    assert [t for t, n, ids in zip(texts, counts, model.encode(texts), strict=True) if n != len(ids)] == []
+
+
+def test_packing_query_equals_library(spark, sf):
+    """Ids, pieces and checksums of every document of the query's own table."""
+    tok = tokenizers.Tokenizer.from_file(JSON)
+    wanted = set()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        starts = [0, *range((len(ids) - 1) % 1024 + 1, len(ids), 1024)]
+        for piece, (at, end) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
+            wanted.add((r["doc_id"], piece, at, end - at, zlib.crc32(array("I", ids[at:end]).tobytes())))
+    got = rows_of(queries.op2_best_fit_packing(spark, sf), "doc_id", "piece", "start", "length", "ids_crc32")
+    assert len(got) == len(wanted) and set(got) == wanted
+
+
+def test_plan_does_not_grow_with_documents():
+    import random
+
+    rng = random.Random(3)
+    share = {n: (rng.random() + 0.01) / n for n in range(1, 1024)}  # mostly short ones, as documents are
+    total = sum(share.values())
+    sizes = []
+    for pieces in (10**4, 10**7, 10**10):
+        lengths = {n: int(s / total * pieces) for n, s in share.items()}
+        runs = packing.plan(lengths)
+        assert sum(n for _, n in runs) <= 1.002 * -(-sum(n * c for n, c in lengths.items()) // 1024) + 1
+        sizes.append(len(packing.places(runs)))
+    assert max(sizes) < 12 * 1024
+
+
+def test_shares_of_one_length(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARE", 70)
+    df = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.when(F.col("id") < 900, 512).otherwise(100).cast("long").alias("length"), F.lit("x").alias("_salt"))
+    rows = packing.pack(df, order=("doc_id", "piece")).collect()
+    assert len(rows) == 1000 and check_packing(rows) == 460
