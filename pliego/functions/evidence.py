@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,12 +37,14 @@ def as_json(*columns: str | Column) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
-def fired_list(p: Params) -> Column:
-    """Aggregate: JSON array of (flag_id, nombre, peso, evidence) over rows with flag_id and evidence_json, one row a flag at most."""
-    names = F.create_map(*[F.lit(x) for k, (name, _, _) in p.weights.items() for x in (k, name)])
-    weights = F.create_map(*[F.lit(x) for k, (_, _, w) in p.weights.items() for x in (k, int(w))])
-    item = F.struct("flag_id", names[F.col("flag_id")].alias("nombre"), weights[F.col("flag_id")].alias("peso"), F.col("evidence_json").alias("evidence"))
-    return F.to_json(F.array_sort(F.collect_list(item)))
+def fired_list(found: Mapping[str, tuple[Column, Column]], p: Params) -> Column:
+    """JSON array of (flag_id, nombre, peso, evidence), in the order of the ids. found: for each flag whether it fired, and its evidence."""
+    items = []
+    for k in sorted(found):
+        fired, evidence = found[k]
+        name, _, weight = p.weights[k]
+        items.append(F.when(fired, F.struct(F.lit(k).alias("flag_id"), F.lit(name).alias("nombre"), F.lit(int(weight)).alias("peso"), evidence.alias("evidence"))))
+    return F.to_json(F.array_compact(F.array(*items)))
 
 
 def parsed(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from itertools import chain
 
 from pyspark.sql import Column
@@ -9,18 +10,30 @@ from pyspark.sql import functions as F
 
 from pliego.params import DEPARTMENT_ALIASES
 
-_ACCENTED = "áàâãäéèêëíìîïóòôõöúùûüñçÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÑÇ"
-_PLAIN = "aaaaaeeeeiiiiooooouuuuncAAAAAEEEEIIIIOOOOOUUUUNC"
-
-#: Legal forms at the end of a company's name: letters in this order, dots and spaces between them free.
-_FORMS = ["SAS", "SA", "LTDA", "EU", "SC", "SCS", "ESE", "EPS", "SPS", "IPS"]
-
-
-def _form(letters: str) -> str:
-    return letters + r"\.?" if letters == "LTDA" else r"\.?\s*".join(letters) + r"\.?"
-
-
-_FORM = r"[\s,]+(" + "|".join([*map(_form, _FORMS), r"S\s+EN\s+C\.?\s*S?\.?"]) + r")[\s.]*$"
+#: Legal forms at the end of a company's name, as patterns.
+LEGAL_FORMS = [
+    r"S\.?\s*A\.?\s*S\.?",
+    r"S\.?\s*A\.?",
+    r"S\s+EN\s+C\.?\s*S?\.?",
+    r"LTDA\.?",
+    r"E\.?\s*U\.?",
+    r"S\.?\s*C\.?\s*S?\.?",
+    r"E\.?\s*S\.?\s*E\.?",
+    r"E\.?\s*P\.?\s*S\.?",
+    r"S\.?\s*P\.?\s*S\.?",
+    r"I\.?\s*P\.?\s*S\.?",
+]
+
+
+def _base_letters() -> tuple[str, str]:
+    """All letters of the Latin blocks that decompose into a plain one and marks, and these plain ones."""
+    parts = {chr(i): unicodedata.normalize("NFD", chr(i)) for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))}
+    plain = {ch: d[0] for ch, d in parts.items() if len(d) > 1 and d[0].isascii()}
+    return "".join(plain), "".join(plain.values())
+
+
+_ACCENTED, _PLAIN = _base_letters()
+_FORM = r"[\s,]+(" + "|".join(LEGAL_FORMS) + r")[\s.]*$"
 
 
 def digits(text: Column) -> Column:

@@ -45,5 +45,5 @@ def quarantine(df: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame, D
 
 
 def sampled(df: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
-    """n rows, the same ones on every run: those whose key hashes lowest."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows, the same ones on every run and in any engine: those whose key and seed have the lowest MD5."""
+    return df.orderBy(F.md5(F.concat_ws(":", key, F.lit(seed)).cast("binary")), key).limit(n)

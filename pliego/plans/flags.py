@@ -21,6 +21,7 @@ from pliego.operators.joins import in_range, threshold
 from pliego.operators.windows import around, buckets, switches_between_days, switches_within_days
 from pliego.params import Params
 from pliego.plans.marts import Mart
+from pliego.session import cut
 
 
 @dataclass(frozen=True)
@@ -67,14 +68,15 @@ def with_registration(mart: Mart, contracts: DataFrame) -> DataFrame:
 
 
 def with_additions(mart: Mart, contracts: DataFrame) -> DataFrame:
-    """Contracts of the older platform with the sum of their additions; the others, which have none, are not joined at all."""
+    """Contracts with the sum of their additions, which those of the older platform have; contracts are read once."""
     none = F.lit(None).cast("double")
     if "stg_secop1" not in mart:
         return contracts.withColumn("added", none)
     sums = keep_latest(mart["stg_secop1"], [":id"], "valor_total_de_adiciones").select(F.col("`:id`").alias("s_id"), lenient_double(F.col("valor_total_de_adiciones")).alias("added"))
-    old = F.coalesce(F.col("source") == "SECOP1", F.lit(False))
-    joined = contracts.where(old).join(sums, F.col("row_id") == F.col("s_id"), "left").drop("s_id")
-    return contracts.where(~old).withColumn("added", none).unionByName(joined)
+    old = F.coalesce(F.col("source") == "SECOP1", F.lit(False)) & F.col("row_id").isNotNull()
+    # contracts that can have no sum get keys of their own that match none, and are spread by them
+    own = F.when(old, F.concat(F.lit("="), "row_id")).otherwise(F.concat(F.lit("-"), F.coalesce("row_id", "id_contrato", F.lit(""))))
+    return contracts.join(sums.withColumn("s_id", F.concat(F.lit("="), "s_id")), own == F.col("s_id"), "left").drop("s_id")
 
 
 def with_window(mart: Mart, contracts: DataFrame) -> DataFrame:
@@ -177,9 +179,14 @@ def f14(mart: Mart, p: Params) -> DataFrame:
     return applied(mart["fct_contrato"], rule14(p))
 
 
+def with_all(mart: Mart) -> DataFrame:
+    """Contracts with all that the row rules need: read once, and joined once with their process."""
+    return with_window(mart, with_registration(mart, with_process(mart, with_additions(mart, mart["fct_contrato"]), *PROCESS)))
+
+
 def row_flags(mart: Mart, p: Params, wanted: Sequence[str] = tuple(ROW_RULES), fired_only: bool = False) -> DataFrame:
     """All flags that a row decides, in the long shape: contracts are read and joined with their process once for all of them."""
-    rows = with_window(mart, with_registration(mart, with_process(mart, with_additions(mart, mart["fct_contrato"]), *PROCESS)))
+    rows = with_all(mart)
     rules = {flag_id: ROW_RULES[flag_id](p) for flag_id in wanted}
     tested = rows.withColumns({f"_on_{k}": r.applies for k, r in rules.items()} | {f"_fired_{k}": r.fires for k, r in rules.items()})
     found = []
@@ -200,6 +207,7 @@ def f04(mart: Mart, p: Params) -> DataFrame:
     own = own.agg(F.sum(F.when(F.col("modalidad_norm") == p.direct, F.col("valor_contrato"))).alias("_direct"), F.sum("valor_contrato").alias("_all"), F.count("*").alias("n_contratos"))
     dim = mart["dim_entidad"].select("nit_entidad_norm", "nombre_entidad", *peers).dropna(subset=peers)
     share = own.where(F.col("n_contratos") >= p.direct_min_contracts).join(dim, "nit_entidad_norm").withColumn("share_directa", ratio(F.coalesce("_direct", F.lit(0.0)), F.col("_all")))
+    share = cut(share)  # a row for each entity, read twice
     stats = share.groupBy(*peers).agg(F.avg("share_directa").alias("mean_share_peers"), F.stddev_pop("share_directa").alias("sd_share_peers"), F.count("*").alias("n_peers"))
     rows = share.join(stats.where(F.col("n_peers") >= p.direct_min_peers), peers)
     rows = rows.withColumn("z_score", ratio(F.col("share_directa") - F.col("mean_share_peers"), F.col("sd_share_peers"))).where(F.col("z_score").isNotNull())
@@ -242,7 +250,7 @@ def f11(mart: Mart, p: Params) -> DataFrame:
 
     Sanctions meet each (supplier, day of signature) once, not each contract.
     """
-    rows = mart["fct_contrato"].where(keyed(F.col("doc_proveedor_norm")))
+    rows = cut(mart["fct_contrato"].where(keyed(F.col("doc_proveedor_norm"))).select("id_contrato", "doc_proveedor_norm", "fecha_firma"))
     days = rows.select("doc_proveedor_norm", "fecha_firma").distinct()
     given = mart["sanciones"].groupBy(F.col("doc_norm").alias("doc_proveedor_norm"), "fecha_sancion", "fuente").agg(F.count("*").alias("_n"))
     before = F.col("fecha_sancion") < F.col("fecha_firma")
@@ -261,11 +269,12 @@ def f12(mart: Mart, p: Params) -> DataFrame:
     """Concentration: in a year, an entity's largest supplier takes most of its value, or lives off this entity. One row per entity and year."""
     c = F.col
     rows = mart["fct_contrato"].where(c("valor_contrato").isNotNull() & c("anio").isNotNull())
+    rows = cut(rows.groupBy("nit_entidad_norm", "doc_proveedor_norm", "anio").agg(F.sum("valor_contrato").alias("_value"), F.count("*").alias("_n")))
     of_entity, of_supplier = keyed(c("nit_entidad_norm")), keyed(c("doc_proveedor_norm"))
-    sums = lambda name, n: (F.sum("valor_contrato").alias(name), F.count("*").alias(n))
+    sums = lambda name, n: (F.sum("_value").alias(name), F.sum("_n").alias(n))
     entity = rows.where(of_entity).groupBy("nit_entidad_norm", "anio").agg(*sums("_entity", "n_contratos_entidad_anual")).where(c("n_contratos_entidad_anual") >= p.concentration_min_contracts)
     supplier = rows.where(of_supplier).groupBy("doc_proveedor_norm", "anio").agg(*sums("_supplier", "n_contratos_proveedor_anual"))
-    pair = rows.where(of_entity & of_supplier).groupBy("nit_entidad_norm", "doc_proveedor_norm", "anio").agg(F.sum("valor_contrato").alias("_pair"))
+    pair = rows.where(of_entity & of_supplier).select("nit_entidad_norm", "doc_proveedor_norm", "anio", c("_value").alias("_pair"))
     top = keep_first(pair.join(entity, ["nit_entidad_norm", "anio"]), ["nit_entidad_norm", "anio"], [c("_pair").desc(), c("doc_proveedor_norm")])
     top = top.join(supplier, ["doc_proveedor_norm", "anio"]).withColumns({"share": ratio(c("_pair"), c("_entity")), "dependence": ratio(c("_pair"), c("_supplier"))})
     captured = F.coalesce(c("share") > p.entity_share, F.lit(False))
@@ -308,6 +317,40 @@ def run(mart: Mart, p: Params | None = None, level: str = "contract", fired_only
     return reduce(DataFrame.unionByName, parts)
 
 
+def level_flags(p: Params, level: str) -> dict[str, int]:
+    """The flags of a level and the bit that stands for each."""
+    return {k: 1 << i for i, k in enumerate(k for k, (_, of, _) in p.weights.items() if of == level)}
+
+
+def folded_rows(long: DataFrame, p: Params, level: str) -> DataFrame:
+    """Rows in the long shape as rows of `folded`."""
+    bits = level_flags(p, level)
+    is_flag = lambda k: F.col("flag_id") == k
+    bit = reduce(lambda rest, k: F.when(is_flag(k), F.lit(bits[k])).otherwise(rest), bits, F.lit(0))
+    evidence = [F.when(is_flag(k) & F.col("fired"), F.col("evidence_json")).alias(f"evidence_{k}") for k in bits]
+    return long.where(F.col("flag_id").isin(*bits)).select("key", bit.alias("on"), F.when(F.col("fired"), bit).otherwise(0).alias("fired"), *evidence)
+
+
+def folded(mart: Mart, p: Params | None = None, level: str = "contract") -> DataFrame:
+    """All flags of a level as scores need them: key, bits of the flags that apply (on) and fired, and the evidence of each that fired.
+
+    A contract's row rules are one row; other flags add rows of their own. A plan that needs no evidence computes none.
+    """
+    p = p or Params()
+    bits = level_flags(p, level)
+    own = [k for k in bits if k in FLAGS]
+    rules = {k: ROW_RULES[k](p) for k in own if k in ROW_RULES}
+    parts = []
+    if rules:
+        on = {k: _yes(r.applies) for k, r in rules.items()}
+        fired = {k: on[k] & _yes(r.fires) for k, r in rules.items()}
+        total = lambda marks: reduce(Column.__add__, [F.when(m, F.lit(bits[k])).otherwise(0) for k, m in marks.items()])
+        evidence = [F.when(fired[k], as_json(*[c.alias(n) for n, c in rules[k].evidence.items()])) if k in rules else F.lit(None).cast("string") for k in bits]
+        parts = [with_all(mart).select(contract_key(), total(on).alias("on"), total(fired).alias("fired"), *[e.alias(f"evidence_{k}") for k, e in zip(bits, evidence, strict=True)]).where("on != 0")]
+    parts += [folded_rows(long_rows(k, FLAGS[k](mart, p), fired_only=True), p, level) for k in own if k not in ROW_RULES]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def summary(long: DataFrame, p: Params | None = None) -> DataFrame:
     """flag_id, nombre, nivel, population, fired, rate_pct."""
     p = p or Params()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pliego.functions.casts import keyed, lenient_date, lenient_double, lenient_int, present, truth
 from pliego.functions.text import digits, name_key, natural_person, strict_name_key, unspsc_segment
-from pliego.operators.dedup import keep_latest, mode_per_key
+from pliego.operators.dedup import keep_latest
 from pliego.operators.joins import lookup
 from pliego.operators.profiles import quarantine
 from pliego.params import ELECTION_WINDOWS, MINIMUM_WAGE, MODALITIES
@@ -157,12 +157,17 @@ def processes(staged_rows: DataFrame, mart: Mart) -> DataFrame:
 
 
 def _dimension(fct: DataFrame, key: str, modes: dict[str, bool]) -> DataFrame:
-    """key, each column's most frequent value (True: null counts too), n_contratos and valor_total."""
-    used = fct.where(keyed(F.col(key)))
-    out = used.groupBy(key).agg(F.count("*").alias("n_contratos"), F.sum("valor_contrato").alias("valor_total"))
-    for col, nulls in modes.items():
-        out = out.join(mode_per_key(used, [key], col, nulls), key, "left")
-    return out
+    """key, each column's most frequent value (True: null counts too), n_contratos and valor_total, from one pass over the facts.
+
+    Values are counted by (key, column, value) before any key's rows meet. Ties go to the smaller value, null after all others.
+    """
+    columns = F.array(*[F.struct(F.lit(i).alias("which"), F.col(c).alias("value")) for i, c in enumerate(modes)])
+    tall = fct.where(keyed(F.col(key))).select(key, "valor_contrato", F.explode(columns).alias("_x")).select(key, "valor_contrato", "_x.*")
+    counted = tall.groupBy(key, "which", "value").agg(F.count("*").alias("_n"), F.sum("valor_contrato").alias("_v"))
+    first = F.struct((-F.col("_n")).alias("n"), F.col("value").isNull().alias("null"), "value")
+    best = [F.min(F.when((F.col("which") == i) & (F.lit(nulls) | F.col("value").isNotNull()), first))["value"].alias(c) for i, (c, nulls) in enumerate(modes.items())]
+    once = F.col("which") == 0
+    return counted.groupBy(key).agg(*best, F.sum(F.when(once, F.col("_n"))).alias("n_contratos"), F.sum(F.when(once, F.col("_v"))).alias("valor_total"))
 
 
 def entities(fct: DataFrame) -> DataFrame:

@@ -21,22 +21,20 @@ from pliego.session import cut
 CONTRACT = ["id_contrato", "nit_entidad_norm", "nombre_entidad", "doc_proveedor_norm", "nombre_proveedor", "cod_dpto", "cod_mpio", "valor_contrato", "fecha_firma", "anio", "urlproceso", "source"]
 
 
-def per_key(long: DataFrame, p: Params, level: str) -> DataFrame:
-    """key, n_flags_aplicables, n_flags_disparados, score, flags_disparados from flag rows, which are read twice (a written table).
+def per_key(found: DataFrame, p: Params, level: str) -> DataFrame:
+    """key, n_flags_aplicables, n_flags_disparados, score, flags_disparados from folded flags, or from rows of a flag table.
 
-    A key's rows of one flag count once, as fired if any has; the evidence is that of a fired row, the largest as text. Flags are
-    folded as bits of two numbers, so that rows are combined before they are shuffled; only rows that fired are read for evidence.
+    A key's rows of one flag count once, as fired if any has; the evidence is that of a fired row, the largest as text. All flags
+    of a key come from one aggregation, which combines rows before they are shuffled.
     """
-    weights = {k: int(w) for k, (_, of, w) in p.weights.items() if of == level}
-    used = long.where(F.col("flag_id").isin(*weights))
-    bit = {k: 1 << i for i, k in enumerate(weights)}
-    own = F.create_map(*[F.lit(x) for pair in bit.items() for x in pair])[F.col("flag_id")]
-    once = used.groupBy("key").agg(F.bit_or(own).alias("_on"), F.bit_or(F.when(F.col("fired"), own).otherwise(0)).alias("_fired"))
-    total = lambda c: reduce(Column.__add__, [F.when(F.col(c).bitwiseAND(F.lit(bit[k])) != 0, F.lit(w)).otherwise(0) for k, w in weights.items()])
-    found = used.where("fired").groupBy("key", "flag_id").agg(F.max("evidence_json").alias("evidence_json"))
-    listed = found.groupBy("key").agg(fired_list(p).alias("flags_disparados"))
-    scored = once.select("key", F.bit_count("_on").cast("long").alias("n_flags_aplicables"), F.bit_count("_fired").cast("long").alias("n_flags_disparados"), ratio(total("_fired") * 100.0, total("_on")).alias("score"))
-    return scored.join(listed, "key", "left")
+    found = flags.folded_rows(found, p, level) if "flag_id" in found.columns else found
+    bits, weights = flags.level_flags(p, level), {k: int(w) for k, (_, _, w) in p.weights.items()}
+    evidence = [F.max(f"evidence_{k}").alias(f"evidence_{k}") for k in bits]
+    once = found.groupBy("key").agg(F.bit_or("on").alias("on"), F.bit_or("fired").alias("fired"), *evidence)
+    has = lambda c, k: F.col(c).bitwiseAND(F.lit(bits[k])) != 0
+    total = lambda c: reduce(Column.__add__, [F.when(has(c, k), F.lit(weights[k])).otherwise(0) for k in bits])
+    listed = fired_list({k: (has("fired", k), F.col(f"evidence_{k}")) for k in bits}, p)
+    return once.select("key", F.bit_count("on").cast("long").alias("n_flags_aplicables"), F.bit_count("fired").cast("long").alias("n_flags_disparados"), ratio(total("fired") * 100.0, total("on")).alias("score"), listed.alias("flags_disparados"))
 
 
 def _with_flags(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
@@ -44,11 +42,11 @@ def _with_flags(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
     return joined.fillna(0, ["n_flags_aplicables", "n_flags_disparados"]).fillna("[]", ["flags_disparados"])
 
 
-def contract_scores(mart: Mart, long: DataFrame, p: Params | None = None) -> DataFrame:
+def contract_scores(mart: Mart, found: DataFrame, p: Params | None = None) -> DataFrame:
     """contrato_score: each contract id once, its latest row; null where no flag applies."""
     p = p or Params()
     rows = keep_latest(mart["fct_contrato"], ["id_contrato"], "fecha_firma", "row_id").select(*CONTRACT)
-    return _with_flags(rows, "id_contrato", per_key(long, p, "contract")).withColumn("tier", tier(F.col("score"), p))
+    return _with_flags(rows, "id_contrato", per_key(found, p, "contract")).withColumn("tier", tier(F.col("score"), p))
 
 
 def _level_means(rows: DataFrame, keys: list[str], value: str, weight: str) -> tuple[DataFrame, DataFrame]:
@@ -71,11 +69,11 @@ def _shrunk(rows: DataFrame, raw: str, n: str, p: Params, compat: bool) -> DataF
     return rows.withColumns({"tier": tier(F.col("score"), p), "datos_insuficientes": F.col(n) < p.min_contracts}).drop("group_mean", "national_mean")
 
 
-def entity_scores(mart: Mart, contract_score: DataFrame, long: DataFrame, p: Params | None = None, compat: bool = False) -> DataFrame:
+def entity_scores(mart: Mart, contract_score: DataFrame, found: DataFrame, p: Params | None = None, compat: bool = False) -> DataFrame:
     """entidad_score: contracts' value-weighted mean and the entity's own flags, drawn to the department's mean."""
     p = p or Params()
     own = contract_score.where(keyed(F.col("nit_entidad_norm")) & F.col("score").isNotNull()).groupBy("nit_entidad_norm").agg(weighted_mean(F.col("score"), F.col("valor_contrato")).alias("contract_component"))
-    own_flags = per_key(long, p, "entity").withColumnRenamed("score", "entity_component")
+    own_flags = per_key(found, p, "entity").withColumnRenamed("score", "entity_component")
     rows = mart["dim_entidad"].select("nit_entidad_norm", "nombre_entidad", "cod_dpto", "cod_mpio", "n_contratos", "valor_total").join(own, "nit_entidad_norm", "left")
     rows = _with_flags(rows, "nit_entidad_norm", own_flags)
     rows = rows.withColumn("combined_raw_score", combined(F.col("contract_component"), F.col("entity_component"), p.total_weight("contract"), p.total_weight("entity")))
@@ -123,19 +121,17 @@ def distribution(scores: DataFrame, shares: Sequence[float] = (0.5, 0.75, 0.9, 0
     return percentiles(scores, "score", shares)
 
 
-def run(mart: Mart, p: Params | None = None, fired_only: bool = False) -> Mart:
-    """The mart with flag and score tables. Flags and contract scores, which other tables build on, are computed once and written.
-
-    fired_only: flag tables hold evidence only where a flag fired.
+def run(mart: Mart, p: Params | None = None) -> Mart:
+    """The mart with flag and score tables. Contract scores, which other tables build on, are computed once and written; flag
+    tables are plans, computed if they are used.
     """
     p = p or Params()
-    flag_contrato, flag_entidad = (cut(flags.run(mart, p, level, fired_only)) for level in ("contract", "entity"))
-    contract = cut(contract_scores(mart, flag_contrato, p))
+    contract = cut(contract_scores(mart, flags.folded(mart, p), p))
     return mart | {
-        "flag_contrato": flag_contrato,
-        "flag_entidad": flag_entidad,
+        "flag_contrato": flags.run(mart, p, "contract"),
+        "flag_entidad": flags.run(mart, p, "entity"),
         "contrato_score": contract,
-        "entidad_score": entity_scores(mart, contract, flag_entidad, p),
+        "entidad_score": entity_scores(mart, contract, flags.folded(mart, p, "entity"), p),
         "municipio_score": municipality_scores(mart, contract, p),
         "proveedor_score": supplier_scores(mart, contract, p),
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pliego import testdata
+from pliego import rawdata, testdata
 from pliego.operators.ranking import auc, ordinal_rank, precision_at
 from pliego.plans import backtest, enrichment, exports, flags, marts, quality, scoring
 from pliego.plans.marts import Mart
@@ -17,7 +17,7 @@ P = testdata.PARAMS
 
 
 def scored(spark: SparkSession, sf_dir: str) -> Mart:
-    return scoring.run(testdata.mart(spark, sf_dir, written=True), P, fired_only=True)
+    return scoring.run(testdata.mart(spark, sf_dir, written=True), P)
 
 
 # Flags
@@ -114,7 +114,7 @@ _SCORED = ["id_contrato", "valor_contrato", "fecha_firma", "anio", "n_flags_apli
 @query(sql(f"SELECT {', '.join(_SCORED)} FROM (SELECT * REPLACE (round(score, 6) AS score) FROM contrato_score)"))
 def score_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = testdata.mart(spark, sf_dir, written=True)
-    return rounded(scoring.contract_scores(m, cut(flags.run(m, P, fired_only=True)), P).select(*_SCORED), "score")
+    return rounded(scoring.contract_scores(m, flags.folded(m, P), P).select(*_SCORED), "score")
 
 
 @query(sql("SELECT id_contrato, flag_id, peso FROM (SELECT key AS id_contrato, flag_id, bool_or(fired) AS fired FROM flag_contrato GROUP BY ALL) JOIN (VALUES " + ", ".join(f"('{k}', {w})" for k, (_, _, w) in P.weights.items()) + ") AS w(flag_id, peso) USING (flag_id) WHERE fired"))
@@ -301,24 +301,20 @@ def supplier_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as raw text rows in two part files, some values and dates spoilt."""
+    """Line items as raw text rows of many part files, some ids in several of them, some values and dates spoilt."""
     c = F.col
     value = F.when(c("l_partkey") % 50 == 0, "INVALID").when(c("l_partkey") % 50 == 1, "").when(c("l_partkey") % 50 == 2, "5d").otherwise(c("l_quantity").cast("int").cast("string"))
     date = F.when(c("l_partkey") % 40 == 3, "NOT-A-DATE").when(c("l_partkey") % 40 == 4, "2023").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd'T'00:00:00.000"))
-    part = F.when(c("l_linenumber") < 5, "part-00000.parquet").otherwise("part-refresh-00000.parquet")
-    return testdata.table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_partkey").alias(":id"), value.alias("valor_del_contrato"), date.alias("fecha_de_firma"), part.alias("file_name"), c("l_suppkey"))
+    return testdata.table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", c("l_linenumber") % 5).alias(":id"), value.alias("valor_del_contrato"), date.alias("fecha_de_firma"), rawdata.file_name().alias("file_name"), c("l_suppkey"))
 
 
-_raw = "(SELECT l_orderkey || '-' || l_partkey AS id, CASE l_partkey % 50 WHEN 0 THEN 'INVALID' WHEN 1 THEN '' WHEN 2 THEN '5d' ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS v, CASE l_partkey % 40 WHEN 3 THEN 'NOT-A-DATE' WHEN 4 THEN '2023' ELSE strftime(l_shipdate, '%Y-%m-%dT00:00:00.000') END AS d, CASE WHEN l_linenumber < 5 THEN 'part-00000.parquet' ELSE 'part-refresh-00000.parquet' END AS f FROM lineitem)"
+_raw = "(SELECT concat_ws('-', l_orderkey, l_linenumber % 5) AS id, CASE l_partkey % 50 WHEN 0 THEN 'INVALID' WHEN 1 THEN '' WHEN 2 THEN '5d' ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS v, CASE l_partkey % 40 WHEN 3 THEN 'NOT-A-DATE' WHEN 4 THEN '2023' ELSE strftime(l_shipdate, '%Y-%m-%dT00:00:00.000') END AS d, concat_ws('-', 'part', l_linenumber, lpad(CAST(l_partkey AS VARCHAR), 9, '0'), lpad(CAST(l_suppkey AS VARCHAR), 9, '0'), strftime(l_shipdate, '%Y%m%d')) AS f FROM lineitem)"
 _bad = "SELECT id, CASE WHEN TRY_CAST(v AS DOUBLE) IS NULL AND trim(v) <> '' THEN 'bad_valor_del_contrato' WHEN TRY_CAST(d AS DATE) IS NULL AND trim(d) <> '' THEN 'bad_fecha_de_firma' END AS reason, v, d FROM staged"
 
 
-@query(f"WITH staged AS (SELECT id, max(v) AS v, max(d) AS d FROM {_raw} GROUP BY id HAVING count(*) = 1) SELECT reason, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM staged), 6) AS pct FROM ({_bad}) WHERE reason IS NOT NULL GROUP BY 1")
+@query(f"WITH staged AS (SELECT * FROM {_raw} QUALIFY row_number() OVER (PARTITION BY id ORDER BY f DESC) = 1) SELECT reason, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM staged), 6) AS pct FROM ({_bad}) WHERE reason IS NOT NULL GROUP BY 1")
 def quarantine_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over ids with one raw row, as several in one part are told apart by nothing."""
-    raw = raw_contracts(spark, sf_dir)
-    once = raw.join(raw.groupBy(":id").count().where("count = 1"), ":id", "left_semi")
-    staged = marts.staged(once)
+    staged = marts.staged(raw_contracts(spark, sf_dir))
     bad, _ = marts.split_bad(staged)
     return rounded(quality.quarantined(bad, staged).drop("source"), "pct")
 

@@ -65,7 +65,7 @@ FROM orders JOIN (VALUES (0), (1)) AS t(copy) ON copy = 0 OR o_orderkey % 3 = 0"
     "dim_proveedor": """
 SELECT doc_proveedor_norm, min(nombre_proveedor) AS nombre_proveedor, CASE WHEN length(doc_proveedor_norm) <= 8 THEN true END AS es_persona_natural, count(*) AS n_contratos, sum(valor_contrato) AS valor_total, DATE '1994-12-01' + CAST(doc_proveedor_norm AS INTEGER) * 23 AS fecha_matricula
 FROM fct_contrato WHERE doc_proveedor_norm <> '' GROUP BY 1""",
-    "sanciones": "SELECT CAST(user_id AS VARCHAR) AS doc_norm, ['CGR', 'MULTA_SECOP1', 'MULTA_SECOP2', 'SIRI'][user_id % 4 + 1] AS fuente, DATE '1995-01-01' + CAST(event_id * 37 % 2400 AS INTEGER) AS fecha_sancion FROM events WHERE event_type = 'error' AND event_id % 20 = 0",
+    "sanciones": "SELECT CAST(user_id * 20 + event_id % 20 AS VARCHAR) AS doc_norm, ['CGR', 'MULTA_SECOP1', 'MULTA_SECOP2', 'SIRI'][user_id % 4 + 1] AS fuente, DATE '1995-01-01' + CAST(event_id * 37 % 2400 AS INTEGER) AS fecha_sancion FROM events WHERE event_type = 'error'",
     "divipola": f"SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS cod_dpto, n_name AS dpto, c_mktsegment AS cod_mpio, c_mktsegment AS municipio, {_name('n_name')} AS dpto_norm, {_name('c_mktsegment')} AS mpio_norm FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "ref_smmlv": "SELECT CAST(y AS INTEGER) AS year, CAST(1000 AS BIGINT) AS value_cop FROM range(1990, 2006) AS t(y)",
     "ref_ventanas": "SELECT window_id, tipo, CAST(inicio AS DATE) AS inicio, CAST(fin AS DATE) AS fin FROM (VALUES " + ", ".join(str(w) for w in WINDOWS) + ") AS t(window_id, tipo, inicio, fin)",

@@ -35,6 +35,10 @@ def _modality() -> Column:
     return out
 
 
+def _row_id() -> Column:
+    return F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _day("l_shipdate"))
+
+
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda name: table(spark, sf_dir, name)
     rows = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -43,7 +47,7 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     modality = _modality()
     return rows.select(
         F.when(c("l_linenumber") == 7, "SECOP1").otherwise("SECOP2").alias("source"),
-        F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _day("l_shipdate")).alias("row_id"),
+        _row_id().alias("row_id"),
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id_contrato"),
         c("l_orderkey").cast("string").alias("proceso_de_compra"),
         c("o_custkey").cast("string").alias("nit_entidad_norm"),
@@ -90,10 +94,11 @@ def processes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sanctions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("event_type = 'error' AND event_id % 20 = 0")
+    rows = table(spark, sf_dir, "events").where("event_type = 'error'")
+    document = F.col("user_id") * 20 + F.col("event_id") % 20  # many documents, so that few contracts meet a sanction
     sources = F.array(*[F.lit(s) for s in ("CGR", "MULTA_SECOP1", "MULTA_SECOP2", "SIRI")])
     date = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("event_id") * 37 % 2400).cast("int"))
-    return rows.select(F.col("user_id").cast("string").alias("doc_norm"), F.get(sources, (F.col("user_id") % 4).cast("int")).alias("fuente"), date.alias("fecha_sancion"))
+    return rows.select(document.cast("string").alias("doc_norm"), F.get(sources, (F.col("user_id") % 4).cast("int")).alias("fuente"), date.alias("fecha_sancion"))
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,9 +110,8 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mart(spark: SparkSession, sf_dir: str, written: bool = False) -> Mart:
-    """The mart over sf_dir. written: facts and dimensions, which many flags and scores read, are built once and written."""
-    keep = cut if written else lambda df: df
-    fct = keep(contracts(spark, sf_dir))
+    """The mart over sf_dir. written: the facts, which many flags and scores read, are built once and written."""
+    fct = cut(contracts(spark, sf_dir)) if written else contracts(spark, sf_dir)
     places = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment").distinct().join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     windows = spark.createDataFrame(WINDOWS, "window_id string, tipo string, inicio string, fin string")
     suppliers = marts.suppliers(fct)
@@ -115,9 +119,9 @@ def mart(spark: SparkSession, sf_dir: str, written: bool = False) -> Mart:
     return {
         "fct_contrato": fct,
         "fct_proceso": processes(spark, sf_dir),
-        "stg_secop1": fct.where("source = 'SECOP1'").select(F.col("row_id").alias(":id"), (F.col("dias_adicionados") * 1000).cast("string").alias("valor_total_de_adiciones")),
-        "dim_entidad": keep(marts.entities(fct)),
-        "dim_proveedor": keep(suppliers.withColumn("fecha_matricula", registered)),
+        "stg_secop1": table(spark, sf_dir, "lineitem").where("l_linenumber = 7").select(_row_id().alias(":id"), (F.col("l_quantity").cast("int") * 1000).cast("string").alias("valor_total_de_adiciones")),
+        "dim_entidad": marts.entities(fct),
+        "dim_proveedor": suppliers.withColumn("fecha_matricula", registered),
         "sanciones": sanctions(spark, sf_dir),
         "divipola": places.select(F.col("c_nationkey").cast("string").alias("cod_dpto"), F.col("n_name").alias("dpto"), F.col("c_mktsegment").alias("cod_mpio"), F.col("c_mktsegment").alias("municipio"), name_key(F.col("n_name")).alias("dpto_norm"), name_key(F.col("c_mktsegment")).alias("mpio_norm")),
         "ref_smmlv": spark.range(1990, 2006).select(F.col("id").cast("int").alias("year"), F.lit(1000).cast("long").alias("value_cop")),
