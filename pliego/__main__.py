@@ -53,7 +53,7 @@ def main(argv: list[str] | None = None) -> None:
     else:
         mart = scoring.run(mart)
         if a.step == "export":
-            exports.run(mart, a.out)
+            exports.run(mart, a.out, metrics=backtest.summed(backtest.run(mart)))
         else:
             marts.saved(backtest.run(mart) if a.step == "backtest" else {k: mart[k] for k in WRITTEN[a.step]}, a.out)
 

@@ -110,14 +110,29 @@ def humanised(identifier: Column) -> Column:
     return F.initcap(F.replace(identifier, F.lit("_"), F.lit(" ")))
 
 
+def decimals(number: Column, most: int, least: int = 0) -> Column:
+    """A number with a comma before its decimals and dots between thousands; zeros beyond `least` decimals are left out."""
+    text = F.translate(F.format_number(number, most), ".,", ",.")
+    return F.regexp_replace(F.regexp_replace(text, rf"(,[0-9]{{{least}}}[0-9]*?)0+$", "$1"), ",$", "")
+
+
+def percent(amount: Column, digits: int = 1) -> Column:
+    return F.concat(decimals(amount, digits, digits), F.lit("%"))
+
+
+def spanish_date(iso: Column) -> Column:
+    """2023-05-01 -> 1 de mayo de 2023; what is no date stays as it is."""
+    months = F.array(*[F.lit(m) for m in "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()])
+    day = F.substring(iso, 1, 10).try_cast("date")
+    return F.coalesce(F.concat(F.dayofmonth(day).cast("string"), F.lit(" de "), F.element_at(months, F.month(day)), F.lit(" de "), F.year(day).cast("string")), iso)
+
+
 def pesos(amount: Column) -> Column:
     """An amount in the long scale: billones, miles de millones, millones, or whole pesos with dots."""
-    def short(unit: float, name: str) -> Column:
-        return F.concat(F.lit("$ "), F.translate(F.format_number(amount / unit, 1), ".,", ",."), F.lit(f" {name}"))
-
     size = F.abs(amount)
-    whole = F.concat(F.lit("$ "), F.translate(F.format_number(amount, 0), ",", "."))
-    return F.when(size >= 1e12, short(1e12, "billones")).when(size >= 1e9, short(1e9, "mil millones")).when(size >= 1e6, short(1e6, "millones")).otherwise(whole)
+    short = lambda unit, name: F.concat(decimals(size / unit, 1, 1), F.lit(f" {name}"))
+    text = F.when(size >= 1e12, short(1e12, "billones")).when(size >= 1e9, short(1e9, "mil millones")).when(size >= 1e6, short(1e6, "millones")).otherwise(decimals(size, 0))
+    return F.concat(F.when(amount < 0, F.lit("-")).otherwise(""), F.lit("$"), text)
 
 
 def file_name(url: Column) -> Column:

@@ -13,6 +13,7 @@ from pliego.functions.text import name_key
 from pliego.operators.joins import SMALL_ROWS, exists_marker, small
 from pliego.operators.ranking import auc, percent_rank, precision_at
 from pliego.plans.marts import Mart
+from pliego.session import cut
 
 CASES = "slug string, nombre string, first int, last int, entity_patterns array<string>, entity_names array<string>, supplier_names array<string>"
 
@@ -108,7 +109,20 @@ def targets(auc_value: float | None, lift: float | None, summary: Sequence[bool
 
 
 def run(mart: Mart, cases: DataFrame | None = None) -> Mart:
-    """AUC, precision, and where given, cases and facts, as tables."""
-    by_auc, by_k = metrics(labels(mart["contrato_score"], mart["sanciones"]))
+    """AUC, precision, whether the targets are reached, facts, and where given, cases, as tables."""
+    by_auc, by_k = (cut(df) for df in metrics(labels(mart["contrato_score"], mart["sanciones"])))
     out = {"auc": by_auc, "precision": by_k, "facts": fact_matches(mart["monitor_ciudadano_hechos"], mart["contrato_score"], mart["divipola"])}
-    return out | ({"cases": case_summary(mart["contrato_score"], small(cases))} if cases is not None else {})
+    found: list[bool | None] = []
+    if cases is not None:
+        out["cases"] = cut(case_summary(mart["contrato_score"], small(cases)))
+        found = [r["top_quartile_reached"] for r in out["cases"].collect()]  # a row for each case, which are few
+    lift = {r["name"]: r["lift"] for r in by_k.collect()}.get("top_10%")  # a row for each k
+    reached = targets(by_auc.first()["auc"], lift, found)
+    return out | {"targets": by_auc.sparkSession.createDataFrame(list(reached.items()), "target string, reached boolean")}
+
+
+def summed(found: Mart) -> dict:
+    """What the catalogue of the artifacts says of a run's tables."""
+    reached = {r["target"]: r["reached"] for r in found["targets"].collect()}
+    auc_row = found["auc"].first()
+    return {"auc": auc_row["auc"], "n": auc_row["n"], "n_pos": auc_row["n_pos"], "auc_reached": reached["auc"], "lift_reached": reached["lift"]}

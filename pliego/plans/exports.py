@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +13,11 @@ from pliego.functions.evidence import parsed
 from pliego.functions.numbers import weighted_mean
 from pliego.functions.text import padded
 from pliego.operators.dedup import keep_latest, top_per_group
+from pliego.operators.joins import small
 from pliego.params import Params
 from pliego.plans.marts import Mart
-from pliego.sinks.artifacts import write_chunks
+from pliego.session import cut
+from pliego.sinks.artifacts import chunk_json, chunked, compact, publish
 
 TOP_CASES, TOP_RECENT, TOP_ENTITIES, TOP_PER_DEPARTMENT, CHUNK = 2500, 1000, 300, 50, 500
 
@@ -82,13 +86,15 @@ def department_details(mart: Mart, p: Params | None = None, top: int = TOP_PER_D
     rows = departments(scores, mart["divipola"], p)
     for part in (places, entities, years):
         rows = rows.join(part, "cod_dpto", "left")
-    return rows.withColumn("cod_dpto", padded(F.col("cod_dpto"), 2))
+    kinds = dict(rows.dtypes)
+    whole = {c: F.coalesce(c, F.array().cast(kinds[c])) for c in ("municipios", "top_entidades", "serie_anio")}  # none is an empty list
+    return rows.withColumns(whole | {"cod_dpto": padded(F.col("cod_dpto"), 2)})
 
 
 def _shown(rows: DataFrame, mart: Mart) -> DataFrame:
     """Listed contracts with the names of their places and their modality. rows: a bounded list."""
     place = mart["divipola"].groupBy("cod_dpto", "cod_mpio").agg(F.min("municipio").alias("municipio"))
-    wanted = mart["fct_contrato"].join(F.broadcast(rows.select("id_contrato")), "id_contrato", "left_semi")  # the list is limited by its caller
+    wanted = mart["fct_contrato"].join(small(rows.select("id_contrato")), "id_contrato", "left_semi")
     modality = keep_latest(wanted, ["id_contrato"], "fecha_firma", "row_id").select("id_contrato", F.col("modalidad_norm").alias("modalidad"))
     named = rows.join(modality, "id_contrato").join(department_names(mart["divipola"]), "cod_dpto", "left").join(place, ["cod_dpto", "cod_mpio"], "left")
     return named.select(
@@ -169,11 +175,88 @@ def meta(p: Params, chunks: dict[str, int], generated: str, metrics: dict | None
     }
 
 
-def run(mart: Mart, out: str, chunk: int = CHUNK, today: str | None = None) -> None:
-    """Both lists of contracts as chunks below out."""
-    write_chunks(priority_cases(mart), f"{out}/casos_prioritarios", chunk, by_score())
-    write_chunks(recent_contracts(mart, today=today), f"{out}/contratos_recientes", chunk, by_date())
-    department_details(mart).write.mode("overwrite").json(f"{out}/departamentos")
-    top_entities(mart).write.mode("overwrite").json(f"{out}/entidades_top")
-    top_suppliers(mart["proveedor_score"]).write.mode("overwrite").json(f"{out}/proveedores_top")
-    kpis(mart["contrato_score"], mart["fct_contrato"]).write.mode("overwrite").json(f"{out}/resumen_nacional")
+_ID = {"type": "string"}
+_COUNT = {"type": "integer", "minimum": 0}
+_AMOUNT = {"type": ["number", "null"]}
+_SCORE = {"type": ["number", "null"], "minimum": 0, "maximum": 100}
+_TIER = {"enum": ["bajo", "medio", "alto", "critico", None]}
+_CONTRACT = {"type": "object", "required": ["id_contrato", "score", "tier", "banderas", "fecha_firma", "valor_contrato"], "properties": {"id_contrato": _ID, "score": _SCORE, "tier": _TIER, "banderas": {"type": "array"}, "n_flags_disparados": _COUNT, "n_flags_aplicables": _COUNT}}
+_CHUNK = {"type": "object", "required": ["chunk_index", "n_chunks", "n_items_total", "items"], "properties": {"chunk_index": _COUNT, "n_chunks": {"type": "integer", "minimum": 1}, "n_items_total": _COUNT, "items": {"type": "array", "items": _CONTRACT}}}
+_RANKED = {"type": "object", "required": ["score", "tier"], "properties": {"score": _SCORE, "tier": _TIER, "n_contratos": _COUNT}}
+_LIST = {"type": "object", "required": ["n_items", "items"], "properties": {"n_items": _COUNT, "items": {"type": "array", "items": _RANKED}}}
+_PLACE = {"type": "object", "required": ["cod_dpto", "dpto", "n_contratos", "valor_total"], "properties": {"cod_dpto": _ID, "n_contratos": _COUNT, "valor_total": _AMOUNT, "score_promedio": _SCORE, "municipios": {"type": "array", "items": _RANKED}, "top_entidades": {"type": "array", "items": _RANKED}, "serie_anio": {"type": "array"}}}
+_YEAR = {"type": "object", "required": ["anio", "n_contratos"], "properties": {"anio": {"type": "integer"}, "n_contratos": _COUNT}}
+
+#: What each kind of artifact has to look like.
+ARTIFACT_SCHEMAS = {
+    "casos_prioritarios": _CHUNK,
+    "contratos_recientes": _CHUNK,
+    "departamento": _PLACE,
+    "entidades_top": _LIST,
+    "proveedores_top": _LIST,
+    "resumen_nacional": {
+        "type": "object",
+        "required": ["kpis", "serie_anio_modalidad", "serie_anio_tier", "departamentos"],
+        "properties": {"kpis": {"type": "object", "required": ["contratos_analizados", "valor_total_cop", "casos_criticos"]}, "serie_anio_modalidad": {"type": "array", "items": _YEAR}, "serie_anio_tier": {"type": "array", "items": _YEAR}, "departamentos": {"type": "array", "items": _PLACE}},
+    },
+    "meta": {"type": "object", "required": ["generado_en", "formula", "banderas", "tiers", "shrinkage", "artefactos"], "properties": {"banderas": {"type": "array"}, "tiers": {"type": "array"}}},
+}
+
+
+def _as_json(*columns: Column | str) -> Column:
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def _items(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """One row: all rows of a bounded list as an array of structs, in the order of the named columns, which tell them apart."""
+    item = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)], F.struct(*df.columns).alias("item"))
+    return df.agg(F.array_sort(F.collect_list(item))["item"].alias(name))
+
+
+def _one(kind: str, row: DataFrame) -> DataFrame:
+    """The artifact that is one row."""
+    return row.select(F.lit(f"{kind}.json").alias("path"), F.lit(kind).alias("kind"), _as_json(*row.columns).alias("json"))
+
+
+def _chunks(kind: str, df: DataFrame, n: int, order: list[Column]) -> DataFrame:
+    ready = chunk_json(chunked(df, n, *order), df.columns)
+    return ready.select(F.format_string(f"{kind}/%03d.json", "chunk_index").alias("path"), F.lit(kind).alias("kind"), "json")
+
+
+def _top(kind: str, df: DataFrame, id_col: str) -> DataFrame:
+    """A ranked list that is limited already."""
+    ranked = df.withColumns({"_score": -F.coalesce("score", F.lit(-1.0)), "_value": -F.coalesce("valor_total", F.lit(0.0))})
+    listed = _items(ranked, "items", "_score", "_value", id_col)
+    plain = F.transform("items", lambda x: x.dropFields("_score", "_value"))
+    return _one(kind, listed.select(F.size("items").alias("n_items"), plain.alias("items")))
+
+
+def summary(mart: Mart, p: Params | None = None) -> DataFrame:
+    """One row: national figures, series by year, and every department. Lists are as long as there are years and places."""
+    scores, fct = mart["contrato_score"], mart["fct_contrato"]
+    series = _items(year_modality(scores, fct), "serie_anio_modalidad", "anio", "modalidad")
+    tiers = _items(year_tier(scores), "serie_anio_tier", "anio", "tier")
+    places = departments(scores, mart["divipola"], p)
+    row = kpis(scores, fct, p).select(F.struct("*").alias("kpis"))
+    for part in (series, tiers, _items(places.withColumn("cod_dpto", padded(F.col("cod_dpto"), 2)), "departamentos", "cod_dpto")):
+        row = row.crossJoin(F.broadcast(part))  # one row each
+    return row
+
+
+def run(mart: Mart, out: str, chunk: int = CHUNK, today: str | None = None, p: Params | None = None, metrics: dict | None = None, generated: str | None = None) -> list[dict]:
+    """Every artifact, its catalogue (meta.json) and manifest.json below out; returns the manifest's files. metrics: of the backtest."""
+    p = p or Params()
+    details = department_details(mart, p)
+    parts = [
+        _chunks("casos_prioritarios", priority_cases(mart), chunk, by_score()),
+        _chunks("contratos_recientes", recent_contracts(mart, today=today), chunk, by_date()),
+        details.select(F.concat(F.lit("departamentos/"), "cod_dpto", F.lit(".json")).alias("path"), F.lit("departamento").alias("kind"), _as_json(*details.columns).alias("json")),
+        _top("entidades_top", top_entities(mart), "nit_entidad_norm"),
+        _top("proveedores_top", top_suppliers(mart["proveedor_score"]), "doc_proveedor_norm"),
+        _one("resumen_nacional", summary(mart, p)),
+    ]
+    ready = cut(reduce(DataFrame.unionByName, parts))
+    counts = {r["kind"]: r["count"] for r in ready.groupBy("kind").count().collect()}  # a row for each kind
+    catalogue = meta(p, counts, generated or dt.datetime.now(dt.UTC).isoformat(timespec="seconds"), metrics)
+    own = ready.sparkSession.createDataFrame([("meta.json", "meta", compact(catalogue))], "path string, kind string, json string")
+    return publish(ready.unionByName(own), out, ARTIFACT_SCHEMAS)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pliego.functions.casts import present
 from pliego.functions.numbers import rate, ratio
 from pliego.operators.joins import exists_marker
-from pliego.operators.profiles import null_rates
+from pliego.operators.profiles import null_rates, profile
 from pliego.operators.ranking import percentiles
+from pliego.plans.enrichment import coverage
 from pliego.plans.marts import Mart
 
 
@@ -49,6 +53,21 @@ def join_coverage(fct: DataFrame, proc: DataFrame) -> DataFrame:
     return marked.agg(F.count("*").alias("total"), F.count_if("_found").alias("n_matched"), rate(F.col("_found")).alias("pct"))
 
 
+def join_keys(fct: DataFrame, proc: DataFrame) -> DataFrame:
+    """(key, n_keyed, n_matched, pct): how many contracts find their process by each of a process's columns."""
+    keyed_rows = fct.where((F.col("source") == "SECOP2") & present(F.col("proceso_de_compra")))
+    parts = []
+    for name in ("referencia", "id_del_proceso", "referencia_del_proceso"):
+        marked = exists_marker(keyed_rows, proc.select(F.col(name).alias("proceso_de_compra")), ["proceso_de_compra"], "_found")
+        parts.append(marked.agg(F.count("*").alias("n_keyed"), F.count_if("_found").alias("n_matched"), rate(F.col("_found")).alias("pct")).select(F.lit(name).alias("key"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def listed(found: DataFrame) -> DataFrame:
+    """A profile with its examples as one text."""
+    return found.withColumn("examples", F.substring(F.array_join("examples", ", "), 1, 120)).orderBy("col")
+
+
 def modalities(fct: DataFrame, proc: DataFrame) -> DataFrame:
     """Rows of contracts and processes by modality, counted apart and summed."""
     one = lambda df: df.groupBy("modalidad_norm").agg(F.count("*").alias("_n"))
@@ -64,5 +83,8 @@ def report(mart: Mart) -> dict[str, DataFrame]:
         "Value percentiles": value_percentiles(fct),
         "Geography": geo_rate(fct),
         "Processes": join_coverage(fct, mart["fct_proceso"]),
+        "Join keys": join_keys(fct, mart["fct_proceso"]),
         "Modalities": modalities(fct, mart["fct_proceso"]),
-    }
+        "Columns of contracts": listed(profile(fct)),
+        "Columns of processes": listed(profile(mart["fct_proceso"])),
+    } | ({"Registry": coverage(mart["dim_proveedor"])} if "fecha_matricula" in mart["dim_proveedor"].columns else {})

@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pliego.operators.ranking import numbered
+from pliego.session import cut
 
 TOTAL_BYTES = 60_000_000
 FILE_BYTES = 5_000_000
@@ -75,6 +77,56 @@ def check_budget(ready: DataFrame, total: int = TOTAL_BYTES, each: int = FILE_BY
         raise ValueError(f"artifacts of {whole} bytes, the largest {largest}: over the budget of {total} and {each}")
 
 
+def broken(ready: DataFrame, schemas: Mapping[str, Mapping], most: int = 20) -> list[str]:
+    """What the artifacts (path, kind, json) break of their kinds' schemas, each checked where it lies; `most` problems at most."""
+
+    def check(batches):
+        for b in batches:
+            found = [(path, p) for path, kind, text in zip(b["path"], b["kind"], b["json"], strict=True) for p in problems(json.loads(text), schemas[kind])[:most]]
+            yield pd.DataFrame(found, columns=["path", "problem"])
+
+    return [f"{r['path']} {r['problem']}" for r in ready.mapInPandas(check, "path string, problem string").limit(most).collect()]
+
+
+def publish(ready: DataFrame, out: str, schemas: Mapping[str, Mapping], total: int = TOTAL_BYTES, each: int = FILE_BYTES) -> list[dict]:
+    """Writes the artifacts (path, kind, json) as files below out, and last manifest.json, which is returned.
+
+    All are checked first, against their schemas and one budget over everything, so what is there stays if anything is wrong. The
+    budget bounds what passes through the driver, a file at a time. JSON files that are no longer in the list are deleted.
+    """
+    spark = ready.sparkSession
+    ready = cut(ready.select("path", "kind", "json"))
+    check_budget(ready, total, each)
+    if wrong := broken(ready, schemas):
+        raise ValueError("artifacts break their schemas: " + "; ".join(wrong))
+    manifest = []
+    for r in ready.orderBy("path").toLocalIterator():
+        write_text(spark, r["json"], f"{out}/{r['path']}")
+        manifest.append({"path": r["path"], "kind": r["kind"], "bytes": len(r["json"].encode())})
+    kept = {m["path"] for m in manifest}
+    for path in json_files(spark, out):
+        if path not in kept and path != "manifest.json":
+            where = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{path}")
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, False)
+    write_text(spark, compact({"total_bytes": sum(m["bytes"] for m in manifest), "files": manifest}), f"{out}/manifest.json")
+    return manifest
+
+
+def json_files(spark: SparkSession, out: str) -> list[str]:
+    """Paths, relative to out, of the JSON files below it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(out)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        return []
+    base, found = store.makeQualified(where).toString().rstrip("/"), []
+    files = store.listFiles(where, True)
+    while files.hasNext():
+        name = files.next().getPath().toString()
+        if name.endswith(".json"):
+            found.append(name[len(base) + 1 :])
+    return found
+
+
 def replace_table(df: DataFrame, path: str) -> DataFrame:
     """df written in place of what was there, and read again."""
     df.write.mode("overwrite").parquet(path)
@@ -85,8 +137,10 @@ def append_parts(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("compression", "snappy").parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; quotes only where needed and doubled inside."""
+def write_csv(df: DataFrame, path: str, mark: bool = False) -> None:
+    """CSV with a header; quotes only where needed and doubled inside. mark: a byte-order mark before the header, as some sheets want."""
+    if mark:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 

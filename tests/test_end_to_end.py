@@ -69,16 +69,29 @@ def test_scores_reach_every_tier(spark, mart, tmp_path):
 
 
 def test_export(spark, mart, tmp_path):
-    main(["export", str(mart), str(tmp_path / "web")])
-    first = json.loads(spark.read.text(str(tmp_path / "web" / "casos_prioritarios")).where("chunk_index = 0").first()["value"])
+    web = tmp_path / "web"
+    (web / "departamentos").mkdir(parents=True)
+    (web / "departamentos" / "99.json").write_text("{}")  # of an earlier run
+    main(["export", str(mart), str(web)])
+    read = lambda name: json.loads((web / name).read_text())
+    first = read("casos_prioritarios/000.json")
     scores = [i["score"] for i in first["items"]]
     assert first["n_items_total"] == N + 1 and scores == sorted(scores, reverse=True) and first["items"][0]["tier"] == "critico"
     assert {b["flag_id"] for b in first["items"][0]["banderas"]} >= {"F01", "F07"} and first["items"][0]["dpto"] == "BOGOTÁ"
-    recent = json.loads(spark.read.text(str(tmp_path / "web" / "contratos_recientes")).first()["value"])
+    assert {i["tier"] for i in first["items"]} == {"bajo", "medio", "alto", "critico"}
+    recent = read("contratos_recientes/000.json")
     assert "OLD1" not in {i["id_contrato"] for i in recent["items"]} and recent["n_items_total"] == N
-    dept = {r["cod_dpto"]: r for r in spark.read.json(str(tmp_path / "web" / "departamentos")).collect()}
-    assert dept["05"]["n_contratos"] == 0 and dept["11"]["n_contratos"] == N and len(dept["11"]["top_entidades"]) == 6
-    assert spark.read.json(str(tmp_path / "web" / "resumen_nacional")).first()["contratos_analizados"] == N + 1
+    assert read("departamentos/05.json")["n_contratos"] == 0 and read("departamentos/11.json")["n_contratos"] == N and len(read("departamentos/11.json")["top_entidades"]) == 6
+    top = read("entidades_top.json")
+    assert top["n_items"] == 7 == len(top["items"]) and [i["score"] for i in top["items"]] == sorted((i["score"] for i in top["items"]), reverse=True) and "_score" not in top["items"][0]
+    national = read("resumen_nacional.json")
+    assert national["kpis"]["contratos_analizados"] == N + 1 and [d["cod_dpto"] for d in national["departamentos"]] == ["05", "11"]
+    assert sum(x["n_contratos"] for x in national["serie_anio_tier"]) == N + 1 == sum(x["n_contratos"] for x in national["serie_anio_modalidad"])
+    meta = read("meta.json")
+    assert meta["artefactos"]["casos_prioritarios"] == 1 and meta["artefactos"]["departamento"] == 2 and meta["backtest"]["n_pos"] == 7 and not meta["backtest"]["auc_reached"] == (meta["backtest"]["auc"] <= 0.6)
+    files = read("manifest.json")
+    assert {str(f.relative_to(web)) for f in web.rglob("*.json")} == {f["path"] for f in files["files"]} | {"manifest.json"}
+    assert files["total_bytes"] == sum((web / f["path"]).stat().st_size for f in files["files"])
 
 
 def test_backtest_enrich_and_report(spark, mart, tmp_path):
@@ -91,7 +104,11 @@ def test_backtest_enrich_and_report(spark, mart, tmp_path):
     rich = scoring.run(marts.opened(spark, str(tmp_path / "e"), ["fct_contrato", "fct_proceso", "stg_secop1", "dim_entidad", "dim_proveedor", "sanciones", "divipola", "ref_smmlv", "ref_ventanas"]))
     assert {(r["key"], r["fired"]) for r in rich["flag_contrato"].where("flag_id = 'F02'").collect()} == {(f"C{i:02}", True) for i in range(N) if i % 7 == 3}
     main(["report", str(mart), str(tmp_path / "dq.md")])
-    assert "## Modalities" in (tmp_path / "dq.md").read_text()
+    report = (tmp_path / "dq.md").read_text()
+    assert all(f"## {title}" in report for title in ("Modalities", "Join keys", "Columns of contracts")) and f"| referencia | {N} | {N} | 100.0 |" in report
+    main(["report", str(tmp_path / "e"), str(tmp_path / "dq2.md")])
+    assert "## Registry" in (tmp_path / "dq2.md").read_text()
+    assert {r["target"] for r in spark.read.parquet(str(tmp_path / "b" / "targets")).collect()} == {"auc", "lift", "cases"}
 
 
 def test_sql_function_parity(spark):

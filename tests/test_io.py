@@ -136,6 +136,45 @@ def test_chunks_and_budget(spark, tmp_path):
         artifacts.write_chunks(df, str(tmp_path / "big"), 4, [F.col("i")], total=10)
 
 
+def test_publish_checks_before_it_writes(spark, tmp_path):
+    schemas = {"a": {"type": "object", "required": ["x"]}}
+    ready = spark.createDataFrame([("a/1.json", "a", '{"x":1}'), ("b.json", "a", '{"x":"ñ"}')], "path string, kind string, json string")
+    out = str(tmp_path / "web")
+    assert [m["bytes"] for m in artifacts.publish(ready, out, schemas)] == [7, 10]
+    wrong = spark.createDataFrame([("c.json", "a", "{}")], ready.schema)
+    with pytest.raises(ValueError, match="c.json .*lacks x"):
+        artifacts.publish(wrong, out, schemas)
+    with pytest.raises(ValueError, match="budget"):
+        artifacts.publish(ready, out, schemas, total=16)
+    assert sorted(artifacts.json_files(spark, out)) == ["a/1.json", "b.json", "manifest.json"]
+    artifacts.publish(ready.limit(1).coalesce(1).where("path = 'a/1.json'"), out, schemas)
+    assert sorted(artifacts.json_files(spark, out)) == ["a/1.json", "manifest.json"]
+
+
+def test_evidence_is_described(spark):
+    from pliego.functions.evidence import described
+
+    text = '{"num_oferentes_unicos":1234,"fecha_firma":"2023-05-01","share_directa":0.4567,"precio_base":-2500000000.5,"f03_dinero":true,"z_score":2.346,"otra_clave":"x","valor_contrato":1234,"window_id":null,"anio":"abc"}'
+    row = spark.createDataFrame([(text,), (None,)], "t string").select(described(F.col("t")).alias("d")).collect()
+    assert [tuple(x) for x in row[0]["d"]] == [
+        ("num_oferentes_unicos", "Oferentes únicos", "1.234"), ("fecha_firma", "Fecha de firma", "1 de mayo de 2023"), ("share_directa", "Participación de la entidad en contratación directa", "45,7%"), ("precio_base", "Precio base publicado", "-$2,5 mil millones"),
+        ("f03_dinero", "¿Se activó por adición en valor?", "Sí"), ("z_score", "Desviaciones estándar sobre el grupo de pares", "2,35"), ("otra_clave", "Otra clave", "x"), ("valor_contrato", "Valor del contrato", "$1.234"), ("window_id", "Ventana electoral", "—"), ("anio", "Año", "abc"),
+    ]
+    assert row[1]["d"] is None
+
+
+def test_accents_and_legal_forms(spark):
+    from pliego.functions import text as t
+
+    names = spark.createDataFrame([("Peña Ñuñez Ştefan Ğőřńű SAS",), ("Obras y Vías S. EN C.S.",), ("Casa LTDA",), ("e\u0301lan  s.a.",)], "n string")
+    assert [r[0] for r in names.select(t.company_name(F.col("n"))).collect()] == ["PENA NUNEZ STEFAN GORNU", "OBRAS Y VIAS S. EN C.S.", "CASA", "ELAN"]
+
+
+def test_csv_with_mark(spark, tmp_path):
+    artifacts.write_csv(spark.createDataFrame([(1, "ñ")], "a int, b string").coalesce(1), str(tmp_path / "c"), mark=True)
+    assert next((tmp_path / "c").glob("*.csv")).read_bytes() == "\ufeffa,b\n1,ñ\n".encode()
+
+
 def test_schema_problems():
     schema = {"type": "object", "required": ["a", "z"], "properties": {"a": {"type": "array", "items": {"type": ["number", "null"], "minimum": 0}}, "t": {"enum": ["x"]}}}
     assert artifacts.problems({"a": [1, None, -1, "s", True], "t": "y"}, schema) == ["$: lacks z", "$.a[2]: -1 is below 0", "$.a[3]: not of type ['number', 'null']", "$.a[4]: not of type ['number', 'null']", "$.t: not one of ['x']"]
