@@ -11,7 +11,8 @@ rows may all be right, the temperature fits their labels only up to the share of
 
 A probability says nothing about languages that were never learned. For those the share of a text's grams that training has seen is
 taken: rejected is what lies below a point a quarter of the way from the lowest held-out row to the typical held-out row of a language
-left out, each language in turn, or below the lowest held-out row if that is less. No labelled held-out row is rejected for its share.
+left out, each language in turn, or below the lowest held-out row if that is less. No labelled held-out row is rejected for its share, nor a text that lies less than
+CHANCE standard errors below that point, as one of few grams easily does.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ WIDTH = 16
 EPOCHS = 4
 REJECTED = 0.001
 UNSURE = 0.4
+CHANCE = 2.0
 UNKNOWN = "und"
 
 _LETTER = regex.compile(r"\p{L}")
@@ -153,10 +155,10 @@ def score(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]
     return _read(model, texts)[:2]
 
 
-def _read(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """As score, and the share of each text's grams that training has seen; 1 where there is no gram."""
+def _read(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """As score, and the share of each text's grams that training has seen, 1 where there is no gram, and how many there are."""
     names = [*model.languages, UNKNOWN]
-    sure, share = np.zeros(len(texts)), np.ones(len(texts))
+    sure, share, total = np.zeros(len(texts)), np.ones(len(texts)), np.zeros(len(texts))
     which = np.full(len(texts), len(model.languages))
     known = [i for i, t in enumerate(texts) if t and _LETTER.search(t) and model.languages]
     data = [letters(texts[i]) for i in known]
@@ -165,11 +167,12 @@ def _read(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray,
         if len(d) > 3:
             three, four = grams(d)
             z[k] += (model.scores[three].sum(axis=0) + model.scores[four].sum(axis=0)) / (len(three) + len(four))
+            total[known[k]] = len(three) + len(four)
             share[known[k]] = (np.count_nonzero(model.seen[three]) + np.count_nonzero(model.seen[four])) / (len(three) + len(four))
     if known:
         p = softmax(z / model.temperature)
         which[known], sure[known] = p.argmax(axis=1), p.max(axis=1)
-    return [names[i] for i in which], sure, share
+    return [names[i] for i in which], sure, share, total
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,8 +194,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def judged(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    lang, sure, share = _read(model, texts)
-    return lang, sure, (np.array(lang, dtype=object) == UNKNOWN) | (sure < model.threshold) | (share < model.least_seen)
+    lang, sure, share, total = _read(model, texts)
+    # the share of a text of few grams is uncertain: what may lie above the point by chance is not rejected for it
+    strange = share < model.least_seen - CHANCE * np.sqrt(model.least_seen * (1 - model.least_seen) / np.maximum(total, 1))
+    return lang, sure, (np.array(lang, dtype=object) == UNKNOWN) | (sure < model.threshold) | strange
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
