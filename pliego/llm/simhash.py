@@ -214,17 +214,18 @@ def first_of_each(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id",
     _near. Very long texts count whole; an empty table gives an empty one. docs is read more than once and has to be the same
     each time (a written table).
     """
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    own = docs.select(F.struct(F.col(id_col).alias("id"), key.alias("key")).alias("row"), F.col(text_col).alias("text"))
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    keys = {"_near_a": F.xxhash64(*every), "_near_b": F.hash(*every)}  # 96 bits that tell rows apart
+    own = docs.select(F.struct(F.col(id_col).alias("id"), *[k.alias(n) for n, k in keys.items()]).alias("row"), F.col(text_col).alias("text"))
     prints = tables.written(fingerprints(own, "row", "text"))
     order = F.struct(F.col("row.id").isNull(), "row")
     nodes = tables.written(prints.groupBy("fingerprint").agg(F.min(order).alias("low")))
     found = components(links(nodes, radius)).withColumnRenamed("node", "fingerprint")
     # one row for each group: a group is named by its root, a fingerprint without a link by itself
     kept = nodes.join(found, "fingerprint", "left").groupBy(F.coalesce("root", "fingerprint").alias("group")).agg(F.min("low").alias("low"))
-    kept = kept.select(F.col("low.row.id").alias("_near_id"), F.col("low.row.key").alias("_near_key"))
-    rows = docs.withColumn("_near_key", key)
-    same = F.col(id_col).eqNullSafe(F.col("_near_id")) & (rows["_near_key"] == kept["_near_key"])
-    single = rows.join(kept, same, "left_semi")
-    copy = Window.partitionBy("_near_key", id_col).orderBy("_near_key")  # rows equal in all columns
-    return single.withColumn("_near_copy", F.row_number().over(copy)).where("_near_copy = 1").select(docs.columns)
+    equal = prints.groupBy("row._near_a", "row._near_b").agg(F.count("*").alias("_near_n")).where("_near_n > 1")
+    kept = tables.written(kept.select("low.row._near_a", "low.row._near_b").join(equal, [*keys], "left"))
+    rows = docs.withColumns(keys).join(kept, [*keys])
+    copy = Window.partitionBy(*keys).orderBy(F.lit(0))  # rows equal in all columns
+    some = rows.where("_near_n IS NOT NULL").withColumn("_near_copy", F.row_number().over(copy)).where("_near_copy = 1")
+    return rows.where("_near_n IS NULL").select(docs.columns).unionByName(some.select(docs.columns))
