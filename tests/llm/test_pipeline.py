@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline as pipeline
+from helpers_llm import ODD, odd_documents
+from pyspark.sql import functions as F
 from test_dedup import slow_components, slow_fingerprint
 from test_tokens import check_packing
 
@@ -39,3 +41,31 @@ def test_stages(spark):
 def test_run(spark):
     rows = pipeline.run(spark, SF).collect()
     assert rows and check_packing(rows) > 0
+
+
+def test_odd_documents_through_every_stage(spark):
+    """Odd rows among ordinary ones, with columns that operators use inside."""
+    odd = odd_documents(spark)
+    plain = tables.table(spark, SF, "documents").select("doc_id", "text", "lang", "source").withColumn("doc_id", F.col("doc_id") + 1000)
+    docs = tables.written(plain.unionByName(odd, allowMissingColumns=True))
+    ids = lambda df: [r["doc_id"] for r in df.select("doc_id").collect()]
+    language, toxic, near, pack = (f for _, f in pipeline.STAGES)
+
+    known = language(spark, docs, SF)
+    kept = ids(known)
+    assert known.columns == docs.columns and not {2, 3, 4} & set(kept) and kept.count(10) in (0, 2) and kept.count(1) == kept.count(10) // 2
+    mild = toxic(spark, docs, SF)
+    assert mild.columns == docs.columns and {2, 3, 4} <= set(ids(mild)) and ids(mild).count(10) == 2
+
+    single = near(spark, tables.written(odd), SF)
+    found = ids(single)
+    assert single.columns == odd.columns and found.count(1) == 1 and 10 not in found and {2, 5, 6} <= set(found) and not {3, 4} & set(found)
+    rows = pack(spark, odd, SF).collect()
+    assert check_packing(rows) > 0 and sum(r["piece"] == 0 for r in rows) == len(ODD)
+
+
+def test_empty_table_through_every_stage(spark):
+    none = tables.written(odd_documents(spark).limit(0))
+    for name, stage in pipeline.STAGES:
+        got = stage(spark, none, SF)
+        assert got.count() == 0 and (got.columns == none.columns or name == "packing"), name
