@@ -87,4 +87,4 @@ def report(mart: Mart) -> dict[str, DataFrame]:
         "Modalities": modalities(fct, mart["fct_proceso"]),
         "Columns of contracts": listed(profile(fct)),
         "Columns of processes": listed(profile(mart["fct_proceso"])),
-    } | ({"Registry": coverage(mart["dim_proveedor"])} if "fecha_matricula" in mart["dim_proveedor"].columns else {})
+    } | ({"Registry": coverage(mart["dim_proveedor"])} if "dim_proveedor" in mart and "fecha_matricula" in mart["dim_proveedor"].columns else {})
