@@ -51,7 +51,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.step == "report":
         write_text(spark, "\n".join(markdown(title, df) for title, df in quality.report(mart).items()), a.out)
     else:
-        mart = scoring.run(mart)
+        mart = scoring.run(mart, wanted=WRITTEN.get(a.step, scoring.SCORES))
         if a.step == "export":
             exports.run(mart, a.out, metrics=backtest.summed(backtest.run(mart)))
         else:

@@ -121,17 +121,23 @@ def distribution(scores: DataFrame, shares: Sequence[float] = (0.5, 0.75, 0.9, 0
     return percentiles(scores, "score", shares)
 
 
-def run(mart: Mart, p: Params | None = None) -> Mart:
-    """The mart with flag and score tables. Contract scores, which other tables build on, are computed once and written; flag
-    tables are plans, computed if they are used.
+SCORES = ("contrato_score", "entidad_score", "municipio_score", "proveedor_score")
+TABLES = ("flag_contrato", "flag_entidad", *SCORES)
+
+
+def run(mart: Mart, p: Params | None = None, wanted: Sequence[str] = TABLES) -> Mart:
+    """The mart with the flag and score tables wanted; no others are planned.
+
+    Contract scores, on which the other scores build, are computed once and written. The rest are plans, computed if they are used.
     """
     p = p or Params()
-    contract = cut(contract_scores(mart, flags.folded(mart, p), p))
-    return mart | {
-        "flag_contrato": flags.run(mart, p, "contract"),
-        "flag_entidad": flags.run(mart, p, "entity"),
-        "contrato_score": contract,
-        "entidad_score": entity_scores(mart, contract, flags.folded(mart, p, "entity"), p),
-        "municipio_score": municipality_scores(mart, contract, p),
-        "proveedor_score": supplier_scores(mart, contract, p),
+    contract = cut(contract_scores(mart, flags.folded(mart, p), p)) if set(wanted) & set(SCORES) else None
+    plans = {
+        "flag_contrato": lambda: flags.run(mart, p, "contract"),
+        "flag_entidad": lambda: flags.run(mart, p, "entity"),
+        "contrato_score": lambda: contract,
+        "entidad_score": lambda: entity_scores(mart, contract, flags.folded(mart, p, "entity"), p),
+        "municipio_score": lambda: municipality_scores(mart, contract, p),
+        "proveedor_score": lambda: supplier_scores(mart, contract, p),
     }
+    return mart | {name: plans[name]() for name in wanted}

@@ -16,8 +16,9 @@ from pliego.session import cut
 P = testdata.PARAMS
 
 
-def scored(spark: SparkSession, sf_dir: str) -> Mart:
-    return scoring.run(testdata.mart(spark, sf_dir, written=True), P)
+def scored(spark: SparkSession, sf_dir: str, *wanted: str) -> Mart:
+    """The mart with contracts' scores, or the other score tables named."""
+    return scoring.run(testdata.mart(spark, sf_dir, written=True), P, wanted or ("contrato_score",))
 
 
 # Flags
@@ -130,18 +131,18 @@ _ROUND = ["contract_component", "entity_component", "combined_raw_score", "dept_
 
 @query(sql(f"SELECT {', '.join(f'round({c}, 6) AS {c}' if c in _ROUND else c for c in _ENTITY)} FROM entidad_score"))
 def score_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(scored(spark, sf_dir)["entidad_score"].select(*_ENTITY), *_ROUND)
+    return rounded(scored(spark, sf_dir, "entidad_score")["entidad_score"].select(*_ENTITY), *_ROUND)
 
 
 @query(sql("SELECT cod_dpto, cod_mpio, n_contratos, round(valor_total, 2) AS valor_total, round(raw_score, 6) AS raw_score, round(dept_mean_score, 6) AS dept_mean_score, round(score, 6) AS score, tier, datos_insuficientes FROM municipio_score"))
 def score_municipality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir)["municipio_score"].select("cod_dpto", "cod_mpio", "n_contratos", "valor_total", "raw_score", "dept_mean_score", "score", "tier", "datos_insuficientes")
+    rows = scored(spark, sf_dir, "municipio_score")["municipio_score"].select("cod_dpto", "cod_mpio", "n_contratos", "valor_total", "raw_score", "dept_mean_score", "score", "tier", "datos_insuficientes")
     return rounded(rounded(rows, "raw_score", "dept_mean_score", "score"), "valor_total", digits=2)
 
 
 @query(sql("SELECT doc_proveedor_norm, es_persona_natural, n_contratos, round(score, 6) AS score, tier, datos_insuficientes FROM proveedor_score"))
 def score_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(scored(spark, sf_dir)["proveedor_score"].select("doc_proveedor_norm", "es_persona_natural", "n_contratos", "score", "tier", "datos_insuficientes"), "score")
+    return rounded(scored(spark, sf_dir, "proveedor_score")["proveedor_score"].select("doc_proveedor_norm", "es_persona_natural", "n_contratos", "score", "tier", "datos_insuficientes"), "score")
 
 
 @query(sql("SELECT tier, count(*) AS n, CAST(CASE tier WHEN 'critico' THEN 0 WHEN 'alto' THEN 1 WHEN 'medio' THEN 2 WHEN 'bajo' THEN 3 END AS INTEGER) AS tier_order FROM contrato_score GROUP BY 1"))
@@ -411,7 +412,7 @@ _padded = "CASE WHEN length(cod_dpto) < 2 THEN lpad(cod_dpto, 2, '0') ELSE cod_d
 @query(sql(f"""SELECT {_padded} AS cod_dpto, n_contratos, (SELECT count(*) FROM municipio_score x WHERE x.cod_dpto = d.cod_dpto) AS n_municipios,
   (SELECT nit_entidad_norm FROM entidad_score x WHERE x.cod_dpto = d.cod_dpto ORDER BY round(score, 9) DESC NULLS LAST, valor_total DESC NULLS LAST, nit_entidad_norm LIMIT 1) AS best_entity, (SELECT least(5, count(*)) FROM entidad_score x WHERE x.cod_dpto = d.cod_dpto) AS n_top, (SELECT min(anio) FROM contrato_score x WHERE x.cod_dpto = d.cod_dpto) AS first_year FROM ({_depts}) d"""))
 def department_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = scored(spark, sf_dir)
+    m = scored(spark, sf_dir, "contrato_score", "municipio_score", "entidad_score")
     found = exports.department_details(m | {"entidad_score": rounded(m["entidad_score"], "score", digits=9)}, P, top=5)
     size = lambda c: F.greatest(F.size(c), F.lit(0)).cast("long")
     return found.select("cod_dpto", "n_contratos", size("municipios").alias("n_municipios"), F.get("top_entidades", F.lit(0))["nit_entidad"].alias("best_entity"), size("top_entidades").alias("n_top"), F.get("serie_anio", F.lit(0))["anio"].alias("first_year"))
@@ -431,14 +432,14 @@ def topn_recent_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("SELECT nit_entidad_norm, dpto, round(score, 6) AS score, tier FROM entidad_score JOIN (SELECT DISTINCT cod_dpto, dpto FROM divipola) USING (cod_dpto) ORDER BY round(score, 9) DESC NULLS LAST, round(valor_total, 2) DESC NULLS LAST, nit_entidad_norm LIMIT 300"))
 def topn_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = scored(spark, sf_dir)
+    m = scored(spark, sf_dir, "entidad_score")
     exact = rounded(rounded(m["entidad_score"], "score", digits=9), "valor_total", digits=2)
     return rounded(exports.top_entities(m | {"entidad_score": exact}).select("nit_entidad_norm", "dpto", "score", "tier"), "score")
 
 
 @query(sql("SELECT doc_proveedor_norm, round(score, 6) AS score, tier FROM proveedor_score ORDER BY round(score, 9) DESC, round(valor_total, 2) DESC, doc_proveedor_norm LIMIT 300"))
 def topn_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    exact = rounded(rounded(scored(spark, sf_dir)["proveedor_score"], "score", digits=9), "valor_total", digits=2)
+    exact = rounded(rounded(scored(spark, sf_dir, "proveedor_score")["proveedor_score"], "score", digits=9), "valor_total", digits=2)
     return rounded(exports.top_suppliers(exact).select("doc_proveedor_norm", "score", "tier"), "score")
 
 

@@ -33,6 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table just read, over all cores: one of fewer splits than cores is small, but as few tasks would read it and do all that follows
+    without a shuffle. One of as many splits as cores, or more, stays as it is, so that no large table is shuffled for this.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: it is computed once, later reads are pruned to their columns, and it
     outlives any executor. The table goes when the session's JVM ends.

@@ -9,7 +9,7 @@ from pliego.functions.text import name_key
 from pliego.params import Params
 from pliego.plans import marts
 from pliego.plans.marts import Mart
-from pliego.session import cut
+from pliego.session import cut, spread
 
 #: Thresholds at which the flags fire on part of these tables.
 PARAMS = Params(price_tolerance=0.05, split_wages=150.0, round_min=50_000.0, round_unit=100)
@@ -41,7 +41,7 @@ def _row_id() -> Column:
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda name: table(spark, sf_dir, name)
-    rows = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = spread(read("lineitem")).join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(read("part"), F.col("l_partkey") == F.col("p_partkey"))
     none, c = F.lit(None).cast("string"), F.col
     modality = _modality()

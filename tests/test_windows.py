@@ -14,6 +14,7 @@ from pliego.operators import dedup, windows
 from pliego.params import Params
 from pliego.plans import flags, scoring
 from pliego.plans.marts import reference_tables
+from pliego.session import spread
 
 START = day("2020-01-01")
 
@@ -89,3 +90,13 @@ def test_row_flags_equal_single_flags(spark):
     single = sorted(tuple(r) for f in flags.ROW_RULES for r in flags.long_rows(f, flags.FLAGS[f](mart, p)).collect())
     assert once == single and {f for _, f, *_ in once} == set(flags.ROW_RULES)
     assert all((e is not None) == fired for _, _, fired, e in flags.row_flags(mart, p, fired_only=True).collect())
+
+
+def test_small_tables_are_spread_and_large_ones_left_alone(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert spread(table).rdd.getNumPartitions() == max(cores, table.rdd.getNumPartitions())
+    assert sorted(r[0] for r in spread(table).collect()) == list(range(1000))
+    many = spark.range(1000).repartition(cores + 1)
+    assert spread(many) is many
