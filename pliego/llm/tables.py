@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pliego.operators.joins import small
 from pliego.session import cut as written
+from pliego.session import spread
 
 __all__ = ["drawn", "fold", "sample", "share_below", "small", "table", "tokenizer_path", "written"]
 
@@ -18,7 +19,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def fold(id_col: str, folds: int) -> Column:
