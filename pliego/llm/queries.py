@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pliego.llm import ann, bpe, langid, licenses, packing, simhash, token_counts, topk, toxicity, warc
+from pliego.llm import ann, bpe, codes, jaccard, langid, licenses, packing, runs, simhash, token_counts, topk, toxicity, warc
 from pliego.llm.tables import fold, table, tokenizer_path
 
 
@@ -63,7 +63,23 @@ def op10_adaptive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows.where(F.col("vec_id") % 50 == 0), rows)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_best_fit_packing, op3_token_counts, op4_byte_bpe, op5_simhash, op6_language_id, op7_license_scan, op8_toxicity, op9_warc_derivatives, op10_adaptive_ann)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    model = codes.learn(rows)
+    coded = codes.with_sum_by(codes.encode(rows, model), "label", "error", "label_error")
+    sums = F.coalesce(*[F.when(F.col("length") == d, F.lit(model.sha256(d))) for d in model.books], F.lit(None).cast("string"))
+    return coded.select("vec_id", codes.hexed("code").alias("code"), "error", "label_error", sums.alias("codebooks_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(runs.planted(table(spark, sf_dir, "documents"))))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_best_fit_packing, op3_token_counts, op4_byte_bpe, op5_simhash, op6_language_id, op7_license_scan, op8_toxicity, op9_warc_derivatives, op10_adaptive_ann, op11_vector_codes, op12_periodic_runs, op13_jaccard_join)}
 
 
 def _sql_text(value: str) -> str:
@@ -109,4 +125,72 @@ ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
 
-ORACLE_SQL = {"op1_exact_topk": _top_k_sql(), "op7_license_scan": _license_sql()}
+def _codes_sql() -> str:
+    def nearest(name: str, book: str) -> str:
+        away = "list_inner_product(a.x, a.x) - 2 * list_inner_product(a.x, b.x) + list_inner_product(b.x, b.x)"
+        return f"""{name} AS (SELECT a.vec_id, a.p, any_value(a.x) AS x, CAST(min(({away}) * 64 + b.e) AS BIGINT) AS key FROM parts a JOIN {book} b ON a.p = b.p GROUP BY a.vec_id, a.p)"""
+
+    def moved(name: str, at: str, book: str) -> str:
+        one = f"SELECT p, key % 64 AS e, i, floor(CAST(sum(CAST(x[i] AS BIGINT)) AS DOUBLE) / count(*)) AS x FROM {at}, range(1, len(x) + 1) r(i) GROUP BY ALL"
+        return f"""{name} AS (SELECT b.p, b.e, coalesce(n.x, b.x) AS x FROM {book} b LEFT JOIN (SELECT p, e, list(x ORDER BY i) AS x FROM ({one}) GROUP BY p, e) n ON b.p = n.p AND b.e = n.e)"""
+
+    return f"""
+WITH ok AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, p, v[p * len(v) // 16 + 1 : (p + 1) * len(v) // 16] AS x FROM ok, range(16) r(p)),
+firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM ok ORDER BY vec_id LIMIT 64),
+b0 AS (SELECT p, e, x FROM parts JOIN firsts USING (vec_id)),
+{nearest("a1", "b0")}, {moved("b1", "a1", "b0")}, {nearest("a2", "b1")}, {moved("b2", "a2", "b1")}, {nearest("a3", "b2")},
+coded AS (SELECT vec_id, string_agg(printf('%02x', key % 64), '' ORDER BY p) AS code, CAST(sum(key // 64) AS BIGINT) AS error FROM a3 GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(CAST(x[i] AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) FROM b2, range(1, len(x) + 1) r(i)) AS codebooks_sha256
+FROM coded JOIN ok USING (vec_id)"""
+
+
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+
+def _runs_sql() -> str:
+    shift = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    octets = "list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, o: list_reduce(list_prepend(xor(c, o), range(8)), lambda x, y: {shift})), 4294967295)"
+    turned = "list_transform(range(len(w)), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END])"
+    return f"""
+WITH given AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w, {crc} AS h FROM documents),
+placed AS (SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM given),
+sized AS (SELECT *, 1 + (len(w) - a) // (3 + (h // 10) % 8) AS p FROM placed),
+turned AS (SELECT doc_id, CASE WHEN a IS NULL THEN w ELSE {turned} END AS w FROM sized),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i, len(w) AS n FROM turned),
+same AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same),
+stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+found AS (SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY doc_id, start, length),
+lines AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM found GROUP BY doc_id),
+best AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM found),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+  CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM given LEFT JOIN lines USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+def _jaccard_sql() -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE words AS (SELECT doc_id, {_WORDS.format(lower)} AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(1, len(w) - 3) + 1), lambda i: array_to_string(w[i : i + 3], ' '))) AS g FROM words WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT u, v FROM common JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v WHERE 185 * c >= 85 * (a.n + b.n)),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM (SELECT u AS doc_id, min(v) AS component_id FROM reach GROUP BY u) LEFT JOIN sizes USING (doc_id)"""
+
+
+ORACLE_SQL = {
+    "op1_exact_topk": _top_k_sql(),
+    "op7_license_scan": _license_sql(),
+    "op11_vector_codes": _codes_sql(),
+    "op12_periodic_runs": _runs_sql(),
+    "op13_jaccard_join": _jaccard_sql(),
+}
