@@ -37,6 +37,57 @@ def in_range(df: DataFrame, col: str, ranges: DataFrame, low: str, high: str) ->
     return df.join(small(days), F.col(col) == F.col("_day"), "left").drop("_day")
 
 
+def whole_number(col: Column, kind: str) -> Column:
+    """A date, timestamp or integer as a long that orders as it does."""
+    if kind == "date":
+        return F.unix_date(col).cast("long")
+    if kind == "timestamp":
+        return F.unix_micros(col)
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return col.cast("long")
+    raise TypeError(f"ranges of {kind} can't be joined: dates, timestamps and integers can")
+
+
+def dyadic(low: Column, high: Column) -> Column:
+    """Longs from low to high, ends included, as disjoint bins: an array of (level, bin), where a bin of level l holds 2^l numbers n of equal n >> l.
+
+    There are two of each level at most. Empty where low is above high, null where one is null.
+    """
+    one, shift = F.lit(1).cast("long"), F.shiftright
+    state = F.struct(low.alias("a"), F.coalesce(high, low).alias("b"), F.array().cast("array<struct<level: int, bin: bigint>>").alias("bins"))
+
+    def step(s: Column, level: Column) -> Column:
+        a, b = s["a"], s["b"]
+        own = lambda x: F.array(F.struct(level.cast("int").alias("level"), x.alias("bin")))
+        none = F.array().cast("array<struct<level: int, bin: bigint>>")
+        first = F.when((a <= b) & (a.bitwiseAND(one) == 1), own(a)).otherwise(none)
+        last = F.when((a <= b) & (b.bitwiseAND(one) == 0), own(b)).otherwise(none)
+        # what is left between the two ends is whole pairs; a range that is used up stays crossed
+        after = F.when(a > b, F.struct(one.alias("a"), (one - one).alias("b"))).otherwise(F.struct((shift(a, 1) + a.bitwiseAND(one)).alias("a"), (shift(b, 1) - one + b.bitwiseAND(one)).alias("b")))
+        return F.struct(after["a"].alias("a"), after["b"].alias("b"), F.concat(s["bins"], first, last).alias("bins"))
+
+    folded = F.aggregate(F.sequence(F.lit(0), F.lit(63)), state, step, lambda s: s["bins"])
+    return F.when(low.isNotNull() & high.isNotNull(), folded)
+
+
+def range_join(df: DataFrame, col: str, ranges: DataFrame, low: str, high: str, how: str = "left") -> DataFrame:
+    """df with every range that holds its value, both ends included, a row each; how: inner, or left, where a row in no range stays once.
+
+    Ranges may be long, many and overlapping. Each is cut into bins of powers of two, some two dozen at most for dates, and a value lies in one bin of each
+    width, so the join is one of equal bins and no pair comes twice or in vain. Each distinct value is looked up once. A range with a null end
+    holds nothing, nor does any hold a null. Values and ends are dates, timestamps or integers. Names of the two tables must differ.
+    """
+    kinds = dict(df.dtypes)
+    binned = ranges.where(F.col(low).isNotNull() & F.col(high).isNotNull()).withColumn("_bin", F.explode(dyadic(whole_number(F.col(low), dict(ranges.dtypes)[low]), whole_number(F.col(high), dict(ranges.dtypes)[high]))))
+    levels = sorted(r[0] for r in binned.select("_bin.level").distinct().collect())  # 64 at most
+    values = df.select(F.col(col).alias("_value")).where("_value IS NOT NULL").distinct()
+    number = whole_number(F.col("_value"), kinds[col])
+    cells = F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright(number, n).alias("bin")) for n in levels]).cast("array<struct<level: int, bin: bigint>>")
+    placed = values.withColumn("_bin", F.explode(cells))
+    found = placed.join(binned, "_bin").drop("_bin")
+    return df.join(found, F.col(col) == F.col("_value"), how).drop("_value")
+
+
 def excluding(df: DataFrame, key: str, banned: DataFrame, banned_key: str) -> DataFrame:
     """Rows whose key is in no row of `banned`, as NOT IN has it: a null on either side keeps nothing back but drops the row.
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from pliego.functions.casts import present
 from pliego.functions.text import name_key
-from pliego.operators.joins import SMALL_ROWS, exists_marker, small
+from pliego.operators.joins import exists_marker, small
+from pliego.operators.patterns import like_join
 from pliego.operators.ranking import auc, percent_rank, precision_at
 from pliego.plans.marts import Mart
 from pliego.session import cut
@@ -52,14 +53,15 @@ def landmark_matches(scores: DataFrame, cases: DataFrame, ignore_period: bool =
     """A row for each contract of a case: an entity pattern fits and the year lies in the period.
 
     coincide_proveedor and coincide_nombre_exacto tell whether a named supplier and an official name fit too; null where the case
-    names none. Cases are a small table; entities are matched once per name, not once per contract.
+    names none. Entities are matched once per name, not once per contract, and through an index of the patterns' pieces, so cases may be many.
     """
     like_one = lambda name, patterns: F.when(F.size(patterns) > 0, F.exists(patterns, lambda x: F.contains(name, name_key(x))))
     names = scores.select("nombre_entidad").distinct().withColumn("_name", name_key(F.col("nombre_entidad")))
-    if cases.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
-        raise ValueError("more landmark cases than may be sent to every task")
-    hit = names.join(F.broadcast(cases), F.expr("exists(entity_patterns, x -> _name LIKE x)"))
-    hit = hit.withColumn("coincide_nombre_exacto", like_one(F.col("_name"), F.col("entity_names"))).drop("_name", "entity_names", "entity_patterns")
+    cases = cut(cases.withColumn("_case", F.monotonically_increasing_id()))
+    wanted = cases.select("_case", F.explode("entity_patterns").alias("_pattern"))
+    met = like_join(names, "_name", wanted, "_pattern").join(wanted, "_pattern").select("_name", "_case").distinct()
+    hit = names.join(met, "_name").join(cases, "_case")
+    hit = hit.withColumn("coincide_nombre_exacto", like_one(F.col("_name"), F.col("entity_names"))).drop("_name", "_case", "entity_names", "entity_patterns")
     rows = scores.join(hit.withColumnRenamed("nombre_entidad", "_entity"), F.col("nombre_entidad").eqNullSafe(F.col("_entity"))).drop("_entity")
     if not ignore_period:
         rows = rows.where(F.col("anio").between(F.col("first"), F.col("last")))

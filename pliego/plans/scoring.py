@@ -13,6 +13,7 @@ from pliego.functions.evidence import fired_list
 from pliego.functions.numbers import combined, mean_of_parts, ratio, shrunk, tier, tier_order, weighted_mean, weighted_parts
 from pliego.operators.dedup import keep_latest
 from pliego.operators.ranking import percentiles
+from pliego.operators.sketches import merged, quantile_sketches, quantiles
 from pliego.params import Params
 from pliego.plans import flags
 from pliego.plans.marts import Mart
@@ -116,11 +117,25 @@ def tier_counts(scores: DataFrame, p: Params | None = None) -> DataFrame:
     return scores.groupBy("tier").agg(F.count("*").alias("n")).withColumn("tier_order", tier_order(F.col("tier"), p)).orderBy(F.col("tier_order").asc_nulls_last())
 
 
-def distribution(scores: DataFrame, shares: Sequence[float] = (0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 1.0)) -> DataFrame:
+SHARES = (0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 1.0)
+
+
+def distribution(scores: DataFrame, shares: Sequence[float] = SHARES) -> DataFrame:
     """(share, value): exact percentiles of the scores."""
     return percentiles(scores, "score", shares)
 
 
+def monthly_sketches(scores: DataFrame) -> DataFrame:
+    """(anio, mes, n, sketch): the scores of each month of signature, to be kept; those of a new month are added without reading the others."""
+    dated = scores.where("fecha_firma IS NOT NULL AND score IS NOT NULL")
+    return quantile_sketches(dated, F.col("score"), [F.year("fecha_firma").alias("anio"), F.month("fecha_firma").alias("mes")])
+
+
+def sketched_distribution(sketches: DataFrame, by: Sequence[str] = (), shares: Sequence[float] = SHARES) -> DataFrame:
+    """(by, n, share, value): the percentiles of scores from kept sketches, over the columns `by` or over everything; see sketches.RANK_ERROR."""
+    return quantiles(merged(sketches, by), shares)
+
+
 SCORES = ("contrato_score", "entidad_score", "municipio_score", "proveedor_score")
 TABLES = ("flag_contrato", "flag_entidad", *SCORES)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pliego.functions.numbers import mean_of_parts, rate, ratio, weighted_mean, weighted_parts
-from pliego.operators import dedup, joins, profiles, ranking, windows
+from pliego.operators import dedup, joins, patterns, profiles, ranking, sketches, windows
 from pliego.queries.oracle import sql
 from pliego.queries.registry import query, rounded
 from pliego.sinks import artifacts
@@ -68,6 +68,35 @@ def source_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Joins
 
 
+@query("""
+WITH spans AS (SELECT l_suppkey, l_returnflag, CAST(min(l_shipdate) AS DATE) AS first, CAST(max(l_shipdate) AS DATE) AS last FROM lineitem GROUP BY l_suppkey, l_returnflag, l_orderkey % 50)
+SELECT CAST(o_orderdate AS DATE) AS d, count(DISTINCT o_orderkey) AS n_orders, count(first) / count(DISTINCT o_orderkey) AS n_spans, coalesce(sum(l_suppkey) / count(DISTINCT o_orderkey), 0) AS suppliers
+FROM orders LEFT JOIN spans ON CAST(o_orderdate AS DATE) BETWEEN first AND last GROUP BY 1""")
+def overlapping_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of many long, overlapping spans of days hold each order's day."""
+    items = table(spark, sf_dir, "lineitem")
+    day = F.col("l_shipdate").cast("date")
+    spans = items.groupBy("l_suppkey", "l_returnflag", F.col("l_orderkey") % 50).agg(F.min(day).alias("first"), F.max(day).alias("last")).select("l_suppkey", "first", "last")
+    days = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(F.count("*").alias("n_orders"))
+    found = joins.range_join(days, "d", spans, "first", "last").groupBy("d", "n_orders")
+    return found.agg(F.count("first").cast("double").alias("n_spans"), F.coalesce(F.sum("l_suppkey").cast("double"), F.lit(0.0)).alias("suppliers"))
+
+
+@query("""
+WITH wanted AS (SELECT DISTINCT '%' || right(c_name, 4) || '_' AS p FROM customer WHERE c_name IS NOT NULL UNION SELECT DISTINCT '%' || split_part(p_name, ' ', 2) || '%' FROM part UNION SELECT DISTINCT left(s_name, 3) || '%0' || right(s_name, 2) FROM supplier),
+texts AS (SELECT c_name AS t FROM customer UNION SELECT p_name FROM part UNION SELECT s_name FROM supplier)
+SELECT p AS pattern, count(*) AS n, min(t) AS first FROM wanted JOIN texts ON t LIKE p GROUP BY 1""")
+def pattern_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that fit each of many patterns, met through an index of the patterns' pieces."""
+    read = lambda name, col: table(spark, sf_dir, name).select(F.col(col).alias("t"))
+    names = [read("customer", "c_name"), read("part", "p_name"), read("supplier", "s_name")]
+    t = F.col("t")
+    made = (F.concat(F.lit("%"), F.right(t, F.lit(4)), F.lit("_")), F.concat(F.lit("%"), F.split_part(t, F.lit(" "), F.lit(2)), F.lit("%")), F.concat(F.left(t, F.lit(3)), F.lit("%0"), F.right(t, F.lit(2))))
+    wanted = [n.select(p.alias("pattern")) for n, p in zip(names, made, strict=True)]
+    found = patterns.like_join(names[0].union(names[1]).union(names[2]), "t", wanted[0].union(wanted[1]).union(wanted[2]), "pattern")
+    return found.groupBy("pattern").agg(F.count("*").alias("n"), F.min("t").alias("first"))
+
+
 @query("SELECT o_orderkey, coalesce(n, 'OTRO') AS prioridad, coalesce(urgent, false) AS urgent FROM orders LEFT JOIN (VALUES ('1-URGENT', 'ALTA', true), ('2-HIGH', 'ALTA', false)) AS r(p, n, urgent) ON o_orderpriority = p")
 def lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = spark.createDataFrame([("1-URGENT", "ALTA", True), ("2-HIGH", "ALTA", False)], "p string, prioridad string, urgent boolean")
@@ -213,6 +242,35 @@ def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("col", "n_rows", "null_pct", "n_distinct", F.get("examples", F.lit(0)).alias("e1"))
 
 
+_PROFILED = {"l_orderkey": "bigint", "l_shipdate": "timestamp", "l_extendedprice": "double", "l_returnflag": "string", "l_linenumber": "int", "l_discount": "double"}
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{c}' AS col, '{t}' AS type, count(*) AS n_rows, round((count(*) - count({c})) * 100.0 / count(*), 1) AS null_pct, count(DISTINCT {c}) AS n_distinct FROM lineitem" for c, t in _PROFILED.items())
+)
+def profile_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of few and of very many values: only the cells of the latter are shuffled."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp"))
+    return profiles.profile(rows, list(_PROFILED)).drop("examples")
+
+
+_SHARES = (0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 1.0)
+
+
+@query(f"SELECT year(l_shipdate) AS anio, share, count(*) AS n, true AS within FROM lineitem, (SELECT unnest({list(_SHARES)}) AS share) WHERE l_extendedprice IS NOT NULL GROUP BY 1, 2")
+def quantile_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices by year from sketches kept by month. within: the estimate's true rank is off by no more than the stated bound."""
+    rows = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("anio"), F.month("l_shipdate").alias("mes"), F.col("l_extendedprice").alias("v"))
+    yearly = sketches.quantiles(sketches.merged(sketches.quantile_sketches(rows, F.col("v"), ["anio", "mes"]), ["anio"]), _SHARES)
+    wide = yearly.groupBy("anio", "n").pivot("share", list(_SHARES)).agg(F.first("value")).toDF("anio", "n", *[f"s{i}" for i in range(len(_SHARES))])
+    each = [F.struct(F.count_if(F.col("v") < F.col(f"s{i}")).alias("below"), F.count_if(F.col("v") <= F.col(f"s{i}")).alias("to"), F.lit(s).alias("share")) for i, s in enumerate(_SHARES)]
+    ranks = rows.join(joins.small(wide), "anio").groupBy("anio", "n").agg(*[e.alias(f"e{i}") for i, e in enumerate(each)])
+    placed = ranks.select("anio", "n", F.explode(F.array(*[f"e{i}" for i in range(len(_SHARES))])).alias("e")).select("anio", "n", "e.*")
+    error = sketches.RANK_ERROR
+    within = (F.col("below") <= (F.col("share") + error) * F.col("n")) & (F.col("to") >= (F.col("share") - error) * F.col("n"))
+    return placed.select("anio", "share", "n", within.alias("within"))
+
+
 # Windows
 
 

@@ -18,7 +18,7 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 PAGE = 50_000
 ATTEMPTS = 5
@@ -100,8 +100,80 @@ class ApiReader(DataSourceReader):
                 yield tuple(row.get(c) for c in self.names)
 
 
+class ApiStream(DataSourceStreamReader):
+    """A dataset as a stream: first its rows in key order, then what is changed, slice by slice.
+
+    An offset holds for each slice: key, the last one read; goal, the last one there was when the slice was first seen; mark, the
+    latest change there was then, and from there on the latest change read. Until key reaches goal, a batch goes on by key and leaves
+    out what was changed after mark; from then on it reads what was changed after mark, in order of key. So each version of a row that a batch can see
+    comes once: a row changed during the first phase comes with the second. Both ends of a batch are in its offsets, so one that is run again
+    after a failure asks for the same rows. Option `batch`: so many rows a slice and batch, about; after a restart, the first batch holds all that is left.
+    A slice that the options name for the first time begins from its first key.
+    """
+
+    def __init__(self, options: dict[str, str], names: list[str]):
+        self.options, self.names = options, names
+        self.key, self.updated = options.get("key", ":id"), options.get("updated", ":updated_at")
+        self.slices = json.loads(options.get("slices", '[""]'))
+        self.rows = int(options.get("batch", "1000000"))
+        self.at: dict[str, dict] | None = None
+
+    def initialOffset(self) -> dict:
+        self.at = {}
+        return {"slices": {}}
+
+    def latestOffset(self) -> dict:
+        known, stepwise = self.at or {}, self.at is not None
+        self.at = known | {w: self.after(w, known.get(w), stepwise) for w in self.slices}
+        return {"slices": self.at}
+
+    def ask(self, select: str, limits: list[str], **more: str) -> dict[str, str]:
+        where = " AND ".join(f"({w})" for w in (self.options.get("where", ""), *limits) if w)
+        rows = fetch(transport(self.options), {"$select": select} | ({"$where": where} if where else {}) | {f"${k}": v for k, v in more.items()})
+        return rows[0] if rows else {}
+
+    def nth(self, column: str, limits: list[str]) -> str | None:
+        """The value of column in the last row of the next batch, by that column; null if there are not so many rows."""
+        return self.ask(column, limits, order=column, limit="1", offset=str(self.rows - 1)).get(column)
+
+    def after(self, where: str, at: dict | None, stepwise: bool) -> dict:
+        """A slice's offset one batch further on; without `stepwise`, one that stands for all there is now."""
+        if at is None:
+            ends = self.ask(f"max({self.key}) as goal, max({self.updated}) as mark", [where])
+            goal, mark = ends.get("goal") or None, ends.get("mark") or None
+            at = {"key": None, "goal": goal, "mark": mark}
+            if not stepwise:
+                return at | {"key": goal}
+        if at["key"] != at["goal"]:
+            limits = [where, f"{self.key} <= '{at['goal']}'", f"{self.key} > '{at['key']}'" if at["key"] is not None else ""]
+            return at | {"key": self.nth(self.key, limits) or at["goal"]}
+        limits = [where, f"{self.updated} > '{at['mark']}'" if at["mark"] is not None else f"{self.updated} IS NOT NULL"]
+        return at | {"mark": self.nth(self.updated, limits) or self.ask(f"max({self.updated}) as mark", limits).get("mark") or at["mark"]}
+
+    def limits(self, start: dict | None, end: dict) -> list[list[str]]:
+        """Conditions of what lies between two offsets of a slice, one list for each range of rows."""
+        out = []
+        old = start or {"key": None, "goal": end["goal"], "mark": end["mark"]}
+        if old["key"] != old["goal"]:
+            to = end["key"] if end["goal"] == old["goal"] else old["goal"]
+            seen = f"{self.updated} <= '{old['mark']}' OR {self.updated} IS NULL" if old["mark"] is not None else f"{self.updated} IS NULL"
+            after = f"{self.key} > '{old['key']}'" if old["key"] is not None else ""
+            out.append([after, f"{self.key} <= '{to}'", seen])
+        if end["mark"] != old["mark"]:
+            out.append([f"{self.updated} > '{old['mark']}'" if old["mark"] is not None else "", f"{self.updated} <= '{end['mark']}'"])
+        return out
+
+    def partitions(self, start: dict, end: dict) -> list[Slice]:
+        self.at = end["slices"]
+        both = [(w, own) for w, to in end["slices"].items() for own in self.limits(start["slices"].get(w), to)]
+        return [Slice(" AND ".join(f"({x})" for x in (w, *own) if x)) for w, own in both]
+
+    def read(self, partition: Slice) -> Iterator[tuple]:
+        return ApiReader(self.options, self.names).read(partition)
+
+
 class ApiDataSource(DataSource):
-    """spark.read.format("paged_api").schema("all columns as string").options(url=..., slices='["y=2023", "y=2024"]').load()"""
+    """spark.read.format("paged_api").schema("all columns as string").options(url=..., slices='["y=2023", "y=2024"]').load(), or readStream"""
 
     @classmethod
     def name(cls) -> str:
@@ -114,6 +186,9 @@ class ApiDataSource(DataSource):
     def reader(self, schema) -> ApiReader:
         return ApiReader(dict(self.options), schema.fieldNames())
 
+    def streamReader(self, schema) -> ApiStream:
+        return ApiStream(dict(self.options), schema.fieldNames())
+
 
 def remote_state(send: Transport, updated: str = ":updated_at") -> tuple[int, str | None]:
     """How many rows the remote dataset has, and its latest change."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pliego.operators.dedup import keep_latest
+from pliego.streaming.keyed import Upsert
 
 
 def newer(df: DataFrame, updated: str, since: str | None) -> DataFrame:
@@ -25,30 +25,6 @@ def part_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.select("*", F.col("_metadata.file_name").alias("file_name"))
 
 
-class Upsert:
-    """foreachBatch function: appends each batch as a version of the table below `path`, whose latest rows `current` gives.
-
-    Versions are only added, under the batch's own number, so a batch that is run again after a failure replaces itself and nothing
-    else. `compact` folds all versions into one that stands for them.
-    """
-
-    def __init__(self, path: str, keys: list[str], order: str):
-        self.path, self.keys, self.order = path.rstrip("/"), keys, order
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        keep_latest(batch, self.keys, self.order).write.mode("overwrite").parquet(f"{self.path}/version={batch_id:012d}")
-
-    def current(self, spark: SparkSession) -> DataFrame:
-        """The latest row of each key: by `order`, then by version."""
-        df = spark.read.option("mergeSchema", "true").parquet(self.path)
-        return keep_latest(df, self.keys, self.order, "version").drop("version")
-
-    def compact(self, spark: SparkSession, out: str) -> Upsert:
-        """The current rows as the first version of a new table."""
-        self.current(spark).write.mode("overwrite").parquet(f"{out.rstrip('/')}/version={0:012d}")
-        return Upsert(out, self.keys, self.order)
-
-
 def upsert_available(stream: DataFrame, sink: Upsert, checkpoint: str) -> StreamingQuery:
     """Everything that has arrived since the last run, then stop; the checkpoint remembers what has been read."""
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
