@@ -4,6 +4,7 @@ marts    raw part files below IN (s1, s2, divipola, l1 to l4; secop1_slices/*/*,
 enrich   the mart IN with registration dates from the registers below IN (e1_ibague, e1_santarosa) to a mart below OUT
 flags, score, backtest   tables over the mart IN below OUT
 export   published lists over the mart IN below OUT
+         backtest and export take --cases FILE, landmark cases to look up
 report   quality of the mart IN, as Markdown at OUT
 """
 
@@ -39,6 +40,9 @@ def main(argv: list[str] | None = None) -> None:
     cli.add_argument("step", choices=["marts", "enrich", "flags", "score", "backtest", "export", "report"])
     cli.add_argument("source", metavar="IN")
     cli.add_argument("out", metavar="OUT")
+    cli.add_argument("--cases", metavar="FILE", help="landmark cases, JSON or YAML")
+    cli.add_argument("--doubted", metavar="SLUG", nargs="*", default=[], help="cases whose matches were looked at and are none")
+    cli.add_argument("--version", metavar="TEXT", help="of the code, for the catalogue")
     a = cli.parse_args(argv)
     spark = SparkSession.builder.appName(f"pliego {a.step}").getOrCreate()
     if a.step == "marts":
@@ -52,10 +56,11 @@ def main(argv: list[str] | None = None) -> None:
         write_text(spark, "\n".join(markdown(title, df) for title, df in quality.report(mart).items()), a.out)
     else:
         mart = scoring.run(mart, wanted=WRITTEN.get(a.step, scoring.SCORES))
+        cases = backtest.load_cases(spark, a.cases) if a.cases else None
         if a.step == "export":
-            exports.run(mart, a.out, metrics=backtest.summed(backtest.run(mart)))
+            exports.run(mart, a.out, metrics=backtest.summed(backtest.run(mart, cases), a.doubted), version=a.version)
         else:
-            marts.saved(backtest.run(mart) if a.step == "backtest" else {k: mart[k] for k in WRITTEN[a.step]}, a.out)
+            marts.saved(backtest.run(mart, cases) if a.step == "backtest" else {k: mart[k] for k in WRITTEN[a.step]}, a.out)
 
 
 if __name__ == "__main__":

@@ -101,6 +101,16 @@ def parsed(text: Column) -> Column:
     return F.coalesce(F.from_json(text, FIRED), F.array().cast(FIRED))
 
 
+def as_objects(flags: Column) -> Column:
+    """A list of flags as `parsed` gives it, each evidence an object in place of its text; one that is no JSON object is an empty one.
+
+    Objects can't be ordered or compared, so this comes last, where the list is written.
+    """
+    empty = F.parse_json(F.lit("{}"))
+    own = lambda text: F.when(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.try_parse_json(text)).otherwise(empty)
+    return F.transform(flags, lambda f: f.withField("evidence", own(f["evidence"])))
+
+
 def _literal(pairs: Mapping[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 

@@ -104,10 +104,13 @@ def fact_matches(facts: DataFrame, scores: DataFrame, divipola: DataFrame) -> Da
     return joined.withColumns({"match_rate_pct": rate("n_total"), "match_rate_usable_pct": rate("n_usable_join_keys")})
 
 
+AUC_TARGET, LIFT_TARGET = 0.6, 1.5
+
+
 def targets(auc_value: float | None, lift: float | None, summary: Sequence[bool | None]) -> dict[str, bool]:
-    """Whether the ranking reaches its targets: AUC over 0.6, lift over 1.5, every case that has data in its year's top quartile."""
+    """Whether the ranking reaches its targets: AUC and lift above theirs, every case that has data in its year's top quartile."""
     with_data = [s for s in summary if s is not None]
-    return {"auc": auc_value is not None and auc_value > 0.6, "lift": lift is not None and lift > 1.5, "cases": bool(with_data) and all(with_data)}
+    return {"auc": auc_value is not None and auc_value > AUC_TARGET, "lift": lift is not None and lift > LIFT_TARGET, "cases": bool(with_data) and all(with_data)}
 
 
 def run(mart: Mart, cases: DataFrame | None = None) -> Mart:
@@ -123,8 +126,16 @@ def run(mart: Mart, cases: DataFrame | None = None) -> Mart:
     return out | {"targets": by_auc.sparkSession.createDataFrame(list(reached.items()), "target string, reached boolean")}
 
 
-def summed(found: Mart) -> dict:
-    """What the catalogue of the artifacts says of a run's tables."""
-    reached = {r["target"]: r["reached"] for r in found["targets"].collect()}
+def summed(found: Mart, doubted: Sequence[str] = ()) -> dict:
+    """What the catalogue of the artifacts says of a run's tables. doubted: slugs of cases whose matches were looked at and are none."""
+    by_k = {r["name"]: r for r in found["precision"].collect()}  # a row for each k
     auc_row = found["auc"].first()
-    return {"auc": auc_row["auc"], "n": auc_row["n"], "n_pos": auc_row["n_pos"], "auc_reached": reached["auc"], "lift_reached": reached["lift"]}
+    cases = [
+        {"slug": c["slug"], "nombre": c["nombre"] or c["slug"], "periodo": [c["first"], c["last"]], "n_matched": c["n_matched"], "mejor_score": c["best_score"], "mejor_tier": c["best_tier"],
+         "percentil_anio": c["best_percentil_anio"], "cuartil_superior": c["top_quartile_reached"], "confirmado_manualmente": c["n_matched"] > 0 and c["slug"] not in doubted}
+        for c in (found["cases"].orderBy("slug").collect() if "cases" in found else [])  # few
+    ]
+    return {
+        "auc": auc_row["auc"], "n": auc_row["n"], "n_pos": auc_row["n_pos"], "lift": by_k["top_10%"]["lift"] if "top_10%" in by_k else None, "auc_target": AUC_TARGET, "lift_target": LIFT_TARGET,
+        "precision": {k: r["precision"] for k, r in by_k.items()}, "reached": all(r["reached"] for r in found["targets"].collect()), "cases": cases, "facts": found["facts"].first().asDict(),
+    }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pliego.functions.casts import compact_date
@@ -12,6 +12,8 @@ from pliego.functions.numbers import ratio
 from pliego.functions.text import digits, nit_base
 from pliego.operators.joins import earliest_of
 from pliego.plans.marts import Mart
+from pliego.session import cut
+from pliego.streaming.keyed import KeyedTable
 
 #: Fixed value: what the first register writes where a number does not apply.
 NOT_APPLICABLE = "NO APLICA"
@@ -77,25 +79,46 @@ def candidates(mart: Mart, min_value: float = 200_000_000) -> DataFrame:
     return wanted.orderBy(F.col("max_valor").desc(), "doc_proveedor_norm")
 
 
-def looked_up(wanted: DataFrame, cache: DataFrame, fetch: Callable[[str], str | None] | None = None, per_second: float = 1.0) -> DataFrame:
-    """(nit_base, fecha_matricula) of wanted numbers: from the cache, and where `fetch` is given, from it, at a limited rate per task.
+CACHE = "nit_base string, fecha_matricula date, found boolean, looked_at timestamp"
 
-    Without one, numbers that are not in the cache have a null date. `fetch` gets a number and returns eight digits or nothing.
+
+class LookupCache:
+    """What has been looked up, one row a number, numbers for which nothing was found too; kept below `path` and added to by each run."""
+
+    def __init__(self, path: str):
+        self.table = KeyedTable(path, ["nit_base"], ["found", "looked_at"], buckets=16)
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        return self.table.current(spark) if self.table.commits(spark) else spark.createDataFrame([], CACHE)
+
+
+def looked_up(wanted: DataFrame, cache: DataFrame | LookupCache, fetch: Callable[[str], str | None] | None = None, per_second: float = 1.0, tasks: int = 4) -> DataFrame:
+    """(nit_base, fecha_matricula) of wanted numbers: from the cache, and where `fetch` is given, from it; what it gives is added to a LookupCache.
+
+    Without `fetch`, numbers that are not in the cache have a null date. `fetch` gets a number and returns eight digits or nothing. All tasks together ask
+    `per_second` times a second at most: there are `tasks` of them, and each waits its share. A number that is in the cache, with a date or without, is not asked for again.
     """
-    joined = wanted.select("nit_base").distinct().join(cache.select("nit_base", "fecha_matricula").withColumn("_known", F.lit(True)), "nit_base", "left")
+    spark = wanted.sparkSession
+    known = cache.rows(spark) if isinstance(cache, LookupCache) else cache
+    joined = wanted.select("nit_base").where("nit_base IS NOT NULL").distinct().join(known.select("nit_base", "fecha_matricula").withColumn("_known", F.lit(True)), "nit_base", "left")
     if fetch is None:
         return joined.drop("_known")
+    wait = tasks / per_second
 
     def ask(frames):
         import time
 
+        last = 0.0
         for frame in frames:
             got = []
             for number in frame["nit_base"]:
+                time.sleep(max(0.0, last + wait - time.monotonic()))
+                last = time.monotonic()
                 got.append(fetch(number))
-                time.sleep(1 / per_second)
             yield frame.assign(found=got)
 
-    missing = joined.where(F.col("_known").isNull()).select("nit_base").mapInPandas(ask, "nit_base string, found string")
-    known = joined.where("_known").select("nit_base", "fecha_matricula")
-    return known.unionByName(missing.select("nit_base", compact_date(F.col("found")).alias("fecha_matricula")))
+    missing = joined.where(F.col("_known").isNull()).select("nit_base").repartition(tasks).mapInPandas(ask, "nit_base string, found string")
+    new = cut(missing.select("nit_base", compact_date(F.col("found")).alias("fecha_matricula")))  # asked for once, though read twice
+    if isinstance(cache, LookupCache) and not new.isEmpty():
+        cache.table.merge(new.select("nit_base", "fecha_matricula", F.col("fecha_matricula").isNotNull().alias("found"), F.current_timestamp().alias("looked_at")))
+    return joined.where("_known").select("nit_base", "fecha_matricula").unionByName(new)

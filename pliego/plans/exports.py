@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pliego.functions.evidence import parsed
+from pliego.functions.evidence import as_objects, parsed
 from pliego.functions.numbers import weighted_mean
 from pliego.functions.text import padded
 from pliego.operators.dedup import keep_latest, top_per_group
 from pliego.operators.joins import small
 from pliego.params import Params
 from pliego.plans.marts import Mart
+from pliego.plans.published import ARTIFACT_SCHEMAS, meta
 from pliego.session import cut
 from pliego.sinks.artifacts import chunk_json, chunked, compact, publish
 
@@ -66,23 +67,31 @@ def departments(scores: DataFrame, divipola: DataFrame, p: Params | None = None)
     return rows.fillna(0, [c for c in found.columns if c.startswith("n_") or c == "valor_total"])
 
 
+def _entity_fields() -> list[Column]:
+    c = F.col
+    own = ["n_contratos", "valor_total", "score", "tier", "datos_insuficientes", "n_flags_aplicables", "n_flags_disparados"]
+    return [c("nit_entidad_norm").alias("nit_entidad"), c("nombre_entidad"), padded(c("cod_dpto"), 2).alias("cod_dpto"), c("dpto"), *map(c, own), parsed(c("flags_disparados")).alias("banderas")]
+
+
 def department_details(mart: Mart, p: Params | None = None, top: int = TOP_PER_DEPARTMENT) -> DataFrame:
     """Every department with its totals, municipalities, top entities and years, as nested lists in one plan.
 
-    Lists are bounded by the places and years of a department and by `top`.
+    Places and years are all there, as many as a department has; entities are the `top` first.
     """
     p = p or Params()
     scores = mart["contrato_score"]
 
-    def listed(df: DataFrame, name: str, order: Sequence[Column], columns: Sequence[Column | str], n: int) -> DataFrame:
-        ranked = top_per_group(df.where("cod_dpto IS NOT NULL"), ["cod_dpto"], order, n)
+    def listed(df: DataFrame, name: str, order: Sequence[Column], columns: Sequence[Column | str], n: int | None = None) -> DataFrame:
+        some = df.where("cod_dpto IS NOT NULL")
+        ranked = top_per_group(some, ["cod_dpto"], order, n) if n else some.withColumn("position", F.row_number().over(Window.partitionBy("cod_dpto").orderBy(*order)))
         return ranked.groupBy("cod_dpto").agg(F.array_sort(F.collect_list(F.struct("position", F.struct(*columns).alias("item"))))["item"].alias(name))
 
     best = [F.col("score").desc_nulls_last(), F.col("valor_total").desc_nulls_last()]
-    places = listed(mart["municipio_score"], "municipios", [*best, F.col("cod_mpio")], [padded(F.col("cod_mpio"), 5).alias("cod_mpio"), "municipio", "n_contratos", F.coalesce("valor_total", F.lit(0.0)).alias("valor_total"), "score", "tier", "datos_insuficientes"], 5000)
-    entities = listed(mart["entidad_score"], "top_entidades", [*best, F.col("nit_entidad_norm")], [F.col("nit_entidad_norm").alias("nit_entidad"), "nombre_entidad", "n_contratos", "valor_total", "score", "tier", "datos_insuficientes", parsed(F.col("flags_disparados")).alias("banderas")], top)
+    places = listed(mart["municipio_score"], "municipios", [*best, F.col("cod_mpio")], [padded(F.col("cod_mpio"), 5).alias("cod_mpio"), "municipio", "n_contratos", F.coalesce("valor_total", F.lit(0.0)).alias("valor_total"), "score", "tier", "datos_insuficientes"])
+    ranked = mart["entidad_score"].join(department_names(mart["divipola"]), "cod_dpto", "left")
+    entities = listed(ranked, "top_entidades", [*best, F.col("nit_entidad_norm")], _entity_fields(), top)
     yearly = scores.where("anio IS NOT NULL").groupBy("cod_dpto", "anio").agg(*_totals())
-    years = listed(yearly, "serie_anio", [F.col("anio")], ["anio", "n_contratos", "valor_total", "score_promedio"], 5000)
+    years = listed(yearly, "serie_anio", [F.col("anio")], ["anio", "n_contratos", "valor_total", "score_promedio"])
     rows = departments(scores, mart["divipola"], p)
     for part in (places, entities, years):
         rows = rows.join(part, "cod_dpto", "left")
@@ -161,52 +170,15 @@ def found_by_id(id_contrato: str, *lists: DataFrame) -> DataFrame:
     return out.orderBy("_list").limit(1).drop("_list")
 
 
-def meta(p: Params, chunks: dict[str, int], generated: str, metrics: dict | None = None) -> dict:
-    """The catalogue that goes with the artifacts."""
-    reached = bool(metrics and metrics.get("auc_reached"))
-    return {
-        "generado_en": generated,
-        "formula": "score = 100 * peso disparado / peso aplicable",
-        "banderas": [{"flag_id": k, "nombre": n, "nivel": of, "peso": w} for k, (n, of, w) in p.weights.items()],
-        "tiers": [{"id": t, "nombre": n, "min_score": least, "max_score": p.tiers[i + 1][2] if i + 1 < len(p.tiers) else None} for i, (t, n, least) in enumerate(p.tiers)],
-        "shrinkage": {"k": p.shrink_k, "min_contratos_rank": p.min_contracts},
-        "backtest": metrics and metrics | {"resumen": "supera la meta" if reached else "por debajo de la meta"},
-        "artefactos": chunks,
-    }
-
-
-_ID = {"type": "string"}
-_COUNT = {"type": "integer", "minimum": 0}
-_AMOUNT = {"type": ["number", "null"]}
-_SCORE = {"type": ["number", "null"], "minimum": 0, "maximum": 100}
-_TIER = {"enum": ["bajo", "medio", "alto", "critico", None]}
-_CONTRACT = {"type": "object", "required": ["id_contrato", "score", "tier", "banderas", "fecha_firma", "valor_contrato"], "properties": {"id_contrato": _ID, "score": _SCORE, "tier": _TIER, "banderas": {"type": "array"}, "n_flags_disparados": _COUNT, "n_flags_aplicables": _COUNT}}
-_CHUNK = {"type": "object", "required": ["chunk_index", "n_chunks", "n_items_total", "items"], "properties": {"chunk_index": _COUNT, "n_chunks": {"type": "integer", "minimum": 1}, "n_items_total": _COUNT, "items": {"type": "array", "items": _CONTRACT}}}
-_RANKED = {"type": "object", "required": ["score", "tier"], "properties": {"score": _SCORE, "tier": _TIER, "n_contratos": _COUNT}}
-_LIST = {"type": "object", "required": ["n_items", "items"], "properties": {"n_items": _COUNT, "items": {"type": "array", "items": _RANKED}}}
-_PLACE = {"type": "object", "required": ["cod_dpto", "dpto", "n_contratos", "valor_total"], "properties": {"cod_dpto": _ID, "n_contratos": _COUNT, "valor_total": _AMOUNT, "score_promedio": _SCORE, "municipios": {"type": "array", "items": _RANKED}, "top_entidades": {"type": "array", "items": _RANKED}, "serie_anio": {"type": "array"}}}
-_YEAR = {"type": "object", "required": ["anio", "n_contratos"], "properties": {"anio": {"type": "integer"}, "n_contratos": _COUNT}}
-
-#: What each kind of artifact has to look like.
-ARTIFACT_SCHEMAS = {
-    "casos_prioritarios": _CHUNK,
-    "contratos_recientes": _CHUNK,
-    "departamento": _PLACE,
-    "entidades_top": _LIST,
-    "proveedores_top": _LIST,
-    "resumen_nacional": {
-        "type": "object",
-        "required": ["kpis", "serie_anio_modalidad", "serie_anio_tier", "departamentos"],
-        "properties": {"kpis": {"type": "object", "required": ["contratos_analizados", "valor_total_cop", "casos_criticos"]}, "serie_anio_modalidad": {"type": "array", "items": _YEAR}, "serie_anio_tier": {"type": "array", "items": _YEAR}, "departamentos": {"type": "array", "items": _PLACE}},
-    },
-    "meta": {"type": "object", "required": ["generado_en", "formula", "banderas", "tiers", "shrinkage", "artefactos"], "properties": {"banderas": {"type": "array"}, "tiers": {"type": "array"}}},
-}
-
-
 def _as_json(*columns: Column | str) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
+def _with_objects(item: Column) -> Column:
+    """A struct with a list of flags, their evidence as objects."""
+    return item.withField("banderas", as_objects(item["banderas"]))
+
+
 def _items(df: DataFrame, name: str, *order: str) -> DataFrame:
     """One row: all rows of a bounded list as an array of structs, in the order of the named columns, which tell them apart."""
     item = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)], F.struct(*df.columns).alias("item"))
@@ -219,16 +191,15 @@ def _one(kind: str, row: DataFrame) -> DataFrame:
 
 
 def _chunks(kind: str, df: DataFrame, n: int, order: list[Column]) -> DataFrame:
-    ready = chunk_json(chunked(df, n, *order), df.columns)
+    ready = chunk_json(chunked(df, n, *order), df.columns, _with_objects)
     return ready.select(F.format_string(f"{kind}/%03d.json", "chunk_index").alias("path"), F.lit(kind).alias("kind"), "json")
 
 
-def _top(kind: str, df: DataFrame, id_col: str) -> DataFrame:
-    """A ranked list that is limited already."""
-    ranked = df.withColumns({"_score": -F.coalesce("score", F.lit(-1.0)), "_value": -F.coalesce("valor_total", F.lit(0.0))})
-    listed = _items(ranked, "items", "_score", "_value", id_col)
-    plain = F.transform("items", lambda x: x.dropFields("_score", "_value"))
-    return _one(kind, listed.select(F.size("items").alias("n_items"), plain.alias("items")))
+def _top(kind: str, df: DataFrame, id_col: str, fields: Sequence[Column], shape: Callable[[Column], Column] = lambda item: item) -> DataFrame:
+    """A ranked list that is limited already: these fields of its rows."""
+    ranked = df.select((-F.coalesce("score", F.lit(-1.0))).alias("_score"), (-F.coalesce("valor_total", F.lit(0.0))).alias("_value"), F.col(id_col).alias("_id"), F.struct(*fields).alias("_item"))
+    listed = _items(ranked, "items", "_score", "_value", "_id").select(F.transform("items", lambda x: shape(x["_item"])).alias("items"))
+    return _one(kind, listed.select(F.size("items").alias("n_items"), "items"))
 
 
 def summary(mart: Mart, p: Params | None = None) -> DataFrame:
@@ -243,20 +214,29 @@ def summary(mart: Mart, p: Params | None = None) -> DataFrame:
     return row
 
 
-def run(mart: Mart, out: str, chunk: int = CHUNK, today: str | None = None, p: Params | None = None, metrics: dict | None = None, generated: str | None = None) -> list[dict]:
-    """Every artifact, its catalogue (meta.json) and manifest.json below out; returns the manifest's files. metrics: of the backtest."""
+def artifacts(mart: Mart, chunk: int = CHUNK, today: str | None = None, p: Params | None = None, generated: str = "") -> DataFrame:
+    """(path, kind, json, items): every artifact but the catalogue."""
     p = p or Params()
     details = department_details(mart, p)
+    details = details.withColumn("top_entidades", F.transform("top_entidades", _with_objects))
+    supplier = [F.col("doc_proveedor_norm").alias("doc_proveedor"), *map(F.col, ("nombre_proveedor", "es_persona_natural", "n_contratos", "valor_total", "score", "tier", "datos_insuficientes"))]
     parts = [
         _chunks("casos_prioritarios", priority_cases(mart), chunk, by_score()),
         _chunks("contratos_recientes", recent_contracts(mart, today=today), chunk, by_date()),
         details.select(F.concat(F.lit("departamentos/"), "cod_dpto", F.lit(".json")).alias("path"), F.lit("departamento").alias("kind"), _as_json(*details.columns).alias("json")),
-        _top("entidades_top", top_entities(mart), "nit_entidad_norm"),
-        _top("proveedores_top", top_suppliers(mart["proveedor_score"]), "doc_proveedor_norm"),
-        _one("resumen_nacional", summary(mart, p)),
+        _top("entidades_top", top_entities(mart), "nit_entidad_norm", _entity_fields(), _with_objects),
+        _top("proveedores_top", top_suppliers(mart["proveedor_score"]), "doc_proveedor_norm", supplier),
+        _one("resumen_nacional", summary(mart, p).select(F.lit(generated).alias("generado_en"), "*")),
     ]
-    ready = cut(reduce(DataFrame.unionByName, parts))
-    counts = {r["kind"]: r["count"] for r in ready.groupBy("kind").count().collect()}  # a row for each kind
-    catalogue = meta(p, counts, generated or dt.datetime.now(dt.UTC).isoformat(timespec="seconds"), metrics)
+    return reduce(DataFrame.unionByName, parts).withColumn("items", F.coalesce(F.get_json_object("json", "$.n_items_total"), F.lit("0")).cast("int"))
+
+
+def run(mart: Mart, out: str, chunk: int = CHUNK, today: str | None = None, p: Params | None = None, metrics: dict | None = None, generated: str | None = None, version: str | None = None) -> list[dict]:
+    """Every artifact, its catalogue (meta.json) and manifest.json below out; returns the manifest's files. metrics: of backtest.summed; version: of the code that scored."""
+    p = p or Params()
+    now = generated or dt.datetime.now(dt.UTC).isoformat(timespec="seconds")
+    ready = cut(artifacts(mart, chunk, today, p, now))
+    counts = {r["kind"]: (r["n"], r["items"]) for r in ready.groupBy("kind").agg(F.count("*").alias("n"), F.max("items").alias("items")).collect()}  # a row for each kind
+    catalogue = meta(p, counts, now, metrics, (TOP_CASES, TOP_RECENT, TOP_ENTITIES, TOP_PER_DEPARTMENT, chunk), version)
     own = ready.sparkSession.createDataFrame([("meta.json", "meta", compact(catalogue))], "path string, kind string, json string")
-    return publish(ready.unionByName(own), out, ARTIFACT_SCHEMAS)
+    return publish(ready.drop("items").unionByName(own), out, ARTIFACT_SCHEMAS)

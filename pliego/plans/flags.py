@@ -219,11 +219,11 @@ def f05(mart: Mart, p: Params) -> DataFrame:
     keys = ["nit_entidad_norm", "doc_proveedor_norm", "unspsc_segmento"]
     c = F.col
     rows = mart["fct_contrato"].where((c("modalidad_norm") == p.direct) & keyed(c(keys[0])) & keyed(c(keys[1])) & c(keys[2]).isNotNull() & c("fecha_firma").isNotNull() & c("valor_contrato").isNotNull())
-    near = around(rows, keys, "fecha_firma", p.split_days, "valor_contrato", "n_contratos_ventana", "valor_ventana")
+    near = around(rows, keys, "fecha_firma", p.split_days, "valor_contrato", "n_contratos_ventana", "suma_valor_ventana")
     wages = mart["ref_smmlv"].select(c("year").alias("anio"), "value_cop")
-    near = near.join(wages, "anio").withColumn("umbral", c("value_cop") * p.split_wages)
-    fired = (c("n_contratos_ventana") >= p.split_min_contracts) & (c("valor_ventana") > c("umbral"))
-    return near.select(contract_key(), fired.alias("fired"), *keys, "fecha_firma", "n_contratos_ventana", "valor_ventana", "umbral")
+    near = near.join(wages, "anio").withColumn("umbral_smmlv_cop", c("value_cop") * p.split_wages)
+    fired = (c("n_contratos_ventana") >= p.split_min_contracts) & (c("suma_valor_ventana") > c("umbral_smmlv_cop"))
+    return near.select(contract_key(), fired.alias("fired"), *keys, "fecha_firma", "n_contratos_ventana", "suma_valor_ventana", "umbral_smmlv_cop")
 
 
 def f06(mart: Mart, p: Params) -> DataFrame:

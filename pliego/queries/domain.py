@@ -47,9 +47,9 @@ def f04_direct_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 _regional = "fct_contrato JOIN (SELECT CAST(n_nationkey AS VARCHAR) AS cod_dpto, CAST(n_regionkey AS VARCHAR) AS region FROM nation) USING (cod_dpto)"
 
 
-@query(sql(f"SELECT * REPLACE (round(valor_ventana, 2) AS valor_ventana) FROM ({splitting('region', _regional)})"))
+@query(sql(f"SELECT * REPLACE (round(suma_valor_ventana, 2) AS suma_valor_ventana) FROM ({splitting('region', _regional)})"))
 def f05_splitting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(flags.f05(testdata.regional(spark, sf_dir), testdata.SPLITTING), "valor_ventana", digits=2)
+    return rounded(flags.f05(testdata.regional(spark, sf_dir), testdata.SPLITTING), "suma_valor_ventana", digits=2)
 
 
 _rounds = "(SELECT CAST(o_orderkey AS VARCHAR) AS id_contrato, CAST(o_custkey AS VARCHAR) AS nit_entidad_norm, o_orderstatus AS doc_proveedor_norm, CAST(1 AS INTEGER) AS unspsc_segmento, CAST(o_orderdate AS DATE) AS fecha_firma, true AS es_competitiva FROM orders)"

@@ -16,7 +16,7 @@ _wmean = lambda v, w: f"CASE WHEN sum(coalesce({w}, 0)) FILTER (WHERE {v} IS NOT
 
 def splitting(entity: str, contracts: str) -> str:
     return f"""
-SELECT id_contrato AS key, n >= 3 AND total > {PARAMS.split_wages}::DOUBLE * value_cop AS fired, nit_entidad_norm, doc_proveedor_norm, unspsc_segmento, fecha_firma, n AS n_contratos_ventana, total AS valor_ventana, {PARAMS.split_wages}::DOUBLE * value_cop AS umbral
+SELECT id_contrato AS key, n >= 3 AND total > {PARAMS.split_wages}::DOUBLE * value_cop AS fired, nit_entidad_norm, doc_proveedor_norm, unspsc_segmento, fecha_firma, n AS n_contratos_ventana, total AS suma_valor_ventana, {PARAMS.split_wages}::DOUBLE * value_cop AS umbral_smmlv_cop
 FROM (SELECT *, count(*) OVER w AS n, sum(valor_contrato) OVER w AS total FROM (SELECT * REPLACE ({entity} AS nit_entidad_norm) FROM {contracts})
   WHERE modalidad_norm = 'CONTRATACION_DIRECTA' AND nit_entidad_norm <> '' AND doc_proveedor_norm <> '' AND unspsc_segmento IS NOT NULL AND fecha_firma IS NOT NULL AND valor_contrato IS NOT NULL
   WINDOW w AS (PARTITION BY nit_entidad_norm, doc_proveedor_norm, unspsc_segmento ORDER BY fecha_firma RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND INTERVAL 90 DAYS FOLLOWING)) c

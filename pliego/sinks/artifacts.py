@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pliego.operators.ranking import numbered
 from pliego.session import cut
+from pliego.sinks.jsonschema import broken
+from pliego.sinks.writer import MANIFEST, TextFiles, store_of
 
 TOTAL_BYTES = 60_000_000
 FILE_BYTES = 5_000_000
@@ -25,11 +26,12 @@ def chunked(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return placed.crossJoin(F.broadcast(total)).withColumns({"chunk_index": F.floor(F.col("position") / n).cast("int"), "n_chunks": F.ceil(F.col("n_items_total") / n).cast("int")})  # total: one row
 
 
-def chunk_json(chunks: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(chunk_index, json): each chunk as one JSON object with its items in order. A chunk is a bounded number of items."""
+def chunk_json(chunks: DataFrame, columns: Sequence[str], shape: Callable[[Column], Column] = lambda item: item) -> DataFrame:
+    """(chunk_index, json): each chunk as one JSON object with its items in order. A chunk is a bounded number of items. shape: what is written of an item, a struct."""
     item = F.struct("position", F.struct(*columns).alias("item"))
     grouped = chunks.groupBy("chunk_index", "n_chunks", "n_items_total").agg(F.array_sort(F.collect_list(item))["item"].alias("items"))
-    whole = F.to_json(F.struct("chunk_index", "n_chunks", "n_items_total", "items"), {"ignoreNullFields": "false"})
+    shaped = F.transform("items", lambda x: shape(x)).alias("items")
+    whole = F.to_json(F.struct("chunk_index", "n_chunks", "n_items_total", shaped), {"ignoreNullFields": "false"})
     return grouped.select("chunk_index", whole.alias("json"))
 
 
@@ -40,26 +42,6 @@ def check_columns(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     return row.select(F.explode(items).alias("x")).select("x.*")
 
 
-def problems(value: object, schema: Mapping, at: str = "$") -> list[str]:
-    """What a small artifact breaks of a JSON schema (type, required, properties, items, enum, minimum, maximum), all of it."""
-    kinds = {"object": dict, "array": list, "string": str, "number": (int, float), "integer": int, "boolean": bool, "null": type(None)}
-    wanted = schema.get("type", [])
-    wanted = [wanted] if isinstance(wanted, str) else wanted
-    fits = any(isinstance(value, kinds[k]) and not (isinstance(value, bool) and k in ("number", "integer")) for k in wanted)
-    found = [f"{at}: not of type {wanted}"] if wanted and not fits else []
-    if "enum" in schema and value not in schema["enum"]:
-        found.append(f"{at}: not one of {schema['enum']}")
-    if isinstance(value, int | float) and not isinstance(value, bool):
-        least, most = schema.get("minimum", value), schema.get("maximum", value)
-        found += [f"{at}: {value} is below {least}"] * (value < least) + [f"{at}: {value} is above {most}"] * (value > most)
-    if isinstance(value, dict):
-        found += [f"{at}: lacks {k}" for k in schema.get("required", []) if k not in value]
-        found += [p for k, s in schema.get("properties", {}).items() if k in value for p in problems(value[k], s, f"{at}.{k}")]
-    if isinstance(value, list) and "items" in schema:
-        found += [p for i, v in enumerate(value) for p in problems(v, schema["items"], f"{at}[{i}]")]
-    return found
-
-
 def compact(value: object) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"), default=str)
 
@@ -77,39 +59,34 @@ def check_budget(ready: DataFrame, total: int = TOTAL_BYTES, each: int = FILE_BY
         raise ValueError(f"artifacts of {whole} bytes, the largest {largest}: over the budget of {total} and {each}")
 
 
-def broken(ready: DataFrame, schemas: Mapping[str, Mapping], most: int = 20) -> list[str]:
-    """What the artifacts (path, kind, json) break of their kinds' schemas, each checked where it lies; `most` problems at most."""
-
-    def check(batches):
-        for b in batches:
-            found = [(path, p) for path, kind, text in zip(b["path"], b["kind"], b["json"], strict=True) for p in problems(json.loads(text), schemas[kind])[:most]]
-            yield pd.DataFrame(found, columns=["path", "problem"])
+class SchemaError(ValueError):
+    """Artifacts break their schemas. problems: all of it, as a table (path, problem); the message shows the first ones of each path."""
 
-    return [f"{r['path']} {r['problem']}" for r in ready.mapInPandas(check, "path string, problem string").limit(most).collect()]
+    def __init__(self, problems: DataFrame, shown: int = 20):
+        n = problems.count()
+        first = problems.orderBy("path", "problem").limit(shown).collect()
+        more = f"; and {n - len(first)} more, all of them in problems" if n > len(first) else ""
+        super().__init__("artifacts break their schemas: " + "; ".join(f"{r['path']} {r['problem']}" for r in first) + more)
+        self.problems = problems
 
 
 def publish(ready: DataFrame, out: str, schemas: Mapping[str, Mapping], total: int = TOTAL_BYTES, each: int = FILE_BYTES) -> list[dict]:
     """Writes the artifacts (path, kind, json) as files below out, and last manifest.json, which is returned.
 
-    All are checked first, against their schemas and one budget over everything, so what is there stays if anything is wrong. The
-    budget bounds what passes through the driver, a file at a time. JSON files that are no longer in the list are deleted.
+    All are checked first, against their schemas and one budget over everything, then tasks write them aside, and only then are they put in place: what
+    is there stays if anything is wrong or fails. JSON files that are no longer in the list are deleted. out: a local path or a URI that pyarrow can open.
     """
     spark = ready.sparkSession
     ready = cut(ready.select("path", "kind", "json"))
     check_budget(ready, total, each)
-    if wrong := broken(ready, schemas):
-        raise ValueError("artifacts break their schemas: " + "; ".join(wrong))
-    manifest = []
-    for r in ready.orderBy("path").toLocalIterator():
-        write_text(spark, r["json"], f"{out}/{r['path']}")
-        manifest.append({"path": r["path"], "kind": r["kind"], "bytes": len(r["json"].encode())})
-    kept = {m["path"] for m in manifest}
-    for path in json_files(spark, out):
-        if path not in kept and path != "manifest.json":
-            where = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{path}")
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, False)
-    write_text(spark, compact({"total_bytes": sum(m["bytes"] for m in manifest), "files": manifest}), f"{out}/manifest.json")
-    return manifest
+    wrong = cut(broken(ready, schemas))
+    if not wrong.isEmpty():
+        raise SchemaError(wrong)
+    spark.dataSource.register(TextFiles)
+    ready.write.format("text_files").mode("overwrite").save(out)
+    store, base = store_of(out)
+    with store.open_input_stream(f"{base}/{MANIFEST}") as f:
+        return json.loads(f.read())["files"]
 
 
 def json_files(spark: SparkSession, out: str) -> list[str]:

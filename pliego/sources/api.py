@@ -44,23 +44,29 @@ def transport(options: dict[str, str]) -> Transport:
     return getattr(importlib.import_module(module), name)(options)
 
 
-def fetch(send: Transport, params: dict[str, str], pause: Callable[[float], None] = time.sleep) -> list[dict[str, str]]:
-    """One page. Overload, server errors and lost connections are tried again, ATTEMPTS times in all, after 2 to 30 seconds."""
+def tried(send: Callable[[], tuple], what: object, pause: Callable[[float], None] = time.sleep) -> tuple:
+    """What send returns, (status, headers, content), once its status is 200. Overload, server errors and lost connections are tried again,
+    ATTEMPTS times in all, after 2 to 30 seconds; anything else, and the last failure, is an error."""
     for attempt in range(ATTEMPTS):
         try:
-            status, headers, rows = send(params)
+            status, headers, content = send()
         except OSError as e:
-            status, headers, rows, failed = 0, {}, [], str(e)
+            status, headers, content, failed = 0, {}, None, str(e)
         else:
             failed = f"status {status}"
         if status == 200:
-            return rows
+            return status, headers, content
         if status and status != 429 and status < 500:
             break
         if attempt + 1 < ATTEMPTS:
             asked = headers.get("Retry-After", "")
             pause(min(30.0, float(asked) if asked.isdigit() else 2.0 * 2**attempt))
-    raise RuntimeError(f"no page for {params}: {failed}")
+    raise RuntimeError(f"nothing for {what}: {failed}")
+
+
+def fetch(send: Transport, params: dict[str, str], pause: Callable[[float], None] = time.sleep) -> list[dict[str, str]]:
+    """One page, tried again as `tried` does."""
+    return tried(lambda: send(params), params, pause)[2]
 
 
 def pages(send: Transport, key: str, where: str, select: str, page: int, after: str | None, most: int | None, pause=time.sleep) -> Iterator[list[dict[str, str]]]:

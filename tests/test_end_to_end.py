@@ -72,7 +72,10 @@ def test_export(spark, mart, tmp_path):
     web = tmp_path / "web"
     (web / "departamentos").mkdir(parents=True)
     (web / "departamentos" / "99.json").write_text("{}")  # of an earlier run
-    main(["export", str(mart), str(web)])
+    cases = tmp_path / "cases.json"
+    period = [2000, 2030]
+    cases.write_text(json.dumps({"casos": [{"slug": "alcaldia", "nombre": "A", "periodo": period, "hint_entidad_like": ["%ALCALD_A%"]}, {"slug": "nadie", "periodo": period, "hint_entidad_like": ["%NADIE%"]}]}))
+    main(["export", str(mart), str(web), "--cases", str(cases), "--version", "abc"])
     read = lambda name: json.loads((web / name).read_text())
     first = read("casos_prioritarios/000.json")
     scores = [i["score"] for i in first["items"]]
@@ -88,7 +91,13 @@ def test_export(spark, mart, tmp_path):
     assert national["kpis"]["contratos_analizados"] == N + 1 and [d["cod_dpto"] for d in national["departamentos"]] == ["05", "11"]
     assert sum(x["n_contratos"] for x in national["serie_anio_tier"]) == N + 1 == sum(x["n_contratos"] for x in national["serie_anio_modalidad"])
     meta = read("meta.json")
-    assert meta["artefactos"]["casos_prioritarios"] == 1 and meta["artefactos"]["departamento"] == 2 and meta["backtest"]["n_pos"] == 7 and not meta["backtest"]["auc_reached"] == (meta["backtest"]["auc"] <= 0.6)
+    known = meta["backtest"]
+    assert meta["artefactos"]["casos_prioritarios"]["n_chunks"] == 1 and len(meta["banderas"]) == 14 and known["n_positivos_l1_l4"] == 7 and known["auc_roc"] > 0 and known["lift_top_decil"] is not None
+    assert meta["version"]["git_commit"] == "abc" and [c["slug"] for c in known["casos_emblematicos"]] == ["alcaldia", "nadie"]
+    own = {c["slug"]: c for c in known["casos_emblematicos"]}
+    assert own["alcaldia"]["n_matched"] > 0 and own["alcaldia"]["confirmado_manualmente"] and own["nadie"]["n_matched"] == 0 and own["nadie"]["cuartil_superior"] is None
+    flags = [b for i in first["items"] for b in i["banderas"]] + [b for d in ("05", "11") for e in read(f"departamentos/{d}.json")["top_entidades"] for b in e["banderas"]]
+    assert flags and all(isinstance(b["evidence"], dict) and b["evidence"] for b in flags)
     files = read("manifest.json")
     assert {str(f.relative_to(web)) for f in web.rglob("*.json")} == {f["path"] for f in files["files"]} | {"manifest.json"}
     assert files["total_bytes"] == sum((web / f["path"]).stat().st_size for f in files["files"])

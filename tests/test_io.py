@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from pliego.operators.ranking import numbered
 from pliego.params import Params, load_params
-from pliego.plans import exports
-from pliego.sinks import artifacts
-from pliego.sources import api, files, links, manifest, pull
+from pliego.plans import exports, published
+from pliego.sinks import artifacts, jsonschema, writer
+from pliego.sources import api, documents, files, links, manifest, pull
 from pliego.streaming.incremental import Upsert, part_stream, upsert_available
 
 
@@ -151,6 +151,80 @@ def test_publish_checks_before_it_writes(spark, tmp_path):
     assert sorted(artifacts.json_files(spark, out)) == ["a/1.json", "manifest.json"]
 
 
+def test_a_failing_task_leaves_the_old_files(spark, tmp_path):
+    out, schema = str(tmp_path / "web"), "path string, kind string, json string"
+    spark.dataSource.register(writer.TextFiles)
+
+    def save(rows):
+        spark.createDataFrame(rows, schema).repartition(4).write.format("text_files").mode("overwrite").save(out)
+
+    save([(f"d/{i}.json", "k", f'{{"i":{i}}}') for i in range(20)])
+    before = {str(f.relative_to(tmp_path)): f.read_text() for f in tmp_path.rglob("*.json")}
+    assert len(before) == 21 and len(json.loads(before["web/manifest.json"])["files"]) == 20 and not (tmp_path / "web" / "_staged").exists()
+    for wrong in ("../x.json", None):
+        with pytest.raises(Exception, match="no file can be written"):
+            save([(f"d/{i}.json", "k", "new") for i in range(20)] + [(wrong, "k", "{}")])
+    with pytest.raises(Exception, match="there twice"):
+        save([("a.json", "k", "1"), ("a.json", "k", "2")])
+    assert {str(f.relative_to(tmp_path)): f.read_text() for f in tmp_path.rglob("*.json")} == before
+    save([("d/3.json", "k", "new")])
+    assert not (tmp_path / "web" / "_staged").exists()
+    assert {str(f.relative_to(tmp_path)) for f in tmp_path.rglob("*.json")} == {"web/d/3.json", "web/manifest.json"}
+
+
+def served(options):
+    """Transport for tests: each URL says itself how it is answered, and each request is noted in a file of its own."""
+    import os
+    import uuid
+
+    def get(url):
+        name = url.rsplit("/", 1)[-1]
+        os.makedirs(options["log"], exist_ok=True)
+        with open(f"{options['log']}/{uuid.uuid4().hex}", "w") as f:
+            f.write(url)
+        if name.startswith("lost"):
+            raise OSError("connection reset")
+        return (404, {}, b"") if name.startswith("no") and not os.path.exists(options.get("back", "none")) else (200, {"Content-type": "text/csv"}, f"body of {url}".encode())
+
+    return get
+
+
+def asked(log):
+    return sorted(f.read_text() for f in log.glob("*"))
+
+
+def test_documents_are_fetched_once(spark, tmp_path, monkeypatch):
+    import hashlib
+    import os
+
+    monkeypatch.setattr(api, "ATTEMPTS", 1)
+    spark.sparkContext.environment["PYTHONPATH"] = f"{os.path.dirname(__file__)}:{os.path.dirname(os.path.dirname(__file__))}"
+    html = '<a href="/d/a.csv">1</a> <a href="b.xlsx">2</a> <a href="/d/a.csv">again</a> <a href="no.zip">3</a>'
+    pages = spark.createDataFrame([(1, "https://s.org/x/p", html), (2, "https://t.org/", html), (3, "https://t.org/", None)], "id int, url string, html string")
+    found = links.links(pages, "id", "url", "html")
+    options = {"transport": "test_io:served", "log": str(tmp_path / "log"), "back": str(tmp_path / "back")}
+    got = {r["url"]: r for r in documents.gathered(found, options, str(tmp_path / "docs"), tasks=3).collect()}
+    assert len(got) == 6 and len(asked(tmp_path / "log")) == 6
+    good = got["https://s.org/d/a.csv"]
+    assert (good["file"], good["status"], good["content_type"], good["failure"]) == ("a.csv", 200, "text/csv", None) and good["sha256"] == hashlib.sha256(good["body"]).hexdigest() and good["n_bytes"] == len(good["body"])
+    assert "404" in got["https://t.org/no.zip"]["failure"] and got["https://t.org/no.zip"]["body"] is None
+    (tmp_path / "back").write_text("")
+    again = {r["url"]: r["failure"] for r in documents.gathered(found, options, str(tmp_path / "docs"), tasks=3).collect()}
+    assert set(again.values()) == {None} and len(asked(tmp_path / "log")) == 8  # only the two that had failed
+    assert documents.gathered(found, options, str(tmp_path / "docs")).count() == 6 and len(asked(tmp_path / "log")) == 8
+
+
+def test_documents_that_never_come(monkeypatch):
+    waits = []
+
+    def lost(url):
+        raise OSError("reset")
+
+    assert documents.one(lost, "u", waits.append)[-1] == "nothing for u: reset" and waits == [2.0, 4.0, 8.0, 16.0]
+    monkeypatch.setattr(documents, "LARGEST", 3)
+    assert documents.one(lambda u: (200, {}, b"abcd"), "u")[1:] == (200, None, 4, None, None, "larger than 3 bytes")
+
+
 def test_evidence_is_described(spark):
     from pliego.functions.evidence import described
 
@@ -175,9 +249,39 @@ def test_csv_with_mark(spark, tmp_path):
     assert next((tmp_path / "c").glob("*.csv")).read_bytes() == "\ufeffa,b\n1,ñ\n".encode()
 
 
-def test_schema_problems():
-    schema = {"type": "object", "required": ["a", "z"], "properties": {"a": {"type": "array", "items": {"type": ["number", "null"], "minimum": 0}}, "t": {"enum": ["x"]}}}
-    assert artifacts.problems({"a": [1, None, -1, "s", True], "t": "y"}, schema) == ["$: lacks z", "$.a[2]: -1 is below 0", "$.a[3]: not of type ['number', 'null']", "$.a[4]: not of type ['number', 'null']", "$.t: not one of ['x']"]
+def problems(spark, schema, *texts):
+    rows = [(f"{i}.json", "k", t) for i, t in enumerate(texts)]
+    found = jsonschema.broken(spark.createDataFrame(rows, "path string, kind string, json string").repartition(2), {"k": schema}).collect()
+    return [[r["problem"] for r in found if r["path"] == f"{i}.json"] for i in range(len(texts))]
+
+
+def test_schema_problems(spark):
+    schema = {"type": "object", "required": ["a", "z"], "properties": {"a": {"type": "array", "items": {"type": ["number", "null"], "minimum": 0}}, "t": {"type": "string", "enum": ["x"]}}}
+    kinds = "not of type ['number', 'null']"
+    wanted = ["$: lacks z", "$.a[2]: -1 is below 0", f"$.a[3]: {kinds}", f"$.a[4]: {kinds}", "$.t: not one of ['x']"]
+    assert problems(spark, schema, '{"a": [1, null, -1, "s", true], "t": "y"}', "{", '{"a": [], "z": 1}', "[]") == [wanted, ["$: no JSON"], [], ["$: not of type ['object']"]]
+
+
+def test_schema_words(spark):
+    strict = {"type": "object", "additionalProperties": False, "required": ["c"], "properties": {"c": {"type": "string", "pattern": "^[0-9]{2}$"}, "n": {"type": ["string", "null"], "minLength": 2}, "i": {"type": "integer", "maximum": 3}, "l": {"type": "array", "minItems": 1, "maxItems": 2, "items": {"type": "boolean"}}, "d": {"type": "string", "format": "date-time"}, "o": {"type": "object"}, "e": {"type": ["string", "null"], "enum": ["a", None]}}}
+    good = ['{"c": "07"}', '{"c": "07", "n": null, "i": 3, "l": [true], "d": "2024-01-01T00:00:00+00:00", "o": {"any": 1}, "e": null}', '{"c": "07", "i": 2.0, "e": "a"}']
+    assert problems(spark, strict, *good) == [[], [], []]
+    bad = '{"c": "7x", "n": "a", "i": 4, "l": [], "d": "today", "o": "{}", "e": "b", "more": 1, "other": null}'
+    assert sorted(problems(spark, strict, bad)[0]) == sorted([
+        "$: may not have more", "$: may not have other", '$.c: "7x" does not match ^[0-9]{2}$', "$.n: shorter than 2", "$.i: 4 is above 3", "$.l: fewer than 1 items", '$.d: "today" is not a date and time', "$.o: not of type ['object']", "$.e: not one of ['a', None]",
+    ])
+    assert problems(spark, strict, '{"c": "07", "i": 2.5, "l": [true, 1, false]}')[0] == ["$.i: not of type ['integer']", "$.l: more than 2 items", "$.l[1]: not of type ['boolean']"]
+    with pytest.raises(ValueError, match="oneOf"):
+        jsonschema.violations(F.lit(None), {"oneOf": []}, F.lit("$"))
+
+
+def test_every_failure_is_kept(spark, tmp_path):
+    rows = spark.range(70).select(F.format_string("%03d.json", "id").alias("path"), F.lit("k").alias("kind"), F.lit('{"a": [1, 2]}').alias("json"))
+    with pytest.raises(artifacts.SchemaError, match="000.json .*and 120 more") as failed:
+        artifacts.publish(rows, str(tmp_path / "w"), {"k": {"type": "object", "properties": {"a": {"type": "array", "items": {"type": "string"}}}}})
+    assert failed.value.problems.count() == 140 and not (tmp_path / "w").exists()
+    with pytest.raises(artifacts.SchemaError, match="no schema of kind k"):
+        artifacts.publish(rows, str(tmp_path / "w"), {})
 
 
 def test_reports_and_csv(spark, tmp_path):
@@ -198,9 +302,12 @@ def test_params_file(tmp_path):
     assert Params().total_weight("contract") == 119 and Params().total_weight("entity") == 16
 
 
-def test_meta():
-    got = exports.meta(Params(), {"casos": 5}, "2024-01-01")
-    assert got["tiers"][0]["max_score"] == 20.0 and got["tiers"][-1]["max_score"] is None and len(got["banderas"]) == 14
+def test_meta(spark):
+    got = published.meta(Params(), {"casos_prioritarios": (5, 2100)}, "2024-01-01T00:00:00Z")
+    assert got["niveles_riesgo"][0]["max_score"] == 20.0 and got["niveles_riesgo"][-1]["max_score"] is None and len(got["banderas"]) == 14 and got["artefactos"]["casos_prioritarios"]["n_chunks"] == 5
+    assert problems(spark, published.ARTIFACT_SCHEMAS["meta"], json.dumps(got)) == [[]]
+    told = published.backtest_block({"auc": 0.7, "lift": 2.0, "n": 10, "n_pos": 2, "reached": True, "precision": {"top_1%": 0.5}})
+    assert told["precision_top_1pct"] == 0.5 and told["precision_top_5pct"] is None and told["cumple_objetivos"] and "0.7000" in told["resumen"]
 
 
 def test_upsert_stream(spark, tmp_path):

@@ -129,6 +129,30 @@ def test_candidates_and_lookup(spark):
     assert dict(enrichment.looked_up(wanted, cache, lambda n: "20200202", 1000.0).collect()) == {"1": day("2001-01-01"), "2": day("2020-02-02")}
 
 
+def test_lookups_are_written_back(spark, tmp_path):
+    wanted = spark.createDataFrame([(str(i),) for i in range(12)] + [("3",), (None,)], "nit_base string")
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def fetch(number, log=str(log)):
+        import time
+        import uuid
+
+        with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+            f.write(f"{number} {time.time()}")
+        return "20200202" if int(number) % 3 else None
+
+    cache = enrichment.LookupCache(str(tmp_path / "cache"))
+    expected = {str(i): day("2020-02-02") if i % 3 else None for i in range(12)}
+    assert dict(enrichment.looked_up(wanted, cache, fetch, 20.0, tasks=3).collect()) == expected
+    times = sorted(float(f.read_text().split()[1]) for f in log.glob("*"))
+    assert len(times) == 12 and all(b - a > 0.05 * 3 for a, b in zip(times, times[7:], strict=False))  # no seven within the time of three
+    assert dict(enrichment.looked_up(wanted, cache, fetch, 20.0).collect()) == expected and len(list(log.glob("*"))) == 12  # those without a date aren't asked for again either
+    more = spark.createDataFrame([("1",), ("77",)], "nit_base string")
+    assert dict(enrichment.looked_up(more, cache, fetch, 50.0).collect()) == {"1": day("2020-02-02"), "77": day("2020-02-02")} and len(list(log.glob("*"))) == 13
+    assert cache.rows(spark).where("NOT found").count() == 4
+
+
 def test_join_operators(spark):
     left = spark.createDataFrame([(1,), (2,), (None,)], "k int")
     banned = lambda *v: spark.createDataFrame([(x,) for x in v], "b int")
