@@ -31,7 +31,7 @@ from pliego.llm.simhash import components
 WORDS = 4
 SHARE = 85
 SEED = 0
-#: One of so many shingles, by hash, is counted to tell which sets may have partners at all.
+#: One of so many shingles, by hash, is counted to tell which sets may have partners at all; of those that may, all are.
 PART = 4
 #: Shingles that a task holds before it sends the sets on.
 HELD = 500_000
@@ -44,6 +44,8 @@ BLOCK = 32
 #: Clustering ends when a round joins less than this share of the leaders, or after ROUNDS.
 LEAST_JOINED = 0.05
 ROUNDS = 12
+#: Shingles whose holders are multiplied at a time.
+STRIP = 8192
 
 
 # Sets
@@ -99,13 +101,14 @@ def linked(common, n_a, n_b, share: int):
     return (100 + share) * common >= share * (n_a + n_b)
 
 
-def without_loners(sets: DataFrame, share: int) -> DataFrame:
+def without_loners(sets: DataFrame, share: int, part: int) -> DataFrame:
     """The rows of sets whose set may have a partner other than an equal one.
 
-    Of every PART-th shingle, those in a single distinct set are counted for that set. A set with more of them than it may leave out has no partner.
-    Such a count is a lower bound of the true one, so nothing is lost; tasks add up before they send, so a shingle of all sets is one row a task.
+    Of every part-th shingle by hash (part: a power of two), those in a single distinct set are counted for that set. A set with more of them than it may
+    leave out has no partner. Such a count is a lower bound of the true one, so nothing is lost; tasks add up before they send, so a shingle of all sets is one row a task.
     """
-    grams = sets.select("key_a", F.explode(F.filter("grams", lambda h: h.bitwiseAND(F.lit(PART - 1)) == 0)).alias("h"))
+    some = F.filter("grams", lambda h: h.bitwiseAND(F.lit(part - 1)) == 0) if part > 1 else F.col("grams")
+    grams = sets.select("key_a", F.explode(some).alias("h"))
     owners = grams.groupBy("h").agg(F.min("key_a").alias("key_a"), F.max("key_a").alias("_other")).where("key_a = _other")
     own = owners.groupBy("key_a").agg(F.count("*").alias("own"))
     sizes = sets.groupBy("key_a").agg(F.max("n").alias("n"))
@@ -127,20 +130,53 @@ def overlaps(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
 
 
+def common_of(grams: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    every, owner = np.concatenate(grams), np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+    _, name, count = np.unique(every, return_inverse=True, return_counts=True)
+    shared = count[name] > 1
+    _, name = np.unique(name[shared], return_inverse=True)
+    owner, out = owner[shared], np.zeros((len(grams), len(grams)), np.float32)
+    order = np.argsort(name, kind="stable")
+    name, owner = name[order], owner[order]
+    for at in range(0, int(name.max(initial=-1)) + 1, STRIP):
+        low, high = np.searchsorted(name, [at, at + STRIP])
+        held = np.zeros((len(grams), STRIP), np.float32)
+        held[owner[low:high], name[low:high] - at] = 1
+        out += held @ held.T  # sums of ones, exact
+    return out.astype(np.int64)
+
+
 def led(t: pa.Table, share: int) -> pa.Table:
-    """(node, leader) of each set of one group: the largest sets come first, each joins the first leader that it links to, or leads."""
+    """The sets of one group as clusters: (node, leader, direct).
+
+    The set with the most links to sets that are in no cluster yet leads these, again and again, so that the text others were made from leads them. Direct rows say that a
+    node links to its leader; the others, that the leader `node` is joined to `leader` by links over several sets of the group.
+    """
     nodes, grams = t.column("node").to_numpy(), [g.values.to_numpy() for g in t.column("grams")]
-    leaders: list[int] = []
-    out = nodes.copy()
-    for i in np.lexsort((nodes, [-len(g) for g in grams])).tolist():
-        near = [k for k in leaders if 100 * len(grams[i]) >= share * len(grams[k])]
-        common = overlaps(grams[i], [grams[k] for k in near])
-        hits = np.flatnonzero(linked(common, len(grams[i]), np.array([len(grams[k]) for k in near], np.int64), share))
-        if len(hits):
-            out[i] = nodes[near[hits[0]]]
-        else:
-            leaders.append(i)
-    return pa.table({"node": pa.array(nodes), "leader": pa.array(out)})
+    sizes = np.array([len(g) for g in grams], np.int64)
+    links = linked(common_of(grams), sizes[:, None], sizes[None, :], share)
+    np.fill_diagonal(links, True)
+    place = np.lexsort((nodes, -sizes))  # ties of links: the larger set, then the smaller node
+    links, free, leader = links[place][:, place], np.ones(len(nodes), bool), np.arange(len(nodes))
+    while free.any():
+        first = int(np.argmax(np.where(free, (links & free).sum(axis=1), 0)))
+        leader[links[first] & free] = first
+        free &= ~links[first]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.where(links, root[None, :], len(nodes)).min(axis=1)
+        if (low == root).all():
+            break
+        root = low
+    own = np.arange(len(nodes))
+    members, others = own[leader != own], own[leader == own]
+    heads = np.full(len(nodes), len(nodes))
+    np.minimum.at(heads, root[others], others)
+    far = others[heads[root[others]] != others]
+    pairs = [(members, leader[members], 1), (far, heads[root[far]], 0)]
+    cols = [np.concatenate([nodes[place[p[k]]] for p in pairs]) for k in (0, 1)]
+    return pa.table({"node": pa.array(cols[0], pa.int64()), "leader": pa.array(cols[1], pa.int64()), "direct": pa.array(np.repeat([p[2] for p in pairs], [len(p[0]) for p in pairs]).astype(np.int32))})
 
 
 def grouped(nodes: DataFrame, seed: int) -> DataFrame:
@@ -151,28 +187,25 @@ def grouped(nodes: DataFrame, seed: int) -> DataFrame:
 
 
 def clusters(nodes: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
-    """((node, leader) of every node, links of leaders that later rounds have found).
+    """((node, leader) of every node, (u, v) of nodes that are known to be joined by links).
 
     The first round makes the clusters, some GROUP sets each at most. Later rounds group the leaders in the same way by other hashes, so that even
     millions of near copies become few components before candidates are searched.
     """
-    found, joined, alive = None, [], nodes
+    found, edges, alive = None, None, nodes
     for seed in range(1, ROUNDS + 1):
-        groups = grouped(alive.select("node", "n", "grams"), seed)
-        new = tables.written(groups.select("node", "grams", "low", "part").groupBy("low", "part").applyInArrow(lambda t: led(t, share), "node long, leader long").where("node <> leader"))
+        groups = grouped(alive.select("node", "n", "grams"), seed).select("node", "grams", "low", "part")
+        new = tables.written(groups.groupBy("low", "part").applyInArrow(lambda t: led(t, share), "node long, leader long, direct int"))
+        joined = new.select(F.col("node").alias("u"), F.col("leader").alias("v"))
+        edges = joined if edges is None else edges.unionByName(joined)
+        members = new.where("direct = 1").select("node", "leader")
         if found is None:
-            found = nodes.select("node").join(new, "node", "left").select("node", F.coalesce("leader", "node").alias("leader"))
-            found = tables.written(found)
-        else:
-            joined.append(new)
-        n_new, n_alive = new.count(), alive.count()
-        alive = tables.written(alive.join(new.select("node"), "node", "left_anti"))
+            found = tables.written(nodes.select("node").join(members, "node", "left").select("node", F.coalesce("leader", "node").alias("leader")))
+        n_new, n_alive = members.count(), alive.count()
+        alive = tables.written(alive.join(members.select("node"), "node", "left_anti"))
         if n_new <= LEAST_JOINED * n_alive and seed > 1:
             break
-    links = joined[0] if joined else nodes.sparkSession.createDataFrame([], "node long, leader long")
-    for more in joined[1:]:
-        links = links.unionByName(more)
-    return found, links
+    return found, edges
 
 
 # Candidates
@@ -221,6 +254,19 @@ def near_blocks(a: dict[str, np.ndarray], b: dict[str, np.ndarray], share: int)
     return np.minimum(first, second), np.maximum(first, second)
 
 
+def pivots(lists: DataFrame, share: int) -> DataFrame:
+    """(u, v): pairs of each list's largest cluster with its other clusters of other components that may link to it.
+
+    They are as many as there are entries. If a text has many variants that do not link to each other, it leads the largest cluster, and these pairs
+    join all of them through it, where all pairs of the variants would have been candidates.
+    """
+    big = lists.groupBy("h").agg(F.max_by(F.struct(*ENTRY), F.struct("size", "cluster")).alias("p"), F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b").select("h", "p")
+    both = lists.join(big, "h").where(F.col("comp") != F.col("p.comp"))
+    may = (F.lit(100 + share) * F.least("left", "p.left") >= F.lit(share) * (F.col("low") + F.col("p.low"))) & (100 * F.col("high") >= share * F.col("p.low")) & (100 * F.col("p.high") >= share * F.col("low"))
+    near = both.where(may)
+    return near.select(F.least("cluster", "p.cluster").alias("u"), F.greatest("cluster", "p.cluster").alias("v")).distinct()
+
+
 def candidates(lists: DataFrame, share: int) -> DataFrame:
     """(u, v): distinct pairs of clusters, of different components, that may hold a link. lists: (h, *ENTRY), one row for each cluster of h."""
     counted = lists.groupBy("h").agg(F.count("*").alias("_n"), F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b")
@@ -307,10 +353,8 @@ def leader_rows(nodes: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFram
     return heads, bodies.select(F.col("leader").alias("cluster"), "gaps")
 
 
-def answers(pairs: DataFrame, nodes: DataFrame, found: DataFrame, share: int) -> DataFrame:
+def answers(pairs: DataFrame, heads: DataFrame, bodies: DataFrame, share: int) -> DataFrame:
     """(u, v): those pairs of clusters of which a set of the one links to a set of the other."""
-    heads, bodies = leader_rows(nodes, found)
-    heads = tables.written(heads)
     sides = [heads.withColumnRenamed("cluster", "u"), heads.select(F.col("cluster").alias("v"), *[F.col(c).alias(f"{c}_b") for c in ("grams", "size", "low", "more")])]
 
     def leaders(batches):
@@ -344,14 +388,21 @@ def answers(pairs: DataFrame, nodes: DataFrame, found: DataFrame, share: int) ->
 
 def node_components(nodes: DataFrame, share: int) -> DataFrame:
     """(node, root) of every node that links join to another one. nodes: (node, n, grams), distinct sets, written."""
-    found, more = clusters(nodes, share)
-    edges = found.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).unionByName(more.toDF("u", "v"))
-    known = tables.written(components(edges))
-    placed = found.join(known, "node", "left").select("node", F.col("leader").alias("cluster"), F.coalesce("root", "node").alias("comp"))
-    entries = postings(nodes, share).join(placed, "node").groupBy("h", "cluster", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("left").alias("left"))
-    pairs = tables.written(candidates(tables.written(entries), share))
-    links = answers(pairs, nodes, found, share)
-    return components(tables.written(edges.unionByName(links)))
+    found, edges = clusters(nodes, share)
+    sizes = found.groupBy(F.col("leader").alias("cluster")).agg(F.count("*").alias("size"))
+    heads, bodies = leader_rows(nodes, found)
+    heads = tables.written(heads)
+    own = postings(nodes, share).join(found.withColumnRenamed("leader", "cluster"), "node").groupBy("h", "cluster").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("left").alias("left"))
+    own = tables.written(own)
+
+    def placed(edges: DataFrame) -> DataFrame:
+        """The entries with the components that are known so far."""
+        known = sizes.join(components(edges).withColumnRenamed("node", "cluster"), "cluster", "left").select("cluster", "size", F.coalesce("root", "cluster").alias("comp"))
+        return tables.written(own.join(known, "cluster"))
+
+    edges = tables.written(edges)
+    edges = tables.written(edges.unionByName(answers(pivots(placed(edges), share), heads, bodies, share)))
+    return components(tables.written(edges.unionByName(answers(candidates(placed(edges), share), heads, bodies, share))))
 
 
 def similar_documents(docs: DataFrame, share: int = SHARE, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -367,7 +418,7 @@ def similar_documents(docs: DataFrame, share: int = SHARE, words: int = WORDS, i
     sets = tables.written(sets_of(docs, id_col, text_col, words))
     keys = ["key_a", "key_b"]
     lows = sets.where("n > 0").groupBy(*keys).agg(F.min("id").alias("low"))
-    some = without_loners(sets, share)
+    some = without_loners(without_loners(sets, share, PART), share, 1)
     one = Window.partitionBy(*keys).orderBy(F.lit(0))
     nodes = some.select(*keys, "n", "grams").withColumn("_rn", F.row_number().over(one)).where("_rn = 1").drop("_rn")
     nodes = tables.written(nodes.withColumn("node", F.monotonically_increasing_id()))
