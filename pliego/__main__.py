@@ -55,7 +55,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.step == "report":
         write_text(spark, "\n".join(markdown(title, df) for title, df in quality.report(mart).items()), a.out)
     else:
-        mart = scoring.run(mart, wanted=WRITTEN.get(a.step, scoring.SCORES))
+        mart = scoring.run(mart, wanted=WRITTEN.get(a.step, scoring.SCORES), evidence=a.step == "score")  # lists show the evidence of few contracts
         cases = backtest.load_cases(spark, a.cases) if a.cases else None
         if a.step == "export":
             exports.run(mart, a.out, metrics=backtest.summed(backtest.run(mart, cases), a.doubted), version=a.version)

@@ -17,6 +17,7 @@ from pliego.operators.joins import small
 from pliego.params import Params
 from pliego.plans.marts import Mart
 from pliego.plans.published import ARTIFACT_SCHEMAS, meta
+from pliego.plans.scoring import evidence_of
 from pliego.session import cut
 from pliego.sinks.artifacts import chunk_json, chunked, compact, publish
 
@@ -100,15 +101,23 @@ def department_details(mart: Mart, p: Params | None = None, top: int = TOP_PER_D
     return rows.withColumns(whole | {"cod_dpto": padded(F.col("cod_dpto"), 2)})
 
 
-def _shown(rows: DataFrame, mart: Mart) -> DataFrame:
-    """Listed contracts with the names of their places and their modality. rows: a bounded list."""
+def _shown(rows: DataFrame, mart: Mart, p: Params | None, flags: bool) -> DataFrame:
+    """Listed contracts with the names of their places, their modality and, if wanted, their flags with evidence. rows: a bounded list.
+
+    Where the scores carry no evidence, it is built for these contracts alone.
+    """
+    rows = cut(rows)
+    if flags and "flags_disparados" not in rows.columns:
+        own = evidence_of(mart, rows.select(F.col("id_contrato").alias("key")), p)
+        rows = rows.join(own, F.col("id_contrato") == F.col("key"), "left").drop("key")
+    told = [parsed(F.col("flags_disparados")).alias("banderas")] if flags else []
     place = mart["divipola"].groupBy("cod_dpto", "cod_mpio").agg(F.min("municipio").alias("municipio"))
     wanted = mart["fct_contrato"].join(small(rows.select("id_contrato")), "id_contrato", "left_semi")
     modality = keep_latest(wanted, ["id_contrato"], "fecha_firma", "row_id").select("id_contrato", F.col("modalidad_norm").alias("modalidad"))
     named = rows.join(modality, "id_contrato").join(department_names(mart["divipola"]), "cod_dpto", "left").join(place, ["cod_dpto", "cod_mpio"], "left")
     return named.select(
         "id_contrato", F.col("nit_entidad_norm").alias("nit_entidad"), "nombre_entidad", F.col("doc_proveedor_norm").alias("doc_proveedor"), "nombre_proveedor", padded(F.col("cod_dpto"), 2).alias("cod_dpto"), "dpto",
-        padded(F.col("cod_mpio"), 5).alias("cod_mpio"), "municipio", "modalidad", "anio", "valor_contrato", "fecha_firma", "source", "score", "tier", "urlproceso", "n_flags_aplicables", "n_flags_disparados", parsed(F.col("flags_disparados")).alias("banderas"),
+        padded(F.col("cod_mpio"), 5).alias("cod_mpio"), "municipio", "modalidad", "anio", "valor_contrato", "fecha_firma", "source", "score", "tier", "urlproceso", "n_flags_aplicables", "n_flags_disparados", *told,
     )
 
 
@@ -120,17 +129,17 @@ def by_date() -> list[Column]:
     return [F.col("fecha_firma").desc(), F.col("id_contrato")]
 
 
-def priority_cases(mart: Mart, top: int = TOP_CASES) -> DataFrame:
+def priority_cases(mart: Mart, top: int = TOP_CASES, p: Params | None = None, flags: bool = True) -> DataFrame:
     """The contracts of highest score, ties to the larger value, then the smaller id."""
     rows = mart["contrato_score"].where(F.col("score").isNotNull()).orderBy(*by_score()).limit(top)
-    return _shown(rows, mart)
+    return _shown(rows, mart, p, flags)
 
 
-def recent_contracts(mart: Mart, top: int = TOP_RECENT, today: str | None = None) -> DataFrame:
+def recent_contracts(mart: Mart, top: int = TOP_RECENT, today: str | None = None, p: Params | None = None, flags: bool = True) -> DataFrame:
     """The contracts signed last, none dated after today."""
     day = F.lit(today).cast("date") if today else F.current_date()
     rows = mart["contrato_score"].where(F.col("score").isNotNull() & (F.col("fecha_firma") <= day)).orderBy(*by_date()).limit(top)
-    return _shown(rows, mart)
+    return _shown(rows, mart, p, flags)
 
 
 def top_entities(mart: Mart, top: int = TOP_ENTITIES) -> DataFrame:
@@ -221,8 +230,8 @@ def artifacts(mart: Mart, chunk: int = CHUNK, today: str | None = None, p: Param
     details = details.withColumn("top_entidades", F.transform("top_entidades", _with_objects))
     supplier = [F.col("doc_proveedor_norm").alias("doc_proveedor"), *map(F.col, ("nombre_proveedor", "es_persona_natural", "n_contratos", "valor_total", "score", "tier", "datos_insuficientes"))]
     parts = [
-        _chunks("casos_prioritarios", priority_cases(mart), chunk, by_score()),
-        _chunks("contratos_recientes", recent_contracts(mart, today=today), chunk, by_date()),
+        _chunks("casos_prioritarios", priority_cases(mart, p=p), chunk, by_score()),
+        _chunks("contratos_recientes", recent_contracts(mart, today=today, p=p), chunk, by_date()),
         details.select(F.concat(F.lit("departamentos/"), "cod_dpto", F.lit(".json")).alias("path"), F.lit("departamento").alias("kind"), _as_json(*details.columns).alias("json")),
         _top("entidades_top", top_entities(mart), "nit_entidad_norm", _entity_fields(), _with_objects),
         _top("proveedores_top", top_suppliers(mart["proveedor_score"]), "doc_proveedor_norm", supplier),

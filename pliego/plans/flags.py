@@ -322,19 +322,19 @@ def level_flags(p: Params, level: str) -> dict[str, int]:
     return {k: 1 << i for i, k in enumerate(k for k, (_, of, _) in p.weights.items() if of == level)}
 
 
-def folded_rows(long: DataFrame, p: Params, level: str) -> DataFrame:
+def folded_rows(long: DataFrame, p: Params, level: str, evidence: bool = True) -> DataFrame:
     """Rows in the long shape as rows of `folded`."""
     bits = level_flags(p, level)
     is_flag = lambda k: F.col("flag_id") == k
     bit = reduce(lambda rest, k: F.when(is_flag(k), F.lit(bits[k])).otherwise(rest), bits, F.lit(0))
-    evidence = [F.when(is_flag(k) & F.col("fired"), F.col("evidence_json")).alias(f"evidence_{k}") for k in bits]
-    return long.where(F.col("flag_id").isin(*bits)).select("key", bit.alias("on"), F.when(F.col("fired"), bit).otherwise(0).alias("fired"), *evidence)
+    told = [F.when(is_flag(k) & F.col("fired"), F.col("evidence_json")).alias(f"evidence_{k}") for k in bits] if evidence else []
+    return long.where(F.col("flag_id").isin(*bits)).select("key", bit.alias("on"), F.when(F.col("fired"), bit).otherwise(0).alias("fired"), *told)
 
 
-def folded(mart: Mart, p: Params | None = None, level: str = "contract") -> DataFrame:
-    """All flags of a level as scores need them: key, bits of the flags that apply (on) and fired, and the evidence of each that fired.
+def folded(mart: Mart, p: Params | None = None, level: str = "contract", evidence: bool = True) -> DataFrame:
+    """All flags of a level as scores need them: key, bits of the flags that apply (on) and fired, and if wanted the evidence of each that fired.
 
-    A contract's row rules are one row; other flags add rows of their own. A plan that needs no evidence computes none.
+    A contract's row rules are one row; other flags add rows of their own. Without evidence a row is its key and two numbers.
     """
     p = p or Params()
     bits = level_flags(p, level)
@@ -345,9 +345,10 @@ def folded(mart: Mart, p: Params | None = None, level: str = "contract") -> Data
         on = {k: _yes(r.applies) for k, r in rules.items()}
         fired = {k: on[k] & _yes(r.fires) for k, r in rules.items()}
         total = lambda marks: reduce(Column.__add__, [F.when(m, F.lit(bits[k])).otherwise(0) for k, m in marks.items()])
-        evidence = [F.when(fired[k], as_json(*[c.alias(n) for n, c in rules[k].evidence.items()])) if k in rules else F.lit(None).cast("string") for k in bits]
-        parts = [with_all(mart).select(contract_key(), total(on).alias("on"), total(fired).alias("fired"), *[e.alias(f"evidence_{k}") for k, e in zip(bits, evidence, strict=True)]).where("on != 0")]
-    parts += [folded_rows(long_rows(k, FLAGS[k](mart, p), fired_only=True), p, level) for k in own if k not in ROW_RULES]
+        told = [F.when(fired[k], as_json(*[c.alias(n) for n, c in rules[k].evidence.items()])) if k in rules else F.lit(None).cast("string") for k in bits]
+        named = [e.alias(f"evidence_{k}") for k, e in zip(bits, told, strict=True)] if evidence else []
+        parts = [with_all(mart).select(contract_key(), total(on).alias("on"), total(fired).alias("fired"), *named).where("on != 0")]
+    parts += [folded_rows(long_rows(k, FLAGS[k](mart, p), fired_only=True), p, level, evidence) for k in own if k not in ROW_RULES]
     return reduce(DataFrame.unionByName, parts)
 
 

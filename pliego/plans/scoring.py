@@ -12,6 +12,7 @@ from pliego.functions.casts import keyed
 from pliego.functions.evidence import fired_list
 from pliego.functions.numbers import combined, mean_of_parts, ratio, shrunk, tier, tier_order, weighted_mean, weighted_parts
 from pliego.operators.dedup import keep_latest
+from pliego.operators.joins import small
 from pliego.operators.ranking import percentiles
 from pliego.operators.sketches import merged, quantile_sketches, quantiles
 from pliego.params import Params
@@ -23,24 +24,34 @@ CONTRACT = ["id_contrato", "nit_entidad_norm", "nombre_entidad", "doc_proveedor_
 
 
 def per_key(found: DataFrame, p: Params, level: str) -> DataFrame:
-    """key, n_flags_aplicables, n_flags_disparados, score, flags_disparados from folded flags, or from rows of a flag table.
+    """key, n_flags_aplicables, n_flags_disparados, score and, if they hold evidence, flags_disparados from folded flags, or from rows of a flag table.
 
     A key's rows of one flag count once, as fired if any has; the evidence is that of a fired row, the largest as text. All flags
     of a key come from one aggregation, which combines rows before they are shuffled.
     """
     found = flags.folded_rows(found, p, level) if "flag_id" in found.columns else found
     bits, weights = flags.level_flags(p, level), {k: int(w) for k, (_, _, w) in p.weights.items()}
-    evidence = [F.max(f"evidence_{k}").alias(f"evidence_{k}") for k in bits]
+    told = any(c.startswith("evidence_") for c in found.columns)
+    evidence = [F.max(f"evidence_{k}").alias(f"evidence_{k}") for k in bits] if told else []
     once = found.groupBy("key").agg(F.bit_or("on").alias("on"), F.bit_or("fired").alias("fired"), *evidence)
     has = lambda c, k: F.col(c).bitwiseAND(F.lit(bits[k])) != 0
     total = lambda c: reduce(Column.__add__, [F.when(has(c, k), F.lit(weights[k])).otherwise(0) for k in bits])
-    listed = fired_list({k: (has("fired", k), F.col(f"evidence_{k}")) for k in bits}, p)
-    return once.select("key", F.bit_count("on").cast("long").alias("n_flags_aplicables"), F.bit_count("fired").cast("long").alias("n_flags_disparados"), ratio(total("fired") * 100.0, total("on")).alias("score"), listed.alias("flags_disparados"))
+    listed = [fired_list({k: (has("fired", k), F.col(f"evidence_{k}")) for k in bits}, p).alias("flags_disparados")] if told else []
+    counts = [F.bit_count(c).cast("long").alias(n) for c, n in (("on", "n_flags_aplicables"), ("fired", "n_flags_disparados"))]
+    return once.select("key", *counts, ratio(total("fired") * 100.0, total("on")).alias("score"), *listed)
+
+
+def evidence_of(mart: Mart, keys: DataFrame, p: Params | None = None) -> DataFrame:
+    """(key, flags_disparados) of those of a bounded list of contracts (column key) to which a flag applies: for lists that show a few of many contracts."""
+    p = p or Params()
+    rows = flags.folded(mart, p).join(small(keys.select("key")), "key", "left_semi")
+    return per_key(rows, p, "contract").select("key", "flags_disparados")
 
 
 def _with_flags(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
     joined = rows.join(found, F.col(key) == F.col("key"), "left").drop("key")
-    return joined.fillna(0, ["n_flags_aplicables", "n_flags_disparados"]).fillna("[]", ["flags_disparados"])
+    whole = joined.fillna(0, ["n_flags_aplicables", "n_flags_disparados"])
+    return whole.fillna("[]", ["flags_disparados"]) if "flags_disparados" in whole.columns else whole
 
 
 def contract_scores(mart: Mart, found: DataFrame, p: Params | None = None) -> DataFrame:
@@ -140,13 +151,14 @@ SCORES = ("contrato_score", "entidad_score", "municipio_score", "proveedor_score
 TABLES = ("flag_contrato", "flag_entidad", *SCORES)
 
 
-def run(mart: Mart, p: Params | None = None, wanted: Sequence[str] = TABLES) -> Mart:
+def run(mart: Mart, p: Params | None = None, wanted: Sequence[str] = TABLES, evidence: bool = True) -> Mart:
     """The mart with the flag and score tables wanted; no others are planned.
 
     Contract scores, on which the other scores build, are computed once and written. The rest are plans, computed if they are used.
+    evidence: whether contracts have the list of their fired flags (flags_disparados); `evidence_of` gives those of a few of them.
     """
     p = p or Params()
-    contract = cut(contract_scores(mart, flags.folded(mart, p), p)) if set(wanted) & set(SCORES) else None
+    contract = cut(contract_scores(mart, flags.folded(mart, p, evidence=evidence), p)) if set(wanted) & set(SCORES) else None
     plans = {
         "flag_contrato": lambda: flags.run(mart, p, "contract"),
         "flag_entidad": lambda: flags.run(mart, p, "entity"),

@@ -16,9 +16,9 @@ from pliego.session import cut
 P = testdata.PARAMS
 
 
-def scored(spark: SparkSession, sf_dir: str, *wanted: str) -> Mart:
-    """The mart with contracts' scores, or the other score tables named."""
-    return scoring.run(testdata.mart(spark, sf_dir, written=True), P, wanted or ("contrato_score",))
+def scored(spark: SparkSession, sf_dir: str, *wanted: str, evidence: bool = False) -> Mart:
+    """The mart with contracts' scores, or the other score tables named; with the evidence of all contracts if wanted."""
+    return scoring.run(testdata.mart(spark, sf_dir, written=True), P, wanted or ("contrato_score",), evidence)
 
 
 # Flags
@@ -121,7 +121,7 @@ def score_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("SELECT id_contrato, flag_id, peso FROM (SELECT key AS id_contrato, flag_id, bool_or(fired) AS fired FROM flag_contrato GROUP BY ALL) JOIN (VALUES " + ", ".join(f"('{k}', {w})" for k, (_, _, w) in P.weights.items()) + ") AS w(flag_id, peso) USING (flag_id) WHERE fired"))
 def fired_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fired flags inside each contract's JSON list."""
-    rows = scored(spark, sf_dir)["contrato_score"].select("id_contrato", F.explode(exports.parsed(F.col("flags_disparados"))).alias("x"))
+    rows = scored(spark, sf_dir, evidence=True)["contrato_score"].select("id_contrato", F.explode(exports.parsed(F.col("flags_disparados"))).alias("x"))
     return rows.select("id_contrato", "x.flag_id", "x.peso")
 
 
@@ -421,13 +421,13 @@ def department_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("SELECT id_contrato, nit_entidad_norm AS nit_entidad, dpto, municipio, modalidad_norm AS modalidad, anio, valor_contrato, fecha_firma, round(score, 6) AS score, tier, n_flags_disparados FROM contrato_score JOIN divipola USING (cod_dpto, cod_mpio) WHERE score IS NOT NULL ORDER BY round(score, 9) DESC, valor_contrato DESC NULLS LAST, id_contrato LIMIT 2500"))
 def topn_priority_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = scored(spark, sf_dir)
-    found = exports.priority_cases(m | {"contrato_score": rounded(m["contrato_score"], "score", digits=9)})
+    found = exports.priority_cases(m | {"contrato_score": rounded(m["contrato_score"], "score", digits=9)}, flags=False)
     return rounded(found.select("id_contrato", "nit_entidad", "dpto", "municipio", "modalidad", "anio", "valor_contrato", "fecha_firma", "score", "tier", "n_flags_disparados"), "score")
 
 
 @query(sql("SELECT id_contrato, fecha_firma, valor_contrato, municipio FROM contrato_score JOIN divipola USING (cod_dpto, cod_mpio) WHERE score IS NOT NULL AND fecha_firma <= DATE '1998-06-30' ORDER BY fecha_firma DESC, id_contrato LIMIT 1000"))
 def topn_recent_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.recent_contracts(scored(spark, sf_dir), today="1998-06-30").select("id_contrato", "fecha_firma", "valor_contrato", "municipio")
+    return exports.recent_contracts(scored(spark, sf_dir), today="1998-06-30", flags=False).select("id_contrato", "fecha_firma", "valor_contrato", "municipio")
 
 
 @query(sql("SELECT nit_entidad_norm, dpto, round(score, 6) AS score, tier FROM entidad_score JOIN (SELECT DISTINCT cod_dpto, dpto FROM divipola) USING (cod_dpto) ORDER BY round(score, 9) DESC NULLS LAST, round(valor_total, 2) DESC NULLS LAST, nit_entidad_norm LIMIT 300"))
