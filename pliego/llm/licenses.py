@@ -3,7 +3,7 @@
 A text becomes a row of normalised words with borders between sentences: blank lines and list items are hard borders; ends of
 lines, and full stops, colons and semicolons before white space, are soft ones, which a sentence may also run across, as texts
 wrap and "v. 2.0" holds a full stop. What stands from border to border and equals a known licence sentence, names and years left
-open, or is a notice that names a licence and says nothing else, is mapped to that sentence's identifier. The identifiers, in the
+open, is mapped to that sentence's identifier; a notice that names licences and says nothing else, to one for each, and if it denies them to none. The identifiers, in the
 order of the text, are then matched against ordered rules, the longest first; a rule consumes the identifiers that it matches,
 and what no rule consumes is reported as unmatched. A licence that is only named within other words is mentioned, not granted.
 SPDX tags are read as expressions. Everything is DataFrame functions; nothing is shuffled.
@@ -52,6 +52,8 @@ SENTENCES = {
     "bsl-grant": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following',
     "bsl-notice": "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor",
     "wtfpl-verbatim": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed",
+    "asf-licensed": "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements",
+    "asf-notice": "See the NOTICE file distributed with this work for additional information regarding copyright ownership",
     "apache-compliance": "you may not use this file except in compliance with the License",
     "apache-copy": "You may obtain a copy of the License at",
     "apache-copy-url": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
@@ -104,6 +106,8 @@ RULES = [
     ("Unlicense", ["unlicense-free"]),
     ("BSL-1.0", ["bsl-grant", "bsl-notice"]),
     ("WTFPL", ["wtfpl-verbatim"]),
+    ("Apache-2.0", ["asf-licensed", "asf-notice", "notice:Apache-2.0", "apache-compliance", "apache-copy", "apache-as-is", "apache-see"]),
+    ("Apache-2.0", ["asf-licensed", "asf-notice", "notice:Apache-2.0"]),
     ("Apache-2.0", ["notice:Apache-2.0", "apache-compliance", "apache-copy", "apache-as-is", "apache-see"]),
     ("Apache-2.0", ["notice:Apache-2.0", "apache-compliance", "apache-copy", "apache-as-is"]),
     ("Apache-2.0", ["notice:Apache-2.0", "apache-definitions", "apache-patent"]),
@@ -117,7 +121,8 @@ RULES = [
 _GNU = r"(?:gnu )?{}(?: [a]?l?gpl)?(?: as published by the free software foundation)?(?: either)?(?: version | ?v ?| )?{}(?: [0-9]+ [a-z]+ [0-9]{{4}})?"
 _GNU_NAMES = {"GPL": ("general public license", "gpl"), "LGPL": ("(?:lesser|library) general public license", "lgpl"), "AGPL": ("affero general public license", "agpl")}
 _LATER = r"(?: of the license| only)??(?: or at your option| or)(?: any)? (?:later(?: version)?|newer(?: version)?)"
-_CC = "(?:creative commons attribution{} 4.0(?: international)?(?: public)?(?: license)?|cc by{} 4.0(?: international)?(?: license)?)"
+_CC = r"(?:creative commons attribution{} {v}(?: international| unported)?(?: public)?(?: license)?|cc by{} {v}(?: international| unported)?(?: license)?)"
+_CC_KINDS = {"BY-NC-SA": (" non ?commercial share ?alike", " nc sa"), "BY-NC-ND": (" non ?commercial no ?deriv(?:ative)?s", " nc nd"), "BY-NC": (" non ?commercial", " nc"), "BY-ND": (" no ?deriv(?:ative)?s", " nd"), "BY-SA": (" share ?alike", " sa"), "BY": ("", "")}
 
 #: How licences are named, as patterns over normalised words.
 NAMES = {
@@ -139,19 +144,32 @@ NAMES = {
     "Unlicense": r"unlicense",
     "WTFPL": r"do what the fuck you want to public license|wtfpl",
     "PostgreSQL": r"postgresql license",
-    "CC-BY-NC-SA-4.0": _CC.format(" non ?commercial share ?alike", " nc sa"),
-    "CC-BY-NC-ND-4.0": _CC.format(" non ?commercial no ?deriv(?:ative)?s", " nc nd"),
-    "CC-BY-NC-4.0": _CC.format(" non ?commercial", " nc"),
-    "CC-BY-ND-4.0": _CC.format(" no ?deriv(?:ative)?s", " nd"),
-    "CC-BY-SA-4.0": _CC.format(" share ?alike", " sa"),
-    "CC-BY-4.0": _CC.format("", ""),
+    **{f"CC-{k}-{v}": _CC.format(*words, v=v.replace(".", r"\.")) for v in ("4.0", "3.0") for k, words in _CC_KINDS.items()},
     "CC0-1.0": r"cc0(?: version| v)?(?: 1\.0)?(?: universal)?(?: public domain dedication)?",
+    "Artistic-2.0": r"artistic license(?: version | v ?| )2(?:\.0)?",
+    "PSF-2.0": r"(?:python software foundation|psf|python)(?: software foundation)? license(?: agreement)?(?:(?: version | v ?| )2(?:\.0)?)?(?: for python [0-9.]+)?",
+    # a notice without a version allows any
+    "LGPL-2.0-or-later": r"(?:gnu )?(?:(?:lesser|library) general public license|lgpl)(?: lgpl| license)?",
+    "AGPL-1.0-or-later": r"(?:gnu )?(?:affero general public license|agpl)(?: agpl| license)?",
+    "GPL-1.0-or-later": r"(?:gnu )?(?:general public license|gpl)(?: gpl| license)?",
 }
 
+#: Names that only count as such below a heading or after "License:".
+BARE = {"MIT": "mit|expat", "ISC": "isc", "Zlib": "zlib", "BSD-3-Clause": "bsd 3 clause", "BSD-2-Clause": "bsd 2 clause", "Unlicense": "the unlicense"}
+
 #: What may stand around a licence's name in a notice that says nothing else.
-BEFORE = r"(?:(?:<line>)?(?:(?:is|are|was|were|be) )?(?:hereby )?(?:dual )?(?:licensed|released|distributed|available|made available|provided|published|offered|covered|governed)(?: to you)?(?: as open source)? (?:under|by)(?: the terms(?: and conditions)? of)?(?: either)?(?: the| a| an)? |(?:<>)?you can redistribute it and or modify it under the terms of the |(?:<line>)?subject to the terms of the |under(?: the terms of)? the |license |the )?"
+BEFORE = r"(?:(?:<line>)?licenses (?:this|the) (?:file|work|software|code|project|program)(?: to you)? under (?:the )?|(?:<line>)?(?:(?:is|are|was|were|be) )?(?:hereby )?(?:dual )?(?:licensed|released|distributed|available|made available|provided|published|offered|covered|governed)(?: to you)?(?: as open source)? (?:under|by)(?: the terms(?: and conditions)? of)?(?: either of| either| any of| both)?(?: the| a| an)? |(?:<>)?you can redistribute it and or modify it under the terms of the |(?:<line>)?subject to the terms of the |under(?: the terms of)? the |license |the )?"
 AFTER = r"(?: the license| license| only)?(?: which (?:is available|accompanies)(?: [a-z0-9.+]+){0,16})?"
 
+MORE = r"(?: and or| and| or)(?: under)?(?: the| a| an| either)? "
+CHOICE = r"(?: at your (?:option|choice|discretion))?"
+
+#: Words with which a notice grants nothing. What is said where nothing else is stated is no such word.
+DENIED = r" (?:not|never|neither|nor|none|cannot|no longer|no part|isn|aren|wasn|weren|doesn|don|didn|won|couldn|shouldn|wouldn|if|whether|until|formerly|previously|would|could|instead of|rather than|unlike|is it|are they) "
+OTHERWISE = r" (?:unless|except where|except as|if not|where not)(?: explicitly| expressly)? otherwise (?:noted|stated|specified|indicated|mentioned) "
+#: A link as Markdown writes it, of which its text is read.
+LINK = r"\[([^\]\n]+)\]\([^)\n]*\)"
+
 GAP = 16
 _WORD = "[a-z0-9.+]+"
 _SEP = "(?: |//|~~)"
@@ -190,10 +208,19 @@ def _spaced(pattern: str) -> str:
     return "".join({"<>": _GAP, "<line>": _GAP_IN_LINE}.get(p, p) for p in spaced)
 
 
-#: Identifier and pattern of each sentence, then of each licence's notice; where two fit at one place the first counts.
-KNOWN = [(i, _pattern(s)) for i, s in sorted(SENTENCES.items(), key=lambda p: -len(p[1]))] + [(f"notice:{name}", _spaced(f"{BEFORE}(?:{p}){AFTER}")) for name, p in NAMES.items()]
-ANY = "[|/~](?:" + "|".join([*(p for i, p in KNOWN if not i.startswith("notice:")), _spaced(f"{BEFORE}(?:{'|'.join(NAMES.values())}){AFTER}")]) + ")[|/~]"
-NAMED = "[ |/~](?:" + "|".join(_spaced(f"(?:{p})") for p in NAMES.values()) + ")[ |/~]"
+#: Identifier and pattern of each sentence; where two fit at one place the first counts.
+KNOWN = [(i, _pattern(s)) for i, s in sorted(SENTENCES.items(), key=lambda p: -len(p[1]))]
+_ONE = f"(?:{'|'.join(NAMES.values())}){AFTER}"
+#: A notice that names one licence or several; and a heading with a licence below it.
+NOTICE = _spaced(f"{BEFORE}{_ONE}(?:{MORE}{_ONE}){{0,3}}{CHOICE}")
+HEADED = rf"(?:project )?license(?:\|\||//|~~)(?:the )?(?:{_spaced(_ONE)}|{'|'.join(_spaced(p) for p in BARE.values())})"
+FRONT = "^(?:" + _spaced(BEFORE.removesuffix("?")) + ")"
+ANY = "[|/~](?:" + "|".join([*(p for _, p in KNOWN), NOTICE, HEADED]) + ")[|/~]"
+#: Names in what is left of a text, or within a notice; and their identifiers.
+CALLED = [(n, _spaced(p)) for n, p in NAMES.items()]
+NAMED = "[ |/~](?:" + "|".join(f"(?:{p})" for _, p in CALLED) + ")[ |/~]"
+CALLED_BARE = CALLED + [(n, _spaced(f"(?:{p})")) for n, p in BARE.items()]
+NAMED_BARE = "[ |/~](?:" + "|".join(f"(?:{p})" for _, p in CALLED_BARE) + ")[ |/~]"
 _ALL_RULES = sorted([*RULES, *((name, [f"notice:{name}"]) for name in NAMES)], key=lambda r: -len(r[1]))
 RULE = "|".join("".join(f";{i};" for i in sequence).replace(".", r"\.").replace("+", r"\+") for _, sequence in _ALL_RULES)
 BY_SEQUENCE = {"".join(f";{i};" for i in sequence): name for name, sequence in _ALL_RULES}
@@ -202,6 +229,7 @@ BY_SEQUENCE = {"".join(f";{i};" for i in sequence): name for name, sequence in _
 def stream(text: Column) -> Column:
     """The whole text as normalised words. || is a hard border, ~~ a full stop or the like, // an end of line; begins and ends with ||."""
     sub = F.regexp_replace
+    text = sub(text, LINK, "$1")
     plain = F.concat(F.lit("\n"), F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), F.lit("\n"))
     plain = sub(sub(plain, LEAD, "\n"), ITEM, "\n\n")
     plain = F.replace(F.lower(F.translate(plain, "|/~", "   ")), F.lit("licence"), F.lit("license"))
@@ -241,21 +269,32 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Null and repeated ids stay; other columns, whatever their names, are left out; an empty table gives an empty one.
     """
     none = F.array().cast("array<string>")
-    id_of = dict(KNOWN)
-    known = [(SAME.get(i, i), p) for i, p in id_of.items()]
+    known = [(SAME.get(i, i), p) for i, p in KNOWN]
     inside = lambda m: F.substring(m, 2, 1 << 30)
     inner = lambda m: inside(F.reverse(inside(F.reverse(m))))
+    padded = lambda m: F.concat(F.lit(" "), m, F.lit(" "))
     some = hinted(F.coalesce(F.col(text_col), F.lit("")))
     untagged = F.regexp_replace(F.col(text_col), f"(?i){SPDX}", "\n\n")
     found = docs.select(F.col(id_col).alias("id"), F.when(some, F.col(text_col)).alias("text"), F.when(some, stream(untagged)).alias("stream"))
-    said = F.regexp_extract_all("stream", F.lit(ANY), F.lit(0))
-    rest = F.regexp_replace("stream", ANY, "||")
+    matched = F.transform(F.regexp_extract_all("stream", F.lit(ANY), F.lit(0)), lambda m: F.struct(inner(m).alias("said"), first_fit(inner(m), known).alias("id")))
+    found = found.withColumn("matched", F.coalesce(matched, F.array().cast("array<struct<said:string,id:string>>")))
+
+    def denied(said: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(padded(said), "[|/~]+", " "), OTHERWISE, " ").rlike(DENIED)
+
+    def named(said: Column) -> Column:
+        names = F.regexp_extract_all(padded(F.regexp_replace(said, FRONT, "")), F.lit(NAMED_BARE), F.lit(0))
+        return F.array_compact(F.transform(names, lambda n: F.concat(F.lit("notice:"), first_fit(inner(n), CALLED_BARE))))
+
+    ids = F.flatten(F.transform("matched", lambda m: F.when(m["id"].isNotNull(), F.array(m["id"])).when(denied(m["said"]), none).otherwise(named(m["said"]))))
+    refused = F.filter("matched", lambda m: m["id"].isNull() & denied(m["said"]))
+    rest = F.concat(F.regexp_replace("stream", ANY, "||"), F.array_join(F.transform(refused, lambda m: F.concat(F.lit("|"), m["said"], F.lit("|"))), ""))
     names = F.regexp_extract_all(rest, F.lit(NAMED), F.lit(0))
     found = found.select(
         "id",
-        F.coalesce(F.array_compact(F.transform(said, lambda m: first_fit(inner(m), known))), none).alias("sentence_ids"),
+        ids.alias("sentence_ids"),
         F.coalesce(tagged(F.col("text")), none).alias("tags"),
-        F.coalesce(F.array_compact(F.transform(names, lambda m: first_fit(inner(m), [(n, _spaced(p)) for n, p in NAMES.items()]))), none).alias("names"),
+        F.coalesce(F.array_compact(F.transform(names, lambda m: first_fit(inner(m), CALLED))), none).alias("names"),
     )
     # ";" on both sides of every identifier, so that a consumed sequence leaves a border where it stood
     row = F.concat(F.lit(";"), F.array_join("sentence_ids", ";;"), F.lit(";"))

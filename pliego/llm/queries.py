@@ -90,25 +90,34 @@ def _license_sql() -> str:
     text, of = _sql_text, licenses
     sub = lambda x, pattern, by: f"regexp_replace({x}, {text(pattern)}, {by}, 'g')"
     fits = lambda s, known: "CASE " + " ".join(f"WHEN regexp_full_match({s}, {text(p)}) THEN {text(n)}" for n, p in known) + " END"
-    untagged = sub("text", f"(?i){of.SPDX}", "chr(10) || chr(10)")
+    untagged = sub(sub("text", f"(?i){of.SPDX}", "chr(10) || chr(10)"), of.LINK, "'\\1'")
     plain = f"chr(10) || replace(replace({untagged}, chr(13) || chr(10), chr(10)), chr(13), chr(10)) || chr(10)"
     plain = sub(sub(plain, of.LEAD, "chr(10)"), of.ITEM, "chr(10) || chr(10)")
     plain = f"replace(lower(translate({plain}, '|/~', '   ')), 'licence', 'license')"
     plain = sub(sub(sub(plain, r"[ \t]+", "' '"), r"\n\n+", "chr(10) || '|'"), of.STOP, "'~'")
     plain = sub(sub(f"replace({plain}, chr(10), '/')", r"[^a-z0-9.+|/~]+", "' '"), r" ?/[ /]*", "'/'")
     plain = sub(sub(f"'|' || {plain} || '|'", r"[ /]?~[ /~]*", "'~'"), r"[ /~]?\|[ /~|]*", "'|'")
-    known = [(of.SAME.get(i, i), p) for i, p in dict(of.KNOWN).items()]
-    names = [(n, of._spaced(p)) for n, p in of.NAMES.items()]
+    known = [(of.SAME.get(i, i), p) for i, p in of.KNOWN]
     inner = "x[2:length(x) - 1]"
     join = lambda x: f"coalesce(list_aggregate({x}, 'string_agg', ' '), '')"
     rules = "MAP {" + ", ".join(f"{text(s)}: {text(n)}" for s, n in of.BY_SEQUENCE.items()) + "}"
+    cased = "MAP {" + ", ".join(f"{text(n.lower())}: {text(n)}" for n in of.NAMES) + "}"
+    some = lambda x: f"list_filter({x}, lambda y: y IS NOT NULL)"
+    denied = f"regexp_matches({sub(sub("' ' || m.said || ' '", '[|/~]+', "' '"), of.OTHERWISE, "' '")}, {text(of.DENIED)})"
+    tail = f"' ' || regexp_replace(m.said, {text(of.FRONT)}, '') || ' '"
+    named = some(f"list_transform(regexp_extract_all({tail}, {text(of.NAMED_BARE)}), lambda x: 'notice:' || {fits(inner, of.CALLED_BARE)})")
+    bare = sub(sub("e", "[()]", "' '"), r"(?i)[ \t]+WITH[ \t]+[^ \t]+", "''")
+    parts = f"flatten(list_transform(regexp_extract_all(text, {text(f'(?i){of.SPDX}')}, 1), lambda e: regexp_split_to_array({bare}, {text(r'(?i)[ \t]+(?:AND|OR)[ \t]+')})))"
+    later = f"list_transform({parts}, lambda t: regexp_replace(trim(t), {text(r'\+$')}, '-or-later'))"
     return f"""
 WITH hinted AS (SELECT doc_id, CASE WHEN {" OR ".join(f"contains(lower(text), {text(h)})" for h in of.HINTS)} THEN text END AS text FROM documents),
-streams AS (SELECT doc_id, coalesce(replace(replace(replace({plain}, '|', '||'), '/', '//'), '~', '~~'), '') AS stream FROM hinted),
-found AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(stream, {text(of.ANY)}), lambda x: {fits(inner, known)}), lambda x: x IS NOT NULL) AS ids,
-  list_filter(list_transform(regexp_extract_all({sub("stream", of.ANY, "'||'")}, {text(of.NAMED)}), lambda x: {fits(inner, names)}), lambda x: x IS NOT NULL) AS names FROM streams),
-matched AS (SELECT *, ';' || coalesce(list_aggregate(ids, 'string_agg', ';;'), '') || ';' AS in_row FROM found),
-granted AS (SELECT *, list_sort(list_distinct(list_transform(regexp_extract_all(in_row, {text(of.RULE)}), lambda x: {rules}[x]))) AS licenses FROM matched)
+streams AS (SELECT doc_id, text, coalesce(replace(replace(replace({plain}, '|', '||'), '/', '//'), '~', '~~'), '') AS stream FROM hinted),
+matched AS (SELECT doc_id, text, stream, list_transform(regexp_extract_all(stream, {text(of.ANY)}), lambda x: {{'said': {inner}, 'id': {fits(inner, known)}}}) AS matched FROM streams),
+found AS (SELECT doc_id, flatten(list_transform(matched, lambda m: CASE WHEN m.id IS NOT NULL THEN [m.id] WHEN {denied} THEN [] ELSE {named} END)) AS ids,
+  coalesce(list_transform({later}, lambda t: coalesce({cased}[lower(t)], t)), []) AS tags,
+  {sub("stream", of.ANY, "'||'")} || coalesce(list_aggregate(list_transform(list_filter(matched, lambda m: m.id IS NULL AND {denied}), lambda m: '|' || m.said || '|'), 'string_agg', ''), '') AS rest FROM matched),
+called AS (SELECT *, {some(f"list_transform(regexp_extract_all(rest, {text(of.NAMED)}), lambda x: {fits(inner, of.CALLED)})")} AS names, ';' || coalesce(list_aggregate(ids, 'string_agg', ';;'), '') || ';' AS in_row FROM found),
+granted AS (SELECT *, list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(in_row, {text(of.RULE)}), lambda x: {rules}[x]), tags))) AS licenses FROM called)
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, {join("ids")} AS sentence_ids, {join("licenses")} AS licenses,
   {join("list_sort(list_distinct(list_filter(names, lambda x: NOT list_contains(licenses, x))))")} AS mentioned,
   {join(f"list_filter(regexp_split_to_array({sub("in_row", of.RULE, text('|'))}, '[;|]+'), lambda x: x <> '')")} AS unmatched

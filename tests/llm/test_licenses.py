@@ -257,3 +257,82 @@ def test_own_texts_equal_sql(spark, tmp_path):
     wanted = {r[0]: r[2:] for r in con.execute(queries.ORACLE_SQL["op7_license_scan"]).fetchall()}
     got = {r["doc_id"]: tuple(r)[2:] for r in queries.op7_license_scan(spark, str(tmp_path)).collect()}
     assert got == wanted
+
+
+ASF = """/*
+ * Licensed to the Apache Software Foundation (ASF) under one or more
+ * contributor license agreements.  See the NOTICE file distributed with
+ * this work for additional information regarding copyright ownership.
+ * The ASF licenses this file to You under the Apache License, Version 2.0
+ * (the "License"); you may not use this file except in compliance with
+ * the License.  You may obtain a copy of the License at
+ *
+ *    http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */
+package org.example;
+"""
+
+#: Written by hand, not from the patterns.
+GRANTS = {
+    ASF: ["Apache-2.0"],
+    "Licensed under either of Apache License, Version 2.0 or MIT license at your option.": ["Apache-2.0", "MIT"],
+    "This crate is dual-licensed under the MIT license and the Apache License, Version 2.0.": ["Apache-2.0", "MIT"],
+    "You may use it; it is released under the GNU GPL version 3 or the MIT License, at your choice.": ["GPL-3.0", "MIT"],
+    "This work is licensed under a Creative Commons Attribution 3.0 Unported License.": ["CC-BY-3.0"],
+    "Photos are available under the Creative Commons Attribution-NonCommercial-ShareAlike 3.0 license.": ["CC-BY-NC-SA-3.0"],
+    "This module is distributed under the Artistic License 2.0.": ["Artistic-2.0"],
+    "It is licensed under the Python Software Foundation License Version 2.": ["PSF-2.0"],
+    "The tool is released under the GPL.": ["GPL-1.0-or-later"],
+    "This library is distributed under the LGPL.": ["LGPL-2.0-or-later"],
+    "# Widget\n\nA widget.\n\n## License\n\nMIT\n": ["MIT"],
+    "## Licence\n\nMIT License\n\n## Thanks\n\nTo all.": ["MIT"],
+    "License: ISC": ["ISC"],
+    "The code is published under the [MIT](https://opensource.org/licenses/MIT) license.": ["MIT"],
+    "This project is licensed under the [Apache License, Version 2.0](LICENSE).": ["Apache-2.0"],
+    "Except where otherwise noted, this site is licensed under a Creative Commons Attribution 4.0 International License.": ["CC-BY-4.0"],
+    "// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0+ WITH Classpath-exception-2.0": ["Apache-2.0", "GPL-2.0-or-later", "MIT"],
+}
+
+NONE = [
+    "This software is not licensed under the MIT License.", "This project is no longer released under the Apache License, Version 2.0.", "The library was never released under the GPL.", "It isn't licensed under the MIT License.", "We do not offer this under the terms of the GPL version 3.",
+    "Neither file is distributed under the BSD 3-clause license.", "The data cannot be published under the Creative Commons Attribution 4.0 International License.", "No part of this manual is licensed under the MIT License.", "Formerly released under the Mozilla Public License 2.0.", "Previously distributed under the GPL version 2.",
+    "Is it licensed under the Apache License 2.0?", "We asked whether the code is licensed under the MIT License.", "If it were licensed under the GPL, you could change it.", "This would be released under the MIT License next year.", "They aren't licensed under the LGPL.", "The fonts weren't released under the SIL Open Font License 1.1.",
+    "Nothing here is new.", "The MIT License is short and permissive.", "Many people like the Apache License, Version 2.0 for its patent grant.", "I read about the GPL and the BSD license.", "The GPL has four freedoms.", "MIT is a university.", "She works at MIT in Cambridge.", "MIT", "Apache helicopters are loud.", "Apache is a web server.",
+    "Zlib compresses bytes.", "Boost your confidence.", "A driving license is needed.", "His license was revoked.", "The license plate is blue.", "Permission is hereby denied.", "Permission to enter was refused.", "All warranties are void.", "There is no warranty.", "The public domain is large.", "The authors are not liable.", "Copies were sold.", "Redistribution of wealth is debated.",
+    "The software is provided.", "We use software.", "Copyright 2020 Jane Roe.", "Unlicensed drivers are fined.", "Creative people share alike.", "Python is a language.", "Artistic freedom matters.", "The eclipse was public.", "Mozilla makes a browser.", "A free license costs nothing.", "Some licenses are dual.", "License agreements bore me.", "Published by a licensed dealer under the counter.",
+]
+
+
+def test_grants_written_by_hand(spark):
+    texts = list(GRANTS)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert {texts[i]: r["licenses"] for i, r in found.items()} == GRANTS
+    assert found[0]["unmatched"] == []
+
+
+def test_prose_and_denials_grant_nothing(spark):
+    assert len(NONE) >= 50
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(NONE)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert {NONE[i]: r["licenses"] for i, r in found.items() if r["licenses"]} == {}
+    assert found[0]["mentioned"] == ["MIT"] and found[1]["mentioned"] == ["Apache-2.0"] and found[6]["mentioned"] == ["CC-BY-4.0"]
+
+
+def test_hand_written_texts_equal_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, t) for i, t in enumerate([*GRANTS, *NONE])]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    wanted = con.execute(queries.ORACLE_SQL["op7_license_scan"])
+    names = [c[0] for c in wanted.description]
+    expected = sorted(wanted.fetchall())
+    assert sorted(map(tuple, queries.op7_license_scan(spark, str(tmp_path)).select(*names).collect())) == expected
