@@ -184,7 +184,8 @@ def joined_bytes(ids: pa.ListArray, tokens: pa.Array) -> pa.Array:
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", slice_rows: int = SLICE) -> DataFrame:
-    """encoded with bytes, the concatenated raw bytes of the ids; null ids give null, no ids give no bytes."""
+    """encoded with bytes, the concatenated raw bytes of the ids; null ids give null, no ids give no bytes. A column bytes that is there already is replaced."""
+    encoded = encoded.select(*[F.col(f"`{c}`") for c in encoded.columns if c.lower() != "bytes"])
     schema = T.StructType([*encoded.schema.fields, T.StructField("bytes", T.BinaryType())])
 
     def run(batches):

@@ -29,10 +29,12 @@ from pyspark.sql import types as T
 from pliego.llm import tables
 
 SAMPLE = 4000
-LANGUAGES = 64
+#: Buckets of all texts of the sample together that the driver may get: eight bytes each.
+HELD = 1 << 25
 BUCKETS = 1 << 16
 WIDTH = 16
 EPOCHS = 4
+VISITS = 200
 REJECTED = 0.001
 UNSURE = 0.4
 CHANCE = 2.0
@@ -45,12 +47,17 @@ _KEEP = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 @dataclass
 class Model:
     languages: list[str]
-    scores: np.ndarray  # BUCKETS x languages
+    scores: np.ndarray  # BUCKETS x languages, or BUCKETS x WIDTH with weights
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
     seen: np.ndarray | None = None  # BUCKETS, whether in training
     least_seen: float = 0.0
+    weights: np.ndarray | None = None  # WIDTH x languages
+
+    def of(self, mean: np.ndarray) -> np.ndarray:
+        """Scores of the languages from a text's mean row of `scores`."""
+        return (mean if self.weights is None else mean @ self.weights) + self.bias
 
 
 def letters(text: str) -> bytes:
@@ -77,12 +84,25 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], width: int = WIDTH, epochs: int = EPOCHS, rate: float = 0.5, seed: int = 3, rejected: float = REJECTED) -> Model:
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A text's buckets, each once, and how often it has each: all that training reads of it."""
+    return np.unique(buckets(text), return_counts=True)
+
+
+def train(texts: list[str], labels: list[str], **more) -> Model:
+    """A model from texts, as `fit` from their buckets."""
+    return fit([counted(t) for t in texts], labels, **more)
+
+
+def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], width: int = WIDTH, epochs: int | None = None, rate: float = 0.5, seed: int = 3, rejected: float = REJECTED) -> Model:
+    """texts: each as `counted` gives it; those without a bucket are left out. epochs: by default EPOCHS, or so many that each language gets VISITS rows."""
     languages = sorted(set(labels))
+    place = {y: k for k, y in enumerate(languages)}
     rng = np.random.default_rng(seed)
-    rows = [(*np.unique(g, return_counts=True), languages.index(y)) for t, y in zip(texts, labels, strict=True) if len(g := buckets(t))]
+    rows = [(g, c, place[y]) for (g, c), y in zip(texts, labels, strict=True) if len(g)]
     order = rng.permutation(len(rows))
     held, used = order[: len(order) // 5], order[len(order) // 5 :]
+    epochs = epochs or max(EPOCHS, -(-VISITS * len(languages) // max(1, len(used))))
     table, weights, bias = rng.normal(0, 0.1, (BUCKETS, width)), np.zeros((width, len(languages))), np.zeros(len(languages))
     steps = max(1, epochs * len(used))
     for n in range(epochs):
@@ -97,13 +117,15 @@ def train(texts: list[str], labels: list[str], width: int = WIDTH, epochs: int =
             weights -= step * np.outer(mean, wrong)
             bias -= 0.1 * step * wrong
             table[ids] -= step * 8 * share[:, None] * back
-    model = Model(languages, (table @ weights).astype(np.float32), bias)
+    # one score a bucket and language, or where languages are many the embeddings, of which the scores follow
+    few = len(languages) <= width
+    model = Model(languages, (table @ weights if few else table).astype(np.float32), bias, weights=None if few else weights.astype(np.float32))
     by_language = np.zeros((len(languages), BUCKETS), bool)
     for i in used:
         by_language[rows[i][2], rows[i][0]] = True
     model.seen = by_language.any(axis=0)
     if len(held):
-        raw = np.array([c / c.sum() @ model.scores[g] + bias for g, c, _ in (rows[i] for i in held)])
+        raw = np.array([model.of(c / c.sum() @ model.scores[g]) for g, c, _ in (rows[i] for i in held)])
         truth = np.array([rows[i][2] for i in held])
         # Platt's targets: one error more than was met, as wrong as all other languages together
         doubt = 1 / (len(held) + 2)
@@ -115,9 +137,9 @@ def train(texts: list[str], labels: list[str], width: int = WIDTH, epochs: int =
         model.threshold = float(min(UNSURE, top[int(rejected * len(top))]))
         share = lambda i, known: float(rows[i][1] @ known[rows[i][0]] / rows[i][1].sum())
         own = min(share(i, model.seen) for i in held)
-        others = [np.delete(by_language, k, axis=0).any(axis=0) for k in range(len(languages))]
+        by = by_language.sum(axis=0)
         # with one language there is none to leave out, and chance stands for it
-        strange = float(np.median([share(i, others[rows[i][2]]) for i in held])) if len(languages) > 1 else float(model.seen.mean())
+        strange = float(np.median([share(i, by > by_language[rows[i][2]]) for i in held])) if len(languages) > 1 else float(model.seen.mean())
         model.least_seen = min(own, (3 * own + strange) / 4)
     return model
 
@@ -125,29 +147,42 @@ def train(texts: list[str], labels: list[str], width: int = WIDTH, epochs: int =
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE) -> Model:
     """A model from at most sample_rows rows with an id, a text and a label, one for each id.
 
-    Half of them are drawn by hash of the id from all rows, the rest in equal parts from each of the LANGUAGES most frequent
-    labels, so that a rare language is learned too. Rows of other labels, and of null ids, are not learned from. Of the rows of a
-    repeated id that is drawn, the one whose text and label hash lowest is taken. No labelled row gives a model without languages.
+    Half of them are drawn by hash of the id from all rows, the rest in equal parts from each label, so that a rare language is learned too; of more labels
+    than these have rows, the most frequent. Rows of null ids are not learned from. Of the rows of a repeated id that is drawn, the one whose text and label
+    hash lowest is taken. Texts stay where they are: only the buckets and counts of those drawn are sent, HELD in all; if they hold more, those
+    rows whose ids hash lowest are learned from. No labelled row gives a model without languages.
     """
     rows = labelled.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     ids = tables.written(rows.select("id", "lang").distinct())
-    often = ids.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.col("_n").desc(), "lang").limit(LANGUAGES).collect()
+    often = ids.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.col("_n").desc(), "lang").limit(max(1, sample_rows // 2)).collect()
     if not often:
         return train([], [])
     each = max(1, sample_rows // (2 * len(often)))
     counts = ids.sparkSession.createDataFrame([(r["lang"], r["_n"]) for r in often], "lang string, _n long")
-    ids = ids.join(F.broadcast(counts), "lang")  # LANGUAGES rows at most
+    ids = ids.join(F.broadcast(counts), "lang")  # half of sample_rows at most
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(7)), "id")
     # about four times as many as are wanted meet in a language's window, however many rows it has
     few = ids.where(tables.share_below("id", F.lit(4.0 * each) / F.col("_n")) | (F.col("_n") <= 4 * each))
     of_each = few.withColumn("_rank", F.row_number().over(by_hash)).where(F.col("_rank") <= each).select("id")
     keys = tables.sample(ids.select("id").distinct(), "id", sample_rows // 2).unionByName(of_each).distinct()
-    rows = rows.where(F.col("lang").isin([r["lang"] for r in often]))
-    found = tables.drawn(rows, keys, "id", sample_rows).toArrow()
+    rows = rows.join(F.broadcast(counts.select("lang")), "lang", "left_semi")
+
+    def count(batches):
+        for b in batches:
+            found = [counted(t) for t in b.column("text").to_pylist()]
+            lists = [pa.array([f[i].astype(np.int32) for f in found], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), *lists, pa.array([len(f[0]) for f in found], pa.int64())], ["id", "lang", "buckets", "counts", "held"])
+
+    schema = T.StructType([rows.schema["id"], rows.schema["lang"], *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("buckets", "counts")], T.StructField("held", T.LongType())])
+    drawn = tables.written(tables.drawn(rows, keys, "id", sample_rows).select("id", "lang", "text").mapInArrow(count, schema))
+    upto = Window.orderBy(F.xxhash64("id", F.lit(7)), "id").rowsBetween(Window.unboundedPreceding, 0)  # sample_rows rows at most, without their texts
+    fitting = drawn.select("id", "held").withColumn("_held", F.sum("held").over(upto)).where(F.col("_held") <= HELD).select("id")
+    found = drawn.join(F.broadcast(fitting), "id").toArrow()
     order = np.argsort(np.array(found.column("id").to_pylist(), dtype=object).astype(str), kind="stable")
     found = found.take(pa.array(order))
-    return train(found.column("text").to_pylist(), found.column("lang").to_pylist())
+    texts = [(g.values.to_numpy().astype(np.int64), c.values.to_numpy().astype(np.int64)) for g, c in zip(found.column("buckets"), found.column("counts"), strict=True)]
+    return fit(texts, found.column("lang").to_pylist())
 
 
 def score(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -162,11 +197,11 @@ def _read(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray,
     which = np.full(len(texts), len(model.languages))
     known = [i for i, t in enumerate(texts) if t and _LETTER.search(t) and model.languages]
     data = [letters(texts[i]) for i in known]
-    z = np.tile(model.bias, (len(known), 1))
+    z = np.tile(model.of(np.zeros(model.scores.shape[1], np.float32)), (len(known), 1)) if known else np.zeros((0, len(names) - 1))
     for k, d in enumerate(data):
         if len(d) > 3:
             three, four = grams(d)
-            z[k] += (model.scores[three].sum(axis=0) + model.scores[four].sum(axis=0)) / (len(three) + len(four))
+            z[k] = model.of((model.scores[three].sum(axis=0) + model.scores[four].sum(axis=0)) / (len(three) + len(four)))
             total[known[k]] = len(three) + len(four)
             share[known[k]] = (np.count_nonzero(model.seen[three]) + np.count_nonzero(model.seen[four])) / (len(three) + len(four))
     if known:

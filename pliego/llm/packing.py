@@ -208,12 +208,14 @@ def pack(pieces: DataFrame, size: int = SIZE, length_col: str = "length", groups
 
     pieces has to be the same whenever it is read (a written table). Lengths are 1 to `size`; pieces of exactly `size` fill a
     sequence alone. `order` names columns that tell equal pieces apart as far as they can be told; repeated rows take one place
-    each. Columns must not be called sequence_id or offset, or begin with _pack. An empty table gives an empty one.
+    each. A column of pieces called sequence_id or offset, or beginning with _pack, is an error. An empty table gives an empty one.
 
     Pieces of one length are numbered in shares of about SHARE rows, as many as their count asks for, so that no task orders more
     however many pieces have that length.
     """
     spark = pieces.sparkSession
+    if taken := [c for c in pieces.columns if c.lower() in ("sequence_id", "offset") or c.lower().startswith("_pack")]:
+        raise ValueError(f"pieces already has columns {taken}")
     full = pieces.where(F.col(length_col) == size)
     full = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     rest = pieces.where(F.col(length_col) < size)

@@ -210,22 +210,24 @@ def first_of_each(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id",
     """docs with one row of each group of near-duplicates: that of its smallest id, null ids last.
 
     Rows with null ids are linked like any other. Among rows of a group's smallest id, that whose columns hash lowest stays, and of
-    rows equal in all columns any one. Null and empty texts are one group. All columns stay as they are; none may begin with
-    _near. Very long texts count whole; an empty table gives an empty one. docs is read more than once and has to be the same
+    rows equal in all columns any one. Null and empty texts are one group. All columns stay as they are, whatever their names and types, maps
+    and variants included. Very long texts count whole; an empty table gives an empty one. docs is read more than once and has to be the same
     each time (a written table).
     """
-    every = [F.col(f"`{c}`") for c in docs.columns]
-    keys = {"_near_a": F.xxhash64(*every), "_near_b": F.hash(*every)}  # 96 bits that tell rows apart
-    own = docs.select(F.struct(F.col(id_col).alias("id"), *[k.alias(n) for n, k in keys.items()]).alias("row"), F.col(text_col).alias("text"))
+    every = [tables.comparable(F.col(f"`{f.name}`"), f.dataType) for f in docs.schema.fields]
+    a, b, n, copy_of = (tables.free(f"_near_{k}", docs.columns) for k in ("a", "b", "n", "copy"))
+    keys = {a: F.xxhash64(*every), b: F.hash(*every)}  # 96 bits that tell rows apart
+    own = docs.select(F.struct(F.col(id_col).alias("id"), *[k.alias(name) for name, k in keys.items()]).alias("row"), F.col(text_col).alias("text"))
     prints = tables.written(fingerprints(own, "row", "text"))
     order = F.struct(F.col("row.id").isNull(), "row")
     nodes = tables.written(prints.groupBy("fingerprint").agg(F.min(order).alias("low")))
     found = components(links(nodes, radius)).withColumnRenamed("node", "fingerprint")
     # one row for each group: a group is named by its root, a fingerprint without a link by itself
     kept = nodes.join(found, "fingerprint", "left").groupBy(F.coalesce("root", "fingerprint").alias("group")).agg(F.min("low").alias("low"))
-    equal = prints.groupBy("row._near_a", "row._near_b").agg(F.count("*").alias("_near_n")).where("_near_n > 1")
-    kept = tables.written(kept.select("low.row._near_a", "low.row._near_b").join(equal, [*keys], "left"))
+    equal = prints.groupBy(f"row.{a}", f"row.{b}").agg(F.count("*").alias(n)).where(F.col(n) > 1)
+    kept = tables.written(kept.select(f"low.row.{a}", f"low.row.{b}").join(equal, [*keys], "left"))
     rows = docs.withColumns(keys).join(kept, [*keys])
     copy = Window.partitionBy(*keys).orderBy(F.lit(0))  # rows equal in all columns
-    some = rows.where("_near_n IS NOT NULL").withColumn("_near_copy", F.row_number().over(copy)).where("_near_copy = 1")
-    return rows.where("_near_n IS NULL").select(docs.columns).unionByName(some.select(docs.columns))
+    some = rows.where(F.col(n).isNotNull()).withColumn(copy_of, F.row_number().over(copy)).where(F.col(copy_of) == 1)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return rows.where(F.col(n).isNull()).select(names).unionByName(some.select(names))

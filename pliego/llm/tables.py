@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pliego.operators.joins import small
 from pliego.session import cut as written
 from pliego.session import spread
 
-__all__ = ["drawn", "fold", "sample", "share_below", "small", "table", "tokenizer_path", "written"]
+__all__ = ["comparable", "drawn", "fold", "free", "sample", "share_below", "small", "table", "tokenizer_path", "written"]
 
 
 def tokenizer_path(name: str) -> str:
@@ -53,3 +57,25 @@ def drawn(df: DataFrame, keys: DataFrame, by: str, size: int) -> DataFrame:
     one = found.groupBy(by).agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_row"))
     return one.select(by, "_row.*").limit(size)
 
+
+
+def free(name: str, columns: Sequence[str]) -> str:
+    """name, or name with marks behind it, so that no column is called so, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def comparable(col: Column, kind: T.DataType) -> Column:
+    """col in a form that hashes and orders: maps as their entries sorted by key, variants as JSON, within arrays and structs too. Equal values stay equal."""
+    if not re.search("map<|variant", kind.simpleString()):
+        return col
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(col), lambda e: F.struct(comparable(e["key"], kind.keyType).alias("key"), comparable(e["value"], kind.valueType).alias("value")))
+        return F.array_sort(entries)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(col, lambda x: comparable(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(col.isNotNull(), F.struct(*[comparable(col[f.name], f.dataType).alias(f"_{i}") for i, f in enumerate(kind.fields)]))
+    return F.to_json(col)

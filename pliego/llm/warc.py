@@ -16,6 +16,7 @@ import html as entities
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator, Sequence
 from io import BufferedReader
 
@@ -38,6 +39,9 @@ _HUGE = re.compile(r"&#[0-9]{9,}+;?")
 _BLANKS = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*+")
 _CHARSET = re.compile(r"charset\s*+=\s*+[\"']?([\w.:-]+)", re.I)
+_DECLARED = re.compile(rb"(?:<meta\b[^>]*?\bcharset|<\?xml\b[^>]*?\bencoding)\s*+=\s*+[\"']?\s*+([\w.:-]+)", re.I)
+#: Bytes in which a page may declare its charset, and of the largest body that is read decoded.
+DECLARED, LARGEST = 2048, 256_000_000
 
 RESPONSE = "record_id string, target_uri string, warc_date string, http_headers string, payload binary, payload_digest string"
 RECORD = (
@@ -111,15 +115,100 @@ def header_lines(headers: str) -> list[tuple[str, str]]:
     return found
 
 
+def dechunked(payload: bytes) -> bytes | None:
+    """The body of a chunked message, its last chunk and what follows included; None if the payload is no such message, as where it was put together already."""
+    out, at = [], 0
+    while (end := payload.find(b"\n", at)) >= 0:
+        size = payload[at:end].partition(b";")[0].strip()
+        if not size or len(size) > 16 or size.strip(b"0123456789abcdefABCDEF"):
+            return None
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        out.append(payload[end + 1 : end + 1 + n])
+        if len(out[-1]) < n:  # cut short: what came is the body
+            return b"".join(out)
+        at = end + 1 + n
+        gap = payload[at : at + 2]
+        if gap[:1] not in (b"\r", b"\n", b""):
+            return None
+        at += 2 if gap == b"\r\n" else 1
+    return b"".join(out) if out and at >= len(payload) else None
+
+
+def inflated(payload: bytes, bits: int) -> bytes | None:
+    """What zlib makes of the payload, all members of it, as far as it goes; None if it is not such data at all, or more than LARGEST bytes."""
+    out, held, rest = [], 0, payload
+    while rest:
+        tool = zlib.decompressobj(bits)
+        try:
+            part = tool.decompress(rest, LARGEST + 1 - held)
+        except zlib.error:
+            return b"".join(out) if held else None
+        out.append(part)
+        held += len(part)
+        if held > LARGEST or tool.unconsumed_tail:
+            return None
+        if not tool.eof:
+            break
+        rest = tool.unused_data
+    return b"".join(out)
+
+
+def body_of(payload: bytes, headers: Sequence[tuple[str, str]]) -> tuple[bytes, str]:
+    """(body, coding that is left): the payload without the transfer and content codings that its headers name.
+
+    Chunks are put together, gzip and deflate undone, however many were put on. A payload that does not look as its header says is taken to be decoded already,
+    as many crawlers store it. Other codings, such as br, and bodies over LARGEST bytes stay, and are named.
+    """
+    said = lambda name: [c.strip().lower() for n, v in headers if n.lower() == name for c in v.split(",") if c.strip()]
+    if "chunked" in said("transfer-encoding"):
+        whole = dechunked(payload)
+        payload = payload if whole is None else whole
+    for coding in reversed([*said("content-encoding"), *(c for c in said("transfer-encoding") if c != "chunked")]):
+        if coding in ("gzip", "x-gzip") and payload[:2] == b"\x1f\x8b":
+            plain = inflated(payload, 31)
+        elif coding == "deflate":
+            plain = next((x for bits in (15, -15) if (x := inflated(payload, bits)) is not None), payload)
+        elif coding in ("identity", "gzip", "x-gzip"):
+            plain = payload
+        else:
+            plain = None
+        if plain is None:
+            return payload, coding
+        payload = plain
+    return payload, ""
+
+
+def kind_of(content_type: str) -> str:
+    return content_type.partition(";")[0].strip().lower()
+
+
+def is_page(kind: str) -> bool:
+    return not kind or "html" in kind or "xml" in kind
+
+
+def charset_of(payload: bytes, content_type: str) -> str:
+    """The charset that the header names, else a byte order mark, else, in a page, what its first bytes declare, as browsers read them; UTF-8 if none does."""
+    if named := _CHARSET.search(content_type):
+        return named[1]
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+        if payload.startswith(mark):
+            return name
+    found = _DECLARED.search(payload[:DECLARED]) if is_page(kind_of(content_type)) else None
+    return found[1].decode() if found else "utf-8"
+
+
 def text_of(payload: bytes, content_type: str) -> str | None:
-    """The payload as text by its declared charset, or UTF-8; None for types that are not text."""
-    kind = content_type.partition(";")[0].strip().lower()
+    """The payload, without codings, as text; None for types that are not text."""
+    kind = kind_of(content_type)
     if kind and not kind.startswith("text/") and "html" not in kind and "xml" not in kind and "json" not in kind:
         return None
-    named = _CHARSET.search(content_type)
+    name = charset_of(payload, content_type)
     try:
-        return payload.decode(named[1] if named else "utf-8", errors="replace")
-    except LookupError:
+        # bytes that could be read here declare themselves one byte a letter
+        return payload.decode("utf-8" if name.lower().startswith("utf-16") and payload[:2] not in (b"\xff\xfe", b"\xfe\xff") and not _CHARSET.search(content_type) else name, errors="replace")
+    except (LookupError, ValueError):
         return payload.decode(errors="replace")
 
 
@@ -152,10 +241,10 @@ def derivatives(record_id: str | None, uri: str | None, date: str | None, header
     own = header_lines(headers)
     content = next((v for n, v in own if n.lower() == "content-type"), "")
     source, shown = known_digest or digest(payload), json.dumps(own)
-    text = text_of(payload, content)
-    is_page = text is not None and ("html" in content or "xml" in content or not content)
-    title, links, visible = page(text) if is_page else (None, [], text)
-    meta = {"refers-to": record_id, "payload-digest": source, "title": title, "links": links, "http": own}
+    body, coded = body_of(payload, own)
+    text = None if coded else text_of(body, content)
+    title, links, visible = page(text) if text is not None and is_page(kind_of(content)) else (None, [], text)
+    meta = {"refers-to": record_id, "payload-digest": source, "title": title, "links": links, "http": own} | ({"undecoded": coded} if coded else {})
     blocks = [("metadata", "application/json", json.dumps(meta, ensure_ascii=False, sort_keys=True))]
     if visible is not None:
         blocks.append(("conversion", "text/plain; charset=utf-8", visible))
@@ -168,6 +257,7 @@ def derivatives(record_id: str | None, uri: str | None, date: str | None, header
 def derive(archive: DataFrame, id_col: str = "page_id") -> DataFrame:
     """A metadata record for every response, and a conversion for those of text: id_col and the columns of RECORD.
 
+    Chunked, gzip and deflate bodies are read decoded; those in another coding, which the metadata names, have no conversion.
     A null payload or header is an empty one: its metadata has no title, no links and no headers, its text is empty. Payloads
     without a declared type are read as HTML. A column payload_digest, if there is one, is kept as the source's digest; where it is
     null or missing the digest is computed. Null and repeated ids stay, each with its own records; other columns, whatever their

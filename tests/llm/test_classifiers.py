@@ -160,11 +160,42 @@ def test_toxicity_is_the_sum_over_pairs():
 def test_samples_are_bounded_by_rows(spark, monkeypatch):
     """One id on most rows gives one row of the sample."""
     seen = []
-    monkeypatch.setattr(langid, "train", lambda texts, labels: seen.append((texts, labels)))
-    docs = spark.range(6000).selectExpr("CASE WHEN id < 5000 THEN 1 ELSE id END AS doc_id", "concat('text number ', id) AS text", "CASE WHEN id = 5999 THEN 'rare' ELSE 'en' END AS lang")
+    monkeypatch.setattr(langid, "fit", lambda texts, labels: seen.append((texts, labels)))
+    named = lambda i: "text number " + str(i).translate(str.maketrans("0123456789", "abcdefghij"))
+    docs = spark.range(6000).selectExpr("CASE WHEN id < 5000 THEN 1 ELSE id END AS doc_id", "concat('text number ', translate(id, '0123456789', 'abcdefghij')) AS text", "CASE WHEN id = 5999 THEN 'rare' ELSE 'en' END AS lang")
     langid.learn(docs, sample_rows=100)
     texts, labels = seen.pop()
-    assert 50 <= len(texts) <= 100 and "rare" in labels and sum(t in {f"text number {i}" for i in range(5000)} for t in texts) <= 1
+    assert 50 <= len(texts) <= 100 and "rare" in labels and len({tuple(langid.counted(named(i))[0]) for i in range(5000)} & {tuple(g) for g, _ in texts}) <= 1
     monkeypatch.setattr(toxicity, "train", lambda rows, y: seen.append(y))
     toxicity.learn(docs, docs.selectExpr("doc_id", "1 AS toxic"), sample_rows=100)
     assert len(seen.pop()) == 100
+
+
+def test_texts_stay_where_they_are(spark, monkeypatch):
+    """Thousands of long texts: the driver gets their buckets only, and no more than it may hold."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    docs = spark.range(1500).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.repeat(F.concat(F.lit("alpha bravo carlo delta "), F.col("id").cast("string")), 4000)).otherwise(F.repeat(F.lit("zulu yankee xray whisky "), 4000)).alias("text"), F.when(F.col("id") % 2 == 0, "a").otherwise("z").alias("lang"))
+    got, fit = [], langid.fit
+    monkeypatch.setattr(langid, "fit", lambda texts, labels, **more: got.append((texts, labels)) or fit(texts, labels, **more))
+    model = langid.learn(docs, sample_rows=1000)
+    assert len(got[0][0]) > 400 and sum(len(g) for g, _ in got[0][0]) < 200_000 and model.languages == ["a", "z"]
+    assert langid.score(model, ["alpha bravo", "yankee xray"])[0] == ["a", "z"]
+    monkeypatch.setattr(langid, "HELD", 5000)
+    langid.learn(docs, sample_rows=1000)
+    assert 0 < sum(len(g) for g, _ in got[1][0]) <= 5000
+    assert all((np.diff(g) > 0).all() and c.sum() for g, c in got[1][0])
+
+
+def test_many_languages(spark):
+    """More labels than fit as one score a bucket each are all learned, from the embeddings."""
+    import random
+
+    rng = random.Random(4)
+    words = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for k in range(90)}
+    rows = [(i, " ".join(rng.choice(words[name]) for _ in range(40)), name) for i, name in enumerate(list(words) * 12)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 90 and model.weights is not None and model.scores.shape[1] == langid.WIDTH
+    names, sure = langid.score(model, [" ".join(own) for own in words.values()])
+    assert sum(a == b for a, b in zip(names, words, strict=True)) >= 85 and ((sure >= 0) & (sure <= 1)).all()

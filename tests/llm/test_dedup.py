@@ -141,3 +141,17 @@ def test_tiles_hold_hundreds():
         bits = np.unpackbits(rng.integers(0, 2**63, nodes, dtype=np.int64).view(np.uint8).reshape(-1, 8), axis=1).reshape(nodes, pieces, -1).sum(axis=2)
         _, counts = np.unique(bits, axis=0, return_counts=True)
         assert next(p for least, p in simhash.PIECES if nodes >= least) == pieces and (counts @ counts) / nodes > 300  # of a node's own cell
+
+
+def test_kept_rows_of_any_columns(spark):
+    """Columns that are called as those inside, and maps, arrays of maps and variants, stay as they are."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "alpha beta gamma delta", 0.0, {"k": 1, "l": 2}, 5), (1, "alpha beta gamma delta", 0.0, {"l": 2, "k": 1}, 5), (2, "alpha beta gamma delta", 1.5, {"k": 1}, 6), (3, "other words than these", 2.5, None, 7), (3, "other words than these", 2.5, {}, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _near_a double, tags map<string,int>, _NEAR_N int")
+    docs = docs.withColumn("deep", F.array(F.struct(F.col("tags").alias("m")))).withColumn("v", F.parse_json(F.lit('{"a": 1}'))).repartition(3)
+    kept = simhash.first_of_each(docs)
+    assert kept.schema == docs.schema
+    found = sorted((r["doc_id"], r["_near_a"], r["_NEAR_N"]) for r in kept.collect())
+    assert found == [(1, 0.0, 5), (3, 2.5, 7)]
+    assert next(r for r in kept.collect() if r["doc_id"] == 1)["deep"][0]["m"] == {"k": 1, "l": 2}

@@ -205,3 +205,14 @@ def test_shares_of_one_length(spark, monkeypatch):
     df = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.when(F.col("id") < 900, 512).otherwise(100).cast("long").alias("length"), F.lit("x").alias("_salt"))
     rows = packing.pack(df, order=("doc_id", "piece")).collect()
     assert len(rows) == 1000 and check_packing(rows) == 460
+
+
+def test_names_that_are_taken(spark):
+    pieces = spark.createDataFrame([(1, 0, 5)], "doc_id long, piece int, length long")
+    for name in ("sequence_id", "Offset", "_pack_own"):
+        with pytest.raises(ValueError, match=name):
+            packing.pack(pieces.withColumn(name, F.lit(1)))
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    coded = bpe.encode(spark.createDataFrame([(1, "some words")], "doc_id long, text string"), path).withColumn("bytes", F.lit("old"))
+    got = bpe.decode(coded, path)
+    assert got.columns == ["doc_id", "ids", "bytes"] and bytes(got.first()["bytes"]) == b"some words"

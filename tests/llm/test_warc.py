@@ -180,3 +180,58 @@ def test_clashing_columns(spark):
     odd = archive(spark, (None, "u", "<p>x</p>" * 50_000), (1, "u", None)).selectExpr("*", "1 AS id", "'h' AS headers", "2 AS known", "'b' AS block", "'r' AS record_type")
     rows = warc.derive(odd).collect()
     assert len(rows) == 4 and max(len(r["block"]) for r in rows) == 99_999
+
+
+PAGE = "<html><head><title>Naïve</title></head><body><p>Où est le café ?</p><a href='/b'>b</a></body></html>"
+
+
+def chunks(data, size=7):
+    parts = [data[i : i + size] for i in range(0, len(data), size)]
+    return b"".join(b"%x;ext=1\r\n%s\r\n" % (len(p), p) for p in parts) + b"0\r\nTrailer: x\r\n\r\n"
+
+
+def bodies():
+    """(name, header lines, payload) of one page, in every coding."""
+    import zlib
+
+    utf8, latin = PAGE.encode(), PAGE.encode("latin-1")
+    declared = PAGE.replace("<head>", '<head><meta charset="iso-8859-1">').encode("latin-1")
+    older = PAGE.replace("<head>", '<head><META http-equiv="Content-Type" content="text/html; charset=iso-8859-1">').encode("latin-1")
+    raw = zlib.compressobj(wbits=-15)
+    return [
+        ("plain", "Content-Type: text/html", utf8), ("upper", "CONTENT-TYPE: TEXT/HTML; CHARSET=ISO-8859-1", latin), ("gzip", "Content-Type: text/html\r\nContent-Encoding: gzip", gzip.compress(utf8)),
+        ("members", "Content-Encoding: x-gzip", gzip.compress(utf8[:40]) + gzip.compress(utf8[40:])), ("deflate", "Content-Encoding: deflate", zlib.compress(utf8)), ("raw", "Content-Encoding: Deflate", raw.compress(utf8) + raw.flush()),
+        ("chunked", "Transfer-Encoding: chunked", chunks(utf8)), ("both", "Transfer-Encoding: Chunked\r\nContent-Encoding: gzip", chunks(gzip.compress(utf8))), ("twice", "Content-Encoding: gzip, gzip", gzip.compress(gzip.compress(utf8))),
+        ("transfer", "Transfer-Encoding: gzip, chunked", chunks(gzip.compress(utf8))), ("decoded before", "Transfer-Encoding: chunked\r\nContent-Encoding: gzip", utf8), ("meta", "Content-Type: Text/Html", declared), ("older meta", "Content-Type: text/html", older),
+        ("mark", "Content-Type: text/html", b"\xef\xbb\xbf" + utf8), ("utf-16", "Server: x", PAGE.encode("utf-16")), ("xml", "Content-Type: application/xhtml+xml", b"<?xml version='1.0' encoding='iso-8859-1'?>" + latin), ("header first", "Content-Type: text/html; charset=utf-8", PAGE.replace("<head>", "<head><meta charset=latin-1>").encode()),
+    ]
+
+
+def test_coded_bodies_through_archives(spark, tmp_path):
+    raw = [record("response", f"http://{i}/", f"HTTP/1.1 200 OK\r\n{head}\r\n\r\n".encode() + payload) for i, (_, head, payload) in enumerate(bodies())]
+    (tmp_path / "all.warc.gz").write_bytes(b"".join(map(gzip.compress, raw)))
+    rows = warc.derive(warc.read_archives(spark, [str(tmp_path / "all.warc.gz")]).withColumn("page_id", F.lit(1))).collect()
+    texts = {r["target_uri"]: r["block"] for r in rows if r["record_type"] == "conversion"}
+    metas = {r["target_uri"]: json.loads(r["block"]) for r in rows if r["record_type"] == "metadata"}
+    for i, (name, _, payload) in enumerate(bodies()):
+        assert texts[f"http://{i}/"] == "Naïve\nOù est le café ?\nb", name
+        meta = metas[f"http://{i}/"]
+        assert meta["title"] == "Naïve" and meta["links"] == ["/b"] and "undecoded" not in meta and meta["payload-digest"] == "sha256:" + hashlib.sha256(payload).hexdigest(), name
+
+
+def test_bodies_that_cant_be_decoded(monkeypatch):
+    head = "HTTP/1.1 200 OK\nContent-Type: text/html\nContent-Encoding: br"
+    (kind, meta), *rest = [(r[1], r[-1]) for r in warc.derivatives("<i>", "u", "d", head, b"\x8b\x02\x80", None)]
+    assert kind == "metadata" and json.loads(meta)["undecoded"] == "br" and rest == []
+    cut = gzip.compress(b"<p>" + bytes(range(65, 91)) * 500)[:-20]
+    assert warc.body_of(cut, [("Content-Encoding", "gzip")])[0].startswith(b"<p>ABC")
+    assert warc.body_of(b"5\r\nhello\r\nc\r\nwor", [("Transfer-Encoding", "chunked")]) == (b"hellowor", "")
+    for junk in (b"", b"hello", b"5\nhello?", b"zz\r\n", b"-5\r\nhello\r\n", b"ffffffffffffffffff\r\nx"):
+        assert warc.body_of(junk, [("Transfer-Encoding", "chunked")]) == (junk, "")
+    monkeypatch.setattr(warc, "LARGEST", 1000)
+    assert warc.body_of(gzip.compress(b"a" * 5000), [("Content-Encoding", "gzip")])[1] == "gzip"
+    assert warc.text_of(b"abc", "text/html; charset=undefined") == "abc" and warc.text_of(b"<meta charset=utf-16>abc", "text/html") == "<meta charset=utf-16>abc"
+    began = time.perf_counter()
+    warc.text_of(b"<meta " * 400_000, "text/html")
+    warc.dechunked(b"1\r\na\r\n" * 400_000)
+    assert time.perf_counter() - began < 3
