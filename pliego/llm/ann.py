@@ -177,7 +177,7 @@ def scanned(q: DataFrame, x: DataFrame, k: int) -> DataFrame:
     counts = x.groupBy("dim", "list").agg(F.count("*").alias("x_rows")).join(q.groupBy("dim", "list").agg(F.count("*").alias("q_rows")), ["dim", "list"])
     counts = tables.small(tables.written(counts))  # a row for each list that is read
     cut = lambda c, most: F.ceil(F.col(c) / most).cast("int")
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("vec_id", "vec"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     n_x, n_q = cut("x_rows", vectors.ROW_BLOCK), cut("q_rows", vectors.QUERY_BLOCK)
     columns = ["dim", "list", "vec_id", "vec"]

@@ -130,7 +130,7 @@ def started(q: DataFrame, x: DataFrame, k: int) -> DataFrame:
 def top_k(queries: DataFrame, rows: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Each query's k rows of largest integer inner product of floor(256 x): query_id, rank, vec_id, score.
 
-    Blocks of queries meet blocks of rows, one pair of blocks a group, so no task holds more than two blocks whatever the
+    Blocks of queries meet blocks of rows, both by id and vector, one pair of blocks a group, so no task holds more than two blocks whatever the
     tables' sizes. A row with a null id, a null vector or a vector with null or non-finite components takes no part; vectors
     are compared only with vectors of the same length; rows with the query's own id are not its candidates; repeated rows of
     one id count once, by their best product; ties go to the smaller id; products beyond a long are held to its range.
@@ -141,8 +141,8 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 5, id_col: str = "vec_id
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_q, n_x = vectors.blocks(q.count(), 1, vectors.QUERY_BLOCK), vectors.blocks(x.count(), parts)
     seq = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = started(q, x, k).withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(n_q)).cast("int")).withColumn("x_block", seq(n_x))
-    x = x.withColumn("x_block", F.pmod(F.xxhash64("vec_id"), F.lit(n_x)).cast("int")).withColumn("q_block", seq(n_q))
+    q = started(q, x, k).withColumn("q_block", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(n_q)).cast("int")).withColumn("x_block", seq(n_x))
+    x = x.withColumn("x_block", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(n_x)).cast("int")).withColumn("q_block", seq(n_q))
     keys = ["dim", "q_block", "x_block"]
     found = q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInArrow(lambda a, b: search_block(a, b, k), "query_id long, vec_id long, score long")
     return vectors.merged(found, k)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-QUERY_BLOCK = 2048
+#: Rows of both sides in one task: each row is sent once for every block of the other side, so the two are of one size.
+QUERY_BLOCK = 8192
 ROW_BLOCK = 8192
 
 

@@ -169,3 +169,33 @@ def test_levels_that_do_not_pay_are_left_out():
     q = x[:20]
     assert topk.paying(topk.survivors(q, x, np.sort(q @ x.T, axis=1)[:, -6]), 64) == []
     assert topk.paying([(1, 0.99), (4, 0.5), (16, 0.45), (32, 0.0)], 128) == [4, 32]
+
+
+def test_rows_of_one_id_are_spread(spark, monkeypatch):
+    """An id that most rows have fills no block: its rows are dealt out by their vectors, and the results are those of each id's best row."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(21)
+    rows = [(7 if i < 5000 else 100 + i, rng.normal(size=8).tolist()) for i in range(5400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    monkeypatch.setattr(topk.vectors, "ROW_BLOCK", 512)
+    seen = spark.sparkContext.accumulator(0)
+    search = topk.search_block
+
+    def counted(queries, block, k):
+        seen.add(1 if block.num_rows > 900 else 0)
+        return search(queries, block, k)
+
+    monkeypatch.setattr(topk, "search_block", counted)
+    queries = df.where(F.col("vec_id") % 50 == 0)
+    got = topk.top_k(queries, df).collect()
+    assert seen.value == 0
+    best = {}
+    whole = {i: [np.floor(256 * np.array(v)) for j, v in rows if j == i] for i in {i for i, _ in rows}}
+    for q in (i for i in whole if i % 50 == 0):
+        scores = sorted((-max(int(whole[q][0] @ v) for v in vs), i) for i, vs in whole.items() if i != q)[:5]
+        best[q] = [(i, -s) for s, i in scores]
+    found = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert found == best
