@@ -1,5 +1,9 @@
 """python -m pliego STEP IN OUT
 
+pull     the datasets that the catalogue IN, a JSON file, describes, to part files below OUT; those complete already are left alone.
+         --only NAME ..., --refresh for what was changed since, --pages N for a part of each slice. OUT/manifest.json records what is there
+follow   the same as streams into keyed tables below OUT/tables: everything until now, then stop; run again for what came since
+fetch    the documents that the pages IN (a Parquet table with url and html) link to, below OUT
 marts    raw part files below IN (s1, s2, divipola, l1 to l4; secop1_slices/*/*, facts if there) to a mart below OUT
 enrich   the mart IN with registration dates from the registers below IN (e1_ibague, e1_santarosa) to a mart below OUT
 flags, score, backtest   tables over the mart IN below OUT
@@ -11,14 +15,17 @@ report   quality of the mart IN, as Markdown at OUT
 from __future__ import annotations
 
 import argparse
+import json
+import os
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from pliego.plans import backtest, enrichment, exports, marts, quality, scoring
 from pliego.plans.marts import Mart
 from pliego.schemas import SCHEMAS
 from pliego.sinks.artifacts import markdown, write_text
-from pliego.sources import files
+from pliego.sources import documents, files, links, manifest, pull
 
 TABLES = [t for t in SCHEMAS if t not in ("flags", "quarantine", "stg_secop1")]
 WRITTEN = {"flags": ("flag_contrato", "flag_entidad"), "score": ("flag_contrato", "flag_entidad", "contrato_score", "entidad_score", "municipio_score", "proveedor_score")}
@@ -35,16 +42,42 @@ def opened(spark: SparkSession, path: str) -> Mart:
     return marts.opened(spark, path, TABLES + ["stg_secop1"] * files.exists(spark, f"{path}/stg_secop1"))
 
 
+def extract(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The steps pull and follow; a summary is printed in any case."""
+    with open(a.source, encoding="utf-8") as f:
+        catalogue = json.load(f)
+    record = f"{a.out.rstrip('/')}/manifest.json"
+    os.makedirs(a.out, exist_ok=True)
+    try:
+        if a.step == "pull":
+            pull.pull_all(spark, catalogue, a.out, record, a.only, a.refresh, a.pages)
+        else:
+            manifest.try_all({n: lambda n=n: pull.follow(spark, catalogue[n], f"{a.out.rstrip('/')}/tables/{n}").awaitTermination() for n in catalogue if not a.only or n in a.only})
+    finally:
+        for row in pull.summary(record):
+            print(json.dumps(row, ensure_ascii=False))
+
+
 def main(argv: list[str] | None = None) -> None:
     cli = argparse.ArgumentParser(prog="pliego", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    cli.add_argument("step", choices=["marts", "enrich", "flags", "score", "backtest", "export", "report"])
+    cli.add_argument("step", choices=["pull", "follow", "fetch", "marts", "enrich", "flags", "score", "backtest", "export", "report"])
     cli.add_argument("source", metavar="IN")
     cli.add_argument("out", metavar="OUT")
     cli.add_argument("--cases", metavar="FILE", help="landmark cases, JSON or YAML")
     cli.add_argument("--doubted", metavar="SLUG", nargs="*", default=[], help="cases whose matches were looked at and are none")
+    cli.add_argument("--only", metavar="NAME", nargs="*", default=[], help="of the catalogue's datasets")
+    cli.add_argument("--refresh", action="store_true", help="what was changed since the last pull")
+    cli.add_argument("--pages", metavar="N", type=int, help="of each slice")
     cli.add_argument("--version", metavar="TEXT", help="of the code, for the catalogue")
     a = cli.parse_args(argv)
     spark = SparkSession.builder.appName(f"pliego {a.step}").getOrCreate()
+    if a.step in ("pull", "follow"):
+        extract(spark, a)
+        return
+    if a.step == "fetch":
+        found = links.links(spark.read.parquet(a.source).withColumn("page", F.monotonically_increasing_id()), "page", "url", "html")
+        documents.gathered(found, {}, a.out)
+        return
     if a.step == "marts":
         marts.saved(build(spark, a.source), a.out)
         return

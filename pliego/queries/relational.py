@@ -10,7 +10,7 @@ from pliego.operators import dedup, joins, patterns, profiles, ranking, sketches
 from pliego.queries.oracle import sql
 from pliego.queries.registry import query, rounded
 from pliego.sinks import artifacts
-from pliego.sources import files, links, sheets
+from pliego.sources import documents, files, links, sheets
 from pliego.testdata import WINDOWS, contracts, table
 
 # Scans and projections
@@ -60,6 +60,21 @@ def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("page_id").agg(F.min_by("link", "at").alias("link"), F.count("*").alias("n"))
 
 
+def echo(options: dict[str, str]):
+    """Transport: a server whose documents hold their own URL; those of every seventh length of URL are not there."""
+    return lambda url: (404, {}, b"") if len(url) % 7 == 0 else (200, {"Content-Type": "text/plain"}, url.encode())
+
+
+@query(r"""
+WITH found AS (SELECT regexp_extract(url, '^[a-z]+://[^/?#]*') || unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"''>]+)["'']', 1)) AS url FROM pages)
+SELECT url, CASE WHEN length(url) % 7 > 0 THEN sha256(url) END AS sha256, CASE WHEN length(url) % 7 > 0 THEN octet_length(encode(url)) END AS n_bytes, length(url) % 7 = 0 AS failed FROM (SELECT DISTINCT url FROM found)""")
+def documents_fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that a page links to, fetched once: bytes, digest, or why there is none."""
+    found = links.links(table(spark, sf_dir, "pages"), "page_id", "url", "html", endings=None)
+    got = documents.fetched(found, {"transport": f"{__name__}:echo"})
+    return got.select("url", F.sha2("body", 256).alias("sha256"), "n_bytes", F.col("failure").isNotNull().alias("failed"))
+
+
 @query("SELECT count(*) AS n, left(CAST(max(o_orderdate) AS VARCHAR), 10) AS latest FROM orders")
 def source_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").agg(F.count("*").alias("n"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("latest"))

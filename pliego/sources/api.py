@@ -196,9 +196,9 @@ class ApiDataSource(DataSource):
         return ApiStream(dict(self.options), schema.fieldNames())
 
 
-def remote_state(send: Transport, updated: str = ":updated_at") -> tuple[int, str | None]:
-    """How many rows the remote dataset has, and its latest change."""
-    got = fetch(send, {"$select": f"count(1) as n, max({updated}) as latest"})[0]
+def remote_state(send: Transport, updated: str = ":updated_at", where: str = "") -> tuple[int, str | None]:
+    """How many rows the remote dataset has, of those that a condition lets through, and their latest change."""
+    got = fetch(send, {"$select": f"count(1) as n, max({updated}) as latest"} | ({"$where": where} if where else {}))[0]
     return int(got["n"]), got["latest"] or None
 
 
