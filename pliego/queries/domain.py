@@ -115,14 +115,22 @@ _SCORED = ["id_contrato", "valor_contrato", "fecha_firma", "anio", "n_flags_apli
 @query(sql(f"SELECT {', '.join(_SCORED)} FROM (SELECT * REPLACE (round(score, 6) AS score) FROM contrato_score)"))
 def score_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = testdata.mart(spark, sf_dir, written=True)
-    return rounded(scoring.contract_scores(m, flags.folded(m, P), P).select(*_SCORED), "score")
+    return rounded(scoring.contract_scores(m, flags.folded(m, P, evidence=False), P).select(*_SCORED), "score")
 
 
-@query(sql("SELECT id_contrato, flag_id, peso FROM (SELECT key AS id_contrato, flag_id, bool_or(fired) AS fired FROM flag_contrato GROUP BY ALL) JOIN (VALUES " + ", ".join(f"('{k}', {w})" for k, (_, _, w) in P.weights.items()) + ") AS w(flag_id, peso) USING (flag_id) WHERE fired"))
+_TOLD = "CASE WHEN v IS NULL THEN 'null' WHEN TRY_CAST(v AS DOUBLE) IS NOT NULL THEN printf('%.3f', TRY_CAST(v AS DOUBLE)) ELSE v END"
+_PAIRS = f"array_to_string(list_sort(list_transform(list_filter(json_keys(j), lambda k: k <> 'key'), lambda k: k || '=' || {_TOLD.replace('v ', 'json_extract_string(j, k) ').replace('ELSE v', 'ELSE json_extract_string(j, k)')})), ';')"
+_OF_FLAGS = " UNION ALL ".join(f"SELECT key AS id_contrato, '{k}' AS flag_id, {w} AS peso, {_PAIRS} AS evidence, CAST(j AS VARCHAR) AS text FROM (SELECT key, to_json(t) AS j FROM (SELECT * EXCLUDE (fired) FROM {k.lower()} WHERE fired) t)" for k, (_, of, w) in P.weights.items() if of == "contract")
+
+
+@query(sql(f"SELECT id_contrato, flag_id, peso, arg_max(evidence, text) AS evidence FROM ({_OF_FLAGS}) GROUP BY ALL"))
 def fired_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fired flags inside each contract's JSON list."""
+    """The fired flags inside each contract's JSON list, with every key and value of their evidence, numbers to three digits."""
     rows = scored(spark, sf_dir, evidence=True)["contrato_score"].select("id_contrato", F.explode(exports.parsed(F.col("flags_disparados"))).alias("x"))
-    return rows.select("id_contrato", "x.flag_id", "x.peso")
+    number = lambda v: v.try_cast("double")
+    told = lambda v: F.when(v.isNull(), F.lit("null")).when(number(v).isNotNull(), F.format_string("%.3f", number(v))).otherwise(v)
+    pairs = F.transform(F.map_entries(F.from_json("x.evidence", "map<string,string>")), lambda e: F.concat(e["key"], F.lit("="), told(e["value"])))
+    return rows.select("id_contrato", "x.flag_id", "x.peso", F.array_join(F.array_sort(pairs), ";").alias("evidence"))
 
 
 _ENTITY = ["nit_entidad_norm", "cod_dpto", "n_contratos", "n_flags_aplicables", "n_flags_disparados", "contract_component", "entity_component", "combined_raw_score", "dept_mean_score", "score", "tier", "datos_insuficientes"]
