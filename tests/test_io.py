@@ -31,6 +31,8 @@ class Remote:
             if part:
                 col, op, value = part.split(" ")
                 rows = [r for r in rows if (r[col] > value.strip("'") if op == ">" else r[col] == value.strip("'"))]
+        if params.get("$select", "").startswith("count(1)"):
+            return 200, {}, [{"n": str(len(rows)), "latest": max((r[":updated_at"] for r in rows), default="")}]
         return 200, {}, rows[: int(params["$limit"])]
 
 
@@ -73,7 +75,7 @@ def test_pull_and_refresh(spark, tmp_path):
 
     spark.sparkContext.environment["PYTHONPATH"] = f"{os.path.dirname(__file__)}:{os.path.dirname(os.path.dirname(__file__))}"
     entry = pull.pull(spark, "d", out, log, options, ["y", "v"])
-    assert (entry["rows_pulled"], entry["status"], entry["max_updated_at"]) == (10, "complete", "2024-01-01")
+    assert (entry["rows_pulled"], entry["status"], entry["max_updated_at"], entry["live_count_at_start"]) == (10, "complete", "2024-01-01", 10)
     assert pull.pull(spark, "d", out, log, options, ["y", "v"]) == entry
     changed = [r | {"v": "new", ":updated_at": "2024-02-01"} if r[":id"] == "0003" else r for r in rows(11)]
     changed[10][":updated_at"] = "2024-02-01"
