@@ -217,7 +217,7 @@ def digests(found: DataFrame) -> DataFrame:
     lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
     text = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))
     best = F.col("strongest")
-    milli = F.floor(F.lit(1000).cast("decimal(20,0)") * best["length"] / best["period"]).cast("long")
+    milli = F.expr("1000L * strongest.length div strongest.period")  # whole numbers, exact
     return found.select(
         *[F.col(f"`{c}`") for c in found.columns if c not in ("runs", "strongest", "collapsed")],
         F.size("runs").cast("long").alias("n_runs"),
