@@ -72,15 +72,18 @@ def mixed(key: np.ndarray) -> np.ndarray:
     return ((key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(46)).astype(np.int64)
 
 
-def association(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of every bucket: how many rows have it, and the likelihood-ratio statistic of its two-by-two table with the label."""
+def counted(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every bucket: how many rows have it, and how many of these have label 1."""
     count = lambda own: np.bincount(np.concatenate([*own, np.empty(0, np.int32)]).astype(np.int64), minlength=BUCKETS).astype(float)
-    n, p = float(len(rows)), float(labels.sum())
-    seen, hit = count(rows), count([r for r, y in zip(rows, labels, strict=True) if y])
+    return count(rows), count([r for r, y in zip(rows, labels, strict=True) if y])
+
+
+def telling(seen: np.ndarray, hit: np.ndarray, n: float, p: float) -> np.ndarray:
+    """Which buckets are used: those of SEEN rows at least whose two-by-two table with the label has a likelihood-ratio statistic over SIGNIFICANT. n rows, p of label 1."""
     part = lambda o, e: np.where(o > 0, o * np.log(np.maximum(o, 1e-12) / np.maximum(e, 1e-12)), 0)
     share = p / max(n, 1)
     cells = ((hit, seen * share), (seen - hit, seen * (1 - share)), (p - hit, (n - seen) * share), (n - p - seen + hit, (n - seen) * (1 - share)))
-    return seen, 2 * sum(part(o, e) for o, e in cells)
+    return (seen >= SEEN) & (2 * sum(part(o, e) for o, e in cells) > SIGNIFICANT)
 
 
 def raw(model: Model, ids: np.ndarray) -> float:
@@ -99,8 +102,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, ep
     Every visit of a row sees only a share `kept` of its terms, drawn anew, so that each telling term learns to stand alone.
     """
     rng = np.random.default_rng(seed)
-    seen, statistic = association(rows, labels)
-    used = (seen >= SEEN) & (statistic > SIGNIFICANT)
+    used = telling(*counted(rows, labels), float(len(rows)), float(labels.sum()))
     rows = [r[used[r]] for r in rows]
     base, w, v = -2.0, np.zeros(BUCKETS), rng.normal(0, 0.01, (BUCKETS, factors)) * used[:, None]
     w_sum, v_sum = np.full(BUCKETS, 1e-2), np.full((BUCKETS, factors), 1e-2)
@@ -124,8 +126,8 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     """A model from at most sample_rows labelled documents, one for each id, drawn by hash of the id.
 
     An id that is labelled more than once is toxic if one of its labels says so; of the documents of a repeated id the one whose
-    text hashes lowest is taken, a null text as an empty one. Null ids and null labels are not learned from. Terms, not texts,
-    go to the driver. No labelled document gives a model that scores every text alike, as not toxic.
+    text hashes lowest is taken, a null text as an empty one. Null ids and null labels are not learned from. What goes to the
+    driver is counts, two for each of BUCKETS, and then of each row those terms that these counts show to be telling. No labelled document gives a model that scores every text alike, as not toxic.
     """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     keys = tables.sample(marked, "id", sample_rows)
@@ -137,7 +139,28 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
             rows = [terms(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("y"), pa.array(rows, pa.list_(pa.int32()))], ["id", "y", "terms"])
 
-    got = found.mapInArrow(run, "id string, y int, terms array<int>").toArrow()
+    drawn = tables.written(found.mapInArrow(run, "id string, y int, terms array<int>"))
+    lists = lambda b: [r.values.to_numpy() for r in b.column("terms")]
+
+    def count(batches):
+        seen, hit = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for b in batches:
+            more = counted(lists(b), b.column("y").to_numpy())
+            seen, hit = seen + more[0], hit + more[1]
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at]), pa.array(hit[at])], ["term", "seen", "hit"])
+
+    counts = drawn.mapInArrow(count, "term int, seen double, hit double").groupBy("term").agg(F.sum("seen").alias("seen"), F.sum("hit").alias("hit")).toArrow()  # BUCKETS rows at most
+    seen, hit = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    seen[counts.column("term").to_numpy()], hit[counts.column("term").to_numpy()] = counts.column("seen").to_numpy(), counts.column("hit").to_numpy()
+    n, p = drawn.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    used = docs.sparkSession.sparkContext.broadcast(telling(seen, hit, float(n), float(p)))  # BUCKETS flags
+
+    def keep(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([r[used.value[r]] for r in lists(b)], pa.list_(pa.int32()))], ["id", "y", "terms"])
+
+    got = drawn.mapInArrow(keep, drawn.schema).toArrow()
     order = np.argsort(np.array(got.column("id").to_pylist(), dtype=object).astype(str), kind="stable")
     got = got.take(pa.array(order))
     return train([np.asarray(r.values.to_numpy(), np.int32) for r in got.column("terms")], got.column("y").to_numpy())
