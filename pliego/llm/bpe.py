@@ -114,7 +114,10 @@ def stitched(long: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFra
     chunks = chunks.select("row", "id", "size", "k", F.expr(f"substring(text, k * {chunk} + 1, {chunk + overlap})").alias("text"))
     chunks = chunks.repartition(F.col("row"), F.col("k"))
     kind = long.schema["id"].dataType
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", kind), T.StructField("size", T.IntegerType()), T.StructField("k", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("head", T.ArrayType(T.IntegerType())), T.StructField("tail", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([
+        T.StructField("row", T.LongType()), T.StructField("id", kind), T.StructField("size", T.IntegerType()), T.StructField("k", T.IntegerType()),
+        T.StructField("text", T.StringType()), T.StructField("head", T.ArrayType(T.IntegerType())), T.StructField("tail", T.ArrayType(T.IntegerType()))
+    ])
 
     def pre_tokenise(batches):
         compiled = regex.compile(pattern)

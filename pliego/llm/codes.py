@@ -220,7 +220,10 @@ def encode(df: DataFrame, model: Model, vec_col: str = "embedding") -> DataFrame
     """
     kept = [c for c in df.columns if c not in ("code", "error", "length")]
     ids = df.select(*[F.col(f"`{c}`") for c in kept])
-    rows = usable(ids.select(F.struct(*[F.col(f"`{c}`") for c in kept if c != vec_col]).alias("row"), F.col(f"`{vec_col}`").alias("given")) if len(kept) > 1 else ids.select(F.lit(None).cast("int").alias("row"), F.col(f"`{vec_col}`").alias("given")), "given")
+    rows = usable(
+        ids.select(F.struct(*[F.col(f"`{c}`") for c in kept if c != vec_col]).alias("row"), F.col(f"`{vec_col}`").alias("given")) if len(kept) > 1 else ids.select(F.lit(None).cast("int").alias("row"), F.col(f"`{vec_col}`").alias("given")),
+        "given"
+    )
     shared = df.sparkSession.sparkContext.broadcast(model)  # LARGEST numbers at most
     entries = max((len(b) for books in model.books.values() for b in books), default=1)
 

@@ -115,19 +115,30 @@ RULES = [
     ("MPL-2.0", ["notice:MPL-2.0", "mpl-copy"]),
     ("CC0-1.0", ["cc0-waiver"]),
     ("OFL-1.1", ["ofl-font"]),
-    *((name, [f"notice:{name}", *rest]) for name in ("GPL-2.0", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-or-later") for rest in (["gnu-hope", "gnu-see", "gnu-copy"], ["gnu-hope", "gnu-copy"], ["gnu-hope", "gnu-see"], ["gnu-verbatim"])),
+    *((name, [f"notice:{name}", *rest]) for name in (
+        "GPL-2.0", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-or-later"
+    ) for rest in (["gnu-hope", "gnu-see", "gnu-copy"], ["gnu-hope", "gnu-copy"], ["gnu-hope", "gnu-see"], ["gnu-verbatim"])),
 ]
 
 _GNU = r"(?:gnu )?{}(?: [a]?l?gpl)?(?: as published by the free software foundation)?(?: either)?(?: version | ?v ?| )?{}(?: [0-9]+ [a-z]+ [0-9]{{4}})?"
 _GNU_NAMES = {"GPL": ("general public license", "gpl"), "LGPL": ("(?:lesser|library) general public license", "lgpl"), "AGPL": ("affero general public license", "agpl")}
 _LATER = r"(?: of the license| only)??(?: or at your option| or)(?: any)? (?:later(?: version)?|newer(?: version)?)"
 _CC = r"(?:creative commons attribution{} {v}(?: international| unported)?(?: public)?(?: license)?|cc by{} {v}(?: international| unported)?(?: license)?)"
-_CC_KINDS = {"BY-NC-SA": (" non ?commercial share ?alike", " nc sa"), "BY-NC-ND": (" non ?commercial no ?deriv(?:ative)?s", " nc nd"), "BY-NC": (" non ?commercial", " nc"), "BY-ND": (" no ?deriv(?:ative)?s", " nd"), "BY-SA": (" share ?alike", " sa"), "BY": ("", "")}
+_CC_KINDS = {
+    "BY-NC-SA": (" non ?commercial share ?alike", " nc sa"), "BY-NC-ND": (" non ?commercial no ?deriv(?:ative)?s", " nc nd"), "BY-NC": (" non ?commercial", " nc"),
+    "BY-ND": (" no ?deriv(?:ative)?s", " nd"), "BY-SA": (" share ?alike", " sa"), "BY": ("", "")
+}
 
 #: How licences are named, as patterns over normalised words.
 NAMES = {
-    **{f"{k}-{v}.0-or-later" if "." not in v else f"{k}-{v}-or-later": "(?:" + "|".join(_GNU.format(n, v.replace(".", r"\.") + ("" if "." in v else r"(?:\.0)?")) for n in _GNU_NAMES[k]) + ")" + _LATER for k, v in (("LGPL", "2.1"), ("LGPL", "3"), ("AGPL", "3"), ("GPL", "2"), ("GPL", "3"))},
-    **{f"{k}-{v}.0" if "." not in v else f"{k}-{v}": "(?:" + "|".join([_GNU.format(n, v.replace(".", r"\.") + ("" if "." in v else r"(?:\.0)?")) for n in _GNU_NAMES[k]] + [f"version {v.replace('.', chr(92) + '.')} of the gnu {_GNU_NAMES[k][0]}"]) + ")(?: only)?(?: license)?" for k, v in (("LGPL", "2.1"), ("LGPL", "3"), ("AGPL", "3"), ("GPL", "2"), ("GPL", "3"))},
+    **{
+        f"{k}-{v}.0-or-later" if "." not in v else f"{k}-{v}-or-later": "(?:" + "|".join(_GNU.format(n, v.replace(".", r"\.") + ("" if "." in v else r"(?:\.0)?")) for n in _GNU_NAMES[k]) + ")" + _LATER for k,
+        v in (("LGPL", "2.1"), ("LGPL", "3"), ("AGPL", "3"), ("GPL", "2"), ("GPL", "3"))
+    },
+    **{
+        f"{k}-{v}.0" if "." not in v else f"{k}-{v}": "(?:" + "|".join([_GNU.format(n, v.replace(".", r"\.") + ("" if "." in v else r"(?:\.0)?")) for n in _GNU_NAMES[k]] + [f"version {v.replace('.', chr(92) + '.')} of the gnu {_GNU_NAMES[k][0]}"]) + ")(?: only)?(?: license)?" for k,
+        v in (("LGPL", "2.1"), ("LGPL", "3"), ("AGPL", "3"), ("GPL", "2"), ("GPL", "3"))
+    },
     "Apache-2.0": r"apache(?: software)?(?: license)?(?: version | v ?| )2(?:\.0)?(?: license)?(?: january 2004)?",
     "MIT": r"(?:mit|expat)(?: x11)? license",
     "BSD-3-Clause": r"(?:(?:3|three) clause|new|modified|revised) bsd license|bsd (?:3|three) clause(?: new or revised)?(?: license)?",
@@ -177,7 +188,10 @@ _GAP = rf"(?:{_WORD}{_SEP}){{0,{GAP}}}?"
 _GAP_IN_LINE = rf"(?:{_WORD}(?: |//)){{0,{GAP}}}?"
 
 #: A text without any of these, in small letters, holds no known sentence.
-HINTS = ["license", "licence", "permission", "redistribut", "warrant", "liable", "public domain", "all rights reserved", "spdx", "cc by", "cc-by", "cc0", "gpl", "advertising", "endorse", "misrepresented", "this notice", "this software", "dedication", "rights to", "mpl", "copyright"]
+HINTS = [
+    "license", "licence", "permission", "redistribut", "warrant", "liable", "public domain", "all rights reserved", "spdx", "cc by", "cc-by", "cc0", "gpl", "advertising",
+    "endorse", "misrepresented", "this notice", "this software", "dedication", "rights to", "mpl", "copyright"
+]
 
 #: What stands before a line's own text in comments, and a mark of a list item.
 LEAD = r"\n[ \t]*(?:#+|//+|/\*+|\*+/?|;+|--+|%+)?[ \t]*"

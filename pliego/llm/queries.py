@@ -79,7 +79,10 @@ def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_best_fit_packing, op3_token_counts, op4_byte_bpe, op5_simhash, op6_language_id, op7_license_scan, op8_toxicity, op9_warc_derivatives, op10_adaptive_ann, op11_vector_codes, op12_periodic_runs, op13_jaccard_join)}
+QUERIES = {f.__name__: f for f in (
+    op1_exact_topk, op2_best_fit_packing, op3_token_counts, op4_byte_bpe, op5_simhash, op6_language_id, op7_license_scan, op8_toxicity, op9_warc_derivatives,
+    op10_adaptive_ann, op11_vector_codes, op12_periodic_runs, op13_jaccard_join
+)}
 
 
 def _sql_text(value: str) -> str:

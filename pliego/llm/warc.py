@@ -265,7 +265,10 @@ def derive(archive: DataFrame, id_col: str = "page_id") -> DataFrame:
     """
     known = F.col("payload_digest") if "payload_digest" in archive.columns else F.lit(None)
     blank = F.lit("").cast("binary")
-    base = archive.select(F.col(id_col).alias("id"), "record_id", "target_uri", "warc_date", F.coalesce("http_headers", F.lit("")).alias("headers"), F.coalesce(F.col("payload").cast("binary"), blank).alias("payload"), known.cast("string").alias("known"))
+    base = archive.select(
+        F.col(id_col).alias("id"), "record_id", "target_uri", "warc_date", F.coalesce("http_headers", F.lit("")).alias("headers"),
+        F.coalesce(F.col("payload").cast("binary"), blank).alias("payload"), known.cast("string").alias("known")
+    )
     record = T._parse_datatype_string(RECORD)
     schema = T.StructType([T.StructField("id", base.schema["id"].dataType), *record.fields])
     kinds = [pa.int64() if f.dataType == T.LongType() else pa.string() for f in record.fields]
