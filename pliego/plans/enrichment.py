@@ -40,7 +40,10 @@ def resolved(ibague: DataFrame, santarosa: DataFrame) -> DataFrame:
 
 
 def resolved_stats(found: DataFrame) -> DataFrame:
-    return found.agg(F.count("*").alias("n_nit_base"), F.count_if("is_conflict").alias("n_conflicts"), F.count_if(F.col("n_registros_ibague") > 1).alias("n_multi_registro_ibague"), F.count_if(F.col("n_registros_santarosa") > 1).alias("n_multi_registro_santarosa"))
+    return found.agg(
+        F.count("*").alias("n_nit_base"), F.count_if("is_conflict").alias("n_conflicts"), F.count_if(F.col("n_registros_ibague") > 1).alias("n_multi_registro_ibague"),
+        F.count_if(F.col("n_registros_santarosa") > 1).alias("n_multi_registro_santarosa")
+    )
 
 
 def enriched(dim: DataFrame, found: DataFrame) -> DataFrame:

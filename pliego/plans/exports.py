@@ -88,7 +88,10 @@ def department_details(mart: Mart, p: Params | None = None, top: int = TOP_PER_D
         return ranked.groupBy("cod_dpto").agg(F.array_sort(F.collect_list(F.struct("position", F.struct(*columns).alias("item"))))["item"].alias(name))
 
     best = [F.col("score").desc_nulls_last(), F.col("valor_total").desc_nulls_last()]
-    places = listed(mart["municipio_score"], "municipios", [*best, F.col("cod_mpio")], [padded(F.col("cod_mpio"), 5).alias("cod_mpio"), "municipio", "n_contratos", F.coalesce("valor_total", F.lit(0.0)).alias("valor_total"), "score", "tier", "datos_insuficientes"])
+    places = listed(
+        mart["municipio_score"], "municipios", [*best, F.col("cod_mpio")],
+        [padded(F.col("cod_mpio"), 5).alias("cod_mpio"), "municipio", "n_contratos", F.coalesce("valor_total", F.lit(0.0)).alias("valor_total"), "score", "tier", "datos_insuficientes"]
+    )
     ranked = mart["entidad_score"].join(department_names(mart["divipola"]), "cod_dpto", "left")
     entities = listed(ranked, "top_entidades", [*best, F.col("nit_entidad_norm")], _entity_fields(), top)
     yearly = scores.where("anio IS NOT NULL").groupBy("cod_dpto", "anio").agg(*_totals())

@@ -262,7 +262,10 @@ def f11(mart: Mart, p: Params) -> DataFrame:
     right = found.withColumnRenamed("doc_proveedor_norm", "_doc")
     joined = rows.join(right, (F.col("doc_proveedor_norm") == F.col("_doc")) & F.col("fecha_firma").eqNullSafe(F.col("_day")), "left")
     n = lambda c: F.coalesce(c, F.lit(0))
-    return joined.select(contract_key(), (n("_before") > 0).alias("fired"), n("_before").alias("n_sanciones_antes_firma"), n("_all").alias("n_sanciones_total_contexto"), "fuentes_antes_firma", "fuentes_total_contexto", "sancion_mas_reciente_antes_firma")
+    return joined.select(
+        contract_key(), (n("_before") > 0).alias("fired"), n("_before").alias("n_sanciones_antes_firma"), n("_all").alias("n_sanciones_total_contexto"),
+        "fuentes_antes_firma", "fuentes_total_contexto", "sancion_mas_reciente_antes_firma"
+    )
 
 
 def f12(mart: Mart, p: Params) -> DataFrame:

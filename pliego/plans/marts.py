@@ -189,9 +189,15 @@ def sanctions(cgr: DataFrame, fines_old: DataFrame, fines_new: DataFrame, siri:
 
     parts = [
         rows(cgr, "n_mero_de_identificaci_n", F.col("raz_n_social_de_la_entidad"), "CGR", F.col("fecha_de_resoluci_n_de_la"), F.coalesce("descripci_n_o_detalle_resumen", "tipo_de_sanci_n_multa")),
-        rows(fines_old, "documento_contratista", F.col("nombre_contratista"), "MULTA_SECOP1", F.coalesce("fecha_de_firmeza", "fecha_de_publicacion"), F.concat(F.lit("Contrato: "), some("numero_de_contrato"), F.lit(" | Resolución: "), some("numero_de_resolucion"))),
+        rows(
+            fines_old, "documento_contratista", F.col("nombre_contratista"), "MULTA_SECOP1", F.coalesce("fecha_de_firmeza", "fecha_de_publicacion"),
+            F.concat(F.lit("Contrato: "), some("numero_de_contrato"), F.lit(" | Resolución: "), some("numero_de_resolucion"))
+        ),
         rows(fines_new, "as_codigo_proveedor_objeto", F.col("nombre_proveedor_objeto_de"), "MULTA_SECOP2", F.col("fecha_evento"), F.concat(some("tipo_de_sancion"), F.lit(" | "), some("descripcion_otro_tipo_de"))),
-        rows(siri, "numero_identificacion", F.concat_ws(" ", *[some(c) for c in ("primer_nombre", "segundo_nombre", "primer_apellido", "segundo_apellido")]), "SIRI", F.col("fecha_efectos_juridicos"), F.concat(some("tipo_inhabilidad"), F.lit(" | "), some("sanciones"))),
+        rows(
+            siri, "numero_identificacion", F.concat_ws(" ", *[some(c) for c in ("primer_nombre", "segundo_nombre", "primer_apellido", "segundo_apellido")]), "SIRI",
+            F.col("fecha_efectos_juridicos"), F.concat(some("tipo_inhabilidad"), F.lit(" | "), some("sanciones"))
+        ),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -120,7 +120,10 @@ def score_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TOLD = "CASE WHEN v IS NULL THEN 'null' WHEN TRY_CAST(v AS DOUBLE) IS NOT NULL THEN printf('%.3f', TRY_CAST(v AS DOUBLE)) ELSE v END"
 _PAIRS = f"array_to_string(list_sort(list_transform(list_filter(json_keys(j), lambda k: k <> 'key'), lambda k: k || '=' || {_TOLD.replace('v ', 'json_extract_string(j, k) ').replace('ELSE v', 'ELSE json_extract_string(j, k)')})), ';')"
-_OF_FLAGS = " UNION ALL ".join(f"SELECT key AS id_contrato, '{k}' AS flag_id, {w} AS peso, {_PAIRS} AS evidence, CAST(j AS VARCHAR) AS text FROM (SELECT key, to_json(t) AS j FROM (SELECT * EXCLUDE (fired) FROM {k.lower()} WHERE fired) t)" for k, (_, of, w) in P.weights.items() if of == "contract")
+_OF_FLAGS = " UNION ALL ".join(
+    f"SELECT key AS id_contrato, '{k}' AS flag_id, {w} AS peso, {_PAIRS} AS evidence, CAST(j AS VARCHAR) AS text FROM (SELECT key, to_json(t) AS j FROM (SELECT * EXCLUDE (fired) FROM {k.lower()} WHERE fired) t)" for k,
+    (_, of, w) in P.weights.items() if of == "contract"
+)
 
 
 @query(sql(f"SELECT id_contrato, flag_id, peso, arg_max(evidence, text) AS evidence FROM ({_OF_FLAGS}) GROUP BY ALL"))
@@ -195,7 +198,9 @@ _top = lambda name, k: f"SELECT '{name}' AS name, CAST({k} AS BIGINT) AS k, roun
 _share = lambda s: f"greatest(1, CAST(round_even(n * {s}, 0) AS BIGINT))"
 
 
-@query(sql("SELECT * FROM (WITH placed AS (SELECT is_positive, row_number() OVER (ORDER BY round(score, 9) DESC, id_contrato) AS i, count(*) OVER () AS n FROM etiquetas) " + " UNION ALL ".join([_top("top_50", "50"), _top("top_100", "100"), _top("top_500", "500"), _top("top_1%", _share(0.01)), _top("top_5%", _share(0.05)), _top("top_10%", _share(0.1))]) + ")"))
+@query(sql("SELECT * FROM (WITH placed AS (SELECT is_positive, row_number() OVER (ORDER BY round(score, 9) DESC, id_contrato) AS i, count(*) OVER () AS n FROM etiquetas) " + " UNION ALL ".join([
+    _top("top_50", "50"), _top("top_100", "100"), _top("top_500", "500"), _top("top_1%", _share(0.01)), _top("top_5%", _share(0.05)), _top("top_10%", _share(0.1))
+]) + ")"))
 def precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = scored(spark, sf_dir)
     found = precision_at(rounded(backtest.labels(m["contrato_score"], m["sanciones"]), "score", digits=9), "score", "is_positive", "id_contrato")
@@ -252,7 +257,10 @@ def fact_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Suppliers and customers as two chambers' registers, with numbers that overlap."""
     c, day = F.col, lambda n: F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), n.cast("int")), "yyyyMMdd")
-    first = testdata.table(spark, sf_dir, "supplier").select(F.when(c("s_suppkey") % 10 == 0, "NO APLICA").otherwise(F.concat(F.lit("900.000."), F.lpad(c("s_suppkey").cast("string"), 3, "0"), F.lit("-1"))).alias("nit"), F.when(c("s_suppkey") % 7 != 0, day(c("s_suppkey") * 13)).alias("fecha_de_matricula"))
+    first = testdata.table(spark, sf_dir, "supplier").select(
+        F.when(c("s_suppkey") % 10 == 0, "NO APLICA").otherwise(F.concat(F.lit("900.000."), F.lpad(c("s_suppkey").cast("string"), 3, "0"), F.lit("-1"))).alias("nit"),
+        F.when(c("s_suppkey") % 7 != 0, day(c("s_suppkey") * 13)).alias("fecha_de_matricula")
+    )
     second = testdata.table(spark, sf_dir, "customer").select(
         F.when(c("c_custkey") % 2 == 0, F.concat(F.lit("900000"), F.lpad((c("c_custkey") % 200).cast("string"), 3, "0"))).alias("nit"), F.when(c("c_custkey") % 2 == 0, "1").alias("digito_verificacion"), c("c_custkey").cast("string").alias("numero_identificacion"), day(c("c_custkey") * 7 % 9000).alias("fecha_matricula"),
     )
@@ -423,7 +431,10 @@ def department_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = scored(spark, sf_dir, "contrato_score", "municipio_score", "entidad_score")
     found = exports.department_details(m | {"entidad_score": rounded(m["entidad_score"], "score", digits=9)}, P, top=5)
     size = lambda c: F.greatest(F.size(c), F.lit(0)).cast("long")
-    return found.select("cod_dpto", "n_contratos", size("municipios").alias("n_municipios"), F.get("top_entidades", F.lit(0))["nit_entidad"].alias("best_entity"), size("top_entidades").alias("n_top"), F.get("serie_anio", F.lit(0))["anio"].alias("first_year"))
+    return found.select(
+        "cod_dpto", "n_contratos", size("municipios").alias("n_municipios"), F.get("top_entidades", F.lit(0))["nit_entidad"].alias("best_entity"),
+        size("top_entidades").alias("n_top"), F.get("serie_anio", F.lit(0))["anio"].alias("first_year")
+    )
 
 
 @query(sql("SELECT id_contrato, nit_entidad_norm AS nit_entidad, dpto, municipio, modalidad_norm AS modalidad, anio, valor_contrato, fecha_firma, round(score, 6) AS score, tier, n_flags_disparados FROM contrato_score JOIN divipola USING (cod_dpto, cod_mpio) WHERE score IS NOT NULL ORDER BY round(score, 9) DESC, valor_contrato DESC NULLS LAST, id_contrato LIMIT 2500"))

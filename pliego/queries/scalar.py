@@ -28,7 +28,10 @@ def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT l_orderkey, l_linenumber, TRY_CAST(t AS DOUBLE) AS as_double, TRY_CAST(t AS INTEGER) AS as_int, TRY_CAST(d AS DATE) AS as_date, CASE WHEN length(d) = 8 THEN CAST(TRY_STRPTIME(d, '%Y%m%d') AS DATE) END AS as_compact, coalesce(trim(t), '') <> '' AS present FROM {_raw}")
 def lenient_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, d = F.col("t"), F.col("d")
-    return raw_texts(spark, sf_dir).select("l_orderkey", "l_linenumber", casts.lenient_double(t).alias("as_double"), casts.lenient_int(t).alias("as_int"), casts.lenient_date(d).alias("as_date"), casts.compact_date(d).alias("as_compact"), casts.present(t).alias("present"))
+    return raw_texts(spark, sf_dir).select(
+        "l_orderkey", "l_linenumber", casts.lenient_double(t).alias("as_double"), casts.lenient_int(t).alias("as_int"), casts.lenient_date(d).alias("as_date"),
+        casts.compact_date(d).alias("as_compact"), casts.present(t).alias("present")
+    )
 
 
 _plain = "translate({}, 'áàâãäéèêëíìîïóòôõöúùûüñçÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÑÇ', 'aaaaaeeeeiiiiooooouuuuncAAAAAEEEEIIIIOOOOOUUUUNC')"
@@ -38,7 +41,10 @@ _plain = "translate({}, 'áàâãäéèêëíìîïóòôõöúùûüñçÁÀÂ
 def text_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     some = F.coalesce(t, F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", text.digits(t).alias("digits"), F.md5(text.name_key(t).cast("binary")).alias("key"), F.md5(text.strict_name_key(some).cast("binary")).alias("strict_key"), F.md5(text.unaccented(some).cast("binary")).alias("plain"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", text.digits(t).alias("digits"), F.md5(text.name_key(t).cast("binary")).alias("key"),
+        F.md5(text.strict_name_key(some).cast("binary")).alias("strict_key"), F.md5(text.unaccented(some).cast("binary")).alias("plain")
+    )
 
 
 _suffixes = ["S.A.S.", "SA", "LTDA.", "S EN C", "E.U.", ""]
@@ -81,12 +87,18 @@ def codes_and_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, key = F.col("p_size"), F.col("p_partkey") % 3
     code = F.when(key == 0, F.concat(F.lit("V1."), size.cast("string"), F.lit("4321"))).when(key == 1, F.concat(F.lit("V12."), (size + 40).cast("string"), F.lit("99"))).otherwise("x")
     price = F.col("p_retailprice")
-    return table(spark, sf_dir, "part").select("p_partkey", text.unspsc_segment(code).alias("segment"), text.padded(size.cast("string"), 2).alias("padded"), numbers.is_multiple(price, 10).alias("is_round"), F.round(F.abs(numbers.ratio(price, size - 7) - 1), 6).alias("deviation"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", text.unspsc_segment(code).alias("segment"), text.padded(size.cast("string"), 2).alias("padded"), numbers.is_multiple(price, 10).alias("is_round"),
+        F.round(F.abs(numbers.ratio(price, size - 7) - 1), 6).alias("deviation")
+    )
 
 
 @query("SELECT o_orderkey, CAST(l AS INTEGER) AS days, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, CAST(day(o_orderdate) AS INTEGER) AS d FROM (SELECT o_orderkey, o_orderdate, CAST(o_orderdate AS DATE) - DATE '1996-02-29' AS l FROM orders)")
 def date_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.datediff(F.col("o_orderdate").cast("date"), F.lit("1996-02-29").cast("date")).alias("days"), F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"), F.dayofmonth("o_orderdate").alias("d"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.datediff(F.col("o_orderdate").cast("date"), F.lit("1996-02-29").cast("date")).alias("days"), F.year("o_orderdate").alias("y"),
+        F.month("o_orderdate").alias("m"), F.dayofmonth("o_orderdate").alias("d")
+    )
 
 
 @query("SELECT c_custkey, CASE WHEN s >= 60 THEN 'critico' WHEN s >= 40 THEN 'alto' WHEN s >= 20 THEN 'medio' WHEN s >= 0 THEN 'bajo' END AS tier, round(coalesce(c_custkey / (c_custkey + 10.0) * s + (1 - c_custkey / (c_custkey + 10.0)) * 30, s, 30), 6) AS shrunk, round(coalesce((119 * s + 16 * e) / 135, s, e), 6) AS combined FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey % 101 AS DOUBLE) END AS s, CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_custkey % 90 AS DOUBLE) END AS e FROM customer)")

@@ -105,10 +105,23 @@ def raw_sanctions(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     day, who, event = F.date_format("ts", "yyyy-MM-dd"), c("user_id").cast("string"), c("event_id").cast("string")
     spoilt = F.when(c("event_id") % 6 == 0, "sin fecha").otherwise(day)
     return [
-        of(0).select(_text("NIT ", who).alias("n_mero_de_identificaci_n"), _text("Empresa ", who).alias("raz_n_social_de_la_entidad"), spoilt.alias("fecha_de_resoluci_n_de_la"), F.when(c("event_id") % 3 == 0, "resumen").alias("descripci_n_o_detalle_resumen"), c("event_type").alias("tipo_de_sanci_n_multa")),
-        of(1).select(who.alias("documento_contratista"), _text("Empresa ", who).alias("nombre_contratista"), F.when(c("event_id") % 2 == 0, day).alias("fecha_de_firmeza"), day.alias("fecha_de_publicacion"), event.alias("numero_de_contrato"), F.when(c("event_id") % 2 == 0, event).alias("numero_de_resolucion")),
-        of(2).select(who.alias("as_codigo_proveedor_objeto"), _text("Empresa ", who).alias("nombre_proveedor_objeto_de"), day.alias("fecha_evento"), c("event_type").alias("tipo_de_sancion"), F.when(c("event_id") % 2 == 0, "otra").alias("descripcion_otro_tipo_de")),
-        of(3).select(who.alias("numero_identificacion"), F.lit("Ana").alias("primer_nombre"), F.lit(None).cast("string").alias("segundo_nombre"), _text("Ruiz", who).alias("primer_apellido"), F.lit("Gil").alias("segundo_apellido"), day.alias("fecha_efectos_juridicos"), c("event_type").alias("tipo_inhabilidad"), event.alias("sanciones")),
+        of(0).select(
+            _text("NIT ", who).alias("n_mero_de_identificaci_n"), _text("Empresa ", who).alias("raz_n_social_de_la_entidad"), spoilt.alias("fecha_de_resoluci_n_de_la"),
+            F.when(c("event_id") % 3 == 0, "resumen").alias("descripci_n_o_detalle_resumen"), c("event_type").alias("tipo_de_sanci_n_multa")
+        ),
+        of(1).select(
+            who.alias("documento_contratista"), _text("Empresa ", who).alias("nombre_contratista"), F.when(c("event_id") % 2 == 0, day).alias("fecha_de_firmeza"),
+            day.alias("fecha_de_publicacion"), event.alias("numero_de_contrato"), F.when(c("event_id") % 2 == 0, event).alias("numero_de_resolucion")
+        ),
+        of(2).select(
+            who.alias("as_codigo_proveedor_objeto"), _text("Empresa ", who).alias("nombre_proveedor_objeto_de"), day.alias("fecha_evento"),
+            c("event_type").alias("tipo_de_sancion"), F.when(c("event_id") % 2 == 0, "otra").alias("descripcion_otro_tipo_de")
+        ),
+        of(3).select(
+            who.alias("numero_identificacion"), F.lit("Ana").alias("primer_nombre"), F.lit(None).cast("string").alias("segundo_nombre"),
+            _text("Ruiz", who).alias("primer_apellido"), F.lit("Gil").alias("segundo_apellido"), day.alias("fecha_efectos_juridicos"),
+            c("event_type").alias("tipo_inhabilidad"), event.alias("sanciones")
+        ),
     ]
 
 

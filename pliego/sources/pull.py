@@ -46,7 +46,11 @@ def pull(spark: SparkSession, name: str, out: str, manifest_path: str, options:
     got: DataFrame = spark.read.schema(rows.schema).parquet(folder)
     n, last, latest = got.agg(F.count("*"), F.max(f"`{key}`"), F.max(f"`{updated}`")).first()
     newest = max(x for x in (latest, entry.get("max_updated_at"), "") if x is not None) or None
-    return manifest.update(manifest_path, name, status="partial" if "pages" in options else "complete", rows_pulled=entry.get("rows_pulled", 0) + n, last_id=last or entry.get("last_id"), max_updated_at=newest, live_count_at_start=live, live_latest_at_start=live_latest, columns=columns, started_at=began.isoformat(), finished_at=dt.datetime.now(dt.UTC).isoformat())
+    return manifest.update(
+        manifest_path, name, status="partial" if "pages" in options else "complete", rows_pulled=entry.get("rows_pulled", 0) + n, last_id=last or entry.get("last_id"),
+        max_updated_at=newest, live_count_at_start=live, live_latest_at_start=live_latest, columns=columns, started_at=began.isoformat(),
+        finished_at=dt.datetime.now(dt.UTC).isoformat()
+    )
 
 
 def latest_rows(spark: SparkSession, out: str, key: str = ":id") -> DataFrame:

@@ -123,7 +123,10 @@ def mart(spark: SparkSession, sf_dir: str, written: bool = False) -> Mart:
         "dim_entidad": marts.entities(fct),
         "dim_proveedor": suppliers.withColumn("fecha_matricula", registered),
         "sanciones": sanctions(spark, sf_dir),
-        "divipola": places.select(F.col("c_nationkey").cast("string").alias("cod_dpto"), F.col("n_name").alias("dpto"), F.col("c_mktsegment").alias("cod_mpio"), F.col("c_mktsegment").alias("municipio"), name_key(F.col("n_name")).alias("dpto_norm"), name_key(F.col("c_mktsegment")).alias("mpio_norm")),
+        "divipola": places.select(
+            F.col("c_nationkey").cast("string").alias("cod_dpto"), F.col("n_name").alias("dpto"), F.col("c_mktsegment").alias("cod_mpio"),
+            F.col("c_mktsegment").alias("municipio"), name_key(F.col("n_name")).alias("dpto_norm"), name_key(F.col("c_mktsegment")).alias("mpio_norm")
+        ),
         "ref_smmlv": spark.range(1990, 2006).select(F.col("id").cast("int").alias("year"), F.lit(1000).cast("long").alias("value_cop")),
         "ref_ventanas": windows.withColumns({c: F.col(c).cast("date") for c in ("inicio", "fin")}),
         "monitor_ciudadano_hechos": facts(spark, sf_dir),
