@@ -54,8 +54,9 @@ def extract(spark: SparkSession, a: argparse.Namespace) -> None:
         else:
             manifest.try_all({n: lambda n=n: pull.follow(spark, catalogue[n], f"{a.out.rstrip('/')}/tables/{n}").awaitTermination() for n in catalogue if not a.only or n in a.only})
     finally:
+        entries = manifest.read(record)
         for row in pull.summary(record):
-            print(json.dumps(row, ensure_ascii=False))
+            print(json.dumps(row | enrichment.completeness(entries[row["name"]], row["pulled"]), ensure_ascii=False))
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -197,6 +197,7 @@ def test_pull_command(spark, served, tmp_path, capsys):
     changed[2] |= {"v": "new", ":updated_at": "2024-02-01"}
     changed[10] |= {":updated_at": "2024-02-01"}
     served(changed)
+    assert told["one"]["pct_of_live_total"] == 100.0
     main(["pull", *args, "--only", "one", "--refresh"])
     assert dict(pull.latest_rows(spark, str(tmp_path / "raw" / "one")).select(":id", "v").collect()) == {r[":id"]: r["v"] for r in changed}
     main(["follow", *args, "--only", "one"])
