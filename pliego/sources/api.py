@@ -113,7 +113,8 @@ class ApiStream(DataSourceStreamReader):
     latest change there was then, and from there on the latest change read. Until key reaches goal, a batch goes on by key and leaves
     out what was changed after mark; from then on it reads what was changed after mark, in order of key. So each version of a row that a batch can see
     comes once: a row changed during the first phase comes with the second. Both ends of a batch are in its offsets, so one that is run again
-    after a failure asks for the same rows. Option `batch`: so many rows a slice and batch, about; after a restart, the first batch holds all that is left.
+    after a failure asks for the same rows. Option `batch`: so many rows a slice and batch, about. It holds once Spark has told this process where the query stands; until then a batch
+    holds all that is left, as after a restart, and under a trigger that asks for the end before it tells the start.
     A slice that the options name for the first time begins from its first key.
     """
 
