@@ -93,8 +93,8 @@ def overlapping_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("l_shipdate").cast("date")
     spans = items.groupBy("l_suppkey", "l_returnflag", F.col("l_orderkey") % 50).agg(F.min(day).alias("first"), F.max(day).alias("last")).select("l_suppkey", "first", "last")
     days = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(F.count("*").alias("n_orders"))
-    found = joins.range_join(days, "d", spans, "first", "last").groupBy("d", "n_orders")
-    return found.agg(F.count("first").cast("double").alias("n_spans"), F.coalesce(F.sum("l_suppkey").cast("double"), F.lit(0.0)).alias("suppliers"))
+    found = joins.range_totals(days, "d", spans, "first", "last", "n_spans", {"suppliers": "l_suppkey"})
+    return found.select("d", "n_orders", F.col("n_spans").cast("double").alias("n_spans"), F.col("suppliers").cast("double").alias("suppliers"))
 
 
 @query("""

@@ -66,6 +66,37 @@ def test_range_join(spark):
         joins.range_join(df.withColumn("x", F.lit(1.5)), "x", ranges, "low", "high")
 
 
+def test_range_totals_without_pairs(spark, monkeypatch):
+    """The totals of all ranges that hold a value, from the ends alone: 20,000 ranges that hold 400 values are never 8 million rows."""
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(n)
+    rng = random.Random(8)
+    spans = [(i, day(a), day(a + rng.choice([0, 1, 5, 400, -2]))) for i, a in enumerate(rng.randrange(-700, 700) for _ in range(120))] + [(500, None, day(3)), (501, day(3), None), (None, day(-30_000), day(30_000))]
+    values = [(i, day(rng.randrange(-800, 1200))) for i in range(300)] + [(900, None), (901, day(0)), (902, day(0))]
+    df, ranges = spark.createDataFrame(values, "v int, d date"), spark.createDataFrame(spans, "r int, low date, high date")
+    hit = lambda d: [r or 0 for r, a, b in spans if d and a and b and a <= d <= b]
+    got = joins.range_totals(df, "d", ranges, "low", "high", "n", {"total": "r"}).collect()
+    assert {tuple(r) for r in got} == {(v, d, len(hit(d)), sum(hit(d))) for v, d in values} and len(got) == len(values)
+    assert [tuple(r) for r in joins.range_totals(df.where("v = 901"), "d", ranges.limit(0), "low", "high", "n", {"total": "r"}).collect()] == [(901, day(0), 0, 0)]
+    with pytest.raises(TypeError):
+        joins.range_totals(df, "d", ranges.withColumn("x", F.lit(0.5)), "low", "high", "n", {"total": "x"})
+    sorted_rows = []
+    whole = joins.running_total
+    monkeypatch.setattr(joins, "running_total", lambda rows, *a: sorted_rows.append(rows.count()) or whole(rows, *a))
+    many = spark.range(20_000).select(F.col("id").alias("r"), (F.col("id") % 50 * -1).alias("low"), (400 + F.col("id") % 50).alias("high"))
+    found = joins.range_totals(spark.range(400).toDF("v"), "v", many, "low", "high", "n", {}).agg(F.min("n"), F.max("n")).first()
+    assert tuple(found) == (20_000, 20_000) and sorted_rows == [500]
+
+
+def test_like_join_sends_no_stretches_of_texts(spark):
+    """The texts' stretches are many times the texts; patterns of few distinct stretches are sent instead, so no broadcast grows with the texts."""
+    names = spark.range(20_000).select(F.concat(F.lit("ENTIDAD NUMERO "), F.col("id").cast("string")).alias("t"))
+    found = patterns.like_join(names, "t", spark.createDataFrame([("%NUMERO 77%",), ("%DAD N%1",), ("%NADA%",)], "p string"), "p")
+    assert found.count() == 111 + 2000
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    sent = plan[plan.index("BroadcastExchange") :].split("BroadcastExchange")[1:] if "BroadcastExchange" in plan else []
+    assert not [s for s in sent if "Generate explode" in s.split("BroadcastQueryStage")[0]]
+
+
 def test_bins_are_a_partition(spark):
     rng = random.Random(7)
     ends = [(a, a + rng.choice([-1, 0, 1, 7, 1000, 10**12])) for a in [rng.randrange(-1100, 1100) for _ in range(60)]] + [(-(2**63), 2**63 - 1), (0, 2**63 - 1), (-5, 5)]
