@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import dataclasses
 import random
 
 import pytest
 from helpers import contract, day, rows_to_df
 from pyspark.sql import functions as F
 
+from pliego import testdata
 from pliego.functions.evidence import parsed
 from pliego.functions.numbers import combined, shrunk, tier, weighted_mean
 from pliego.operators.ranking import auc, numbered, ordinal_rank, percent_rank, percentiles, precision_at, running_total
 from pliego.params import Params
-from pliego.plans import backtest, scoring
+from pliego.plans import backtest, flags, scoring
 
 SMALL = Params(weights={"FX1": ("Uno", "contract", 10), "FX2": ("Dos", "contract", 30), "FX3": ("Tres", "contract", 60), "EX1": ("Cuatro", "entity", 5), "EX2": ("Cinco", "entity", 15)})
 
@@ -125,3 +127,17 @@ def test_labels_only_after_signature(spark):
 def test_targets():
     assert backtest.targets(0.61, 1.6, [True, None]) == {"auc": True, "lift": True, "cases": True}
     assert backtest.targets(None, 1.5, [None]) == {"auc": False, "lift": False, "cases": False}
+
+
+def test_scores_without_evidence_shuffle_narrow_rows(spark, sf):
+    """Without evidence the flags of a contract are those that the flags themselves give, also where groups of few entities fire; what is written has the columns wanted."""
+    p = dataclasses.replace(testdata.PARAMS, rotation_days=1460, rotation_min_contracts=3, rotation_winners=(2, 1000), rotation_min_share=0.0, rotation_min_alternation=0.3, split_days=60)
+    mart = testdata.regional(spark, sf)
+    of = lambda evidence: {r["key"]: (r["n_flags_aplicables"], r["n_flags_disparados"], r["score"]) for r in scoring.per_key(flags.folded(mart, p, evidence=evidence), p, "contract").collect()}
+    told, lean = of(True), of(False)
+    assert lean == told and len(lean) > 4000
+    assert flags.splitting(mart, p).count() > 0 and flags.rotating(mart, p).count() > 0
+    assert {r[0] for r in flags.splitting(mart, p).collect()} == {r[0] for r in flags.f05(mart, p).where("fired").select("key").collect()}
+    assert {r[0] for r in flags.rotating(mart, p).collect()} == {r[0] for r in flags.f06(mart, p).where("fired").select("key").collect()}
+    got = scoring.run(mart, p, ("contrato_score",), False, ("anio",))["contrato_score"]
+    assert got.columns == ["id_contrato", "anio", "n_flags_aplicables", "n_flags_disparados", "score", "tier"]
