@@ -6,7 +6,7 @@ import functools
 import sqlite3
 import uuid
 
-import pyarrow.parquet as pq
+from pyarrow import dataset
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,22 +49,27 @@ def upsert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @functools.lru_cache(maxsize=4)
-def _remote(path: str, until: str) -> sqlite3.Connection:
-    """Each customer's latest order as of a day, as the remote dataset `latest` (custkey, orderkey, changed)."""
-    orders = pq.read_table(path, columns=["o_custkey", "o_orderkey", "o_orderdate"]).to_pydict()
+def _remote(path: str) -> sqlite3.Connection:
+    """The remote dataset `latest` (custkey, orderkey, changed) from the table that `snapshot` wrote, in order of its key, by which pages are found."""
     con = sqlite3.connect(":memory:", check_same_thread=False)
-    con.execute("CREATE TABLE orders (custkey INTEGER, orderkey INTEGER, changed TEXT)")
-    con.executemany("INSERT INTO orders VALUES (?, ?, ?)", ((c, o, str(d)[:10]) for c, o, d in zip(*orders.values(), strict=True)))
-    own = "row_number() OVER (PARTITION BY custkey ORDER BY changed DESC, orderkey DESC) AS place"
-    con.execute(f"CREATE TABLE latest AS SELECT * FROM (SELECT *, {own} FROM orders WHERE changed <= '{until}') WHERE place = 1")
+    con.execute("CREATE TABLE latest (custkey INTEGER PRIMARY KEY, orderkey INTEGER, changed TEXT)")
+    for batch in dataset.dataset(path, format="parquet").to_batches(columns=["custkey", "orderkey", "changed"]):
+        con.executemany("INSERT INTO latest VALUES (?, ?, ?)", zip(*batch.to_pydict().values(), strict=True))
     return con
 
 
+def snapshot(spark: SparkSession, sf_dir: str, until: str, path: str) -> str:
+    """Each customer's latest order as of a day, as the remote server keeps it; the path."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"), F.col("o_orderdate").cast("date").cast("string").alias("changed"))
+    keep_latest(rows.where(F.col("changed") <= until), ["custkey"], "changed", "orderkey").write.parquet(path)
+    return path
+
+
 def orders_api(options: dict[str, str]):
-    """Transport: a remote dataset served from the table orders as it was on the day options['until']."""
+    """Transport: a remote dataset served from the snapshot of orders below options['file']."""
 
     def get(params: dict[str, str]):
-        con = _remote(options["file"], options["until"])
+        con = _remote(options["file"])
         parts = [f"SELECT {params.get('$select', '*')} FROM latest", *(f"{word} {params[k]}" for k, word in (("$where", "WHERE"), ("$order", "ORDER BY"), ("$limit", "LIMIT"), ("$offset", "OFFSET")) if k in params)]
         found = con.execute(" ".join(parts))
         names = [c[0] for c in found.description]
@@ -73,10 +78,10 @@ def orders_api(options: dict[str, str]):
     return get
 
 
-def api_stream(spark: SparkSession, sf_dir: str, until: str, **more: str) -> DataFrame:
+def api_stream(spark: SparkSession, file: str, **more: str) -> DataFrame:
     """The dataset of `orders_api` as a stream of two slices."""
     spark.dataSource.register(ApiDataSource)
-    own = {"transport": f"{__name__}:orders_api", "file": f"{sf_dir}/orders.parquet", "until": until, "key": "custkey", "updated": "changed", "slices": '["custkey % 2 = 0", "custkey % 2 = 1"]', "page": "2000", "select": "custkey,orderkey,changed"}
+    own = {"transport": f"{__name__}:orders_api", "file": file, "key": "custkey", "updated": "changed", "slices": '["custkey % 2 = 0", "custkey % 2 = 1"]', "page": "2000", "select": "custkey,orderkey,changed"}
     return spark.readStream.format("paged_api").schema("custkey string, orderkey string, changed string").options(**own | more).load()
 
 
@@ -100,7 +105,7 @@ def upsert_api_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         sink(batch, batch_id)
 
     for run, until in enumerate((first, "9999-12-31")):
-        stream = api_stream(spark, sf_dir, until)
+        stream = api_stream(spark, snapshot(spark, sf_dir, until, f"{base}/remote/run={run}"))
         stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     came = spark.read.schema("custkey string").parquet(f"{base}/came").groupBy("custkey").agg(F.count("*").cast("int").alias("versions"))
     found = sink.current(spark).join(came, "custkey")

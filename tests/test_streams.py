@@ -217,3 +217,13 @@ def test_sheet(spark, monkeypatch):
     monkeypatch.setitem(sys.modules, "openpyxl", types.SimpleNamespace(load_workbook=lambda path, read_only, data_only: book))
     cells = sheets.read_sheet(spark, "book.xlsx")
     assert [(r["departamento"], r["anio"]) for r in sheets.facts(cells).collect()] == [("Tolima", 2020), ("Meta", None)]
+
+
+def test_remote_pages_are_found_by_key(spark, sf, tmp_path):
+    """The fake remote finds a page in the index of its key; a scan for each page would make the pull quadratic."""
+    from pliego.queries import incremental
+
+    con = incremental._remote(incremental.snapshot(spark, sf, "9999-12-31", f"{tmp_path}/latest"))
+    plan = con.execute("EXPLAIN QUERY PLAN SELECT * FROM latest WHERE (custkey % 2 = 0) AND (custkey > '7') ORDER BY custkey LIMIT 10").fetchall()
+    assert "SEARCH" in plan[0][3] and not any("TEMP B-TREE" in r[3] for r in plan)
+    assert con.execute("SELECT count(*) FROM latest").fetchone()[0] == spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct().count()
