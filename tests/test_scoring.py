@@ -155,6 +155,29 @@ def test_contracts_bring_their_columns_with_their_flags(spark, sf, evidence):
     assert once.exceptAll(apart).count() == apart.exceptAll(once).count() == 0
 
 
+def test_wide_rows_are_sorted_after_their_shuffle_only(spark, sf):
+    """Rows that bring columns are not sorted by id in the tasks that read them, which would spill there; they are sorted once, where an id's rows meet."""
+    m, p = testdata.mart(spark, sf, written=True), testdata.PARAMS
+    found = scoring.contract_scores(m, flags.folded(m, p, evidence=False, columns=["anio"]), p, ["anio"])
+    lines = found._jdf.queryExecution().sparkPlan().toString().splitlines()
+    top = next(i for i, line in enumerate(lines) if "Union" in line)
+    assert any("REPARTITION_BY_COL" in line for line in lines[:top])
+    last = max(i for i, line in enumerate(lines[:top]) if "Aggregate" in line)
+    assert last < next(i for i, line in enumerate(lines[:top]) if "REPARTITION_BY_COL" in line)
+
+
+def test_ids_of_many_rows_are_combined_before_their_shuffle(spark, sf, monkeypatch):
+    """Ids that a sketch finds often are combined in tasks first, with the same scores."""
+    m, p = testdata.mart(spark, sf, written=True), testdata.PARAMS
+    m["fct_contrato"] = m["fct_contrato"].withColumn("id_contrato", F.when(F.crc32("row_id") % 2 == 0, F.lit("many")).otherwise(F.col("id_contrato")))
+    score = lambda: scoring.contract_scores(m, flags.folded(m, p, evidence=True, columns=["anio", "fecha_firma"]), p, ["anio", "fecha_firma"])
+    assert scoring.repeated_ids(m["fct_contrato"]) == []
+    plain = score().collect()
+    monkeypatch.setattr(scoring, "OFTEN", 1000)
+    assert scoring.repeated_ids(m["fct_contrato"]) == ["many"] and scoring.repeated_ids(m["fct_contrato"].limit(0)) == []
+    assert sorted(score().collect(), key=str) == sorted(plain, key=str) and sum(r["id_contrato"] == "many" for r in plain) == 1
+
+
 def test_evidence_in_one_pass_is_that_of_each_flag(spark, sf):
     """The list of fired flags built in one pass, sanctions by history and frequencies of short texts included, is that of each flag's own plan."""
     p = dataclasses.replace(testdata.PARAMS, rotation_days=1460, rotation_min_contracts=3, rotation_winners=(2, 1000), rotation_min_share=0.0, rotation_min_alternation=0.3, split_days=60, vague_length=50)
