@@ -178,6 +178,42 @@ def test_ids_of_many_rows_are_combined_before_their_shuffle(spark, sf, monkeypat
     assert sorted(score().collect(), key=str) == sorted(plain, key=str) and sum(r["id_contrato"] == "many" for r in plain) == 1
 
 
+def test_scores_read_what_is_wanted(spark, sf):
+    """Score tables have only the contracts' columns that they read written."""
+    m, p = testdata.mart(spark, sf, written=True), testdata.PARAMS
+    suppliers = scoring.run(m, p, ("proveedor_score",), False)["proveedor_score"]
+    plan = suppliers._jdf.queryExecution().optimizedPlan().toString()
+    read = next(line for line in plan.splitlines() if "n_flags_disparados" in line and "Relation" in line)
+    assert "valor_contrato" in read and "cod_mpio" not in read and "nit_entidad_norm" not in read
+
+
+def test_entities_are_planned_once(spark, sf):
+    """The dimension of entities, which their scores and F04 read, comes from a table and not from all contracts again."""
+    found = scoring.run(testdata.mart(spark, sf, written=True), testdata.PARAMS, ("entidad_score",), False)["entidad_score"]
+    assert "nombre_entidad" in found.columns and "explode" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("often", [False, True])
+def test_concentration_shuffles_contracts_once(spark, sf, monkeypatch, often):
+    """Contracts meet once, by entity and year, and those of frequent keys after they were summed by supplier; the rows are those of a plain computation."""
+    m, p = testdata.regional(spark, sf) if often else testdata.mart(spark, sf, written=True), dataclasses.replace(testdata.PARAMS, concentration_min_contracts=3)
+    if often:
+        monkeypatch.setattr(flags, "OFTEN", 200)
+    got = flags.f12(m, p)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(nit_entidad_norm" in plan and plan.count("REPARTITION_BY_COL") >= 1 and ("Union" in plan.split("REPARTITION_BY_COL")[0]) == often
+    rows = [(r["nit_entidad_norm"], r["anio"], r["doc_proveedor_norm"], r["valor_contrato"]) for r in m["fct_contrato"].collect() if r["valor_contrato"] is not None and r["anio"] is not None and r["nit_entidad_norm"]]
+    entity, pair, n = {}, {}, {}
+    for e, y, s, v in rows:
+        entity[e, y], n[e, y] = entity.get((e, y), 0) + v, n.get((e, y), 0) + 1
+        if s:
+            pair.setdefault((e, y), {}).setdefault(s, []).append(v)
+    want = {(e, y): max(sum(v) for v in of.values()) / entity[e, y] for (e, y), of in pair.items() if n[e, y] >= 3}
+    found = got.collect()
+    assert len(found) == len(want) > 20
+    assert all(r["participacion_proveedor_en_entidad"] == pytest.approx(want[r["key"], r["anio"]]) and r["n_contratos_entidad_anual"] == n[r["key"], r["anio"]] for r in found)
+
+
 def test_evidence_in_one_pass_is_that_of_each_flag(spark, sf):
     """The list of fired flags built in one pass, sanctions by history and frequencies of short texts included, is that of each flag's own plan."""
     p = dataclasses.replace(testdata.PARAMS, rotation_days=1460, rotation_min_contracts=3, rotation_winners=(2, 1000), rotation_min_share=0.0, rotation_min_alternation=0.3, split_days=60, vague_length=50)
