@@ -14,7 +14,7 @@ from pliego.functions.evidence import parsed
 from pliego.functions.numbers import combined, shrunk, tier, weighted_mean
 from pliego.operators.ranking import auc, numbered, ordinal_rank, percent_rank, percentiles, precision_at, running_total
 from pliego.params import Params
-from pliego.plans import backtest, flags, scoring
+from pliego.plans import backtest, exports, flags, scoring
 
 SMALL = Params(weights={"FX1": ("Uno", "contract", 10), "FX2": ("Dos", "contract", 30), "FX3": ("Tres", "contract", 60), "EX1": ("Cuatro", "entity", 5), "EX2": ("Cinco", "entity", 15)})
 
@@ -187,6 +187,15 @@ def test_scores_read_what_is_wanted(spark, sf):
     assert "valor_contrato" in read and "cod_mpio" not in read and "nit_entidad_norm" not in read
 
 
+def test_figures_of_scores_with_their_modality(spark, sf):
+    """National figures of scores that have their modality need no join with contracts, and are the same."""
+    m, p = testdata.mart(spark, sf, written=True), testdata.PARAMS
+    scores = scoring.run(m, p, ("contrato_score",), False, (*scoring.CONTRACT, "modalidad_norm"))["contrato_score"]
+    figures = exports.kpis(scores, m["fct_contrato"], p)
+    assert "Join" not in figures._jdf.queryExecution().optimizedPlan().toString()
+    assert figures.collect() == exports.kpis(scores.drop("modalidad_norm"), m["fct_contrato"], p).collect()
+
+
 def test_entities_are_planned_once(spark, sf):
     """The dimension of entities, which their scores and F04 read, comes from a table and not from all contracts again."""
     found = scoring.run(testdata.mart(spark, sf, written=True), testdata.PARAMS, ("entidad_score",), False)["entidad_score"]
