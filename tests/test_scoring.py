@@ -202,6 +202,18 @@ def test_entities_are_planned_once(spark, sf):
     assert "nombre_entidad" in found.columns and "explode" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_cases_meet_ranks_of_distinct_scores(spark):
+    """A case's percentile is found by year and score; no contracts are joined by id for it, and those without score or year have none."""
+    rows = [(f"C{i}", "E1" if i < 3 else "E2", "S", 2020 if i != 2 else None, 1.0, float(i % 4) if i != 1 else None, "bajo") for i in range(9)]
+    scores = spark.createDataFrame(rows, "id_contrato string, nombre_entidad string, nombre_proveedor string, anio int, valor_contrato double, score double, tier string")
+    cases = spark.createDataFrame([("a", "A", 2000, 2030, ["E1"], [], []), ("b", "B", 2000, 2030, ["E2"], [], [])], backtest.CASES)
+    found = backtest.case_summary(scores, cases)
+    assert "(id_contrato" not in "".join(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+    years = {r["id_contrato"]: r["percentil_anio"] for r in backtest.year_percentiles(scores).collect()}
+    best = {r["slug"]: (r["n_matched"], r["best_score"], r["best_percentil_anio"], r["top_quartile_reached"]) for r in found.collect()}
+    assert best == {"a": (2, 0.0, years["C0"], False), "b": (6, 3.0, years["C7"], True)} and "C1" not in years
+
+
 @pytest.mark.parametrize("often", [False, True])
 def test_concentration_shuffles_contracts_once(spark, sf, monkeypatch, often):
     """Contracts meet once, by entity and year, and those of frequent keys after they were summed by supplier; the rows are those of a plain computation."""
